@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, quality, simhash, token_counts
+from . import byte_bpe, exact_dedup, language, packing, pii, quality, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir)).drop("_key", "_spans")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -47,7 +55,9 @@ def queries() -> dict[str, Query]:
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_packing": op6_packing,
+        "op8_language": op8_language,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 
