@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language, packing, pii, quality, simhash, token_counts
+from . import byte_bpe, exact_dedup, language, packing, pii, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("_key")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_packing": op6_packing,
+        "op7_secrets": op7_secrets,
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
