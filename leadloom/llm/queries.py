@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language, packing, pii, quality, secrets, simhash, token_counts
+from . import byte_bpe, exact_dedup, language, licenses, packing, pii, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_groups(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_licenses": op5_licenses,
         "op6_packing": op6_packing,
         "op7_secrets": op7_secrets,
         "op8_language": op8_language,
