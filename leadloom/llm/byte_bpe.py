@@ -17,13 +17,14 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts, sql_type
 
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 600_000
 #: Characters of one scan, and columns of its matrix.
 CHUNK, COLUMNS = 1 << 19, 256
 
@@ -128,7 +129,7 @@ def _scan(part: np.ndarray, state: int) -> tuple[np.ndarray, int]:
 
 
 class ByteBpe(dict):
-    """Ids of pre-tokens, filled as they are asked for; each entry also has its ids in decimal."""
+    """Ids of pre-tokens as 32-bit bytes, filled as they are asked for."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
@@ -140,13 +141,13 @@ class ByteBpe(dict):
             self.size[i] = len(piece)
         self.offset[1:] = np.cumsum(self.size)[:-1]
         self.flat = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
+        self.decimal = list(map(str, range(n)))
 
-    def __missing__(self, token: str) -> tuple[list[int], str]:
+    def __missing__(self, token: str) -> bytes:
         if len(self) > CACHE_TOKENS:
             self.clear()
-        ids = self.merge(token.encode())
-        entry = self[token] = (ids, ",".join(map(str, ids)))
-        return entry
+        ids = self[token] = array("i", self.merge(token.encode())).tobytes()
+        return ids
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of the lowest rank, leftmost first, is joined until none is left."""
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
                 own, counts = [], []
                 for a, b in zip(at, [*at, len(t)][1:], strict=True):
                     counts.append(len(own))
-                    own.extend(bpe[t[a:b]][0])
+                    own.extend(np.frombuffer(bpe[t[a:b]], np.int32).tolist())
                 ids.append(own)
                 before.append(counts)
             return {"doc_id": cols[0], "ids": ids, "offsets": offsets, "ids_before": before}
@@ -245,10 +246,9 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
         def work(cols, texts):
             n, ids_sha, text_sha = [], [], []
             for tokens in bpe.split(texts):
-                entries = [bpe[x] for x in tokens]
-                ids = np.fromiter((i for e, _ in entries for i in e), np.int64)
+                ids = np.frombuffer(b"".join(map(bpe.__getitem__, tokens)), np.int32)
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([d for _, d in entries]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             return {"doc_id": cols[0], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
