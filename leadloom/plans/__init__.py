@@ -1,0 +1,6 @@
+"""Registered queries over the lead tables."""
+
+from . import queries_tables
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_tables"]
