@@ -73,7 +73,7 @@ def merge_confidence(*columns: Column | str) -> Column:
     """Mean of the clamped values that are not NULL, half-even to two places; 0 without any."""
     values = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() if isinstance(c, str) else c.isNotNull(), clamp_confidence(c)) for c in columns)))
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-    return F.when(F.size(values) > 0, F.bround(mean, 2)).otherwise(0.0)
+    return F.when(F.size(values) > 0, F.rint(mean * 100) / 100).otherwise(0.0)
 
 
 def publication_year(*columns: Column | str) -> Column:

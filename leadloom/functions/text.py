@@ -191,7 +191,7 @@ def authors_from_colon_title(c: Column | str) -> Column:
         return F.aggregate(F.transform(F.split(part, ","), F.trim), start, step, lambda a: a["found"])
 
     names = F.flatten(F.transform(F.split(value, ":"), lambda p: pairs(F.trim(p))))
-    return F.array_distinct(F.filter(F.transform(names, clean_person_name), valid_person_name))
+    return F.array_distinct(F.filter(F.transform(names, clean_person_name), lambda n: valid_person_name(n)))
 
 
 STRONG_BY = r"\bby\s+([A-Z][A-Za-z .'-]{1,40})\s*\((?:Author|Illustrator|Contributor|Editor|Writer)\)"
@@ -206,7 +206,7 @@ def guess_title_author(title: Column | str, snippet: Column | str) -> Column:
     colon = F.try_element_at(authors_from_colon_title(title), F.lit(1))
     labelled = F.coalesce(F.nullif(F.regexp_extract(hint, STRONG_BY, 1), F.lit("")), F.nullif(F.regexp_extract(cleaned, STRONG_BY, 1), F.lit("")))
     labelled = valid(clean_person_name(labelled))
-    plain = lambda s: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(s, F.lit(PLAIN_BY), 1), clean_person_name), valid_person_name), F.lit(1))
+    plain = lambda s: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(s, F.lit(PLAIN_BY), 1), clean_person_name), lambda n: valid_person_name(n)), F.lit(1))
     by = F.coalesce(plain(hint), plain(cleaned))
     author = F.coalesce(colon, labelled, by, F.lit(""))
     confidence = F.when(colon.isNotNull(), 0.75).when(labelled.isNotNull(), 0.8).when(by.isNotNull(), 0.6).otherwise(0.35)
@@ -236,7 +236,7 @@ def parse_review_title(title: Column | str, snippet: Column | str) -> Column:
 
 def humanize_slug(url: Column | str) -> Column:
     """The last part of a path, without a numeric tail, in title case."""
-    last = F.element_at(F.filter(F.split(F.regexp_replace(text(url), r"[?#].*$", ""), "/"), lambda p: p != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.regexp_replace(text(url), r"[?#].*$", ""), "/"), lambda p: p != ""), F.lit(-1))
     return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(last, F.lit("")), r"[-_]?\d+$", ""), r"[-_]+", " ")))
 
 

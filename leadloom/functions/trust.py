@@ -49,9 +49,10 @@ def label_matches(name: Column | str, label: Column | str) -> Column:
     return (F.size(own) > 0) & (F.size(F.array_except(own, F.split(normalize_text(label), " "))) == 0)
 
 
-def trusted_source(author: Column | str, title: Column | str, field: Column | str, value: Column | str, url: Column | str, kind: Column | str, source_title: Column | str = F.lit(""), snippet: Column | str = F.lit(""), named: Column | None = None, own: Column | None = None) -> Column:
+def trusted_source(author: Column | str, title: Column | str, field: Column | str, value: Column | str, url: Column | str, kind: Column | str, source_title: Column | str | None = None, snippet: Column | str | None = None, named: Column | None = None, own: Column | None = None) -> Column:
     """Whether a source of a kind may vouch for a contact value. named and own may be prepared: whether the author appears, and their tokens."""
     f, v, k = text(field), text(value), text(kind)
+    source_title, snippet = (F.lit("") if c is None else c for c in (source_title, snippet))
     social = k == "social_profile"
     usable = (v != "") & present(url) & k.isin(fixed.TRUSTED_TYPES) & (social | ~platform_source(url))
     named = identity_appears(author, title, url, source_title, snippet) if named is None else named
@@ -83,8 +84,8 @@ def email_matches_author(email: Column | str, author: Column | str, url: Column
     return usable_email(email) & ~platform_source(url) & (F.size(own) > 0) & (by_source | named)
 
 
-def trusted_site(url: Column | str, author: Column | str, title: Column | str, page_title: Column | str = F.lit("")) -> Column:
-    return public_url(url) & ~platform_source(url) & identity_strict(author, title, url, page_title)
+def trusted_site(url: Column | str, author: Column | str, title: Column | str, page_title: Column | str | None = None) -> Column:
+    return public_url(url) & ~platform_source(url) & identity_strict(author, title, url, *([] if page_title is None else [page_title]))
 
 
 def trusted_social(url: Column | str, author: Column | str, title: Column | str) -> Column:

@@ -82,7 +82,7 @@ def volume_candidates(volumes: DataFrame) -> DataFrame:
     rows = volumes.withColumn("v", F.from_json("payload", VOLUME))
     v = F.col("v")
     title = F.concat_ws(": ", F.nullif(F.trim(text(v["title"])), F.lit("")), F.nullif(F.trim(text(v["subtitle"])), F.lit("")))
-    author = first(F.filter(names(v["authors"]), valid_person_name))
+    author = first(F.filter(names(v["authors"]), lambda n: valid_person_name(n)))
     code = best_isbn(F.transform(F.coalesce(v["industryIdentifiers"], F.array().cast("array<struct<identifier:string>>")), lambda x: x["identifier"]))
     topic = has_any(F.concat_ws(" ", title, text(v["description"]), F.concat_ws(" ", v["categories"])), fixed.TOPIC_HINTS)
     score = F.lit(0.55) + F.when(code != "", 0.15).otherwise(0.0) + F.when(author != "", 0.1).otherwise(0.0) + F.when(present(v["publishedDate"]), 0.05).otherwise(0.0) + F.when(present(v["description"]), 0.05).otherwise(0.0) + F.when(present(v["imageLinks"]["thumbnail"]), 0.05).otherwise(0.0)
