@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -40,6 +40,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -47,7 +48,14 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        ids = self[word] = self.whole(word)
+        # The tokenizer lower-cases, and parts letters from a mark behind them: such forms share the ids of the plain word.
+        if word.isascii() and "<" not in word and (low := word.lower()) != word:
+            ids = self[low]
+        elif word[-1] in ",." and word[-2:-1].isalpha() and word[-2:-1].isascii():
+            ids = self[word[:-1]] + self.mark[word[-1]]
+        else:
+            ids = self.whole(word)
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
