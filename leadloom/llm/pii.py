@@ -85,16 +85,16 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """A row per valid match: _row, kind, start, end, m, before, after."""
-    each = reduce(DataFrame.unionByName, (found.where(F.col(k).isNotNull()).select("_row", F.lit(k).alias("kind"), F.posexplode(k).alias("i", "x")).select("_row", "kind", "i", "x.*") for k in PATTERNS))
+    """A row per valid match: _row, _key, kind, start, end, m, before, after."""
+    each = reduce(DataFrame.unionByName, (found.where(F.col(k).isNotNull()).select("_row", "_key", F.lit(k).alias("kind"), F.posexplode(k).alias("i", "x")).select("_row", "_key", "kind", "i", "x.*") for k in PATTERNS))
     until = Window.partitionBy("_row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.char_length("m")).over(until)
     placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("m"))
-    return placed.where(valid(F.col("kind"), F.col("m"))).select("_row", "kind", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "m", "before", "after")
+    return placed.where(valid(F.col("kind"), F.col("m"))).select("_row", "_key", "kind", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "m", "before", "after")
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """Distinct (entity, context) with the context's terms."""
+    """(entity, context, terms, _key) of each match; a context is the hash of its words, _key of its text."""
     # Words cut off by the bound on a side stand at its far end.
     left = F.split(F.when(F.char_length("before") == SIDE, F.regexp_replace("before", r"^[^\x20\x09-\x0D]*", "")).otherwise(F.col("before")), SEPARATOR + "+")
     right = F.split(F.when(F.char_length("after") == SIDE, F.regexp_replace("after", r"[^\x20\x09-\x0D]*$", "")).otherwise(F.col("after")), SEPARATOR + "+")
@@ -102,26 +102,32 @@ def contexts(spans: DataFrame) -> DataFrame:
     words = F.concat(F.slice(left, F.size(left) - size(left) + 1, size(left)), F.slice(right, F.lit(1), size(right)))
     terms = F.filter(F.array_distinct(F.transform(words, term)), lambda t: t != "")
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).otherwise(F.regexp_replace("m", "[^0-9]", "")))
-    return spans.select(entity.alias("entity"), F.xxhash64(F.array_join(words, " ")).alias("context"), terms.alias("terms")).distinct()
+    return spans.select(entity.alias("entity"), F.xxhash64(F.array_join(words, " ")).alias("context"), terms.alias("terms"), "_key")
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, n_texts: int, text_col: str, min_contexts: int, min_share: float) -> DataFrame:
-    """Written table of the terms above the disclosure threshold."""
-    seen = cut(contexts(spans), "pii-contexts")
+    """Written table of the terms above the disclosure threshold.
+
+    The texts that hold a term in some context are no more than all its texts. Terms that stay below the threshold even with that smaller
+    count are settled by it, so that only the few others are counted over the corpus.
+    """
+    each = cut(contexts(spans), "pii-contexts")
+    in_contexts = each.select("_key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    seen = each.drop("_key").distinct()
     per_entity = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_contexts)
     pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_contexts)
-    pairs = cut(pairs.join(per_entity, "entity"), "pii-pairs")
-    candidates = cut(pairs.select("term").distinct(), "pii-candidates")
-    counts = join_checked(text_terms(docs, text_col).drop("_key"), candidates, ["term"], "left_semi", ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     p_e = F.col("n_e") / F.lit(float(max(n_texts, 2)))
     share = F.log2(F.col("n_et") / F.col("n_t") / p_e) / F.log2(1 / F.least(p_e, F.lit(0.5)))
+    pairs = cut(pairs.join(per_entity, "entity").join(in_contexts, "term").where(share >= min_share).drop("n_t"), "pii-pairs")
+    candidates = cut(pairs.select("term").distinct(), "pii-candidates")
+    counts = join_checked(text_terms(docs, text_col).drop("_key"), candidates, ["term"], "left_semi", ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return cut(join_checked(pairs, cut(counts, "pii-counts"), ["term"], "inner", ["term"]).where(share >= min_share).select("term").distinct(), "pii-terms")
 
 
 def text_terms(docs: DataFrame, text_col: str) -> DataFrame:
     """(_key, term): each term of each text once."""
     text = F.col(f"`{text_col}`")
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]*" + SEPARATOR + r"+[^\p{L}\p{N}]*"))
+    words = F.array_distinct(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]*" + SEPARATOR + r"+[^\p{L}\p{N}]*"))
     each = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("_key"), F.explode(words).alias("term"))
     return each.where(F.length("term") >= 3)
 
