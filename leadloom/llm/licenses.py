@@ -114,15 +114,15 @@ class Index:
                         found.add((i * stride, name))
         return sorted(found)
 
-    def verify(self, words: list[str], at: int, name: str, least: float) -> tuple[int, int, float] | None:
-        """(first word, end word, containment) of the template around a window, or None."""
+    def verify(self, words: list[str], at: int, name: str, least: float, after: int = 0) -> tuple[int, int, float] | None:
+        """(first word, end word, containment) of the template around a window, not before word `after`, or None."""
         want, n = self.shingles[name], len(self.words[name])
-        low = max(0, at - n)
+        low = max(after, at - n)
         near = words[low : at + 2 * n]
         hits = [i for i in range(len(near) - SHINGLE + 1) if tuple(near[i : i + SHINGLE]) in want]
         best = None
         for a in range(len(hits)):  # the best stretch of about the template's length
-            inside = [i for i in hits[a:] if i < hits[a] + n + n // 4]
+            inside = [i for i in hits[a:] if i < hits[a] + n - SHINGLE + 1 + n // 4]
             share = len({tuple(near[i : i + SHINGLE]) for i in inside}) / len(want)
             if share >= least and (best is None or share > best[2]):
                 best = (low + inside[0], low + inside[-1] + SHINGLE, share)
@@ -139,11 +139,12 @@ def find_matches(index: Index, templates: dict[str, tuple[str, str]], words: lis
     out: dict[tuple[str, int], tuple[str, str, int, int, float]] = {}
     until: dict[str, int] = {}
     for at, name in places:
-        if at < until.get(name, 0):
+        end = until.get(name, 0)
+        if at < end - SHINGLE + 1:
             continue  # inside a match of this template
-        if got := index.verify(words, at, name, least):
+        if got := index.verify(words, at, name, least, end):
             out[name, got[0]] = (name, templates[name][0], *got)
-            until[name] = got[1] - SHINGLE + 1
+            until[name] = got[1]
     return sorted(out.values(), key=lambda x: (x[2], x[0]))
 
 
