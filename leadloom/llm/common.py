@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +56,16 @@ def join_checked(left: DataFrame, written: DataFrame, on: list[str], how: str, w
     return left.join(F.broadcast(written) if is_small(written, wide) else written, on, how)
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch of about `limit` characters; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch of texts of the given sizes with about `limit` characters each; a longer text stands alone."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(df: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable[[list, list[str]], dict]]) -> DataFrame:
@@ -78,9 +79,10 @@ def map_texts(df: DataFrame, columns: Sequence[str], schema: str, make: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, fields = make(), None
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(columns) - 1).to_pylist()]
-            for a, b in slices(texts):
-                got = work([batch.column(i).slice(a, b - a) for i in range(len(columns) - 1)], texts[a:b])
+            cells = batch.column(len(columns) - 1)
+            for a, b in slices(pc.fill_null(pc.utf8_length(cells), 0).to_pylist()):
+                texts = [x or "" for x in cells.slice(a, b - a).to_pylist()]
+                got = work([batch.column(i).slice(a, b - a) for i in range(len(columns) - 1)], texts)
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, arrow_types[k]) for k, v in got.items()})
 
     from pyspark.sql.pandas.types import to_arrow_type

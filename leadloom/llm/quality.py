@@ -16,13 +16,16 @@ by row; an empty table gives an empty table; a text without lines above limits i
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, join_checked, map_texts, sql_type
+from .common import cut, is_small, join_checked, map_texts, slices, sql_type
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -134,33 +137,43 @@ def _clean_wide(docs: DataFrame, above: DataFrame, text_col: str, host, min_left
 
 
 def _apply(joined: DataFrame, docs: DataFrame, text_col: str, min_left: float) -> DataFrame:
-    schema = f"`{text_col}` string, kept boolean"
+    """joined (docs and the array _lines) without rejected rows, with the texts mended; texts are handed on in slices."""
+    columns, at = docs.columns, docs.columns.index(text_col)
 
-    @F.pandas_udf(schema)
-    def mend(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out, kept = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, frozenset] = {}
-        for text, lines in zip(texts, lists, strict=True):
-            n_words, repeat = len((text or "").encode().split()), None
-            if n_words < 50:
-                out.append(text), kept.append(False)
-                continue
-            repeat = repeat_words(text.encode().split())
-            if 100 * repeat > 50 * n_words:
-                out.append(text), kept.append(False)
-                continue
-            if lines is not None and len(lines):
-                if (bad := sets.get(key := lines.tobytes())) is None:
-                    bad = sets[key] = frozenset(lines.tolist())
-                left = [x for x in text.split("\n") if line_hash(x.encode()) not in bad]
-                new = "\n".join(left) if len(left) < text.count("\n") + 1 else text
-            else:
-                new = text
-            out.append(new), kept.append(len(new.encode().split()) >= min_left * n_words)
-        return pd.DataFrame({text_col: out, "kept": kept})
-
-    done = joined.withColumn("_done", mend(F.col(text_col), F.col("_lines"))).where("_done.kept")
-    return done.select(*(F.col(f"_done.`{text_col}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+        for batch in batches:
+            texts, lists = batch.column(at), batch.column(len(columns))
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for a, b in slices(sizes):
+                mended, keep = [], []
+                for text, lines in zip(texts.slice(a, b - a).to_pylist(), lists.slice(a, b - a), strict=True):
+                    new = mend(text or "", lines.values.to_numpy() if lines.is_valid else None, sets, min_left)
+                    keep.append(new is not None)
+                    if new is not None:
+                        mended.append(new)
+                part = batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
+                cells = [pa.array(mended, pa.string()) if i == at else part.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays(cells, names=columns)
+
+    return joined.select(*(F.col(f"`{c}`") for c in columns), "_lines").mapInArrow(run, docs.schema)
+
+
+def mend(text: str, lines: np.ndarray | None, sets: dict[bytes, frozenset], min_left: float) -> str | None:
+    """The text without lines above limits; None if it fails the base rules or is depleted."""
+    words = text.encode().split()
+    if len(words) < 50 or 100 * repeat_words(words) > 50 * len(words):
+        return None
+    if lines is None or not len(lines):
+        return text
+    if (bad := sets.get(key := lines.tobytes())) is None:
+        bad = sets[key] = frozenset(lines.tolist())
+    every = text.split("\n")
+    left = [x for x in every if line_hash(x.encode()) not in bad]
+    if len(left) == len(every):
+        return text
+    new = "\n".join(left)
+    return new if len(new.encode().split()) >= min_left * len(words) else None
 
 
 #: The same in SQL for DuckDB.
