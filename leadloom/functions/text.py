@@ -188,7 +188,7 @@ def authors_from_colon_title(c: Column | str) -> Column:
         step = lambda a, s: F.when(
             capital(a["last"]) & capital(s), F.struct(F.lit("").alias("last"), F.concat(a["found"], F.array(F.concat_ws(" ", s, a["last"]))).alias("found"))
         ).otherwise(F.struct(s.alias("last"), a["found"].alias("found")))
-        return F.aggregate(F.transform(F.split(part, ","), F.trim), start, step, lambda a: a["found"])
+        return F.aggregate(F.transform(F.split(part, ","), lambda x: F.trim(x)), start, step, lambda a: a["found"])
 
     names = F.flatten(F.transform(F.split(value, ":"), lambda p: pairs(F.trim(p))))
     return F.array_distinct(F.filter(F.transform(names, clean_person_name), lambda n: valid_person_name(n)))

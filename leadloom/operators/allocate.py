@@ -41,7 +41,9 @@ def unassigned(leads: DataFrame, assignments: DataFrame) -> DataFrame:
     return leads.join(assignments.where("is_current").select("lead_id"), "lead_id", "left_anti")
 
 
-PRIORITY = [F.desc("verification_score"), F.desc("lead_score"), F.asc("created_at"), F.asc("lead_id")]
+def priority() -> list[Column]:
+    """By verification, then score, then age."""
+    return [F.desc("verification_score"), F.desc("lead_score"), F.asc("created_at"), F.asc("lead_id")]
 
 
 def eligible(leads: DataFrame, assignments: DataFrame, minimum: int, requirement: str, verified_only: bool) -> DataFrame:
@@ -52,7 +54,7 @@ def eligible(leads: DataFrame, assignments: DataFrame, minimum: int, requirement
 
 
 def assign_top(leads: DataFrame, assignments: DataFrame, k: int, minimum: int = 0, requirement: str = "any", verified_only: bool = False) -> DataFrame:
-    return eligible(leads, assignments, minimum, requirement, verified_only).orderBy(*PRIORITY).limit(k)
+    return eligible(leads, assignments, minimum, requirement, verified_only).orderBy(*priority()).limit(k)
 
 
 def waterfall(leads: DataFrame, assignments: DataFrame, schedules: list[dict]) -> DataFrame:
@@ -61,7 +63,7 @@ def waterfall(leads: DataFrame, assignments: DataFrame, schedules: list[dict]) -
     for s in schedules:
         pool = eligible(leads, assignments, s.get("minimum", 0), s.get("requirement", "any"), s.get("verified_only", False))
         pool = pool if taken is None else pool.join(taken, "lead_id", "left_anti")
-        own = cut(pool.orderBy(*PRIORITY).limit(s["k"]).select("lead_id", F.lit(s["schedule_id"]).alias("schedule_id")), "waterfall")
+        own = cut(pool.orderBy(*priority()).limit(s["k"]).select("lead_id", F.lit(s["schedule_id"]).alias("schedule_id")), "waterfall")
         taken = own if taken is None else taken.unionByName(own)
     return taken
 
@@ -89,4 +91,4 @@ def capacity_slots(due: DataFrame, senders: DataFrame, due_order: list[Column])
     return global_rank(due, due_order, "slot").join(placed, "slot", "left").drop("slot")
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "cut", "global_rank", "contact_requirement"}] + ["ORDERS", "PRIORITY"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "cut", "global_rank", "contact_requirement"}] + ["ORDERS"]

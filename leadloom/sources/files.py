@@ -107,7 +107,7 @@ SEED_URLS = ["author_website", "contact_page_url", "contact_source_url"]
 
 def seed_urls(rows: DataFrame, order: str = "ord") -> DataFrame:
     """(url, lead): distinct http(s) URLs of three columns and a `;` list; the lead of the last complete row, else NULL."""
-    urls = F.concat(F.array(*(F.trim(text(c)) for c in SEED_URLS)), F.transform(F.split(text("all_source_urls"), ";"), F.trim))
+    urls = F.concat(F.array(*(F.trim(text(c)) for c in SEED_URLS)), F.transform(F.split(text("all_source_urls"), ";"), lambda x: F.trim(x)))
     contact = first_present("public_email", "public_phone", "phone_or_email")
     complete = present("author_name") & present("amazon_book_url") & present("asin") & (contact != "")
     lead = F.struct("author_name", "amazon_book_url", "asin", contact.alias("contact"))
