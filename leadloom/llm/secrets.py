@@ -45,14 +45,18 @@ PLACEHOLDERS = "example changeme placeholder your_ xxxx dummy sample todo redact
 ASSIGNED = re.compile(r"""(?i)[\w.-]{0,40}(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|credential)[\w.-]{0,20}["']?\s{0,3}(?::=|=>|[:=])\s{0,3}(["'`]?)([^\s"'`,;]{8,})\1""")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+#: What a text must hold for the two patterns to find anything.
+NAMED = ["token", "secret", "passw", "pwd", "key", "auth", "credential"]
+DIGIT, CAMEL = re.compile("[0-9]"), re.compile("[a-z][A-Z]")
 NAMES = ["length", "digits", "upper", "symbols", "changes", "transition", "coverage", "variety", "hex", "secret_near", "assigned", "quoted", "harmless_near", "test_path", "setting_path", "placeholder"]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of candidate values, in order, without overlaps (assigned values first)."""
-    found = [m.span(2) for m in ASSIGNED.finditer(text)]
+    low = text.lower()
+    found = [m.span(2) for m in ASSIGNED.finditer(text)] if any(w in low for w in NAMED) else []
     taken = sorted(found)
-    for m in TOKEN.finditer(text):
+    for m in TOKEN.finditer(text) if DIGIT.search(text) or CAMEL.search(text) else ():
         a, b = m.start(), m.start() + len(m.group().rstrip(".-="))
         if b - a >= 16 and MIXED.search(text, a, b) and not any(x < b and a < y for x, y in _around(taken, a)):
             found.append((a, b))
