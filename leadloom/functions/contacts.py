@@ -82,7 +82,11 @@ def e164(c: Column | str) -> Column:
 
 def phone_details(c: Column | str) -> Column:
     """struct(valid, e164, line_type, region, is_fake, is_premium); fictional and premium numbers are invalid."""
-    e = e164(c)
+    return details_of(e164(c))
+
+
+def details_of(e: Column) -> Column:
+    """phone_details() of an E.164 number, NULL if none."""
     area = F.when(e.startswith("+1"), F.substring(e, 3, 3))
     fake = F.coalesce(e.rlike(r"^\+1\d{3}55501\d\d$") | e.rlike(r"^\+1(\d)\1{9}$"), F.lit(False))
     premium = F.coalesce(area == "900", F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.contacts import email_syntax, normalized_contact, phone_details
+from ..functions.contacts import details_of, e164, email_syntax, normalized_contact
 from ..functions.lineage import cut
 from ..functions.text import author_tokens, normalize_text, present, text, title_tokens
 from ..functions.trust import identity_appears, identity_of, trusted_source
@@ -151,8 +151,11 @@ def candidate_checks(candidates: DataFrame, evidence: DataFrame, leads: DataFram
     delivery = text("deliverability_status") if "deliverability_status" in candidates.columns else F.lit("unknown")
     delivery = F.when(delivery == "", "unknown").otherwise(delivery)
 
-    syntax = email_syntax("normalized_value")
-    blocked = syntax & blocked_mail("normalized_value")
+    # Staged, so that each is evaluated once a row and the checks read plain columns.
+    rows = rows.withColumns({"_syntax": email_syntax("normalized_value"), "_off": blocked_mail("normalized_value"), "_e164": e164("normalized_value")})
+    rows = rows.withColumn("_details", details_of(F.col("_e164")))
+    syntax = F.col("_syntax")
+    blocked = syntax & F.col("_off")
     source = syntax & ~blocked & F.col("n_domains").isNotNull()
     identity = source & F.coalesce(F.col("identity_confidence") >= 0.65, F.lit(False))
     on_domain = F.coalesce(F.col("_aligned"), F.lit(False))
@@ -172,7 +175,7 @@ def candidate_checks(candidates: DataFrame, evidence: DataFrame, leads: DataFram
         check("shared_channel", F.when(shared, "unknown").otherwise("pass"), F.lit(0), F.when(shared, F.concat(F.lit("shared_across_"), others.cast("string"), F.lit("_leads"))).otherwise("unique_to_lead")),
         check("corroboration", _yes(several & ~shared), points(several & ~shared, 15), F.when(several & ~shared, "multiple_independent_sources").otherwise("single_source")),
     )
-    details = phone_details("normalized_value")
+    details = F.col("_details")
     bad = details["is_fake"] | details["is_premium"]
     number = details["valid"]
     backed = number & F.col("n_domains").isNotNull()

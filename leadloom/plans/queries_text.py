@@ -356,7 +356,7 @@ def obfuscated_emails(t: Tables) -> DataFrame:
     return t.leads.where(X.present("public_email")).select("lead_id", F.explode(contacts.obfuscated_emails(prose)).alias("email"))
 
 
-@query("profiles", sql="select lead_id, max(case when follower_count is null then null else cast(round(round(follower_count / 1000.0, 1) * 1000) as bigint) end) as followers from profiles group by 1")
+@query("profiles", sql="select lead_id, max(case when follower_count is null then null else cast(floor(cast(round(follower_count / 1000.0, 1) as double) * 1000.0) as bigint) end) as followers from profiles group by 1")
 def follower_count(t: Tables) -> DataFrame:
     words = F.concat(F.lit("about "), F.round(F.col("follower_count") / 1000.0, 1).cast("decimal(20,1)").cast("string"), F.lit("K followers"))
     return t.profiles.select("lead_id", coerce.follower_count(words).alias("f")).groupBy("lead_id").agg(F.max("f").alias("followers"))
