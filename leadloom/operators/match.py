@@ -84,17 +84,29 @@ def matching_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     return by_raw.unionByName(by_normal).distinct()
 
 
-def siblings(rows: DataFrame, row_id: str = "lead_id", author: str = "author_name", author_id: str = "author_id") -> DataFrame:
-    """(row, sibling) pairs with the same author name (case-insensitive) or author id, itself included."""
-    a = rows.select(F.col(row_id).alias("row"), F.lower(F.trim(text(author))).alias("name"), F.col(author_id).alias("aid"))
-    b = a.withColumnRenamed("row", "sibling")
+def siblings(subjects: DataFrame, rows: DataFrame, row_id: str = "lead_id", author: str = "author_name", author_id: str = "author_id") -> DataFrame:
+    """(row, sibling) for the subjects, the rows that are asked for: rows with the same author name (case-insensitive) or author id."""
+    keyed = lambda df: df.select(F.col(row_id).alias("row"), F.lower(F.trim(text(author))).alias("name"), F.col(author_id).alias("aid"))
+    a, b = keyed(subjects), keyed(rows).withColumnRenamed("row", "sibling")
     named = a.where(present("name"))
-    by_name = named.select("row", "name").join(b.select("sibling", "name"), "name").select("row", "sibling")
-    by_id = named.select("row", "aid").join(b.select("sibling", "aid"), "aid").select("row", "sibling")
+    by_name = named.join(b.select("sibling", "name"), "name").select("row", "sibling")
+    by_id = named.join(b.select("sibling", "aid"), "aid").select("row", "sibling")
     alone = a.where(~present("name")).select("row", F.col("row").alias("sibling"))
     return by_name.unionByName(by_id).unionByName(alone).dropDuplicates()
 
 
+def sibling_counts(rows: DataFrame, row_id: str = "lead_id", author: str = "author_name", author_id: str = "author_id") -> DataFrame:
+    """Per row its classes (name, author id) and how many rows are its siblings, itself included; no pairs are made.
+
+    Rows of the name and rows of the id are counted once each, less those that share both. A row without a name is alone.
+    """
+    keyed = rows.select(F.col(row_id).alias("row"), F.lower(F.trim(text(author))).alias("name"), F.col(author_id).alias("aid"))
+    n = F.count(F.lit(1))
+    by_name, by_id, both = keyed.groupBy("name").agg(n.alias("n")), keyed.groupBy("aid").agg(n.alias("i")), keyed.groupBy("name", "aid").agg(n.alias("b"))
+    out = keyed.join(by_name, "name").join(by_id, "aid").join(both, ["name", "aid"])
+    return out.select("row", "name", "aid", F.when(present("name"), F.col("n") + F.col("i") - F.col("b")).otherwise(1).alias("siblings"))
+
+
 def match_existing(rows: DataFrame, books: DataFrame, title: str = "title", author: str = "author_name", asin: str = "asin") -> DataFrame:
     """rows with the id of the first existing book by key, else by identifier, else by title::author."""
     earliest = lambda key: books.withColumn("_k", key).where(present("_k")).groupBy("_k").agg(F.min_by("book_id", F.struct("created_at", "book_id")).alias("_b"))

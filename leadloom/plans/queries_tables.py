@@ -155,10 +155,9 @@ def matching_evidence(t: Tables) -> DataFrame:
     return match.matching_evidence(c, t.evidence).select("evidence_id").distinct()
 
 
-@query("books", sql="with b as (select book_id, lower(trim(author_name)) as n, author_id from books where book_id < 400) select a.book_id as row, c.book_id as sibling from b a join b c on (a.n > '' and (a.n = c.n or a.author_id = c.author_id)) or (a.n = '' and a.book_id = c.book_id)")
+@query("books", sql="select book_id as row, lower(trim(author_name)) as name, author_id as aid, case when author_name = '' then 1 else count(*) over (partition by lower(trim(author_name))) + count(*) over (partition by author_id) - count(*) over (partition by lower(trim(author_name)), author_id) end as siblings from books")
 def sibling_records(t: Tables) -> DataFrame:
-    # One author's books against each other: the feature's own scale is an author's shelf.
-    return match.siblings(t.books.where("book_id < 400"), "book_id")
+    return match.sibling_counts(t.books, "book_id")
 
 
 @query(
@@ -216,10 +215,10 @@ def review_to_listing(t: Tables) -> DataFrame:
     return match.review_to_listing(reviews, listings).select("review_id", "listing_id")
 
 
-@query("books", sql=f"with k as (select *, {BOOK_KEY} as key from books) select book_id from k where book_id % 3 = 0 and key not in (select key from k where book_id % 3 = 1) and (asin = '' or asin not in (select asin from k where book_id % 3 = 1))")
+@query("books", sql=f"with k as (select *, {BOOK_KEY} as key from books) select book_id from k where book_id % 2 = 0 and key not in (select key from k where book_id % 2 = 1) and (asin = '' or asin not in (select asin from k where book_id % 2 = 1))")
 def new_only(t: Tables) -> DataFrame:
     keyed = t.books.withColumn("normalized_key", book_key("title", "author_name", "asin"))
-    return dedupe.new_only(keyed.where("book_id % 3 = 0"), keyed.where("book_id % 3 = 1"), ["normalized_key", "asin"]).select("book_id")
+    return dedupe.new_only(keyed.where("book_id % 2 = 0"), keyed.where("book_id % 2 = 1"), ["normalized_key", "asin"]).select("book_id")
 
 
 @query("leads", "assignments", sql="select lead_id from leads where lead_id not in (select lead_id from assignments where is_current)")
@@ -260,10 +259,10 @@ def attach_evidence_to_lead(t: Tables) -> DataFrame:
     return match.attach_evidence(loose, t.leads).select("evidence_id", "lead_id")
 
 
-@query("books", sql="with s as (select book_id, asin, author_name, publisher from books where book_id % 2 = 1), t1 as (select asin, max(publisher) as p from books where asin > '' and book_id % 4 = 0 group by 1), t2 as (select asin, max(publisher) as p from books where asin > '' group by 1) select book_id, case when publisher > '' then publisher when coalesce(t1.p, '') > '' then t1.p else coalesce(t2.p, '') end as publisher from s left join t1 using (asin) left join t2 using (asin)")
+@query("books", sql="with s as (select book_id, asin, author_name, publisher from books), t1 as (select asin, max(publisher) as p from books where asin > '' and book_id % 4 = 0 group by 1), t2 as (select asin, max(publisher) as p from books where asin > '' group by 1) select book_id, case when publisher > '' then publisher when coalesce(t1.p, '') > '' then t1.p else coalesce(t2.p, '') end as publisher from s left join t1 using (asin) left join t2 using (asin)")
 def staged_fill(t: Tables) -> DataFrame:
     tier = lambda df: df.where("asin > ''").groupBy("asin").agg(F.max("publisher").alias("publisher"))
-    return match.staged_fill(t.books.where("book_id % 2 = 1"), [tier(t.books.where("book_id % 4 = 0")), tier(t.books)], "asin", ["publisher"], "publisher").select("book_id", "publisher")
+    return match.staged_fill(t.books, [tier(t.books.where("book_id % 4 = 0")), tier(t.books)], "asin", ["publisher"], "publisher").select("book_id", "publisher")
 
 
 # ---- aggregates ----
@@ -585,9 +584,9 @@ def array_set_ops(t: Tables) -> DataFrame:
     return t.books.select("book_id", F.size(F.array_intersect(words, F.array(F.lit("the"), F.lit("ring"), F.lit("widget")))).cast("bigint").alias("shared"))
 
 
-@query("leads", sql="select public_email from leads where lead_id % 3 = 1 except all select public_email from leads where lead_id % 3 = 2")
+@query("leads", sql="select public_email from leads where lead_id % 2 = 1 except all select public_email from leads where lead_id % 2 = 0")
 def except_existing(t: Tables) -> DataFrame:
-    return t.leads.where("lead_id % 3 = 1").select("public_email").exceptAll(t.leads.where("lead_id % 3 = 2").select("public_email"))
+    return t.leads.where("lead_id % 2 = 1").select("public_email").exceptAll(t.leads.where("lead_id % 2 = 0").select("public_email"))
 
 
 @query("leads", sql="select lead_id from leads where public_phone > '' union select lead_id from leads where representation_email > ''")
@@ -790,10 +789,10 @@ def clear_unverified_contacts(t: Tables) -> DataFrame:
     return filters.clear_unverified(rows, flags("v")).select("lead_id", "public_email", "public_phone", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("leads", "evidence", sql="select lead_id, public_email from leads where public_email > '' and split_part(public_email, '@', 2) in (select distinct split_part(field_value, '@', 2) from evidence where field_name = 'public_email' and evidence.lead_id % 5 = 0)")
+@query("leads", "evidence", sql="select lead_id, public_email from leads where public_email > '' and split_part(public_email, '@', 2) in (select distinct split_part(field_value, '@', 2) from evidence where field_name = 'public_email')")
 def evidence_domains(t: Tables) -> DataFrame:
-    """Leads whose mail domain also stands in the evidence of other leads."""
-    listed = t.evidence.where("field_name = 'public_email' and lead_id % 5 = 0").select(F.substring_index("field_value", "@", -1).alias("domain")).distinct()
+    """Leads whose mail domain also stands in evidence."""
+    listed = t.evidence.where("field_name = 'public_email'").select(F.substring_index("field_value", "@", -1).alias("domain")).distinct()
     return match.domain_suffix_match(t.leads.where(present("public_email")), F.substring_index("public_email", "@", -1), listed).select("lead_id", "public_email")
 
 

@@ -15,10 +15,9 @@ from .registry import Tables, query
 
 
 # ---- text and names ----
-@query(sql=r"select doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(left(text, 300)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) as n from documents where not regexp_matches(text, '[^\x00-\x7Fà-üÀ-Ü]')")
+@query(sql=r"select doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) as n from documents")
 def normalize_text(t: Tables) -> DataFrame:
-    """The head of each document in normal form: what a title column would hold."""
-    return t.documents.where(~F.col("text").rlike(r"[^\x00-\x7Fà-üÀ-Ü]")).select("doc_id", X.normalize_text(F.left("text", F.lit(300))).alias("n"))
+    return t.documents.select("doc_id", X.normalize_text("text").alias("n"))
 
 
 @query("books", sql=f"select book_id, {BOOK_KEY} as key from books")
@@ -140,9 +139,9 @@ def blocked_email_domains(t: Tables) -> DataFrame:
     return t.leads.select("lead_id", urls.blocked_mail("public_email").alias("blocked"), urls.desk_mailbox("public_email").alias("desk"))
 
 
-@query("leads", "authors", sql="select lead_id, false as aligned from leads left join authors using (author_id) where public_email = ''")
+@query("leads", "authors", sql="select lead_id, public_email > '' and coalesce(canonical_website, '') > '' as aligned from leads left join authors using (author_id)")
 def domains_align(t: Tables) -> DataFrame:
-    return t.leads.join(t.authors, "author_id", "left").where("public_email = ''").select("lead_id", urls.domains_align("public_email", "canonical_website").alias("aligned"))
+    return t.leads.join(t.authors, "author_id", "left").select("lead_id", urls.domains_align("public_email", "canonical_website").alias("aligned"))
 
 
 @query(sql="select page_id, url like 'http%' and not list_has_any(string_split(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), ['admin', 'login', 'signin', 'account', 'cart', 'checkout', 'wp-admin', 'dashboard']) as ok from pages")
@@ -490,3 +489,60 @@ def import_rows(t: Tables) -> DataFrame:
     """Leads as an upload, split into five tables; the candidates."""
     rows = t.leads.join(t.books.drop("author_id"), "book_id").select(F.col("lead_id").cast("string").alias("row_id"), "title", "author_name", "asin", "public_email", "public_phone", F.lit("https://p.example.test").alias("public_email_source_url"), F.lit("").alias("public_phone_source_url"), "verification_status", F.lit("").alias("author_website"), F.lit("").alias("contact_page_url"))
     return state.import_rows(rows)["candidates"]
+
+
+# ---- discovery ----
+def results_of_books(t: Tables) -> DataFrame:
+    """A search result for each book, as an engine shows it."""
+    name = F.when(X.present("author_name"), F.col("author_name")).otherwise("Robin Example")
+    rows = t.books.withColumn("_name", name)
+    return rows.select("book_id", F.col("book_id").alias("result_id"), F.lit(1).alias("ord"), F.concat("title", F.lit(" by "), "_name").alias("title"), F.concat(F.lit("A picture book by "), "_name", F.lit(". Contact "), F.lower(F.replace("_name", F.lit(" "), F.lit("."))), F.lit("@mail.test")).alias("snippet"), F.col("amazon_book_url").alias("url"), "author_name", F.col("title").alias("book_title"))
+
+
+@query("books", sql="select book_id as result_id, case when asin > '' then asin else 'B000000001' end as asin from books where amazon_book_url > '' and author_name <> 'Brand House Press'")
+def parse_listing_candidate(t: Tables) -> DataFrame:
+    from ..operators import discovery
+
+    return discovery.listing_candidates(results_of_books(t)).select("result_id", "asin")
+
+
+@query()
+def recover_missing_author(t: Tables) -> DataFrame:
+    from ..operators import discovery
+
+    return discovery.recover_missing_author(t.books.withColumn("book_data_confidence", F.lit(0.5)), results_of_books(t))
+
+
+@query()
+def snippet_contacts(t: Tables) -> DataFrame:
+    from ..operators import discovery
+
+    return discovery.snippet_contacts(results_of_books(t).withColumn("kind", F.lit("author_site")))
+
+
+@query()
+def profile_audit(t: Tables) -> DataFrame:
+    from ..operators import discovery
+
+    followers = F.concat(F.lit(" has "), F.col("book_id").cast("string"), F.lit(" followers. Write to me@mail.test"))
+    rows = t.books.where(X.present("author_name")).select(F.col("book_id").alias("lead_id"), F.lit("instagram").alias("platform"), F.lit("https://instagram.com/x").alias("profile_url"), F.concat(F.when(F.col("book_id") % 2 == 0, F.col("author_name")).otherwise("Someone"), followers).alias("profile_text"), "author_name", "title")
+    return discovery.profile_audit(rows).select("lead_id", "identity_score", "follower_count", F.size("contacts").alias("contacts"))
+
+
+@query("books", sql="select book_id as person_id, author_name as label, case when book_id % 2 = 0 then 0.8 else 0.65 end as confidence from books where author_name <> ''")
+def entity_profiles(t: Tables) -> DataFrame:
+    from ..operators import match
+
+    people = t.books.select(F.col("book_id").alias("person_id"), F.col("author_name").alias("name"))
+    entities = t.books.select(F.col("book_id").alias("person_id"), F.lit(1).alias("ord"), F.col("author_name").alias("label"), (F.col("book_id") % 2 == 0).alias("hint"))
+    return match.entity_profiles(people, entities).select("person_id", "label", "confidence")
+
+
+@query()
+def site_lead_rows(t: Tables) -> DataFrame:
+    """Pages of each author's site, with the listings of their books."""
+    site = F.col("author_id").alias("site")
+    person = F.when(X.present("author_name"), F.col("author_name")).otherwise("Robin Example")
+    of = t.books.select(site, F.col("book_id").alias("pos"), F.concat(F.lit("https://a.test/"), F.col("book_id").cast("string")).alias("url"), F.concat(F.lit("books for children; contact me@mail.test "), "title").alias("page_text"), person.alias("h1"), F.lit("").alias("h2"), "title")
+    links = t.books.where(X.present("amazon_book_url")).select(site, F.col("book_id").alias("pos"), F.col("amazon_book_url").alias("href"))
+    return pages.site_lead_rows(of, links)
