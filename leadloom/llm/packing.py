@@ -29,6 +29,8 @@ from .common import cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
 CACHE_WORDS = 800_000
+#: A mark behind a letter below this one never joins it, also in composed form.
+LATIN = "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -51,7 +53,7 @@ class WordIds(dict):
         # The tokenizer lower-cases, and parts letters from a mark behind them: such forms share the ids of the plain word.
         if word.isascii() and "<" not in word and (low := word.lower()) != word:
             ids = self[low]
-        elif word[-1] in ",." and word[-2:-1].isalpha() and word[-2:-1].isascii():
+        elif word[-1] in ",." and word[-2:-1].isalpha() and word[-2] < LATIN:
             ids = self[word[:-1]] + self.mark[word[-1]]
         else:
             ids = self.whole(word)
