@@ -177,6 +177,8 @@ class ByteBpe(dict):
 
     def offsets(self, texts: list[str]) -> list[list[int]]:
         """Code-point offsets at which the pre-tokens of each text start."""
+        if not texts:
+            return []
         lengths = np.array([len(t) for t in texts], np.int64)
         points = np.full(int(lengths.sum()) + len(texts), 0x110000, np.uint32)
         begin = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int64)

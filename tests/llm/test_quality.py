@@ -100,19 +100,16 @@ def test_packing(spark):
 
 def test_open_bins_match_a_plain_search():
     r = random.Random(8)
-    bins, plain = packing.OpenBins(100, 5), []
+    bins, free = packing.OpenBins(100, 5), []
     for _ in range(3000):
         n = r.randint(1, 99)
-        at, offset = bins.place(n)
-        fit = min((f for f, _ in plain if f >= n), default=None)
-        if fit is None:
-            assert offset == 0
-            plain.append([100 - n, at])
-        else:
-            assert offset == 100 - fit
-            own = next(x for x in plain if x[0] == fit and x[1] == at)
-            own[0] -= n
-        plain = [x for x in plain if x[0]]
-        if len(plain) > 5:
-            fullest = min(f for f, _ in plain)
-            plain.remove(next(x for x in plain if x[0] == fullest))
+        _, offset = bins.place(n)
+        fit = min((f for f in free if f >= n), default=None)
+        assert offset == (0 if fit is None else 100 - fit)
+        if fit is not None:
+            free.remove(fit)
+        free.append((100 if fit is None else fit) - n)
+        free = [f for f in free if f]
+        if len(free) > 5:
+            free.remove(min(free))
+        assert bins.count == len(free) and bins.bits == sum(1 << f for f in set(free))
