@@ -20,8 +20,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints of five-word shingles, the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the document with the smallest doc_id."""
+    return simhash.keep_one_similar(docs)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

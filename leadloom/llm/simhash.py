@@ -17,7 +17,7 @@ of null ids alone has a null component_id; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -26,24 +26,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_checked, map_texts, sql_type
+from .common import cut, drop_cut, join_checked, map_texts, sql_type
 from .components import components
 
 RADIUS, TILE, SEED = 3, 512, 42
+#: The pipeline's stage: least Jaccard similarity of shingle sets (4 / 5), and the radius within which nearly all such pairs are.
+SIMILAR, WIDE = (4, 5), 20
 #: Fingerprints that a key should gather on average; the number of blocks is chosen for it.
 PER_KEY = 256
 
 
-def fingerprint(text: str, words: int = 3) -> int:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     tokens = text.encode().lower().split()
-    if not tokens:
-        return 0
     if len(tokens) < words:
-        shingles = [b" ".join(tokens)]
+        shingles = [b" ".join(tokens)] if tokens else []
     else:
         shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
-    n = len(shingles)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -144,7 +153,11 @@ def compare(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> l
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """distinct (fp): links (a, b) whose components are those of all pairs within the radius."""
     blocks = block_count(distinct.count(), radius)
-    rows = cut(keyed(distinct, blocks, radius), "simhash-keys")
+    return compared(cut(keyed(distinct, blocks, radius), "simhash-keys"), tile, lambda key, side, fp: compare(key, side, fp, radius))
+
+
+def compared(rows: DataFrame, tile: int, links_of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """rows (fp, key): the distinct links that links_of finds within keys, in tile pairs where a key has more rows than a tile."""
     large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "simhash-large")
     sized = join_checked(rows, large, ["key"], "left")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("tiles")).cast("int")
@@ -162,10 +175,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
             key = held[0]
             if len(key) and key[0] != key[-1]:  # the last key may go on
                 ends = int(np.searchsorted(key, key[-1]))
-                yield batch(compare(*(x[:ends] for x in held), radius))
+                yield batch(links_of(*(x[:ends] for x in held)))
                 held = [x[ends:] for x in held]
         if held is not None and len(held[0]):
-            yield batch(compare(*held, radius))
+            yield batch(links_of(*held))
 
     def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
@@ -191,8 +204,136 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, id_col: str
 
     Rows without an id are kept, since they can't be named; rows that repeat a kept doc_id are kept.
     """
-    found = group(docs, words, radius, id_col=id_col, text_col=text_col)
+    return without_others(docs, group(docs, words, radius, id_col=id_col, text_col=text_col), id_col)
+
+
+def without_others(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     kept = gone.join(cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-kept"), "_gone", "left_anti")
     gone = cut(kept, "simhash-dropped")
     return join_checked(docs.withColumn("_gone", F.col(id_col)), gone, ["_gone"], "left_anti").drop("_gone")
+
+
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """The least of a shingle set's hashes, so many that two sets of similarity SIMILAR or more have one of them in common."""
+    own, (a, b) = np.unique(hashes), SIMILAR
+    return own[: len(own) - (a * len(own) + b - 1) // b + 1] if len(own) else np.zeros(1, np.uint64)
+
+
+def spanning(n: int, near_to: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest over positions 0 to n - 1; near_to(i, left) says which of the positions left are linked to i."""
+    left = np.arange(n)
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near_to(i, left)
+            new, left = left[hit].tolist(), left[~hit]
+            todo += new
+            yield from ((i, j) for j in new)
+
+
+def compare_wide(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As compare(), with a spanning forest of each group; a tile pair is one group, whatever the sides."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    unsigned, out = fp.view(np.uint64), set()
+    where = np.repeat(begin + size, size)
+    rows, shift = np.flatnonzero(np.repeat((size <= 16) & (size > 1), size)), 1
+    while len(rows := rows[rows + shift < where[rows]]):
+        hit = rows[np.bitwise_count(unsigned[rows] ^ unsigned[rows + shift]) <= radius]
+        out.update(zip(fp[hit].tolist(), fp[hit + shift].tolist(), strict=True))
+        shift += 1
+    for b, s in zip(begin[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        own = np.unique(unsigned[b : b + s])
+        signed = own.view(np.int64).tolist()
+        out.update((signed[i], signed[j]) for i, j in spanning(len(own), lambda i, left, own=own: np.bitwise_count(own[left] ^ own[i]) <= radius))
+    return list(out)
+
+
+def similar_links(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of shingle sets whose Jaccard similarity is SIMILAR or more."""
+    (a, b), n = SIMILAR, np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edge = np.concatenate(([0], np.cumsum(n)))
+    mark = np.zeros(len(ids) + 1, bool)
+
+    def near_to(i: int, left: np.ndarray) -> np.ndarray:
+        own, hit = ids[edge[i] : edge[i + 1]], np.minimum(n[left], n[i]) * b >= np.maximum(n[left], n[i]) * a
+        mark[own] = True
+        for k in np.flatnonzero(hit).tolist():
+            j = left[k]
+            both = np.count_nonzero(mark[ids[edge[j] : edge[j + 1]]])
+            hit[k] = both * b >= (n[i] + n[j] - both) * a
+        mark[own] = False
+        return hit
+
+    return spanning(len(sets), near_to)
+
+
+def verified(members: DataFrame, words: int) -> DataFrame:
+    """members (key, node, text): links (a, b) of nodes of one key whose shingle sets are similar, as spanning forests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets, held = None, [], [], set()
+
+        def batch() -> pa.RecordBatch:
+            found = list(similar_links(sets)) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for key, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if key != at:
+                    yield batch()
+                    at, nodes, sets, held = key, [], [], set()
+                if node in held:
+                    continue
+                held.add(node)
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text.as_py(), words)))
+        yield batch()
+
+    return members.select("key", "node", "text").mapInArrow(run, "a bigint, b bigint")
+
+
+def group_similar(docs: DataFrame, words: int = 5, radius: int = WIDE, tile: int = 4096, verify_tile: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, component_id: the smallest doc_id reachable over pairs of texts of shingle similarity SIMILAR or more.
+
+    Candidates share a hash of their prefixes, which loses no such pair, and have fingerprints within a wide radius. Their components hold
+    those looked for; inside each, shingle sets themselves are compared, in tile pairs where it has more texts than a tile. Equal texts are one
+    node; they should be gone before (exact dedup), since all of them are read by the task that compares their node.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    nodes = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+
+    def make():
+        def work(cols, texts):
+            hashes = [shingle_hashes(t, words) for t in texts]
+            return {"node": cols[0], "fp": np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64), "keys": pa.array([prefix(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))}
+
+        return work
+
+    prints = cut(map_texts(nodes, ["node", "text"], "node bigint, fp bigint, keys array<bigint>", make), "similar")
+    rows = prints.select("fp", F.explode("keys").alias("key"))
+    roots = cut(components(compared(rows, tile, lambda key, side, fp: compare_wide(key, side, fp, radius))).withColumnRenamed("node", "fp"), "similar-roots")
+    own = cut(join_checked(prints.select("node", "fp"), roots, ["fp"], "left").select("node", F.coalesce("root", "fp").alias("key")).distinct(), "similar-own")
+    drop_cut(prints)
+    sizes = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / verify_tile).cast("int").alias("tiles")), "similar-sizes")
+    tile_of = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
+    # A text of tile t goes to the tile pairs (t, u); of one tile alone, to (0, 0).
+    placed = join_checked(own, sizes, ["key"], "inner").withColumn("t", tile_of)
+    to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least("t", u), F.greatest("t", u)))
+    placed = cut(placed.select("node", F.explode(to).alias("key")), "similar-placed")
+    texts = join_checked(nodes.select("node", "text"), cut(placed.select("node").distinct(), "similar-nodes"), ["node"], "left_semi")
+    members = join_checked(texts, placed, ["node"], "inner").repartition("key").sortWithinPartitions("key")
+    found = cut(verified(members, words), "similar-links")
+    joined = cut(components(found), "similar-components")
+    named = join_checked(nodes.select("doc_id", "node"), joined, ["node"], "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = cut(named, "similar-named")
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
+    return join_checked(named, least, ["root"], "inner").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As keep_one(), over components of texts of shingle similarity SIMILAR or more."""
+    return without_others(docs, cut(group_similar(docs, words, id_col=id_col, text_col=text_col), "similar-found"), id_col)

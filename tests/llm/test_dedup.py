@@ -125,6 +125,46 @@ def test_simhash_table(spark):
     assert set(i for i in ids if i is not None) == set(least.values()) and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_similar_against_jaccard(spark, tile):
+    """Near copies of one and more replaced words, chains, a hot group, texts too short for a shingle."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for size in (5, 12, 30, 60, 100, 200, 500, 500):
+        for _ in range(6):
+            base = [r.choice(words) for _ in range(size)]
+            for n in range(6):
+                near = list(base)
+                for at in r.sample(range(size), min(size, n * size // 100 + (n > 0))):
+                    near[at] = r.choice(words)
+                rows.append(" ".join(near))
+                base = near if n % 2 else base
+    passage = " ".join(r.choice(words) for _ in range(60))
+    rows += [f"{passage} {' '.join(r.choice(words) for _ in range(60))}" for _ in range(40)]
+    rows += [f"hot{i} {passage}" for i in range(60)] + ["one", "ONE", "one two", " ", "", None, "  "]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(rows)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    least = {}
+    for (i, _), c in zip(rows, root, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.group_similar(df, tile=tile, verify_tile=tile).collect() if x.doc_id is not None}
+    assert got == {i: least[c] for (i, _), c in zip(rows, root, strict=True) if i is not None}
+    kept = [x.doc_id for x in simhash.keep_one_similar(df).collect()]
+    assert {i for i in kept if i is not None} == set(least.values()) and kept.count(None) == sum(i is None for i, _ in rows)
+    assert simhash.group_similar(df.limit(0)).count() == 0
+
+
 def test_small_is_measured(spark):
     df = common.cut(spark.range(10).selectExpr("repeat('x', 1000) as t"), "t")
     assert common.is_small(df, ["t"]) and not common.is_small(df, ["t"], rows=5) and not common.is_small(df, ["t"], size=5000)
