@@ -8,7 +8,7 @@ Disclosure: each value found is a protected entity e. Its contexts are the disti
 a text count once. A term t (three letters or more) reveals the share log2(P(e|t) / P(e)) / log2(1 / P(e)) of what there is to know of
 e, with P(e|t) = contexts of e with t / texts with t, and P(e) = contexts of e / all texts. A term that reveals MIN_SHARE or more of some
 entity, and is seen in MIN_CONTEXTS of its contexts, exceeds the disclosure threshold: its occurrences become spans of kind `term` in
-every text. Texts with a term are counted over the whole corpus for the terms that stand in contexts.
+every text. Texts with a term are counted over the whole corpus, copies once, for the terms that stand in contexts; all texts are counted by rows.
 
 Cases: null text counts as empty; repeated rows are judged row by row; an empty table gives an empty table; where no term exceeds the threshold
 the spans are the base spans.
@@ -120,7 +120,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, n_texts: int, text_col: s
     share = F.log2(F.col("n_et") / F.col("n_t") / p_e) / F.log2(1 / F.least(p_e, F.lit(0.5)))
     pairs = cut(pairs.join(per_entity, "entity").join(in_contexts, "term").where(share >= min_share).drop("n_t"), "pii-pairs")
     candidates = cut(pairs.select("term").distinct(), "pii-candidates")
-    counts = join_checked(text_terms(docs, text_col).drop("_key"), candidates, ["term"], "left_semi", ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = join_checked(text_terms(docs, text_col), candidates, ["term"], "left_semi", ["term"]).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return cut(join_checked(pairs, cut(counts, "pii-counts"), ["term"], "inner", ["term"]).where(share >= min_share).select("term").distinct(), "pii-terms")
 
 

@@ -53,6 +53,15 @@ def test_disclosure(spark):
     assert pii.sanitise(df).where("doc_id = 400").first().text == "() alone"
 
 
+def test_copies_leave_terms(spark):
+    rows = [(i, f"{w} writes Zorblax, from zor@blax.org about {w} things") for i, w in enumerate(["one", "two", "three", "four"])]
+    rows += [(100 + i, f"the common words number {i} of the day") for i in range(40)]
+    copies = [(1000 + i, rows[0][1]) for i in range(200)]
+    spans = [{r.doc_id: r.spans for r in pii.find(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows + copies)]
+    assert "term:11:18" in spans[0][0]
+    assert {i: spans[1][i] for i in spans[0]} == spans[0] and spans[1][1000] == spans[0][0]
+
+
 def test_licenses(spark):
     r = random.Random(5)
     rows, want = [], set()
