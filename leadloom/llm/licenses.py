@@ -50,7 +50,8 @@ TEMPLATES = {
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()  # where its length changes (U+0130), words are taken before lower-casing, as their spans are
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -172,7 +173,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             for i, own in places.items():
                 found = find_matches(index, used, lists[i], own, least)
                 if found:
-                    spans = [m.span() for m in WORD.finditer(texts[i].lower() if len(texts[i].lower()) == len(texts[i]) else texts[i])]
+                    spans = [m.span() for m in WORD.finditer(texts[i])]
                     rows += [(i, name, kind, spans[a][0], spans[b - 1][1], share) for name, kind, a, b, share in found]
             return {"doc_id": cols[0].take(pa.array([r[0] for r in rows], pa.int64()))} | {k: [r[j + 1] for r in rows] for j, k in enumerate(["template", "license", "start", "end", "containment"])}
 

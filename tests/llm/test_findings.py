@@ -62,6 +62,13 @@ def test_copies_leave_terms(spark):
     assert {i: spans[1][i] for i in spans[0]} == spans[0] and spans[1][1000] == spans[0][0]
 
 
+def test_license_behind_dotted_i(spark):
+    notice = "Released under the MIT License"
+    rows = [(1, f"İstanbul notes. {notice}."), (2, f"İ İİ {notice} and more words")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, dict(rows)[x.doc_id][x.start : x.end]) for x in got} == {(1, notice), (2, notice)}
+
+
 def test_licenses(spark):
     r = random.Random(5)
     rows, want = [], set()
