@@ -11,19 +11,33 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, an own one on a local master; elsewhere an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet into the shared folder and read it again: later work starts from files that survive a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*written: DataFrame) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for df in written:
+        spark, path = df.sparkSession, getattr(df, "_cut_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def running_sum(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
