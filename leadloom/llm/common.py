@@ -1,9 +1,7 @@
-"""What the corpus operators share: cutting lineage, size-checked joins, Arrow passes over texts."""
+"""What the corpus operators share: size-checked joins, Arrow passes over texts; lineage is cut as everywhere in the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,37 +9,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.functions.lineage import cut, drop_cut, shared_dir
+
+__all__ = ["cut", "drop_cut", "shared_dir", "is_small", "join_checked", "slices", "map_texts", "sql_type", "fresh", "small_batches"]
+
 #: A side is broadcast only if its rows and bytes, counted on the written table, stay below these.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 #: Texts are handed on in slices of about this many characters, so that a batch of long texts stays small.
 SLICE_CHARS = 1 << 20
+#: Bytes of a batch of rows that goes to Python, unless the session names a bound of its own.
+BATCH_BYTES, BATCH_BYTES_KEY, BATCH_BYTES_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), an own one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: later work starts from files that survive a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session at BATCH_BYTES where it has the setting's default, so that memory stays small beside long texts."""
+    if spark.conf.get(BATCH_BYTES_KEY, BATCH_BYTES_DEFAULT) == BATCH_BYTES_DEFAULT:
+        spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut table that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_cut_path", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def is_small(written: DataFrame, wide: Sequence[str] = (), rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -74,7 +65,8 @@ def map_texts(df: DataFrame, columns: Sequence[str], schema: str, make: Callable
     make() builds the function of a task; it gets the lists of the other columns and of the texts, and returns columns by name.
     Only the given columns are read, so that other columns of df, whatever their names, play no part.
     """
-    picked = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    picked = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, fields = make(), None
@@ -84,6 +76,7 @@ def map_texts(df: DataFrame, columns: Sequence[str], schema: str, make: Callable
                 texts = [x or "" for x in cells.slice(a, b - a).to_pylist()]
                 got = work([batch.column(i).slice(a, b - a) for i in range(len(columns) - 1)], texts)
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, arrow_types[k]) for k, v in got.items()})
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string

@@ -1,18 +1,18 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 A fingerprint has a bit for each of 64 positions, set if more than half of the document's word shingles (repeats included) have it set in
-their 64-bit hash. Distinct fingerprints are compared in tiles with exclusive-or and bit counts, and tile pairs are skipped where
-population counts differ beyond the radius.
+their 64-bit hash. Distinct fingerprints, in the order of their population counts, are cut into tiles. Tiles are compared with exclusive-or and
+bit counts; tile pairs whose population counts differ beyond the radius are never made, and within a pair only fingerprints whose
+population counts are within the radius are compared. Out of a tile pair come the links of a spanning forest, not all pairs.
 
-Comparing every tile with every other takes a time that is quadratic in the corpus. So tiles are first formed among fingerprints that agree in
-a key: of `blocks` blocks of bits, `blocks` - radius at least are equal in any two fingerprints within the radius, and a key is one such
-choice of equal blocks. No link is lost, and the number of blocks follows from the number of fingerprints. A key with more
-fingerprints than a tile is cut into tiles, and its tile pairs, not the key, are dealt to tasks. Out of a tile pair come the links of
-a spanning forest, not all pairs.
+Up to PER_KEY distinct fingerprints all tiles are one set. That is quadratic, so beyond it tiles are formed among fingerprints that agree in a
+key: of `blocks` blocks of bits, `blocks` - radius at least are equal in any two fingerprints within the radius, and a key is one such choice of
+equal blocks. No link is lost, and the number of blocks follows from the number of fingerprints. Tile pairs, not keys, are dealt to
+tasks.
 
 Cases: null and empty text have fingerprint zero, which links like any other; a document of fewer words than a shingle has its whole
 word sequence as one shingle; repeated rows and copies share a fingerprint and are one node; a null doc_id is never the smallest, and a component
-of null ids alone has a null component_id; an empty table gives an empty table.
+of null ids alone has a null component_id; an empty table gives an empty table; columns of any other name are left alone.
 """
 
 from __future__ import annotations
@@ -25,15 +25,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, drop_cut, join_checked, map_texts, sql_type
+from .common import cut, drop_cut, fresh, join_checked, map_texts, sql_type
 from .components import components
 
-RADIUS, TILE, SEED = 3, 512, 42
-#: The pipeline's stage: least Jaccard similarity of shingle sets (4 / 5), and the radius within which nearly all such pairs are.
-SIMILAR, WIDE = (4, 5), 20
-#: Fingerprints that a key should gather on average; the number of blocks is chosen for it.
-PER_KEY = 256
+RADIUS, TILE, SEED = 3, 4096, 42
+#: Fingerprints that a key should gather on average at most; the number of blocks is chosen for it.
+PER_KEY = 1 << 18
+#: The pipeline's stage: least Jaccard similarity of shingle sets (4 / 5), the radius within which nearly all such pairs are, and the keys:
+#: BANDS keys of ROWS least hashes each; a pair of similarity 0.8 agrees in none of them with a probability of (1 - 0.8 ** 4) ** 20 = 3e-5.
+SIMILAR, WIDE, BANDS, ROWS = (4, 5), 20, 20, 4
+#: Groups of up to so many fingerprints are compared together, one shift of the rows at a time; of others, so many rows at once.
+TINY, RUN = 16, 128
+
+_STATE = np.random.RandomState(SEED)
+#: Odd multipliers that make the hash functions of the bands out of one hash.
+MULTIPLIERS = _STATE.randint(0, 1 << 62, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+MASKS = _STATE.randint(0, 1 << 62, BANDS * ROWS, np.int64).astype(np.uint64)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -72,7 +81,9 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def block_count(n: int, radius: int) -> int:
-    """The least number of blocks with which a key gathers PER_KEY of n fingerprints at most."""
+    """The least number of blocks with which a key gathers PER_KEY of n fingerprints at most; 0: all of them have one key."""
+    if n <= PER_KEY:
+        return 0
     blocks = radius + 1
     while blocks < radius + 6 and n / 2 ** (64 * (blocks - radius) / blocks) > PER_KEY:
         blocks += 1
@@ -81,6 +92,8 @@ def block_count(n: int, radius: int) -> int:
 
 def keyed(distinct: DataFrame, blocks: int, radius: int) -> DataFrame:
     """A row for each fingerprint and choice of equal blocks: key (a hash of the choice and its bits) and fp."""
+    if not blocks:
+        return distinct.select("fp", F.lit(0).cast("bigint").alias("key"))
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for choice in combinations(range(blocks), blocks - radius):
@@ -90,24 +103,66 @@ def keyed(distinct: DataFrame, blocks: int, radius: int) -> DataFrame:
     return distinct.select("fp", F.explode(keys).alias("key"))
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i in a, j in b) of fingerprints within the radius; by runs of equal population counts, skipping runs too far apart."""
-    pa_, pb_ = np.bitwise_count(a), np.bitwise_count(b)
-    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb_, kind="stable")
-    lo, hi = np.searchsorted(pa_[oa], np.arange(66)), np.searchsorted(pb_[ob], np.arange(66))
-    left, right = [], []
-    for p in np.unique(pa_):
-        rows = oa[lo[p] : lo[p + 1]]
-        cols = ob[hi[max(0, int(p) - radius)] : hi[min(64, int(p) + radius) + 1]]
-        if len(rows) and len(cols):
-            i, j = np.nonzero(np.bitwise_count(a[rows, None] ^ b[None, cols]) <= radius)
-            left.append(rows[i]), right.append(cols[j])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def spanning(n: int, near_to: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest over positions 0 to n - 1; near_to(i, left) says which of the positions left (ascending) are linked to i."""
+    left = np.arange(n)
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near_to(i, left)
+            if hit.any():
+                new, left = left[hit].tolist(), left[~hit]
+                todo += new
+                yield from ((i, j) for j in new)
+
+
+def near(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the fingerprints within the radius, between side 0 and side 1, or within one side where there is one alone.
+
+    Only those of near population counts are compared, a run of rows at a time; where links are many, row by row until all are reached.
+    """
+    bits = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((bits, side))
+    own, bits, half = fp[order], bits[order], int(np.count_nonzero(side == 0))
+    sides = [(0, half), (half, len(own))]
+    one = half in (0, len(own))
+    signed = own.view(np.int64).tolist()
+    # where a population count begins, from -radius on, of either side
+    edges = [x + np.searchsorted(bits[x:y], np.arange(-radius, 66 + radius)) for x, y in ([(0, len(own))] if one else sides)]
+
+    def window(first: int, last: int) -> tuple[int, int]:
+        """The rows that rows first to last, of one side, are compared with."""
+        edge = edges[0] if one or first >= half else edges[1]
+        return int(edge[bits[first]]), int(edge[bits[last] + 2 * radius + 1])
+
+    rows, cols, count = [], [], 0
+    for first in range(0, len(own) if one else half, RUN):
+        last = min(first + RUN, len(own) if one else half)
+        a, b = window(first, last - 1)
+        a = max(a, first) if one else a
+        i, j = np.nonzero(np.bitwise_count(own[first:last, None] ^ own[None, a:b]) <= radius)
+        i, j = i + first, j + a
+        keep = i < j
+        rows.append(i[keep]), cols.append(j[keep])
+        count += len(rows[-1])
+        if count > 8 * len(own):
+            break
+    else:
+        return [(signed[i], signed[j]) for i, j in forest(len(own), np.concatenate(rows), np.concatenate(cols))] if rows else []
+
+    def near_to(i: int, left: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(left, window(i, i))
+        hit = np.zeros(len(left), bool)
+        hit[a:b] = np.bitwise_count(own[left[a:b]] ^ own[i]) <= radius
+        return hit
+
+    return [(signed[i], signed[j]) for i, j in spanning(len(own), near_to)]
 
 
-def forest(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links (i, j), as pairs of values."""
-    parent = list(range(len(values)))
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the links (i, j) between 0 and n - 1, those of a spanning forest."""
+    parent = list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -115,57 +170,73 @@ def forest(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
             x = parent[x]
         return x
 
-    out = []
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         a, b = root(x), root(y)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(values[x]), int(values[y])))
-    return out
+            yield x, y
 
 
-def compare(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links within groups of equal keys (sorted). Small groups are compared together, one shift of the rows at a time."""
-    out, n = [], len(key)
-    begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-    size = np.diff(np.append(begin, n))
-    unsigned = fp.view(np.uint64)
+def compare(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links within groups of equal keys (sorted), of spanning forests where a group is not tiny."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    unsigned, out = fp.view(np.uint64), []
+    bits = np.bitwise_count(unsigned).astype(np.int64)
     where = np.repeat(begin + size, size)  # the end of each row's group
-    small = np.repeat(size <= 64, size) & np.repeat(size > 1, size)
-    rows = np.flatnonzero(small)
-    shift = 1
+    rows, shift = np.flatnonzero(np.repeat((size <= TINY) & (size > 1), size)), 1
     while len(rows := rows[rows + shift < where[rows]]):
-        hit = rows[np.bitwise_count(unsigned[rows] ^ unsigned[rows + shift]) <= radius]
+        some = rows[np.abs(bits[rows] - bits[rows + shift]) <= radius]
+        hit = some[np.bitwise_count(unsigned[some] ^ unsigned[some + shift]) <= radius]
         out.extend(zip(fp[hit].tolist(), fp[hit + shift].tolist(), strict=True))
         shift += 1
-    for b, s in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        part, halves = unsigned[b : b + s], side[b : b + s]
-        if (halves == halves[0]).all():
-            i, j = near(part, part, radius)
-        else:
-            first, second = np.flatnonzero(halves == 0), np.flatnonzero(halves == 1)
-            i, j = near(part[first], part[second], radius)
-            i, j = first[i], second[j]
-        out.extend(forest(fp[b : b + s], i, j))
+    for b, s in zip(begin[size > TINY].tolist(), size[size > TINY].tolist(), strict=True):
+        out.extend(near(unsigned[b : b + s], side[b : b + s], radius))
     return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """distinct (fp): links (a, b) whose components are those of all pairs within the radius."""
     blocks = block_count(distinct.count(), radius)
-    return compared(cut(keyed(distinct, blocks, radius), "simhash-keys"), tile, lambda key, side, fp: compare(key, side, fp, radius))
-
-
-def compared(rows: DataFrame, tile: int, links_of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """rows (fp, key): the distinct links that links_of finds within keys, in tile pairs where a key has more rows than a tile."""
-    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "simhash-large")
-    sized = join_checked(rows, large, ["key"], "left")
-    own = F.pmod(F.xxhash64("fp", "key"), F.col("tiles")).cast("int")
-    # A row of tile t goes to the tile pairs (t, t), (t, u > t) and (u < t, t); side 1 is the second tile of a pair.
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.xxhash64("key", F.least("own", u), F.greatest("own", u)).alias("pair"), (F.col("own") > u).cast("int").alias("side")))
-    split = sized.where("tiles is not null").withColumn("own", own).select("fp", F.explode(others).alias("x")).select("fp", F.col("x.pair").alias("key"), F.col("x.side").alias("side"))
-    plain = sized.where("tiles is null").select("fp", "key", F.lit(0).alias("side"))
-    dealt = plain.unionByName(split).repartition("key").sortWithinPartitions("key")
+    rows = keyed(distinct, blocks, radius)
+    return compared(rows if not blocks else cut(rows, "simhash-keys"), radius, tile)
+
+
+def tiles_of(rows: DataFrame, tile: int) -> DataFrame:
+    """(key, bits, before, n): of the keys with more rows (fp, key) than a tile, the rows of each population count and those of lesser ones."""
+    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key"), "simhash-large")
+    counts = join_checked(rows, large, ["key"], "left_semi").groupBy("key", F.bit_count("fp").alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    lesser = Window.partitionBy("key").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)  # 65 rows a key at most
+    return cut(counts.select("key", "bits", F.coalesce(F.sum("n").over(lesser), F.lit(0)).alias("before"), "n"), "simhash-tiles")
+
+
+def tile_pairs(counts: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(key, tile, pairs): the tile pairs that a tile's rows go to, and their side there; pairs whose population counts are all farther apart than the radius are left out."""
+    ranges = counts.select("key", "bits", F.explode(F.sequence(F.floor(F.col("before") / tile), F.floor((F.col("before") + F.col("n") - 1) / tile))).alias("tile"))
+    ranges = cut(ranges.groupBy("key", "tile").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")), "simhash-ranges")
+    # A tile meets those of the population counts that its own, widened by the radius, hold.
+    reach = ranges.select("key", F.col("tile").alias("t"), F.explode(F.sequence(F.greatest(F.col("lo") - radius, F.lit(0)), F.least(F.col("hi") + radius, F.lit(64)))).alias("bits"))
+    held = ranges.select("key", F.col("tile").alias("u"), F.explode(F.sequence("lo", "hi")).alias("bits"))
+    pairs = reach.join(held, ["key", "bits"]).select("key", F.col("t").alias("tile"), F.struct(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u")).alias("pair"), (F.col("t") > F.col("u")).cast("int").alias("side")).alias("pair"))
+    return pairs.groupBy("key", "tile").agg(F.collect_set("pair").alias("pairs"))
+
+
+def compared(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """rows (fp, key): the distinct links within keys, by tile pairs where a key has more rows than a tile."""
+    counts = tiles_of(rows, tile)
+    if counts.isEmpty():
+        return found_links(rows.select("fp", "key", F.lit(0).alias("side")), radius)
+    row = rows.select("fp", "key", F.bit_count("fp").alias("bits"))
+    sized = join_checked(row, counts, ["key", "bits"], "left")  # of a large key every population count is there
+    place = F.col("before") + F.pmod(F.xxhash64("fp", "key"), F.col("n"))
+    sized = sized.select("fp", "key", F.floor(place / tile).alias("tile"))
+    pairs = cut(tile_pairs(counts, radius, tile), "simhash-pairs")
+    large = join_checked(sized.where("tile is not null"), pairs, ["key", "tile"], "inner").select("fp", F.explode("pairs").alias("x")).select("fp", F.col("x.pair").alias("key"), F.col("x.side").alias("side"))
+    return found_links(sized.where("tile is null").select("fp", "key", F.lit(0).alias("side")).unionByName(large), radius)
+
+
+def found_links(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (fp, key, side): the distinct links (a, b) within keys; a task holds the rows of one key and of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -175,16 +246,16 @@ def compared(rows: DataFrame, tile: int, links_of: Callable[[np.ndarray, np.ndar
             key = held[0]
             if len(key) and key[0] != key[-1]:  # the last key may go on
                 ends = int(np.searchsorted(key, key[-1]))
-                yield batch(links_of(*(x[:ends] for x in held)))
+                yield batch(compare(*(x[:ends] for x in held), radius))
                 held = [x[ends:] for x in held]
         if held is not None and len(held[0]):
-            yield batch(links_of(*held))
+            yield batch(compare(*held, radius))
 
     def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
-    return dealt.select("key", "side", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("key", "fp", "side").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def group(docs: DataFrame, words: int = 3, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,6 +266,7 @@ def group(docs: DataFrame, words: int = 3, radius: int = RADIUS, tile: int = TIL
     ids = cut(join_checked(distinct, roots, ["fp"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
     least = cut(ids.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = cut(join_checked(ids.select("fp", "root"), least, ["root"], "inner").select("fp", "component_id"), "simhash-named")
+    drop_cut(distinct, ids, least)
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return join_checked(prints, named, ["fp"], "inner").select("doc_id", text.alias("fingerprint"), "component_id")
 
@@ -208,47 +280,24 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, id_col: str
 
 
 def without_others(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    kept = gone.join(cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-kept"), "_gone", "left_anti")
-    gone = cut(kept, "simhash-dropped")
-    return join_checked(docs.withColumn("_gone", F.col(id_col)), gone, ["_gone"], "left_anti").drop("_gone")
-
-
-def prefix(hashes: np.ndarray) -> np.ndarray:
-    """The least of a shingle set's hashes, so many that two sets of similarity SIMILAR or more have one of them in common."""
-    own, (a, b) = np.unique(hashes), SIMILAR
-    return own[: len(own) - (a * len(own) + b - 1) // b + 1] if len(own) else np.zeros(1, np.uint64)
-
-
-def spanning(n: int, near_to: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """A spanning forest over positions 0 to n - 1; near_to(i, left) says which of the positions left are linked to i."""
-    left = np.arange(n)
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            hit = near_to(i, left)
-            new, left = left[hit].tolist(), left[~hit]
-            todo += new
-            yield from ((i, j) for j in new)
-
-
-def compare_wide(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """As compare(), with a spanning forest of each group; a tile pair is one group, whatever the sides."""
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(begin, len(key)))
-    unsigned, out = fp.view(np.uint64), set()
-    where = np.repeat(begin + size, size)
-    rows, shift = np.flatnonzero(np.repeat((size <= 16) & (size > 1), size)), 1
-    while len(rows := rows[rows + shift < where[rows]]):
-        hit = rows[np.bitwise_count(unsigned[rows] ^ unsigned[rows + shift]) <= radius]
-        out.update(zip(fp[hit].tolist(), fp[hit + shift].tolist(), strict=True))
-        shift += 1
-    for b, s in zip(begin[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-        own = np.unique(unsigned[b : b + s])
-        signed = own.view(np.int64).tolist()
-        out.update((signed[i], signed[j]) for i, j in spanning(len(own), lambda i, left, own=own: np.bitwise_count(own[left] ^ own[i]) <= radius))
-    return list(out)
+    name = fresh(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = cut(gone.join(kept, name, "left_anti"), "simhash-dropped")
+    return join_checked(docs.withColumn(name, F.col(f"`{id_col}`")), gone, [name], "left_anti").drop(name)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a shingle set: BANDS hashes of ROWS least hashes; of a set without shingles one."""
+    own = np.unique(hashes)
+    if not len(own):
+        return np.zeros(1, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1 << 12):
+        part = own[at : at + (1 << 12)]
+        for k in range(BANDS * ROWS):
+            least[k] = min(least[k], ((part ^ MASKS[k]) * MULTIPLIERS[k]).min())
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def similar_links(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -275,7 +324,7 @@ def verified(members: DataFrame, words: int) -> DataFrame:
     """members (key, node, text): links (a, b) of nodes of one key whose shingle sets are similar, as spanning forests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sets, held = None, [], [], set()
+        at, nodes, sets = None, [], []
 
         def batch() -> pa.RecordBatch:
             found = list(similar_links(sets)) if len(sets) > 1 else []
@@ -285,38 +334,34 @@ def verified(members: DataFrame, words: int) -> DataFrame:
             for key, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if key != at:
                     yield batch()
-                    at, nodes, sets, held = key, [], [], set()
-                if node in held:
-                    continue
-                held.add(node)
+                    at, nodes, sets = key, [], []
                 nodes.append(node)
                 sets.append(np.unique(shingle_hashes(text.as_py(), words)))
         yield batch()
+        pa.default_memory_pool().release_unused()
 
     return members.select("key", "node", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def group_similar(docs: DataFrame, words: int = 5, radius: int = WIDE, tile: int = 4096, verify_tile: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, component_id: the smallest doc_id reachable over pairs of texts of shingle similarity SIMILAR or more.
+def group_nodes(rows: DataFrame, words: int = 5, radius: int = WIDE, tile: int = TILE, verify_tile: int = 1024) -> DataFrame:
+    """rows (node, doc_id, text; a written table, a node a row): node, doc_id, component_id: the smallest doc_id reachable over pairs of texts of
+    shingle similarity SIMILAR or more, and least_node, the least node that has it.
 
-    Candidates share a hash of their prefixes, which loses no such pair, and have fingerprints within a wide radius. Their components hold
-    those looked for; inside each, shingle sets themselves are compared, in tile pairs where it has more texts than a tile. Equal texts are one
-    node; they should be gone before (exact dedup), since all of them are read by the task that compares their node.
+    Candidates have a key of their least hashes in common and fingerprints within a wide radius, compared in tiles as above. Their components
+    hold those looked for; inside each, shingle sets themselves are compared, in tile pairs where it has more texts than a tile.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    nodes = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
     def make():
         def work(cols, texts):
             hashes = [shingle_hashes(t, words) for t in texts]
-            return {"node": cols[0], "fp": np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64), "keys": pa.array([prefix(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))}
+            return {"node": cols[0], "fp": np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64), "keys": pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))}
 
         return work
 
-    prints = cut(map_texts(nodes, ["node", "text"], "node bigint, fp bigint, keys array<bigint>", make), "similar")
-    rows = prints.select("fp", F.explode("keys").alias("key"))
-    roots = cut(components(compared(rows, tile, lambda key, side, fp: compare_wide(key, side, fp, radius))).withColumnRenamed("node", "fp"), "similar-roots")
-    own = cut(join_checked(prints.select("node", "fp"), roots, ["fp"], "left").select("node", F.coalesce("root", "fp").alias("key")).distinct(), "similar-own")
+    prints = cut(map_texts(rows, ["node", "text"], "node bigint, fp bigint, keys array<bigint>", make), "similar")
+    each = prints.select("fp", F.explode("keys").alias("key"))
+    roots = components(compared(each, radius, tile)).withColumnRenamed("node", "fp")
+    own = cut(join_checked(prints.select("node", "fp"), roots, ["fp"], "left").select("node", F.coalesce("root", "fp").alias("key")), "similar-own")
     drop_cut(prints)
     sizes = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / verify_tile).cast("int").alias("tiles")), "similar-sizes")
     tile_of = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
@@ -324,16 +369,35 @@ def group_similar(docs: DataFrame, words: int = 5, radius: int = WIDE, tile: int
     placed = join_checked(own, sizes, ["key"], "inner").withColumn("t", tile_of)
     to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least("t", u), F.greatest("t", u)))
     placed = cut(placed.select("node", F.explode(to).alias("key")), "similar-placed")
-    texts = join_checked(nodes.select("node", "text"), cut(placed.select("node").distinct(), "similar-nodes"), ["node"], "left_semi")
-    members = join_checked(texts, placed, ["node"], "inner").repartition("key").sortWithinPartitions("key")
-    found = cut(verified(members, words), "similar-links")
-    joined = cut(components(found), "similar-components")
-    named = join_checked(nodes.select("doc_id", "node"), joined, ["node"], "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = cut(named, "similar-named")
-    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
-    return join_checked(named, least, ["root"], "inner").select("doc_id", "component_id")
-
-
-def keep_one_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As keep_one(), over components of texts of shingle similarity SIMILAR or more."""
-    return without_others(docs, cut(group_similar(docs, words, id_col=id_col, text_col=text_col), "similar-found"), id_col)
+    drop_cut(own, sizes)
+    members = join_checked(rows.select("node", "text"), placed, ["node"], "inner").select("key", "node", F.coalesce("text", F.lit("")).alias("text"))
+    found = cut(verified(members.repartition("key").sortWithinPartitions("key"), words), "similar-links")
+    joined = components(found)
+    named = cut(join_checked(rows.select("node", "doc_id"), joined, ["node"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "similar-named")
+    drop_cut(placed, found)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))  # a null doc_id is never the smallest
+    least = cut(named.groupBy("root").agg(best.alias("best")).select("root", F.col("best.doc_id").alias("component_id"), F.col("best.node").alias("least_node")), "similar-least")
+    return join_checked(named, least, ["root"], "inner").select("node", "doc_id", "component_id", "least_node")
+
+
+def numbered(docs: DataFrame, node: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs with a number in column `node`, written once, and of it node, doc_id and text."""
+    rows = cut(docs.withColumn(node, F.monotonically_increasing_id()), "similar-rows")
+    return rows, rows.select(F.col(node).alias("node"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def group_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **tiles: int) -> DataFrame:
+    """Per row of docs: doc_id, component_id: the smallest doc_id reachable over pairs of texts of shingle similarity SIMILAR or more."""
+    _, nodes = numbered(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "_node", "doc_id", "text")
+    return group_nodes(nodes, words, **tiles).select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **tiles: int) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each component of texts of shingle similarity SIMILAR or more (all columns).
+
+    Rows are told apart by a number that is written once; rows without an id, and rows that repeat an id, are documents like others.
+    """
+    node = fresh(docs, "_node")
+    rows, nodes = numbered(docs, node, id_col, text_col)
+    gone = cut(group_nodes(nodes, words, **tiles).where("node <> least_node").select(F.col("node").alias(node)), "similar-gone")
+    return join_checked(rows, gone, [node], "left_anti").drop(node)

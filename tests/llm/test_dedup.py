@@ -75,9 +75,9 @@ def brute_components(values, radius):
 
 
 @pytest.mark.parametrize("tile", [8, 512])
-@pytest.mark.parametrize("per_key", [256, 0.0001])
+@pytest.mark.parametrize("per_key", [1 << 18, 256, 0.0001])
 def test_links_lose_nothing(spark, monkeypatch, tile, per_key):
-    """Clusters, chains and noise; small tiles split hot keys, a small per_key takes more blocks."""
+    """Clusters, chains and noise; small tiles split keys, a small per_key takes blocks, and more of them."""
     monkeypatch.setattr(simhash, "PER_KEY", per_key)
     r = random.Random(tile)
     values = [r.getrandbits(64) for _ in range(150)]
@@ -102,6 +102,56 @@ def test_links_lose_nothing(spark, monkeypatch, tile, per_key):
     assert {frozenset(x) for x in classes.values()} == {frozenset(x) for x in got.values()}
 
 
+def test_tile_pairs_are_skipped(spark):
+    """At the default settings tiles are made and compared; pairs of tiles too far apart in population count are not made."""
+    r = random.Random(3)
+    values = {r.getrandbits(64) for _ in range(3 * simhash.TILE)}
+    values |= {v ^ (1 << r.randrange(64)) for v in list(values)[:200]}
+    df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in sorted(values)], "fp long")
+    rows = simhash.keyed(df, simhash.block_count(len(values), 3), 3)
+    counts = simhash.tiles_of(rows, simhash.TILE)
+    pairs = simhash.tile_pairs(counts, 3, simhash.TILE).collect()
+    n = len(pairs)
+    made = {x.pair for p in pairs for x in p.pairs}
+    assert n == -(-len(values) // simhash.TILE) and n <= len(made) < n * (n + 1) // 2
+    got = {frozenset((x.a, x.b)) for x in simhash.links(df).collect()}
+    a = np.array(sorted(values), np.uint64)
+    want = [(i + j, j2) for i in range(0, len(a), 500) for j, j2 in np.argwhere(np.bitwise_count(a[i : i + 500, None] ^ a[None]) <= 3) if i + j < j2]
+    want = {frozenset((int(a[i].astype(np.int64)), int(a[j].astype(np.int64)))) for i, j in want}
+    assert len(want) >= 200 and got <= want
+    roots = [{}, {}]
+    for edges, parent in ((got, roots[0]), (want, roots[1])):
+        def root(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+        for x, y in map(tuple, edges):
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+        for x in list(parent):
+            parent[x] = root(x)
+    assert roots[0] == roots[1]
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+@pytest.mark.parametrize("dense", [False, True])
+def test_near(sides, dense):
+    """A spanning forest of all links of a tile pair, or of those between its sides, with few links and with many."""
+    r = random.Random(5)
+    hub = r.getrandbits(64)
+    values = sorted({r.getrandbits(64) for _ in range(300)} | {hub ^ sum(1 << b for b in r.sample(range(64), 2)) for _ in range(400 if dense else 5)})
+    fp, side = np.array(values, np.uint64), np.array([r.randrange(sides) for _ in values])
+    parts = []
+    for pairs in (simhash.near(fp, side, 3), [(int(fp[i].astype(np.int64)), int(fp[j].astype(np.int64))) for i in range(len(fp)) for j in range(i) if (sides == 1 or side[i] != side[j]) and (values[i] ^ values[j]).bit_count() <= 3]):
+        group = {int(v): {int(v)} for v in fp.view(np.int64)}
+        for a, b in pairs:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+        parts.append({frozenset(x) for x in group.values()})
+    assert parts[0] == parts[1] and len(simhash.near(fp, side, 3)) == len(fp) - len(parts[0])
+
+
 def test_simhash_table(spark):
     r = random.Random(9)
     words = [f"w{i}" for i in range(500)]
@@ -161,8 +211,9 @@ def test_similar_against_jaccard(spark, tile):
     got = {x.doc_id: x.component_id for x in simhash.group_similar(df, tile=tile, verify_tile=tile).collect() if x.doc_id is not None}
     assert got == {i: least[c] for (i, _), c in zip(rows, root, strict=True) if i is not None}
     kept = [x.doc_id for x in simhash.keep_one_similar(df).collect()]
-    assert {i for i in kept if i is not None} == set(least.values()) and kept.count(None) == sum(i is None for i, _ in rows)
-    assert simhash.group_similar(df.limit(0)).count() == 0
+    # One document of each component stays: the least id, or one row of a component without ids.
+    assert sorted(i for i in kept if i is not None) == sorted(least.values()) and kept.count(None) == len(set(root)) - len(least)
+    assert simhash.group_similar(df.limit(0)).count() == 0 == simhash.keep_one_similar(df.limit(0)).count()
 
 
 def test_small_is_measured(spark):

@@ -31,14 +31,15 @@ def docs():
     return rows
 
 
-def brute(rows):
+def brute(rows, count):
     seen, texts = defaultdict(set), defaultdict(set)
     split = lambda s: s.encode().split()
-    for _, t, h in rows:
-        texts[h or ""].add(t or "")
+    for at, (_, t, h) in enumerate(rows):
+        unit = at if count == "documents" else t or ""
+        texts[h or ""].add(unit)
         for x in (t or "").split("\n"):
             if split(x):
-                seen[h or "", b" ".join(split(x.encode().lower().decode("utf-8", "surrogateescape")))].add(t or "")
+                seen[h or "", b" ".join(split(x.encode().lower().decode("utf-8", "surrogateescape")))].add(unit)
     above = {k for k, v in seen.items() if len(v) > max(quality.MIN_DOCS, quality.MAX_SHARE * len(texts[k[0]]))}
     out = []
     for i, t, h in rows:
@@ -53,21 +54,28 @@ def brute(rows):
     return out
 
 
+@pytest.mark.parametrize("count", ["documents", "texts"])
 @pytest.mark.parametrize("small", [True, False])
-def test_rules(spark, monkeypatch, small):
+def test_rules(spark, monkeypatch, small, count):
     if not small:
         monkeypatch.setattr(quality, "is_small", lambda *a, **k: False)
         monkeypatch.setattr(quality, "join_checked", lambda left, right, on, how, wide=(): left.join(right, on, how))
-    rows = docs()
+    rows = [*docs(), (700, "\n".join(["word%d of a very long text" % i for i in range(40_000)] + ["Same old line of the site"]), "big")]
     df = spark.createDataFrame([(i, t, h, -1, "z") for i, t, h in rows], "doc_id long, text string, source string, n_words int, host string")
-    got = [tuple(r) for r in quality.judge(df).collect()]
+    got = [tuple(r) for r in quality.judge(df, count=count).collect()]
     key = lambda x: tuple((v is None, v) for v in x)
-    want = brute(rows)
+    want = brute(rows, count)
     assert sorted(got, key=key) == sorted(want, key=key)
-    kept = quality.clean(df)
+    kept = quality.clean(df, count=count)
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((w[0] is None, w[0] or 0) for w in want if w[-1])
     assert not kept.where("text like '%OLD line%'").count()
+    assert count == "texts" or not any(w[-1] for w in want if w[0] is not None and 500 <= w[0] < 530)
+    names = ["_row", "lines", "bad", "_lines"]  # columns that are named as the operator's own stay what they were
+    clash = df.toDF("_row", "lines", "bad", "words", "_lines")
+    again = quality.clean(clash, "_row", "lines", "bad", count=count)
+    assert again.columns == clash.columns and set(names) < set(again.columns)
+    assert sorted(map(str, again.collect())) == sorted(str(r).replace("doc_id=", "_row=").replace("text=", "lines=", 1).replace("source=", "bad=").replace("n_words=", "words=").replace("host=", "_lines=") for r in kept.collect())
     assert quality.judge(df.limit(0)).count() == 0 == quality.clean(df.limit(0)).count()
 
 
