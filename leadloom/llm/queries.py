@@ -41,7 +41,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir)).drop("_key")
+    return secrets.scan(documents(spark, sf_dir))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ a set of LABELLED findings made by stated rules (known shapes of secrets beside
 words and placeholders beside harmless words). Scores are computed for every candidate of the whole corpus.
 
 Cases: null text has no candidates; a null path is the path ''; repeated rows are scanned row by row; an empty table gives an empty
-table; without any dictionary word coverage is 0.
+table; without any dictionary word coverage is 0; columns of any other name are left alone.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_checked, map_texts, sql_type
+from .common import cut, drop_cut, fresh, join_checked, map_texts, small_batches, sql_type
 from .pii import redacted
 
 WORD_SHARE, LABELLED, TREES, DEPTH, THRESHOLD = 1e-5, 4000, 20, 8, 0.5
@@ -125,13 +124,14 @@ def dictionary(docs: DataFrame, text_col: str = "text", share: float = WORD_SHAR
             return pa.RecordBatch.from_pydict({"word": pa.array(short.keys(), pa.string()), "n": pa.array(short.values(), pa.int64())})
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update((t or "").lower().split())
-                if len(counts) > 200_000:
+            for t in b.column(0):
+                counts.update((t.as_py() or "").lower().split())
+                if len(counts) > 100_000:
                     yield out()
         yield out()
 
-    counts = cut(docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    small_batches(docs.sparkSession)
+    counts = cut(docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.word: r.n for r in counts.where(F.col("n") >= max(2.0, share * total)).collect()}
 
@@ -180,7 +180,7 @@ def train(spark: SparkSession, lexicon: Lexicon, labelled: list[tuple[str, str,
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: list[tuple[str, str, str, str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per candidate of docs: doc_id, start, end (code points, end exclusive), score, is_secret, and _key (of its text)."""
+    """Per candidate of docs: doc_id, start, end (code points, end exclusive), score, is_secret."""
     spark = docs.sparkSession
     counts = dictionary(docs, text_col)
     lexicon = Lexicon(counts)
@@ -190,30 +190,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     def make():
         def work(cols, texts):
             paths = cols[1].cast("string").fill_null("").to_pylist()
-            index, start, end, x, keys = [], [], [], [], []
+            index, start, end, x = [], [], [], []
             for i, (t, p) in enumerate(zip(texts, paths, strict=True)):
-                spans = candidates(t)
-                key = (xxhash.xxh64_intdigest(t.encode(), 42) ^ (1 << 63)) - (1 << 63) if spans else 0  # as xxhash64() has it
-                for a, b in spans:
-                    index.append(i), start.append(a), end.append(b), keys.append(key)
+                for a, b in candidates(t):
+                    index.append(i), start.append(a), end.append(b)
                     x.append(features(t[a:b], p, t[max(0, a - BESIDE) : a], t[b : b + BESIDE], sent.value))
-            return {"doc_id": cols[0].take(pa.array(index, pa.int64())), "_key": keys, "start": start, "end": end, "x": x}
+            return {"doc_id": cols[0].take(pa.array(index, pa.int64())), "start": start, "end": end, "x": x}
 
         return work
 
-    schema = f"doc_id {sql_type(docs, id_col)}, _key bigint, start bigint, end bigint, x array<double>"
+    schema = f"doc_id {sql_type(docs, id_col)}, start bigint, end bigint, x array<double>"
     found = map_texts(docs, [id_col, path_col, text_col], schema, make).withColumn("features", array_to_vector("x"))
     scored = model.transform(found)
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "start", "end", score.alias("score"), (score >= threshold).alias("is_secret"), "_key")
+    return scored.select("doc_id", "start", "end", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", label: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in the texts replaced by a label (all rows and columns)."""
-    hits = cut(scan(docs, id_col, text_col, path_col).where("is_secret").select("_key", F.struct("start", F.lit(0).alias("rank"), "end").alias("s")).distinct(), "secret-hits")
-    spans = cut(hits.groupBy("_key").agg(F.sort_array(F.collect_set("s")).alias("_spans")), "secret-spans")
+    """docs with every secret in the texts replaced by a label (all rows and columns). Rows are told apart by a number that is written once."""
+    row = fresh(docs, "_row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "secret-rows")
+    hits = cut(scan(rows, row, text_col, path_col).where("is_secret").select(F.col("doc_id").alias(row), F.struct("start", F.lit(0).alias("rank"), "end").alias("s")), "secret-hits")
+    name = fresh(rows, "_spans")
+    spans = cut(hits.groupBy(row).agg(F.sort_array(F.collect_list("s")).alias(name)), "secret-spans")
+    drop_cut(hits)
     text = F.col(f"`{text_col}`")
-    key = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = join_checked(docs.withColumn("_key", key), spans, ["_key"], "left")
-    new = F.when(F.col("_spans").isNull(), text).otherwise(redacted(text, F.col("_spans"), F.array(F.lit(label))))
-    return rows.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    new = F.when(F.col(name).isNull(), text).otherwise(redacted(text, F.col(name), F.array(F.lit(label))))
+    return join_checked(rows, spans, [row], "left").select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
