@@ -10,8 +10,11 @@ from leadloom.llm.common import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted, without the lines above their host's limit."""
-    return quality.clean(docs)
+    """Documents that pass the base rules and are not depleted, without the lines above their host's limit.
+
+    Exact copies are still in the table here and are the next stage's task, so a line counts once for copies: a clean text stays, however often it was copied.
+    """
+    return quality.clean(docs, count="texts")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
