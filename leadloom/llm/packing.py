@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 #: A mark behind a letter below this one never joins it, also in composed form.
 LATIN = "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")

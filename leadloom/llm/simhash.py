@@ -34,8 +34,8 @@ RADIUS, TILE, SEED = 3, 4096, 42
 #: Fingerprints that a key should gather on average at most; the number of blocks is chosen for it.
 PER_KEY = 1 << 18
 #: The pipeline's stage: least Jaccard similarity of shingle sets (4 / 5), the radius within which nearly all such pairs are, and the keys:
-#: BANDS keys of ROWS least hashes each; a pair of similarity 0.8 agrees in none of them with a probability of (1 - 0.8 ** 4) ** 20 = 3e-5.
-SIMILAR, WIDE, BANDS, ROWS = (4, 5), 20, 20, 4
+#: BANDS keys of ROWS least hashes each; a pair of similarity 0.8 agrees in none of them with a probability of (1 - 0.8 ** 3) ** 14 = 4e-5.
+SIMILAR, WIDE, BANDS, ROWS = (4, 5), 20, 14, 3
 #: Groups of up to so many fingerprints are compared together, one shift of the rows at a time; of others, so many rows at once.
 TINY, RUN = 16, 128
 
