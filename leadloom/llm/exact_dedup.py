@@ -44,23 +44,26 @@ def split_groups(docs: DataFrame, id_col: str, text_col: str, payload: list[Colu
 
 
 def settle(doubt: DataFrame) -> DataFrame:
-    """doubt (_row, _id, _text, _len): _row, group_size, keep_id, kept, by rounds of digits."""
+    """doubt (_row, _id, _text, _len): _row, group_size, keep_id, kept, by rounds of digits; a group is named by the least row in it."""
     longest = doubt.agg(F.max("_len")).first()[0] or 0
     open_rows = doubt.select("_id", "_row", "_len", F.col("_len").cast("bigint").alias("_group"), F.encode(normal(F.col("_text")), "UTF-8").alias("_rest"))
     settled, at, width = [], 0, FIRST
     while True:
         carried = open_rows.select("_id", "_row", "_len", "_group", F.substring("_rest", 1, width).alias("_digit"), F.substring(F.col("_rest"), F.lit(width + 1), F.lit(1 << 30)).alias("_rest"))
-        groups = carried.groupBy("_group", "_digit").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_row")).alias("_best"))
-        groups = cut(groups.select("_group", "_digit", "_n", F.col("_best._id").alias("_best_id"), F.col("_best._row").alias("_best_row")), "radix-groups")
+        groups = cut(carried.groupBy("_group", "_digit").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_name")), "radix-groups")
         at, width = at + width, width * GROWTH
         done = (F.col("_n") == 1) | (F.col("_len") <= at)
         joined = join_checked(carried, groups, ["_group", "_digit"], "inner", ["_digit"])
-        step = cut(joined.select("_id", "_row", "_len", F.col("_best_row").alias("_group"), F.when(~done, F.col("_rest")).alias("_rest"), "_n", "_best_id", (~done).alias("_open")), "radix")
-        settled.append(step.where("not _open").select("_row", F.col("_n").alias("group_size"), F.col("_best_id").alias("keep_id"), (F.col("_row") == F.col("_group")).alias("kept")))
+        step = cut(joined.select("_id", "_row", "_len", F.col("_name").alias("_group"), F.when(~done, F.col("_rest")).alias("_rest"), (~done).alias("_open")), "radix")
+        settled.append(step.where("not _open").select("_row", "_id", "_group"))
         drop_cut(groups)
         open_rows = step.where("_open")
         if longest <= at or open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
+            break
+    rows = reduce(DataFrame.unionByName, settled)
+    best = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("_id", "_row")).alias("_best"))
+    best = cut(best.select("_group", "group_size", F.col("_best._id").alias("keep_id"), F.col("_best._row").alias("_best_row")), "radix-best")
+    return join_checked(rows, best, ["_group"], "inner").select("_row", "group_size", "keep_id", (F.col("_row") == F.col("_best_row")).alias("kept"))
 
 
 def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ of null ids alone has a null component_id; an empty table gives an empty table;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop_cut, fresh, join_checked, map_texts, sql_type
+from .common import cut, drop_cut, fresh, join_checked, map_texts, small_batches, sql_type
 from .components import components
 
 RADIUS, TILE, SEED = 3, 4096, 42
@@ -340,15 +341,52 @@ def verified(members: DataFrame, words: int) -> DataFrame:
         yield batch()
         pa.default_memory_pool().release_unused()
 
+    small_batches(members.sparkSession)
     return members.select("key", "node", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def group_nodes(rows: DataFrame, words: int = 5, radius: int = WIDE, tile: int = TILE, verify_tile: int = 1024) -> DataFrame:
+def starred(members: DataFrame, words: int) -> DataFrame:
+    """members (key, node, text, pivot, pivot_text): key, node, pivot, linked: whether the node's shingle set is similar to the pivot's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        (x, y) = SIMILAR
+        for b in batches:
+            linked = []
+            for node, text, pivot, pivot_text in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
+                if pivot not in sets:
+                    if len(sets) >= 64:
+                        sets.clear()
+                    sets[pivot] = np.unique(shingle_hashes(pivot_text.as_py(), words))
+                own = np.unique(shingle_hashes(text.as_py(), words))
+                both = len(np.intersect1d(own, sets[pivot], assume_unique=True))
+                linked.append(node == pivot or both * y >= (len(own) + len(sets[pivot]) - both) * x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(linked, pa.bool_())], names=["key", "node", "pivot", "linked"])
+
+    small_batches(members.sparkSession)
+    return members.select("key", "node", "text", "pivot", "pivot_text").mapInArrow(run, "key bigint, node bigint, pivot bigint, linked boolean")
+
+
+def to_pairs(star: DataFrame, tile: int) -> DataFrame:
+    """star (key, node, linked): node, key of the tile pairs in which the nodes that are not linked to the pivot meet all others of their key."""
+    size = lambda c: F.ceil(F.sum(c.cast("int")) / tile).cast("int")
+    tiles = cut(star.groupBy("key").agg(size(~F.col("linked")).alias("loose"), size(F.col("linked")).alias("tied")).where("loose > 0"), "similar-tiles")
+    placed = join_checked(star.select("key", "node", "linked"), tiles, ["key"], "inner")
+    placed = placed.withColumn("t", F.pmod(F.xxhash64("node", "key"), F.when(F.col("linked"), F.col("tied")).otherwise(F.col("loose"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mixed = lambda loose, tied: F.xxhash64("key", F.lit("tied"), loose, tied)
+    of_tied = F.transform(upto("loose"), lambda u: mixed(u, F.col("t")))
+    of_loose = F.concat(F.transform(upto("loose"), lambda u: F.xxhash64("key", F.lit("loose"), F.least("t", u), F.greatest("t", u))), F.transform(upto("tied"), lambda u: mixed(F.col("t"), u)))
+    return placed.select("node", F.explode(F.when(F.col("linked"), of_tied).otherwise(of_loose)).alias("key"))
+
+
+def group_nodes(rows: DataFrame, words: int = 5, radius: int = WIDE, tile: int = TILE, verify_tile: int = 512) -> DataFrame:
     """rows (node, doc_id, text; a written table, a node a row): node, doc_id, component_id: the smallest doc_id reachable over pairs of texts of
     shingle similarity SIMILAR or more, and least_node, the least node that has it.
 
     Candidates have a key of their least hashes in common and fingerprints within a wide radius, compared in tiles as above. Their components
-    hold those looked for; inside each, shingle sets themselves are compared, in tile pairs where it has more texts than a tile.
+    hold those looked for; inside each, shingle sets themselves are compared. Where a component has more texts than verify_tile, all are first
+    compared with one of them, the pivot; only those that are not similar to it then meet all others, in tile pairs.
     """
 
     def make():
@@ -363,18 +401,23 @@ def group_nodes(rows: DataFrame, words: int = 5, radius: int = WIDE, tile: int =
     roots = components(compared(each, radius, tile)).withColumnRenamed("node", "fp")
     own = cut(join_checked(prints.select("node", "fp"), roots, ["fp"], "left").select("node", F.coalesce("root", "fp").alias("key")), "similar-own")
     drop_cut(prints)
-    sizes = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / verify_tile).cast("int").alias("tiles")), "similar-sizes")
-    tile_of = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
-    # A text of tile t goes to the tile pairs (t, u); of one tile alone, to (0, 0).
-    placed = join_checked(own, sizes, ["key"], "inner").withColumn("t", tile_of)
-    to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least("t", u), F.greatest("t", u)))
-    placed = cut(placed.select("node", F.explode(to).alias("key")), "similar-placed")
+    sizes = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "similar-sizes")
+    placed = join_checked(own, sizes, ["key"], "inner")
+    texts = rows.select("node", F.coalesce("text", F.lit("")).alias("text"))
+    large, meets, stars = cut(placed.where(F.col("n") > verify_tile).select("key", "node", "pivot"), "similar-large"), placed.where(F.col("n") <= verify_tile).select("node", "key"), []
+    if not large.isEmpty():
+        of_pivots = join_checked(texts, cut(large.select(F.col("pivot").alias("node")).distinct(), "similar-pivots"), ["node"], "left_semi")
+        of_pivots = cut(of_pivots.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "similar-pivot-texts")
+        star = cut(starred(join_checked(join_checked(texts, large, ["node"], "inner"), of_pivots, ["pivot"], "inner", ["pivot_text"]), words), "similar-stars")
+        stars = [star.where("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
+        meets = meets.unionByName(to_pairs(star, verify_tile))
+    meets = cut(meets, "similar-placed")
     drop_cut(own, sizes)
-    members = join_checked(rows.select("node", "text"), placed, ["node"], "inner").select("key", "node", F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(verified(members.repartition("key").sortWithinPartitions("key"), words), "similar-links")
+    members = join_checked(texts, meets, ["node"], "inner").select("key", "node", "text")
+    found = cut(reduce(DataFrame.unionByName, stars, verified(members.repartition("key").sortWithinPartitions("key"), words)), "similar-links")
     joined = components(found)
     named = cut(join_checked(rows.select("node", "doc_id"), joined, ["node"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "similar-named")
-    drop_cut(placed, found)
+    drop_cut(meets, found)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))  # a null doc_id is never the smallest
     least = cut(named.groupBy("root").agg(best.alias("best")).select("root", F.col("best.doc_id").alias("component_id"), F.col("best.node").alias("least_node")), "similar-least")
     return join_checked(named, least, ["root"], "inner").select("node", "doc_id", "component_id", "least_node")
