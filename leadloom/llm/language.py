@@ -14,7 +14,6 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -41,7 +40,6 @@ FAMILIES = {
     "dravidian": "ta te kn ml",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that count: ASCII letters and all bytes of other characters; the rest is one blank.
 FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
@@ -59,6 +57,11 @@ def features(text: str) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1.0)
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of category L; numerals and marks are none."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
@@ -72,7 +75,7 @@ class Model:
         self.offsets = np.array([b for _, b in pairs.values()])
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.families or not LETTER.search(text):
+        if not self.families or not has_letter(text):
             return "und", 0.0
         margins = dict(zip((k for k, _ in self.pairs), self.weights @ features(text) + self.offsets, strict=True))
         family, sure = self.vote(sorted(self.families), margins, "family:")
