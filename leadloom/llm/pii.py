@@ -6,12 +6,12 @@ the lengths of the gaps between matches, summed in a window over the few matches
 
 Disclosure: each value found is a protected entity e. Its contexts are the distinct WINDOW-word surroundings of its mentions, so copies of
 a text count once. A term t (three letters or more) reveals the share log2(P(e|t) / P(e)) / log2(1 / P(e)) of what there is to know of
-e, with P(e|t) = contexts of e with t / texts with t, and P(e) = contexts of e / all texts. A term that reveals MIN_SHARE or more of some
+e, with P(e|t) = contexts of e with t / texts with t, and P(e) = contexts of e / all texts; copies of a text count once in all of these. A term that reveals MIN_SHARE or more of some
 entity, and is seen in MIN_CONTEXTS of its contexts, exceeds the disclosure threshold: its occurrences become spans of kind `term` in
-every text. Texts with a term are counted over the whole corpus, copies once, for the terms that stand in contexts; all texts are counted by rows.
+every text. Texts with a term are counted over the whole corpus for the terms that stand in contexts. Texts are told apart by their SHA-256.
 
 Cases: null text counts as empty; repeated rows are judged row by row; an empty table gives an empty table; where no term exceeds the threshold
-the spans are the base spans.
+the spans are the base spans; columns of any other name are left alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_checked
+from .common import cut, fresh, join_checked
 
 #: The kinds in their order, with patterns.
 PATTERNS = {
@@ -35,8 +35,6 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 WINDOW, MIN_CONTEXTS, MIN_SHARE = 5, 2, 0.9
-#: Characters kept on each side of a match for its context; words cut by this bound are left out.
-SIDE = 120
 SEPARATOR = r"[\x20\x09-\x0D]"
 
 
@@ -45,13 +43,27 @@ def term(piece: Column) -> Column:
     return F.regexp_extract(F.lower(piece), r"^[^\p{L}\p{N}]*(\p{L}{3,})[^\p{L}\p{N}]*$", 1)
 
 
+def key_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
+
+
+def last_words(gap: Column) -> Column:
+    """The last WINDOW + 1 words of the text before a match, whatever their lengths; one more, since the piece next to the match may be empty."""
+    backwards = F.slice(F.split(F.reverse(gap), SEPARATOR + "+", WINDOW + 2), 1, WINDOW + 1)
+    return F.reverse(F.transform(backwards, F.reverse))
+
+
+def first_words(gap: Column) -> Column:
+    return F.slice(F.split(gap, SEPARATOR + "+", WINDOW + 2), 1, WINDOW + 1)
+
+
 def matches(text: Column, kind: str) -> Column:
     """Array of (m, gap, before, after) of a kind's raw matches: gap is the length of the text since the last match."""
     pattern = F.lit(PATTERNS[kind])
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
     rows = F.transform(
         F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("h")),
-        lambda x: F.struct(x["m"].alias("m"), F.char_length(x["g"]).alias("gap"), F.right(x["g"], F.lit(SIDE)).alias("before"), F.left(x["h"], F.lit(SIDE)).alias("after")),
+        lambda x: F.struct(x["m"].alias("m"), F.char_length(x["g"]).alias("gap"), last_words(x["g"]).alias("before"), first_words(x["h"]).alias("after")),
     )
     hit = text.rlike(PATTERNS[kind] if NEEDS[kind] else r"[0-9][\x20-]?[0-9](?:[\x20-]?[0-9]){10}")
     if NEEDS[kind]:
@@ -80,7 +92,7 @@ def valid(kind: Column, m: Column) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A written row per row of docs: _row, doc_id, _key (of its text) and the raw matches of each kind."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("_key"), *(matches(text, k).alias(k) for k in PATTERNS))
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), key_of(text).alias("_key"), *(matches(text, k).alias(k) for k in PATTERNS))
     return cut(found, "pii-matches")
 
 
@@ -95,11 +107,7 @@ def base_spans(found: DataFrame) -> DataFrame:
 
 def contexts(spans: DataFrame) -> DataFrame:
     """(entity, context, terms, _key) of each match; a context is the hash of its words, _key of its text."""
-    # Words cut off by the bound on a side stand at its far end.
-    left = F.split(F.when(F.char_length("before") == SIDE, F.regexp_replace("before", r"^[^\x20\x09-\x0D]*", "")).otherwise(F.col("before")), SEPARATOR + "+")
-    right = F.split(F.when(F.char_length("after") == SIDE, F.regexp_replace("after", r"[^\x20\x09-\x0D]*$", "")).otherwise(F.col("after")), SEPARATOR + "+")
-    size = lambda a: F.least(F.size(a), F.lit(WINDOW + 1))  # noqa: E731  one more: the entry next to the match may be empty
-    words = F.concat(F.slice(left, F.size(left) - size(left) + 1, size(left)), F.slice(right, F.lit(1), size(right)))
+    words = F.concat("before", "after")
     terms = F.filter(F.array_distinct(F.transform(words, term)), lambda t: t != "")
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).otherwise(F.regexp_replace("m", "[^0-9]", "")))
     return spans.select(entity.alias("entity"), F.xxhash64(F.array_join(words, " ")).alias("context"), terms.alias("terms"), "_key")
@@ -128,7 +136,7 @@ def text_terms(docs: DataFrame, text_col: str) -> DataFrame:
     """(_key, term): each term of each text once."""
     text = F.col(f"`{text_col}`")
     words = F.array_distinct(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]*" + SEPARATOR + r"+[^\p{L}\p{N}]*"))
-    each = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("_key"), F.explode(words).alias("term"))
+    each = docs.where(text.isNotNull()).select(key_of(text).alias("_key"), F.explode(words).alias("term"))
     return each.where(F.length("term") >= 3)
 
 
@@ -136,7 +144,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """(_key, start, end) of the occurrences of terms in every distinct text that holds one."""
     text = F.col(f"`{text_col}`")
     keys = cut(join_checked(text_terms(docs, text_col), terms, ["term"], "left_semi", ["term"]).select("_key").distinct(), "pii-keys")
-    texts = join_checked(docs.select(F.xxhash64(text).alias("_key"), text.alias("_text")), keys, ["_key"], "left_semi").dropDuplicates(["_key"])
+    texts = join_checked(docs.where(text.isNotNull()).select(key_of(text).alias("_key"), text.alias("_text")), keys, ["_key"], "left_semi").dropDuplicates(["_key"])
     pieces = texts.select("_key", F.posexplode(F.split("_text", SEPARATOR, -1)).alias("i", "piece"))
     before = Window.partitionBy("_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("at", F.coalesce(F.sum(F.char_length("piece") + 1).over(before), F.lit(0))).withColumn("term", term(F.col("piece"))).where("term <> ''")
@@ -154,7 +162,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     base = cut(base_spans(found), "pii-base")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     own = cut(base.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end"))).alias("_base")), "pii-own")
-    terms = revealing_terms(docs, base, found.count(), text_col, min_contexts, min_share)
+    terms = revealing_terms(docs, base, found.select("_key").distinct().count(), text_col, min_contexts, min_share)
     added = cut(term_spans(docs, terms, text_col).groupBy("_key").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("_terms")), "pii-added")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     rows = join_checked(join_checked(found.select("_row", "doc_id", "_key"), own, ["_row"], "left"), added, ["_key"], "left")
@@ -175,8 +183,12 @@ def redacted(text: Column, spans: Column, labels: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """docs with base spans generalised to their kind and revealing terms removed (all columns)."""
-    spans = cut(find(docs, id_col, text_col, **limits).where(F.size("_spans") > 0).select("_key", "_spans").dropDuplicates(["_key"]), "pii-spans")
+    found = find(docs, id_col, text_col, **limits).where(F.size("_spans") > 0)
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, key_of(F.col(f"`{text_col}`")))
+    name = fresh(keyed, "_spans")
+    spans = cut(found.select(F.col("_key").alias(key), F.col("_spans").alias(name)).dropDuplicates([key]), "pii-spans")
     labels = F.array(*(F.lit(f"[{k}]" if k != "term" else "") for k in KINDS))
-    rows = join_checked(docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), spans, ["_key"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans"), labels))
-    return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    own = F.col(f"`{text_col}`")
+    text = F.when(F.col(name).isNull(), own).otherwise(redacted(own, F.col(name), labels))
+    return join_checked(keyed, spans, [key], "left").select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -44,7 +44,7 @@ def test_base_spans(spark):
 def test_disclosure(spark):
     """A nickname that stands only beside one address reveals it; common words and copies of one text reveal nothing."""
     rows = [(i, f"{w} writes Zorblax, from zor@blax.org about {w} things") for i, w in enumerate(["one", "two", "three", "four"])]
-    rows += [(100 + i, f"the common words {w} of the day writes about from") for i, w in enumerate("abcdefgh" * 5)]
+    rows += [(100 + i, f"the common words {w}{i} of the day writes about from") for i, w in enumerate("abcdefgh" * 5)]
     rows += [(300 + i, "Rareword is beside only@once.org here") for i in range(9)] + [(400, "(Zorblax) alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find(df).collect()}
@@ -62,6 +62,19 @@ def test_copies_leave_terms(spark):
     assert {i: spans[1][i] for i in spans[0]} == spans[0] and spans[1][1000] == spans[0][0]
 
 
+def test_long_words_keep_their_place_in_a_context(spark):
+    """A window of five words holds them whatever their lengths."""
+    far = "x1" * 100
+    rows = [(i, f"{w} Zorblax {far} {far}{w} {far} writes zor@blax.org {far} {far} about {w} things") for i, w in enumerate(["one", "two", "three", "four"])]
+    rows += [(100 + i, f"the common words number {i} of the day") for i in range(40)] + [(200, "alone Zorblax is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "term:6:13" in {r.doc_id: r.spans for r in pii.find(df).collect()}[200]
+    clash = pii.sanitise(df.selectExpr("doc_id as _key", "text as _spans", "1 as _text", "2 as term"), "_key", "_spans")
+    assert clash.columns == ["_key", "_spans", "_text", "term"]
+    assert {r["_key"]: r["_spans"] for r in clash.collect()}[200] == "alone  is"
+    assert pii.sanitise(df.limit(0)).count() == 0
+
+
 def test_license_behind_dotted_i(spark):
     notice = "Released under the MIT License"
     rows = [(1, f"İstanbul notes. {notice}."), (2, f"İ İİ {notice} and more words")]
@@ -124,12 +137,12 @@ def test_secrets(spark):
 
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit(1).alias("score"))
-    odd = spark.createDataFrame([(-1, None, "en", 1), (-2, "", None, 1), (-3, "123 !?", "de", 1), (None, "the thing and the other", None, 1)], "doc_id long, text string, lang string, score int")
+    odd = spark.createDataFrame([(-1, None, "en", 1), (-2, "", None, 1), (-3, "123 !?", "de", 1), (None, "the thing and the other", None, 1), (-4, "\u00bd \u00b2 \u2167 \u0301", "es", 1), (-5, "wort " * 200_000, None, 1), (-6, "the same", None, 1), (-6, "the same", None, 1)], "doc_id long, text string, lang string, score int")
     both = docs.unionByName(odd)
     model = language.train(both)
     got = {r.doc_id: r for r in language.predict(both, model).collect()}
-    assert len(got) == docs.count() + 4
-    assert [got[i].lang_pred for i in (-1, -2, -3)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    assert len(got) == docs.count() + 7
+    assert [got[i].lang_pred for i in (-1, -2, -3, -4)] == ["und"] * 4 and got[-5].lang_pred != "und" and all(0 <= r.score <= 1 for r in got.values())
     truth = {r.doc_id: r.lang for r in docs.collect()}
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i].held_out == (i in set(held)) for i in truth)
