@@ -14,7 +14,7 @@ from leadloom.functions.lineage import cut, drop_cut, shared_dir
 __all__ = ["cut", "drop_cut", "shared_dir", "is_small", "join_checked", "slices", "map_texts", "sql_type", "fresh", "small_batches"]
 
 #: A side is broadcast only if its rows and bytes, counted on the written table, stay below these.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 4 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 #: Texts are handed on in slices of about this many characters, so that a batch of long texts stays small.
 SLICE_CHARS = 1 << 20
 #: Bytes of a batch of rows that goes to Python, unless the session names a bound of its own.

@@ -6,7 +6,7 @@ open. The open bins are keyed by free space: a bitset has a bit for every free s
 takes a piece is the lowest set bit at or above its length. When one bin too many is open, the fullest (the lowest bit) is closed first.
 Only (doc_id, piece, length) is shuffled, never tokens; a task holds its open bins and nothing else.
 
-Words are cut at white space and their ids kept in a bounded cache, filled by the tokenizer itself: its pre-tokens never span white
+Words are cut at white space and their ids kept in a bounded cache of two generations (words of the older one that are met again go on), filled by the tokenizer itself: its pre-tokens never span white
 space. Texts with the separators U+001C to U+001F, on which the notions of white space differ, go to the tokenizer whole.
 
 Cases: null and empty text is one piece that holds the end id alone; repeated rows are packed row by row (pieces carry no row name, so
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: A mark behind a letter below this one never joins it, also in composed form.
 LATIN = "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -41,6 +41,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = {c: self.whole(c) for c in ",."}
 
@@ -48,8 +49,12 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
+        if (ids := self.old.get(word)) is not None:
+            self[word] = ids
+            return ids
         # The tokenizer lower-cases, and parts letters from a mark behind them: such forms share the ids of the plain word.
         if word.isascii() and "<" not in word and (low := word.lower()) != word:
             ids = self[low]
