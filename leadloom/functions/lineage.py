@@ -29,7 +29,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: later work starts from files that survive a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    df.write.options(**{"parquet.block.size": GROUP_BYTES, "compression": "zstd"}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
