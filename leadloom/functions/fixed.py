@@ -156,3 +156,17 @@ HEADER_ALIASES = {
     "suggested_pitch_angle": ["suggested_pitch_angle", "best fit bsp service"],
     "notes": ["notes"],
 }
+#: Parts of names that an export does not take for an author's.
+EXPORT_NAME_STOPS = ["amazon", "unknown", "this item", "paperback", "kindle", "audible", "academy award", "best seller", "children's books", "book series"]
+#: Marks of sign-in, captcha and shop pages among search results.
+ACCESS_WALLS = ["amazon sign-in", "sign in to amazon", "amazon captcha", "robot check", "not a robot", "enter the characters", "amazon.com: books", "amazon.com books"]
+#: Messages of the export's gate, in their order.
+EXPORT_ERRORS = [
+    "author_name is not a usable personal/pen name",
+    "amazon_book_url is missing or not normalized",
+    "missing public email or phone",
+    "public_email failed syntax validation",
+    "contact source did not pass relevance/confidence checks",
+    "lead is marked do-not-contact",
+    "contact has not passed every verification hard gate",
+]

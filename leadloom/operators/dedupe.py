@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut, global_rank
+from ..functions.lineage import cut, drop_cut, global_rank
 from ..functions.text import book_key, col, present, text
 from ..functions.urls import url_key
 
@@ -37,27 +39,29 @@ def dedupe_two_namespaces(df: DataFrame, code: Column, title: Column, order: Col
     return coded.unionByName(free.select(coded.columns)).drop("_code", "_title", "_ord")
 
 
-def dedupe_any_key(df: DataFrame, keys: Column, order: Column, rounds: int = 50) -> DataFrame:
+def dedupe_any_key(df: DataFrame, keys: Column, order: Column) -> DataFrame:
     """Greedy in order: a row is dropped if any of its keys (an array; blanks are none) was used by a kept row; only kept rows use keys.
 
     Exact rounds: an undecided row wins if it is the first undecided row of each of its keys; undecided rows that share a key with a winner
-    are dropped. Each round is a written table. More than `rounds` rounds (a long chain of rows) is an error, not a wrong result.
+    are dropped. Each round is a written table and decides one row at least; rounds go on until none is undecided.
     """
     all_rows = cut(df.withColumn("_ord", order).withColumn("_keys", F.array_distinct(F.filter(keys, lambda k: k > ""))), "any-key")
     rows = all_rows.select("_ord", "_keys")
     won = rows.where(F.size("_keys") == 0).select("_ord")
     open_rows = rows.where(F.size("_keys") > 0)
-    for _ in range(rounds):
+    for rounds in count(1):
+        if open_rows.isEmpty():
+            return all_rows.join(won, "_ord", "left_semi").drop("_ord", "_keys")
         pairs = open_rows.select("_ord", F.size("_keys").alias("_n"), F.explode("_keys").alias("_key"))
         first = pairs.groupBy("_key").agg(F.min("_ord").alias("_ord"))
         wins = cut(first.groupBy("_ord").agg(F.count(F.lit(1)).alias("_firsts")).join(open_rows.select("_ord", F.size("_keys").alias("_n")), "_ord").where("_firsts = _n").select("_ord"), "any-key-won")
         used = pairs.join(wins, "_ord", "left_semi").select("_key").distinct()
         lost = pairs.join(used, "_key", "left_semi").select("_ord").distinct()
         won = won.unionByName(wins)
-        open_rows = cut(open_rows.join(lost, "_ord", "left_anti"), "any-key-open")
-        if open_rows.isEmpty():
-            return all_rows.join(won, "_ord", "left_semi").drop("_ord", "_keys")
-    raise ValueError(f"undecided rows are left after {rounds} rounds")
+        if rounds % 20 == 0:  # a long chain of rows: keep the plan short
+            won = cut(won, "any-key-won")
+        done, open_rows = open_rows, cut(open_rows.join(lost, "_ord", "left_anti"), "any-key-open")
+        drop_cut(done)
 
 
 def merge_rerank(results: DataFrame, url: str, order: list[Column], group: list[str], most: int) -> DataFrame:
@@ -102,10 +106,9 @@ def source_quota(df: DataFrame, code: Column, web: Column, source_order: Column,
     """At most `most` rows, codes unique: web rows get most - round(share · most) places (all of them below 5), the other sources the rest, in order of trust."""
     unique = dedupe_first(df.withColumn("_source", source_order).withColumn("_web", web), code, [F.col("_web").desc(), F.col("_source"), *order])
     web_places = most - (round(web_share * most) if most >= 5 else 0)
-    of_web = global_rank(unique.where("_web"), order, "_place").where(F.col("_place") <= web_places)
-    taken = of_web.count()
-    rest = global_rank(unique.where("not _web"), [F.col("_source"), *order], "_place").where(F.col("_place") <= most - taken)
-    return of_web.unionByName(rest).drop("_source", "_web", "_place")
+    of_web = cut(unique.where("_web").orderBy(*order).limit(web_places), "quota-web")
+    rest = unique.where("not _web").orderBy("_source", *order).limit(most - of_web.count())
+    return of_web.unionByName(rest).drop("_source", "_web")
 
 
 def write_batches(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:

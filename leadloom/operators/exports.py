@@ -56,11 +56,12 @@ def lead_key() -> Column:
 
 
 def validated(star: DataFrame, best: DataFrame, most: int | None = None) -> DataFrame:
-    """Verified leads with passing evidence and no validation error, first of each key."""
+    """Verified leads without a validation error, first of each key by verification score, then newest."""
     rows = star.join(best.select("lead_id", F.struct("field_name", "field_value", "source_url", "confidence").alias("best")), "lead_id", "left")
-    good = rows.where((F.col("verification_status") == "verified") & (F.size(export_validation_errors(F.col("best"))) == 0))
-    out = dedupe_first(good, lead_key(), [F.desc("lead_score"), F.col("lead_id")])
-    return out if most is None else out.orderBy(F.desc("lead_score"), "lead_id").limit(most)
+    good = rows.where(F.size(export_validation_errors(F.col("best"))) == 0)
+    order = [F.desc("verification_score"), F.desc("created_at"), F.col("lead_id")]
+    out = dedupe_first(good, lead_key(), order)
+    return out if most is None else out.orderBy(*order).limit(min(max(most, 1), 700))
 
 
 def contactable(star: DataFrame, best: DataFrame) -> DataFrame:

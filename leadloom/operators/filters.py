@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.coerce import year_window_string
-from ..functions.contacts import usable_email
+from ..functions.contacts import email_syntax, usable_email
 from ..functions.text import author_tokens, corporate_author, normalize_text, present, text
 from ..functions.trust import identity_appears
-from ..functions.urls import verified_listing_url
+from ..functions.urls import platform_source, verified_listing_url
 
 CONTACTS = ["public_email", "public_phone", "representation_email", "publicist_email"]
 
@@ -186,12 +186,21 @@ def approval_decision(verified: dict[str, Column], compliance: Column, has_book_
     return F.struct((F.size(errors) == 0).alias("ok"), errors.alias("errors"))
 
 
+def usable_author(name: Column | str) -> Column:
+    """Whether an export takes the name for an author's: the length of its normal form, no part that is no name, two words of two letters or more."""
+    value = normalize_text(name)
+    bad = reduce(lambda a, b: a | b, (F.contains(value, F.lit(w)) for w in fixed.EXPORT_NAME_STOPS))
+    return F.char_length(value).between(5, 90) & ~bad & (F.size(F.regexp_extract_all(value, F.lit("[a-z][a-z]+"), F.lit(0))) >= 2)
+
+
 def export_validation_errors(best: Column) -> Column:
     """Up to seven messages on a row to export; best is the struct of its best contact evidence, or NULL."""
-    return messages(
-        (~present("title"), "missing title"), (~present("author_name"), "missing author"), (corporate_author("author_name"), "author is a company"), (~verified_listing_url("amazon_book_url", "asin"), "missing listing URL"),
-        (best.isNull(), "no passing contact evidence"), (best.isNotNull() & ~present(best["source_url"]), "contact without a source"), (F.coalesce(F.col("do_not_contact"), F.lit(False)), "do not contact"),
-    )
+    suppressed = F.coalesce(F.col("do_not_contact"), F.lit(False)) | (text("manual_review_status") == "do_not_contact")
+    holds = [
+        ~usable_author("author_name"), ~F.contains(text("amazon_book_url"), F.lit("/dp/")), ~any_present(["public_email", "public_phone"]), present("public_email") & ~email_syntax("public_email"),
+        best.isNull(), suppressed, text("verification_status") != "verified",
+    ]
+    return messages(*zip(holds, fixed.EXPORT_ERRORS, strict=True))
 
 
 def clear_unverified(leads: DataFrame, verified: dict[str, Column]) -> DataFrame:
@@ -201,14 +210,44 @@ def clear_unverified(leads: DataFrame, verified: dict[str, Column]) -> DataFrame
     return leads.withColumns({"warnings": warnings} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in gone.items()})
 
 
-ACCESS_WALLS = ["robot check", "captcha", "access denied", "page not found", "sign in", "enter the characters", "503", "sorry"]
+def drop_untrusted_extracted(extracted: DataFrame, items: DataFrame, verified: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(extracted, items): contact values that no trusted source supports become null with a warning, and their evidence items go.
+
+    extracted has lead_id, the contact columns, warnings (or none) and what `verified` reads; items has lead_id, field_name, field_value.
+    """
+    gone = {c: present(c) & ~v for c, v in verified.items()}
+    warnings = F.col("warnings") if "warnings" in extracted.columns else F.lit(None)
+    told = messages(*((g, f"Dropped {c} because its source was not an author/agent/publisher contact page for this book.") for c, g in gone.items()))
+    lost = extracted.select("lead_id", F.explode(F.array_compact(F.array(*(F.when(g, F.struct(F.lit(c).alias("field_name"), text(c).alias("field_value"))) for c, g in gone.items())))).alias("x")).select("lead_id", "x.*")
+    out = extracted.withColumns({"warnings": F.concat(F.coalesce(warnings.cast("array<string>"), F.array().cast("array<string>")), told)} | {c: F.when(~g, F.col(c)) for c, g in gone.items()})
+    return out, items.join(lost.distinct(), ["lead_id", "field_name", "field_value"], "left_anti")
+
+
+def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[str] = ("canonical_website", "contact_page_url", "publisher_url")) -> DataFrame:
+    """leads with contacts without a trusted source and profile addresses on catalogs or shops blank, n_contacts and n_urls cleared, and a warning for each."""
+    urls = [c for c in urls if c in leads.columns]
+    contacts, pages = {c: present(c) & ~v for c, v in verified.items()}, {c: present(c) & platform_source(c) for c in urls}
+    told = messages(
+        *((g, f"Sanitized {c}: source did not pass trusted author/agent/publisher checks.") for c, g in contacts.items()),
+        *((g, F.concat(F.lit(f"Sanitized {c}: removed catalog/bookstore/library URL "), text(c), F.lit("."))) for c, g in pages.items()),
+    )
+    count = lambda flags: reduce(lambda a, b: a + b, (F.coalesce(g, F.lit(False)).cast("int") for g in flags.values()), F.lit(0))
+    before = F.coalesce(F.col("warnings").cast("array<string>"), F.array().cast("array<string>")) if "warnings" in leads.columns else F.array().cast("array<string>")
+    return leads.withColumns({"warnings": F.concat(before, told), "n_contacts": count(contacts), "n_urls": count(pages)} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in (contacts | pages).items()})
+
+
+def sanitize_counts(sanitized: DataFrame) -> DataFrame:
+    """The counts of a dry run: rows scanned and changed, contacts and addresses cleared."""
+    changed = (F.col("n_contacts") > 0) | (F.col("n_urls") > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return sanitized.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(changed).alias("changed"), total("n_contacts").alias("cleared_contacts"), total("n_urls").alias("cleared_urls"))
 
 
 def usable_results(results: DataFrame, code: Column | None = None) -> DataFrame:
     """Search results that are no access wall or generic page; with a code, only those that hold it."""
     words = F.lower(F.concat_ws(" ", text("title"), text("snippet"), text("url")))
-    out = results.where(~words.rlike("|".join(ACCESS_WALLS)))
+    out = results.where(~reduce(lambda a, b: a | b, (F.contains(words, F.lit(w)) for w in fixed.ACCESS_WALLS)))
     return out if code is None else out.where(F.contains(words, F.lower(text(code))))
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears"}] + ["CONTACTS"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears", "email_syntax", "platform_source"}] + ["CONTACTS"]

@@ -789,6 +789,57 @@ def clear_unverified_contacts(t: Tables) -> DataFrame:
     return filters.clear_unverified(rows, flags("v")).select("lead_id", "public_email", "public_phone", F.array_join("warnings", "; ").alias("warnings"))
 
 
+@query(
+    "leads", "books", "evidence",
+    sql=f"""with best as (select distinct lead_id from evidence where field_name = 'public_email' and confidence >= 0.6),
+n as (select l.*, amazon_book_url, {NORM.format("author_name")} as name from leads l join books using (book_id))
+select lead_id, concat_ws(chr(10), case when not (length(name) between 5 and 90 and len(regexp_extract_all(name, '[a-z][a-z]+')) >= 2) then 'author_name is not a usable personal/pen name' end,
+ case when not contains(amazon_book_url, '/dp/') then 'amazon_book_url is missing or not normalized' end, case when public_email = '' and public_phone = '' then 'missing public email or phone' end,
+ case when contains(public_email, '@@') then 'public_email failed syntax validation' end, case when lead_id not in (select lead_id from best) then 'contact source did not pass relevance/confidence checks' end,
+ case when do_not_contact or manual_review_status = 'do_not_contact' then 'lead is marked do-not-contact' end, case when verification_status <> 'verified' then 'contact has not passed every verification hard gate' end) as errors
+from (select * replace (case when lead_id % 13 = 0 and public_email > '' then replace(public_email, '@', '@@') else public_email end as public_email) from n)""",
+)
+def export_validation_errors(t: Tables) -> DataFrame:
+    """The export's messages on every lead, an address in thirteen spoiled; here its best evidence is any address with a confidence of 0.6 or more."""
+    best = t.evidence.where("field_name = 'public_email' and confidence >= 0.6").select("lead_id").distinct().withColumn("best", F.struct(F.lit(True).alias("found")))
+    rows = t.leads.join(t.books.select("book_id", "author_name", "amazon_book_url"), "book_id").join(best, "lead_id", "left")
+    rows = rows.withColumn("public_email", F.expr("case when lead_id % 13 = 0 then replace(public_email, '@', '@@') else public_email end"))
+    return rows.select("lead_id", F.array_join(filters.export_validation_errors(F.col("best")), "\n").alias("errors"))
+
+
+@query("results", sql="select event_id from results where event_id % 9 not in (0, 1, 2)")
+def usable_search_results(t: Tables) -> DataFrame:
+    """Search results without access walls, of which a third is given the marks; words that only resemble them stay."""
+    walls = "case event_id % 9 when 0 then 'Amazon Sign-In' when 1 then 'Show that you are NOT a robot' when 2 then 'Amazon.com: Books on gardens' when 3 then 'Sorry, signed in 503 copies' else 'a page not found elsewhere' end"
+    return filters.usable_results(t.results.withColumn("snippet", F.expr(walls))).select("event_id")
+
+
+SOURCED = "exists (select 1 from evidence e where e.lead_id = l.lead_id and e.field_name = '{0}' and e.field_value = l.{0} and e.source_url > '')"
+
+
+@query(
+    "leads", "books", "authors", "evidence",
+    sql=f"""with l as (select leads.* from leads join books using (book_id)), c as (select lead_id, {" + ".join(f"(l.{c} > '' and not {SOURCED.format(c)})::int" for c in ("public_email", "representation_email", "publicist_email", "public_phone"))} as n, (author_id % 5 = 0)::int as u from l)
+select count(*) as scanned, count(*) filter (n > 0 or u > 0) as changed, sum(n)::bigint as cleared_contacts, sum(u)::bigint as cleared_urls from c""",
+)
+def sanitize_contacts(t: Tables) -> DataFrame:
+    """Dry-run counts; here a contact is supported by evidence with a source, and a profile in five points to a catalog."""
+    rows = source_flags(t).withColumn("contact_page_url", F.expr("case when author_id % 5 = 0 then 'https://www.goodreads.com/author/show/1' else '' end")).withColumn("canonical_website", F.lit(""))
+    return filters.sanitize_counts(filters.sanitize_contacts(rows, flags("s")))
+
+
+@query(
+    "leads", "books", "evidence",
+    sql=f"""with l as (select leads.* from leads join books using (book_id)), gone as ({" union all ".join(f"select lead_id, '{c}' as field_name, {c} as field_value from l where {c} > '' and not {SOURCED.format(c)}" for c in ("public_email", "representation_email", "publicist_email", "public_phone"))})
+select lead_id, (select count(*) from gone g where g.lead_id = l.lead_id) as n_dropped, (select count(*) from evidence e where e.lead_id = l.lead_id and (e.lead_id, e.field_name, e.field_value) not in (select (lead_id, field_name, field_value) from gone)) as n_items from l""",
+)
+def drop_untrusted_extracted(t: Tables) -> DataFrame:
+    """Warnings and evidence items left after the gate; here a contact is supported by evidence with a source."""
+    out, items = filters.drop_untrusted_extracted(source_flags(t), t.evidence.drop("book_id"), flags("s"))
+    left = items.groupBy("lead_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return out.join(left, "lead_id", "left").select("lead_id", F.size("warnings").cast("bigint").alias("n_dropped"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
+
+
 @query("leads", "evidence", sql="select lead_id, public_email from leads where public_email > '' and split_part(public_email, '@', 2) in (select distinct split_part(field_value, '@', 2) from evidence where field_name = 'public_email')")
 def evidence_domains(t: Tables) -> DataFrame:
     """Leads whose mail domain also stands in evidence."""

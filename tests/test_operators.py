@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import coerce, contacts, ids, scores, text, trust, urls
-from leadloom.operators import aggregates, allocate, dedupe, evidence, filters, match, state
+from leadloom.operators import aggregates, allocate, dedupe, evidence, exports, filters, match, state
 from leadloom.sources import catalogs, files, pages
 from leadloom.streaming import ingest
 
@@ -35,6 +35,20 @@ def test_any_key(spark, seed):
     assert sorted(x.id for x in dedupe.dedupe_any_key(df, F.col("keys"), F.col("id")).collect()) == want
 
 
+def test_any_key_long_chain(spark):
+    """Each row shares a key with the next, so that every round decides a row or two; there is no bound on rounds."""
+    df = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"]) for i in range(110)], "id long, keys array<string>").coalesce(1)
+    assert sorted(x.id for x in dedupe.dedupe_any_key(df, F.col("keys"), F.col("id")).collect()) == list(range(0, 110, 2))
+
+
+def test_review_status_blocks_the_export(spark):
+    row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
+    rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
+    star = spark.createDataFrame(rows)
+    best = spark.createDataFrame([(i, "public_email", "a@b.org", "https://s.example", 0.9) for i in (1, 2, 3)], "lead_id long, field_name string, field_value string, source_url string, confidence double")
+    assert [r.lead_id for r in exports.validated(star, best).collect()] == [3]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_two_namespaces(spark, seed):
     r = random.Random(seed)
