@@ -5,10 +5,10 @@ their 64-bit hash. Distinct fingerprints, in the order of their population count
 bit counts; tile pairs whose population counts differ beyond the radius are never made, and within a pair only fingerprints whose
 population counts are within the radius are compared. Out of a tile pair come the links of a spanning forest, not all pairs.
 
-Up to PER_KEY distinct fingerprints all tiles are one set. That is quadratic, so beyond it tiles are formed among fingerprints that agree in a
-key: of `blocks` blocks of bits, `blocks` - radius at least are equal in any two fingerprints within the radius, and a key is one such choice of
-equal blocks. No link is lost, and the number of blocks follows from the number of fingerprints. Tile pairs, not keys, are dealt to
-tasks.
+Comparing all tiles is quadratic, so beyond PER_KEY distinct fingerprints tiles are formed among those that agree in a key: of `blocks` blocks of
+bits, `blocks` - radius at least are equal in any two fingerprints within the radius, and a key is a hash of one such choice of equal blocks, of so
+many values that a key gathers PER_KEY fingerprints at most on average. No link is lost, and a fingerprint has the same few keys at every size
+(four with up to 2 ** 27 of them). A key that gathers more than a tile is cut; its tile pairs, not the key, are dealt to tasks.
 
 Cases: null and empty text have fingerprint zero, which links like any other; a document of fewer words than a shingle has its whole
 word sequence as one shingle; repeated rows and copies share a fingerprint and are one node; a null doc_id is never the smallest, and a component
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .components import components
 
 RADIUS, TILE, SEED = 3, 4096, 42
 #: Fingerprints that a key should gather on average at most; the number of blocks is chosen for it.
-PER_KEY = 1 << 18
+PER_KEY = 1 << 11
 #: The pipeline's stage: least Jaccard similarity of shingle sets (4 / 5), the radius within which nearly all such pairs are, and the keys:
 #: BANDS keys of ROWS least hashes each; a pair of similarity 0.8 agrees in none of them with a probability of (1 - 0.8 ** 3) ** 14 = 4e-5.
 SIMILAR, WIDE, BANDS, ROWS = (4, 5), 20, 14, 3
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def block_count(n: int, radius: int) -> int:
-    """The least number of blocks with which a key gathers PER_KEY of n fingerprints at most; 0: all of them have one key."""
+    """The least number of blocks with which a choice of equal blocks can part n fingerprints into PER_KEY at most; 0: all of them have one key."""
     if n <= PER_KEY:
         return 0
     blocks = radius + 1
@@ -91,16 +92,18 @@ def block_count(n: int, radius: int) -> int:
     return blocks
 
 
-def keyed(distinct: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """A row for each fingerprint and choice of equal blocks: key (a hash of the choice and its bits) and fp."""
+def keyed(distinct: DataFrame, n: int, radius: int) -> DataFrame:
+    """A row for each of n fingerprints and choice of equal blocks: key (a hash of the choice and its bits, of n / PER_KEY values) and fp."""
+    blocks = block_count(n, radius)
     if not blocks:
         return distinct.select("fp", F.lit(0).cast("bigint").alias("key"))
+    values = 1 << max(0, ceil(log2(n / PER_KEY)))
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for choice in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in choice)
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.pmod(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))), F.lit(values))) for i, m in enumerate(masks)))
     return distinct.select("fp", F.explode(keys).alias("key"))
 
 
@@ -198,9 +201,7 @@ def compare(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> l
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """distinct (fp): links (a, b) whose components are those of all pairs within the radius."""
-    blocks = block_count(distinct.count(), radius)
-    rows = keyed(distinct, blocks, radius)
-    return compared(rows if not blocks else cut(rows, "simhash-keys"), radius, tile)
+    return compared(cut(keyed(distinct, distinct.count(), radius), "simhash-keys"), radius, tile)
 
 
 def tiles_of(rows: DataFrame, tile: int) -> DataFrame:

@@ -103,24 +103,27 @@ def test_links_lose_nothing(spark, monkeypatch, tile, per_key):
 
 
 def test_tile_pairs_are_skipped(spark):
-    """At the default settings tiles are made and compared; pairs of tiles too far apart in population count are not made."""
+    """Pairs of tiles too far apart in population count are not made; at the default settings keys are compared in tiles, and all links are found."""
     r = random.Random(3)
     values = {r.getrandbits(64) for _ in range(3 * simhash.TILE)}
     values |= {v ^ (1 << r.randrange(64)) for v in list(values)[:200]}
     df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in sorted(values)], "fp long")
-    rows = simhash.keyed(df, simhash.block_count(len(values), 3), 3)
+    rows = df.selectExpr("fp", "0L as key")
     counts = simhash.tiles_of(rows, simhash.TILE)
+    sizes = [r["count"] for r in simhash.keyed(df, len(values), 3).groupBy("key").count().collect()]
+    assert sum(sizes) == 4 * len(values) and simhash.TINY < min(sizes) and max(sizes) < simhash.TILE
     pairs = simhash.tile_pairs(counts, 3, simhash.TILE).collect()
     n = len(pairs)
     made = {x.pair for p in pairs for x in p.pairs}
     assert n == -(-len(values) // simhash.TILE) and n <= len(made) < n * (n + 1) // 2
     got = {frozenset((x.a, x.b)) for x in simhash.links(df).collect()}
+    whole = {frozenset((x.a, x.b)) for x in simhash.compared(rows, 3, simhash.TILE).collect()}
     a = np.array(sorted(values), np.uint64)
     want = [(i + j, j2) for i in range(0, len(a), 500) for j, j2 in np.argwhere(np.bitwise_count(a[i : i + 500, None] ^ a[None]) <= 3) if i + j < j2]
     want = {frozenset((int(a[i].astype(np.int64)), int(a[j].astype(np.int64)))) for i, j in want}
-    assert len(want) >= 200 and got <= want
-    roots = [{}, {}]
-    for edges, parent in ((got, roots[0]), (want, roots[1])):
+    assert len(want) >= 200 and got <= want and whole <= want
+    roots = [{}, {}, {}]
+    for edges, parent in ((got, roots[0]), (want, roots[1]), (whole, roots[2])):
         def root(x, parent=parent):
             while parent.setdefault(x, x) != x:
                 x = parent[x]
@@ -129,7 +132,7 @@ def test_tile_pairs_are_skipped(spark):
             parent[max(root(x), root(y))] = min(root(x), root(y))
         for x in list(parent):
             parent[x] = root(x)
-    assert roots[0] == roots[1]
+    assert roots[0] == roots[1] == roots[2]
 
 
 @pytest.mark.parametrize("sides", [1, 2])
