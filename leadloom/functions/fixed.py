@@ -170,3 +170,99 @@ EXPORT_ERRORS = [
     "lead is marked do-not-contact",
     "contact has not passed every verification hard gate",
 ]
+
+#: Searches for an author's site, contact and social pages, by purpose; {pair} is the quoted author with the quoted anchor of
+#: the title, {tail} a space and the quoted anchor (both without anchor where the title is blank).
+AUTHOR_SEARCHES = {
+    "site": [
+        "{pair} author website",
+        '"{author}" official author website',
+        "{pair} official site",
+        '"{author}" children\'s picture book author website',
+        "{pair} publisher",
+        '"{author}" author-illustrator website',
+        '"{author}" writes and illustrates',
+        "{pair} author page publisher",
+    ],
+    "contact": [
+        "{pair} contact",
+        '"{author}" author contact email',
+        '"{author}" school visits booking contact',
+        "{pair} media kit",
+        '"{author}" picture book author contact',
+        '"{author}" press kit author contact',
+        '"{author}" booking school visit author',
+        "{pair} get in touch",
+    ],
+    "social": [
+        'site:instagram.com "{author}"{tail}',
+        'site:facebook.com "{author}"{tail}',
+        'site:youtube.com "{author}"{tail}',
+        'site:linkedin.com "{author}"{tail}',
+        'site:tiktok.com "{author}"{tail}',
+        '"{author}"{tail} linktree OR linktr.ee OR bio.site',
+        "{pair} book trailer",
+        "{pair} interview author",
+    ],
+}
+#: Further searches for a contact.
+DEEP_SEARCHES = [
+    '"{author}" official website',
+    '"{author}" author website contact',
+    "{pair} official website",
+    "{pair} contact email",
+    '"{author}" children\'s author contact email',
+    '"{author}" picture book author contact',
+    '"{author}" school visits booking contact',
+    '"{author}" media kit contact',
+    '"{author}" email "@gmail.com" OR "@yahoo.com" OR "@outlook.com"',
+    '"{author}" ("agent" OR "agency" OR "represented by") contact',
+    '"{author}" ("publicist" OR "publicity" OR "press" OR "media") email',
+    '"{author}" contact page',
+    'site:linktr.ee OR site:bio.site OR site:carrd.co OR site:beacons.ai "{author}"',
+    'site:substack.com "{author}" children book',
+    '"{author}" ("media kit" OR "press kit") author',
+    '"{author}" author ("email me" OR "reach me" OR "get in touch")',
+    '"{author}" illustrator author contact booking',
+    "{pair} author visit booking",
+]
+#: Searches for videos of a book.
+VIDEO_SEARCHES = [
+    '"{title}" "{author}" book trailer',
+    '"{title}" "{author}" animated trailer',
+    '"{title}" "{author}" animation',
+    '"{title}" "{author}" animated book',
+    '"{title}" "{author}" read aloud',
+    '"{author}" children\'s book trailer',
+    '"{title}" children book trailer',
+]
+#: Headings and labels of a brief, in their order; a list of (label, fields of which the first present one is shown).
+BRIEF = [
+    ("Quick Summary", ["{sales_agent_summary}"]),
+    ("Book", ["- Title: {title}", "- Author: {author_name}", "- Amazon URL: {amazon_book_url|Missing}", "- ASIN: {asin|Missing}", "- Category: {category|Missing}", "- Publisher: {publisher|Missing}"]),
+    ("Why This Lead Matters", ["{fit_reason}"]),
+    ("Video Opportunity", ["Status: {video_text}", "Evidence: Source-linked video/search evidence is listed in the lead record.", "Safe wording: I did not find a public book trailer in the sources I checked."]),
+    ("Contact Path", ["- Best contact: {public_email|public_phone|Missing}", "- Backup contact: {contact_page_url|Missing}", "- Website: {canonical_website|Missing}", "- Social: {instagram_url|facebook_url|Missing}"]),
+    ("Confidence", ["- Book confidence: {book_data_confidence}", "- Author identity confidence: {identity_confidence|0}", "- Contact confidence: {extraction_confidence}", "- Video confidence: {video_confidence}"]),
+    ("Recommended Pitch Angle", ["{suggested_pitch_angle}"]),
+    ("Suggested First Line", ["{suggested_first_line}"]),
+    ("What To Say", ["- {what_to_say}"]),
+    ("What Not To Say", ["- {what_not_to_say}"]),
+]
+NO_VIDEO = "No public video found in searched sources."
+#: Names of video statuses in texts.
+VIDEO_LABELS = {
+    "not_checked": "Not checked",
+    "found_trailer": "Found trailer",
+    "found_animated_video": "Found animated video",
+    "found_read_aloud_only": "Found read aloud only",
+    "unclear": "Unclear",
+    "no_public_video_found": "No public video found",
+}
+
+#: Paths, marks (classes) and patterns of a project directory's pages.
+PROJECT_PATH = r"^/project/[^/?#]+-\d+/?$"
+PROJECT_MARKS = "public-project-title public-project-credit user-profile-card user-profile-social profile-social public-project-synopsis public-project-review project-review public-project-description book-description review-section".split()
+PROJECT_TEXTS = ["public-project-synopsis", "public-project-review p", "project-review p", "public-project-description", "book-description", "review-section p"]
+PROJECT_TITLE_TAIL = r"(?i)\s+by\s+.+?\s*\|\s*\w+$"
+PROJECT_AUTHORS = [r"\bby\s+([A-Z][A-Za-z0-9 ,'&-]{2,80})(?:[.;|]|\s{2,}|$)", r"\bAuthor\s*[:\-]\s*([A-Z][A-Za-z0-9 ,'&-]{2,80})(?:[.;|]|\s{2,}|$)"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -188,13 +189,27 @@ def rule_brief(row: Row) -> Column:
 
 
 def brief_markdown(row: Row, links: Column) -> Column:
-    """A brief as markdown; links is an array of URLs."""
-    lines = F.array(F.concat(F.lit("# "), row.text("title")), F.concat(F.lit("**Author:** "), row.text("author_name")), F.concat(F.lit("**Tier:** "), row.text("tier"), F.lit(" ("), row.text("score"), F.lit(")")), F.lit("## Sources"))
-    return F.concat_ws("\n", F.concat(lines, F.transform(links, lambda u: F.concat(F.lit("- "), u))))
+    """A lead's brief as markdown, all sections of fixed.BRIEF; links is an array of URLs. A field with alternatives shows the first present one."""
+    labels = F.create_map(*(F.lit(x) for pair in fixed.VIDEO_LABELS.items() for x in pair))
+    status = row.text("video_status")
+    video = F.when(status == "no_public_video_found", fixed.NO_VIDEO).otherwise(F.coalesce(F.try_element_at(labels, status), status))
+
+    def value(name: str) -> Column:
+        *fields, last = name.split("|")
+        default = F.lit(last) if fields else F.lit("")
+        return F.coalesce(*(F.nullif(video if f == "video_text" else row.text(f), F.lit("")) for f in (fields or [last])), default)
+
+    def line(form: str) -> Column:
+        parts = re.split(r"\{([a-z_A-Z0|]+)\}", form)  # texts and names of fields by turns
+        return F.concat(*(value(x) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+    sections = [F.concat_ws("\n", F.lit(f"## {head}"), *map(line, lines)) for head, lines in fixed.BRIEF]
+    sources = F.when(F.size(links) > 0, F.array_join(F.transform(links, lambda u: F.concat(F.lit("- "), u)), "\n")).otherwise("- Missing")
+    return F.concat(F.concat_ws("\n\n", F.lit("# Lead Brief"), *sections, F.concat(F.lit("## Source Links\n"), sources)), F.lit("\n"))
 
 
 def blank_unless(condition: Column, c: Column | str) -> Column:
     return F.when(condition, text(c)).otherwise("")
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "fixed", "alternation", "blank", "first_present", "has_any", "present", "text"}] + ["Row", "PITCHES"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "re", "fixed", "alternation", "blank", "first_present", "has_any", "present", "text"}] + ["Row", "PITCHES"]

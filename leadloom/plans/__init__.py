@@ -1,6 +1,6 @@
 """Registered queries over the lead tables."""
 
-from . import queries_tables, queries_text
+from . import queries_sources, queries_tables, queries_text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_tables", "queries_text"]
+__all__ = ["ORACLES", "QUERIES", "queries_sources", "queries_tables", "queries_text"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.coerce import publication_year
-from ..functions.ids import analyze_identifier, best_isbn
+from ..functions.coerce import publication_year, year_in_window
+from ..functions.ids import analyze_identifier, best_isbn, canonical_book_key
 from ..functions.text import first_present, has_any, present, text, valid_person_name
 
 #: Payload schemas by provider.
@@ -98,4 +98,46 @@ def edition_candidates(docs: DataFrame, start: int | None, end: int | None) -> D
     return good.join(keep, ["code", "doc_id"], "left_semi")
 
 
-__all__ = ["best_isbn_of_fields", "catalog_records", "edition_candidates", "volume_candidates", "SCHEMAS"]
+KEYWORD = {
+    "crossref": SCHEMAS["crossref"],
+    "internet_archive": "response struct<docs:array<struct<identifier:string,title:string,creator:string,date:string,publisher:string,isbn:string>>>",
+}
+
+
+def listed(c: Column) -> Column:
+    """The trimmed non-blank strings of a field that holds a string or a JSON list of strings."""
+    many = F.when(F.trim(text(c)).startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    return names(many)
+
+
+def keyword_catalog_candidates(payloads: DataFrame, start: int | None, end: int | None, most: int = 25) -> DataFrame:
+    """payloads (keyword, provider, payload) of two catalogs' searches: one row per listed code of ten or thirteen characters, in order, years strictly inside the window, at most `most` rows a payload; of equal codes (either form) of a keyword the first by provider and place."""
+    codes = lambda c: F.filter(F.transform(c, lambda x: F.regexp_replace(x, "[^0-9Xx]", "")), lambda x: F.length(x).isin(10, 13))
+    nothing = F.array().cast("array<string>")
+
+    def rows(provider: str, items: Column, row) -> DataFrame:
+        df = payloads.where(F.col("provider") == provider).withColumn("j", F.from_json("payload", KEYWORD[provider]))
+        made = F.filter(F.transform(F.coalesce(items, F.array().cast(df.select(items.alias("x")).schema["x"].dataType)), row), lambda r: (r["title"] != "") & r["ok"] & year_in_window(r["publication_date"], start, end, lenient=False))
+        each = F.flatten(F.transform(made, lambda r: F.transform(r["codes"], lambda code: F.struct(code.alias("code"), *(r[k].alias(k) for k in ("title", "author_name", "publication_date", "publisher", "cover_image_url", "source_url", "confidence"))))))
+        return df.select("keyword", "provider", F.posexplode(F.slice(each, 1, most)).alias("pos", "r")).select("keyword", "provider", "pos", "r.*")
+
+    def of_crossref(x: Column) -> Column:
+        people = names(F.transform(F.coalesce(x["author"], F.array().cast("array<struct<given:string,family:string,name:string>>")), lambda a: first_present(F.trim(F.concat_ws(" ", F.nullif(a["given"], F.lit("")), F.nullif(a["family"], F.lit("")))), a["name"])))
+        year = text(F.try_element_at(F.try_element_at(x["published"]["date-parts"], F.lit(1)), F.lit(1)))
+        url = first_present(x["URL"], F.when(present(x["DOI"]), F.concat(F.lit("https://doi.org/"), x["DOI"])), F.lit("https://api.crossref.org"))
+        title = F.trim(text(F.try_element_at(x["title"], F.lit(1))))
+        return F.struct(codes(F.coalesce(x["ISBN"], nothing)).alias("codes"), F.lit(True).alias("ok"), title.alias("title"), first(people).alias("author_name"), year.alias("publication_date"), F.trim(text(x["publisher"])).alias("publisher"), F.lit("").alias("cover_image_url"), url.alias("source_url"), F.lit(0.66).alias("confidence"))
+
+    def of_archive(x: Column) -> Column:
+        ident = F.trim(text(x["identifier"]))
+        at = lambda place: F.concat(F.lit(f"https://archive.org/{place}/"), ident)
+        year = F.coalesce(publication_year(first(listed(x["date"]))).cast("string"), F.lit(""))
+        return F.struct(codes(listed(x["isbn"])).alias("codes"), (ident != "").alias("ok"), first(listed(x["title"])).alias("title"), first(listed(x["creator"])).alias("author_name"), year.alias("publication_date"), first(listed(x["publisher"])).alias("publisher"), at("services/img").alias("cover_image_url"), at("details").alias("source_url"), F.lit(0.6).alias("confidence"))
+
+    out = rows("crossref", F.col("j")["message"]["items"], of_crossref).unionByName(rows("internet_archive", F.col("j")["response"]["docs"], of_archive))
+    keyed = out.withColumn("_key", first_present(canonical_book_key("code"), F.upper("code")))
+    best = keyed.groupBy("keyword", "_key").agg(F.min_by(F.struct(*out.columns), F.struct("provider", "pos", "source_url")).alias("r"))
+    return best.select("r.*")
+
+
+__all__ = ["best_isbn_of_fields", "catalog_records", "edition_candidates", "keyword_catalog_candidates", "volume_candidates", "SCHEMAS"]

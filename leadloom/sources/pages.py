@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.contacts import e164, extract_emails, extract_phones, obfuscated_emails, xor_decode
+from ..functions.contacts import deobfuscate_email, e164, extract_emails, extract_phones, obfuscated_emails, usable_email, xor_decode
 from ..functions.text import clean_person_name, first_present, present, text, valid_person_name
 from ..functions.trust import identity_appears
 from ..functions.urls import host, path, registered_domain_of_url
@@ -122,12 +122,17 @@ def page_links(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", "url", F.posexplode("links").alias("pos", "l")).select("page_id", "url", "pos", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"))
 
 
-def social_links(links: DataFrame) -> DataFrame:
-    """Per page a map of platform to its first link."""
+def social_platform(url: Column | str) -> Column:
+    """The platform that a link belongs to, else NULL."""
     kind = F.lit(None).cast("string")
     for part, name in reversed(list(fixed.SOCIAL_HOSTS.items())):
-        kind = F.when(F.contains(F.lower("href"), F.lit(part)), f"{name}_url").otherwise(kind)
-    first = links.withColumn("field", kind).where("field is not null").groupBy("page_id", "field").agg(F.min_by("href", "pos").alias("href"))
+        kind = F.when(F.contains(F.lower(url), F.lit(part)), name).otherwise(kind)
+    return kind
+
+
+def social_links(links: DataFrame) -> DataFrame:
+    """Per page a map of platform to its first link."""
+    first = links.withColumn("field", F.concat(social_platform("href"), F.lit("_url"))).where("field is not null").groupBy("page_id", "field").agg(F.min_by("href", "pos").alias("href"))
     return first.groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "href")))).alias("socials"))
 
 
@@ -204,6 +209,27 @@ def contact_match(pages: DataFrame) -> DataFrame:
     return out.where(present("email") | present("phone"))
 
 
+def page_contact_record(pages: DataFrame) -> DataFrame:
+    """pages (page_id, website, url, page_text, links array<struct<href,anchor>>): the first usable mail and phone and the first link of each social platform, with evidence.
+
+    Confidence is .65 with anything found, else .25 and a warning; evidence carries .55 for phones and .7 for the rest. `socials` is a map.
+    """
+    mails = F.filter(F.array_distinct(F.transform(extract_emails("page_text"), lambda m: deobfuscate_email(m))), lambda m: usable_email(m))
+    rows = pages.withColumns({"_mails": mails, "_phones": extract_phones("page_text"), "_links": F.coalesce(F.transform("links", lambda x: x["href"]), F.array().cast("array<string>"))})
+    first_of = lambda name: F.try_element_at(F.filter("_links", lambda u: social_platform(u) == name), F.lit(1))
+    of = {f"{name}_url": first_of(name) for name in dict.fromkeys(fixed.SOCIAL_HOSTS.values())}
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in of.items())), lambda x: x["value"].isNotNull())
+    rows = rows.withColumns({"public_email": F.try_element_at("_mails", F.lit(1)), "public_phone": F.try_element_at("_phones", F.lit(1)), "socials": F.map_from_entries(entries)})
+    own = F.array(F.struct(F.lit("public_email").alias("key"), F.col("public_email").alias("value")), F.struct(F.lit("public_phone").alias("key"), F.col("public_phone").alias("value")))
+    found = F.filter(F.concat(own, F.map_entries("socials")), lambda x: x["value"].isNotNull())
+    rows = rows.withColumn("_found", found)
+    evidence = F.transform("_found", lambda x: F.struct(x["key"].alias("field"), x["value"].alias("value"), F.col("url").alias("source_url"), F.when(x["key"] == "public_phone", 0.55).otherwise(0.7).alias("confidence")))
+    some = F.size("_found") > 0
+    warning = F.when(~some, F.concat(F.lit("No public contact data found on "), host("website"), F.lit(".")))
+    page = F.when(F.contains(F.lower("url"), F.lit("contact")), F.col("url"))
+    return rows.select("page_id", F.col("website").alias("canonical_website"), page.alias("contact_page_url"), "public_email", "public_phone", "socials", F.when(some, 0.65).otherwise(0.25).alias("confidence"), F.array_compact(F.array(warning)).alias("warnings"), evidence.alias("evidence"))
+
+
 def site_lead_rows(pages: DataFrame, listing_links: DataFrame) -> DataFrame:
     """Pages of a site (site, pos, url, page_text, h1, h2, title) with its listing links (site, pos, href): one row per author and listing, from the first page with a contact; at most two listings."""
     from ..functions.scores import topic_signal
@@ -221,4 +247,4 @@ def site_lead_rows(pages: DataFrame, listing_links: DataFrame) -> DataFrame:
     return rows.select("site", "author_name", "x.asin", "x.amazon_book_url", text("c.mail").alias("public_email"), text("c.phone").alias("public_phone"), F.col("c.url").alias("contact_source_url"), "all_source_urls")
 
 
-__all__ = ["SCHEMA", "author_from_page", "contact_forms", "contact_links", "contact_match", "external_links", "hidden_contacts", "page_facts", "page_links", "parse_pages", "site_lead_rows", "social_links"]
+__all__ = ["SCHEMA", "author_from_page", "contact_forms", "contact_links", "contact_match", "external_links", "hidden_contacts", "page_contact_record", "page_facts", "page_links", "parse_pages", "site_lead_rows", "social_links"]

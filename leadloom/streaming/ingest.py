@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.ids import canonical_book_key
+from ..functions.lineage import cut, drop_cut
+from ..functions.text import keyword_slug
 from ..operators.dedupe import dedupe_any_key
+from ..sources.files import STORE, load_keyword_results
 
 
 def has_files(spark: SparkSession, path: str) -> bool:
@@ -48,6 +53,56 @@ def ingest_batches(batches: list[DataFrame], store: str, keys: Column, order: Co
         accept_new(batch, store, keys, order).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
 
+def keyword_store(spark: SparkSession, path: str, keyword: str, start: int | None, end: int | None) -> DataFrame | None:
+    """The valid rows of a keyword and window in a store of files.save_keyword_results or of accept_keyword, None before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slug=*/years=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return load_keyword_results(spark, path, keyword, start, end) if found else None
+
+
+def accept_keyword(batch: DataFrame, path: str, keyword: str, start: int | None, end: int | None, most: int | None = None) -> DataFrame:
+    """Rows of a batch (ord and the columns of the store but keyword) whose book is new to the store, the first of each book, at most `most` of them in order; appended to the store.
+
+    A batch that is run again adds nothing: its books are in the store by then.
+    """
+    spark = batch.sparkSession
+    keyed = batch.withColumn("_key", canonical_book_key("code")).where("_key <> ''")
+    stored = keyword_store(spark, path, keyword, start, end)
+    if stored is not None:
+        keyed = keyed.join(stored.select(canonical_book_key("code").alias("_key")).distinct(), "_key", "left_anti")
+    first = keyed.groupBy("_key").agg(F.min_by(F.struct(*batch.columns), F.struct("ord", "title")).alias("r")).select("r.*")
+    new = cut(first if most is None else first.orderBy("ord", "title").limit(most), "keyword")
+    out = new.drop("ord").withColumns({"keyword": F.lit(keyword), "slug": keyword_slug(F.lit(keyword)), "years": F.lit(f"{start or 'any'}-{end or 'any'}")})
+    out.write.mode("append").partitionBy("slug", "years").parquet(path)
+    return new
+
+
+def ingest_keyword(spark: SparkSession, path: str, keyword: str, start: int | None, end: int | None, batches: list[tuple[str, DataFrame]], most: int | None = None, only_new: bool = False) -> DataFrame:
+    """Batches of candidates, each (kind, rows), into a keyword's store until `most` books are there (with only_new: until `most` new ones are); the books, stored ones left out with only_new.
+
+    Of five books or more, kind "web" may fill all but 40 %; the rest is kept for catalogs.
+    """
+    before = None if only_new else keyword_store(spark, path, keyword, start, end)
+    out = [] if before is None else [cut(before.select(*STORE.fieldNames()), "keyword")]
+    if most is not None and out:
+        out = [cut(out[0].orderBy("code").limit(most), "keyword")]
+    count = sum(x.count() for x in out)
+    reserve = max(1, round(most * 0.4)) if most is not None and most >= 5 else 0
+    for kind, batch in batches:
+        left = None if most is None else (most - reserve if kind == "web" else most) - count
+        if left is None or left > 0:
+            new = accept_keyword(batch, path, keyword, start, end, left)
+            count += new.count()
+            out.append(new.withColumn("keyword", F.lit(keyword)).select(*STORE.fieldNames()))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], STORE)
+
+
+def keyword_stream(stream: DataFrame, path: str, checkpoint: str, keyword: str, start: int | None, end: int | None) -> StreamingQuery:
+    """The same over a stream of candidates until it is drained, without a cap."""
+    one = lambda batch, number: drop_cut(accept_keyword(batch, path, keyword, start, end))
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def assignment_stream(changes: DataFrame) -> DataFrame:
     """Times of the states of each assignment over a stream of changes, as running aggregates (complete or update mode)."""
     from ..operators.state import assignment_times
