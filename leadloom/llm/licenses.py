@@ -5,16 +5,20 @@ BANDS x ROWS minima of permuted shingle hashes; a template signs all windows of
 signs a window at each stride. Strides are such that any whole occurrence of a template holds a window of the text that is equal to a
 window of the template, so it collides for certain; two windows of Jaccard similarity s collide with probability 1 - (1 - s^ROWS)^BANDS
 (0.98 at 0.8), and an edited occurrence of a long template has many windows. Each retrieved place is verified on the words themselves: the
-share of the template's shingles that stand in the surrounding stretch of the text must be MIN_CONTAINED or more.
+share of the template's shingles that stand in the surrounding stretch of the text must be MIN_CONTAINED or more. A template of fewer than
+five words is one shingle of its own width, whose one window of one band is equal or not.
+
+Matches of a text do not overlap: of overlapping ones that with the greatest containment, then the longest stays, so that a notice of
+version 3 is not one of version 2 as well.
 
 All texts of a slice are signed together with numpy; templates are a fixed short list, so nothing is shuffled.
 
-Cases: null text and texts of fewer than five words match nothing; repeated rows are scanned row by row; overlapping matches of one template
-are one match (the best); an empty table gives an empty table.
+Cases: null text and texts shorter than any template match nothing; repeated rows are scanned row by row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
@@ -27,7 +31,7 @@ from .common import map_texts, sql_type
 
 SHINGLE, MIN_CONTAINED, BANDS, ROWS = 5, 0.8, 4, 2
 #: Window sizes in shingles, the stride of a text's windows, and the shingles from which a template takes the size.
-SIZES = [(1, 1, 1), (4, 1, 4), (16, 8, 23)]
+SIZES = [(1, 1, 1), (4, 1, 4), (16, 8, 31)]
 WORD = re.compile(r"[^\W_]+")
 
 #: Notices and texts of licenses.
@@ -40,12 +44,58 @@ TEMPLATES = {
     "CC-BY-NC-4.0 notice": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     "CC-BY-SA-4.0 notice": ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     "CC-BY-4.0 notice": ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    "Apache-2.0 name": ("Apache-2.0", "Apache License 2.0"),
+    "BSD notice": ("BSD", "Released under the BSD License"),
+    "BSD notice, licensed": ("BSD", "Licensed under the BSD License"),
+    "LGPL-2.1 notice": ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    "LGPL-3.0 notice": ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    "AGPL-3.0 notice": ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    "CC-BY-4.0 notice, short": ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    "CC-BY-ND-4.0 notice": ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    "CC-BY-NC-SA-4.0 notice": ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    "CC-BY-NC-ND-4.0 notice": ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    "CC-BY-SA-4.0 notice, long": ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0 notice, long": ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0 notice": ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    "CC0-1.0 deed": ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    "BSL-1.0 notice": ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    "EPL-2.0 header": ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    "EPL-1.0 header": ("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0"),
+    "SPDX MIT": ("MIT", "SPDX-License-Identifier: MIT"),
+    "SPDX ISC": ("ISC", "SPDX-License-Identifier: ISC"),
+    "SPDX Unlicense": ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    "SPDX Zlib": ("Zlib", "SPDX-License-Identifier: Zlib"),
+    "SPDX Apache-2.0": ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "SPDX BSD-2-Clause": ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    "SPDX BSD-3-Clause": ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    "SPDX BSL-1.0": ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    "SPDX MPL-2.0": ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "SPDX EPL-2.0": ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    "SPDX GPL-2.0": ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    "SPDX GPL-3.0": ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    "SPDX LGPL-2.1": ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    "SPDX LGPL-3.0": ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    "SPDX AGPL-3.0": ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    "SPDX CC0-1.0": ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    "SPDX CC-BY-4.0": ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    "SPDX CC-BY-SA-4.0": ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "MPL-2.0 header": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "Apache-2.0 header": ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     "GPL header": ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     "MIT text": ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     "ISC text": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "BSD text": ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    "BSD-3-Clause text": ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "LGPL header": ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    "AGPL header": ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    "Unlicense text": ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib text": ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    "BSL-1.0 text": ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    "Apache-2.0 text": ("Apache-2.0", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    "GPL-2.0 text": ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    "GPL-3.0 text": ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    "AGPL-3.0 text": ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    "MPL-2.0 text": ("MPL-2.0", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
 }
 
 
@@ -65,10 +115,10 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    n = max(0, len(words) - SHINGLE + 1)
+def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    n = max(0, len(words) - width + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(width):
         out = out * np.uint64(0x100000001B3) + mixed(words[i : i + n], 1)
     return out
 
@@ -91,42 +141,52 @@ class Index:
     MASK = (1 << 20) - 1
 
     def __init__(self, templates: dict[str, tuple[str, str]]):
-        self.words = {name: words_of(text) for name, (_, text) in templates.items()}
-        self.shingles = {name: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for name, w in self.words.items()}
-        self.maybe = {(size, b): np.zeros(self.MASK + 1, bool) for size, _, _ in SIZES for b in range(BANDS)}
-        self.names: dict[tuple[int, int, int], set[str]] = {}
+        self.words = {name: words for name, (_, text) in templates.items() if (words := words_of(text))}
+        self.width = {name: min(SHINGLE, len(w)) for name, w in self.words.items()}
+        self.shingles = {name: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for name, w in self.words.items() for k in [self.width[name]]}
+        self.maybe: dict[tuple[int, int, int], np.ndarray] = {}
+        self.names: dict[tuple[int, int, int, int], set[str]] = {}
         for name, words in self.words.items():
-            n = len(words) - SHINGLE + 1
+            width = self.width[name]
+            n = len(words) - width + 1
             size = max(s for s, _, least in SIZES if n >= least)
-            for b, keys in enumerate(band_keys(shingle_hashes(word_hashes(words)))[size]):
-                self.maybe[size, b][keys & np.uint64(self.MASK)] = True
+            for b, keys in enumerate(self.keys(word_hashes(words), width)[size]):
+                self.maybe.setdefault((width, size, b), np.zeros(self.MASK + 1, bool))[keys & np.uint64(self.MASK)] = True
                 for k in keys.tolist():
-                    self.names.setdefault((size, b, k), set()).add(name)
+                    self.names.setdefault((width, size, b, k), set()).add(name)
+
+    @staticmethod
+    def keys(words: np.ndarray, width: int) -> dict[int, list[np.ndarray]]:
+        shingles = shingle_hashes(words, width)
+        return band_keys(shingles) if width == SHINGLE else {1: [shingles]}
 
     def retrieve(self, words: np.ndarray) -> list[tuple[int, str]]:
         """(position of a window, template) by the bands; positions are in shingles."""
         found = set()
-        for size, bands in band_keys(shingle_hashes(words)).items():
-            stride = next(st for s, st, _ in SIZES if s == size)
-            for b, keys in enumerate(bands):
-                own = keys[::stride]
-                for i in np.flatnonzero(self.maybe[size, b][own & np.uint64(self.MASK)]).tolist():
-                    for name in self.names.get((size, b, int(own[i])), ()):
-                        found.add((i * stride, name))
+        for width in set(self.width.values()):
+            for size, bands in self.keys(words, width).items():
+                stride = next(st for s, st, _ in SIZES if s == size)
+                for b, keys in enumerate(bands):
+                    if (width, size, b) not in self.maybe:
+                        continue
+                    own = keys[::stride]
+                    for i in np.flatnonzero(self.maybe[width, size, b][own & np.uint64(self.MASK)]).tolist():
+                        for name in self.names.get((width, size, b, int(own[i])), ()):
+                            found.add((i * stride, name))
         return sorted(found)
 
     def verify(self, words: list[str], at: int, name: str, least: float, after: int = 0) -> tuple[int, int, float] | None:
         """(first word, end word, containment) of the template around a window, not before word `after`, or None."""
-        want, n = self.shingles[name], len(self.words[name])
+        want, n, width = self.shingles[name], len(self.words[name]), self.width[name]
         low = max(after, at - n)
         near = words[low : at + 2 * n]
-        hits = [i for i in range(len(near) - SHINGLE + 1) if tuple(near[i : i + SHINGLE]) in want]
+        hits = [i for i in range(len(near) - width + 1) if tuple(near[i : i + width]) in want]
         best = None
         for a in range(len(hits)):  # the best stretch of about the template's length
-            inside = [i for i in hits[a:] if i < hits[a] + n - SHINGLE + 1 + n // 4]
-            share = len({tuple(near[i : i + SHINGLE]) for i in inside}) / len(want)
+            inside = [i for i in hits[a:] if i < hits[a] + n - width + 1 + n // 4]
+            share = len({tuple(near[i : i + width]) for i in inside}) / len(want)
             if share >= least and (best is None or share > best[2]):
-                best = (low + inside[0], low + inside[-1] + SHINGLE, share)
+                best = (low + inside[0], low + inside[-1] + width, share)
         return best
 
 
@@ -136,17 +196,24 @@ def default_index() -> Index:
 
 
 def find_matches(index: Index, templates: dict[str, tuple[str, str]], words: list[str], places: list[tuple[int, str]], least: float) -> list[tuple[str, str, int, int, float]]:
-    """Verified matches (template, license, first word, end word, containment), one for overlapping ones of a template."""
+    """Verified matches (template, license, first word, end word, containment) that do not overlap, the best of those that would."""
     out: dict[tuple[str, int], tuple[str, str, int, int, float]] = {}
     until: dict[str, int] = {}
     for at, name in places:
         end = until.get(name, 0)
-        if at < end - SHINGLE + 1:
+        if at < end - index.width[name] + 1:
             continue  # inside a match of this template
         if got := index.verify(words, at, name, least, end):
             out[name, got[0]] = (name, templates[name][0], *got)
             until[name] = got[1]
-    return sorted(out.values(), key=lambda x: (x[2], x[0]))
+    kept: list[tuple[str, str, int, int, float]] = []
+    starts: list[int] = []
+    for m in sorted(out.values(), key=lambda m: (-m[4], m[2] - m[3], m[2], m[0])):
+        i = bisect.bisect_left(starts, m[3])  # kept matches that start before its end; the last of them reaches furthest
+        if i == 0 or kept[i - 1][3] <= m[2]:
+            starts.insert(i, m[2])
+            kept.insert(i, m)
+    return kept
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, str]] | None = None, least: float = MIN_CONTAINED) -> DataFrame:
