@@ -7,7 +7,7 @@ letters that make up WORD_SHARE or more of all such words of the corpus, so ther
 
 The forest is trained from labelled findings: any table of (value, path, left, right, label) will do; by default labelled_findings(),
 a set of LABELLED findings made by stated rules (known shapes of secrets beside names of secrets; digests, identifiers, numbers,
-words and placeholders beside harmless words). Scores are computed for every candidate of the whole corpus.
+words beside harmless words; placeholders and names of variables). Scores are computed for every candidate of the whole corpus.
 
 Cases: null text has no candidates; a null path is the path ''; repeated rows are scanned row by row; an empty table gives an empty
 table; without any dictionary word coverage is 0; columns of any other name are left alone.
@@ -39,7 +39,9 @@ SECRET_WORDS = "token secret password passwd pwd apikey api_key access_key priva
 HARMLESS_WORDS = "sha sha1 sha256 md5 commit digest checksum hash etag uuid guid id isbn revision integrity build version order invoice phone example sample dummy placeholder".split()
 TEST_PATHS = "test spec fixture example sample mock doc lock".split()
 SETTING_PATHS = "env config settings properties yml yaml json secrets credentials".split()
-PLACEHOLDERS = "example changeme placeholder your_ xxxx dummy sample todo redacted".split()
+PLACEHOLDERS = "example changeme placeholder your_ your- insert_ insert- _here -here xxxx dummy sample todo redacted".split()
+#: Signs around the name of a variable that stands in for a value.
+REFERENCES = [("${", "}"), ("$(", ")"), ("{{", "}}"), ("<", ">"), ("%", "%")]
 
 ASSIGNED = re.compile(r"""(?i)[\w.-]{0,40}(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|credential)[\w.-]{0,20}["']?\s{0,3}(?::=|=>|[:=])\s{0,3}(["'`]?)([^\s"'`,;]{8,})\1""")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
@@ -47,7 +49,7 @@ MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 #: What a text must hold for the two patterns to find anything.
 NAMED = ["token", "secret", "passw", "pwd", "key", "auth", "credential"]
 DIGIT, CAMEL = re.compile("[0-9]"), re.compile("[a-z][A-Z]")
-NAMES = ["length", "digits", "upper", "symbols", "changes", "transition", "coverage", "variety", "hex", "secret_near", "assigned", "quoted", "harmless_near", "test_path", "setting_path", "placeholder"]
+NAMES = ["length", "digits", "upper", "symbols", "changes", "transition", "coverage", "variety", "hex", "secret_near", "assigned", "quoted", "harmless_near", "test_path", "setting_path", "placeholder", "reference"]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -109,6 +111,7 @@ def features(value: str, path: str, left: str, right: str, lexicon: Lexicon) ->
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, lexicon.transition(value), lexicon.coverage(value), len(set(low)) / min(n, 36),
         float(re.fullmatch(r"[0-9a-f]+", low) is not None), has(SECRET_WORDS), float(re.search(r"[:=]\s*[\"'`]?$", left) is not None), float(left[-1:] in "\"'`" and left != ""),
         float(any(w in HARMLESS_WORDS for w in near)), float(any(w in where for w in TEST_PATHS)), float(any(w in where for w in SETTING_PATHS)), float(any(w in low for w in PLACEHOLDERS)),
+        float(any(value.startswith(a) and value.endswith(b) for a, b in REFERENCES)),
     ]
 
 
@@ -158,6 +161,16 @@ def labelled_findings(words: list[str], n: int = LABELLED, seed: int = 7) -> lis
         lambda: (f"{r.choice(SECRET_WORDS)} = ", "".join(r.choice(words) for _ in range(3)) + "_" + r.choice(words)),
         lambda: ("at ", f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}"),
     ]
+    cased = lambda v: r.choice([v, v.upper(), v.capitalize()])
+    assigned = lambda: r.choice(SECRET_WORDS) + r.choice([" = \"", "=", ": "])
+    several = lambda sign: sign.join(r.choice(words) for _ in range(r.randint(1, 3)))
+    enclosed = lambda v: v.join(r.choice(REFERENCES))
+    stand_in = lambda sign: cased(sign.join([r.choice(["your", "insert", "example", "sample", "dummy", "my"]), several(sign), r.choice(["here", "value", "key", "1", "123"])]))
+    harmless += [
+        lambda: (assigned(), enclosed(several("_"))),
+        lambda: (assigned(), enclosed(cased(several("_")))),
+        lambda: (assigned(), stand_in(r.choice("_-"))),
+    ]
     out = []
     for i in range(n):
         path = r.choice(["", f"src{r.randint(0, 99)}", "config.yml", ".env", "tests/fixture.json", "docs/readme", "package-lock.json"])
