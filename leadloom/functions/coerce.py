@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -50,6 +50,18 @@ def clean_contact(c: Column | str) -> Column:
     return F.when(F.lower(v).isin("", "none", "no", "n/a", "null", "false"), "").otherwise(v)
 
 
+def repair_shifted(df: DataFrame, name: str = "author_name", phone: str = "phone", mail: str = "email", mail_proof: str = "email_proof", phone_proof: str = "phone_proof") -> DataFrame:
+    """df with cells that slipped by a column put back: a name that stands as the phone, and an address that stands as its own proof (the phone's proof then becomes the address's, if it is a link)."""
+    number, address, proof, other = clean_contact(phone), clean_contact(mail), F.trim(text(mail_proof)), F.trim(text(phone_proof))
+    link = lambda c: c.rlike("^https?://")
+    named = F.lower(text(name)).rlike("children|verified") & (number != "") & ~number.rlike(r"\p{N}")
+    moved = (address == "") & F.contains(proof, F.lit("@")) & ~link(proof)
+    return df.withColumns({
+        name: F.when(named, number).otherwise(text(name)), phone: F.when(named, "").otherwise(number), mail: F.when(moved, proof).otherwise(address),
+        mail_proof: F.when(moved & link(other), other).when(moved, "").otherwise(proof), phone_proof: F.when(moved & link(other), "").otherwise(other),
+    })
+
+
 def children_flags(c: Column | str) -> Column:
     """struct(is_childrens, is_picture), three-valued, from a proof text."""
     v = F.lower(F.trim(text(c)))

@@ -126,9 +126,14 @@ def value_in_evidence(values: DataFrame, evidence: DataFrame) -> DataFrame:
     return left.join(rows, (F.col("v.lead_id") == rows.lead_id) & hit, "left_semi")
 
 
+#: Patterns up to this many are sent to the terms.
+GRID_PATTERNS = 10_000
+
+
 def query_grid(patterns: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, ord): each pattern (pattern, p) with each term (term, t), patterns first, first occurrence of a query kept. Both tables are short lists by nature."""
-    rows = patterns.crossJoin(F.broadcast(terms)).withColumn("query", F.replace("pattern", F.lit("{term}"), F.col("term")))
+    """(query, ord): each pattern (pattern, p) with each term (term, t), patterns first, first occurrence of a query kept. The patterns are a stated list, sent to the terms once counted; a longer one is paired in blocks."""
+    few = patterns.limit(GRID_PATTERNS + 1).count() <= GRID_PATTERNS
+    rows = terms.crossJoin(F.broadcast(patterns) if few else patterns).withColumn("query", F.replace("pattern", F.lit("{term}"), F.col("term")))
     first = rows.groupBy("query").agg(F.min(F.struct("p", "t")).alias("ord"))
     return first.select("query", "ord.p", "ord.t")
 

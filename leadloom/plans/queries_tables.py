@@ -227,12 +227,12 @@ def unassigned_leads(t: Tables) -> DataFrame:
 
 
 @query(
-    "leads", "authors", "candidates",
-    sql="""with d as (select lead_id, regexp_extract(regexp_extract(u, '://([^/]+)', 1), '([^.]+[.][^.]+)$', 1) as domain from (select lead_id, unnest([canonical_website, contact_page_url]) as u from leads left join authors using (author_id)) where u > '')
+    "leads", "authors", "candidates", "evidence",
+    sql="""with d as (select lead_id, regexp_extract(regexp_extract(u, '://([^/]+)', 1), '([^.]+[.][^.]+)$', 1) as domain from (select lead_id, unnest([canonical_website, contact_page_url]) as u from leads left join authors using (author_id) union all select lead_id, source_url from evidence where book_id % 3 = 0 and evidence_type in ('official_author_site', 'contact_page', 'manual')) where u > '')
 select count(*) as n, count(*) filter (exists (select 1 from d where d.lead_id = c.lead_id and d.domain = regexp_extract(split_part(c.normalized_value, '@', 2), '([^.]+[.][^.]+)$', 1))) as aligned from candidates c where channel = 'email'""",
 )
 def author_domains_alignment(t: Tables) -> DataFrame:
-    sites = match.author_domains(t.leads.join(t.authors, "author_id", "left"), t.evidence.limit(0).withColumn("trusted", F.lit(False)))
+    sites = match.author_domains(t.leads.join(t.authors, "author_id", "left"), t.evidence.withColumn("trusted", F.col("book_id") % 3 == 0))
     rows = match.domain_alignment(t.candidates.where("channel = 'email'"), sites)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("domain_aligned").alias("aligned"))
 

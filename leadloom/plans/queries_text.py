@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import coerce, contacts, ids, scores, trust, urls
+from ..functions import coerce, contacts, fixed, ids, scores, trust, urls
 from ..functions import text as X
 from ..operators import evidence, state
 from ..operators.dedupe import dedupe_first
@@ -41,60 +41,13 @@ def person_names(t: Tables) -> DataFrame:
     return t.books.select("book_id", X.clean_person_name(noisy).alias("name"), X.valid_person_name("author_name").alias("valid"))
 
 
-@query("books", sql="select book_id, array_to_string(list_filter(string_split(lower(author_name), ' '), lambda x: len(x) >= 3), ' ') as author_tokens, array_to_string(list_distinct(list_filter(string_split(lower(regexp_replace(title, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 4 and x not in ('paperback', 'amazon', 'the'))), ' ') is not null as has_tokens from books")
-def author_and_title_tokens(t: Tables) -> DataFrame:
-    return t.books.select("book_id", F.array_join(X.author_tokens("author_name"), " ").alias("author_tokens"), X.title_tokens("title").isNotNull().alias("has_tokens"))
-
-
-@query()
-def title_anchor(t: Tables) -> DataFrame:
-    heads = F.substring_index("text", ".", 1)
-    return t.documents.select("doc_id", X.title_anchor(heads).alias("anchor"))
-
-
-@query("books", sql=f"select book_id, {NORM.format('title')} = '' or ({NORM.format('title')} = lower(asin) and asin > '') as placeholder from books")
-def placeholder_title(t: Tables) -> DataFrame:
-    return t.books.select("book_id", X.placeholder_title("title", "asin").alias("placeholder"))
-
-
-@query("books", sql="select book_id, len(list_filter(list_filter(string_split(lower(author_name), ' '), lambda x: len(x) >= 3), lambda x: not list_contains(string_split(lower(title), ' '), x))) = 0 as fragment from books")
-def name_is_title_fragment(t: Tables) -> DataFrame:
-    return t.books.select("book_id", X.name_is_title_fragment("author_name", "title").alias("fragment"))
-
-
-@query()
-def guess_title_author(t: Tables) -> DataFrame:
-    """Titles as search results have them, parsed by the ladder."""
-    raw = F.when(F.col("book_id") % 3 == 0, F.concat(F.col("title"), F.lit(" by "), F.col("author_name"), F.lit(" (Author)"))).when(F.col("book_id") % 3 == 1, F.concat(F.col("title"), F.lit(": "), F.split_part("author_name", F.lit(" "), F.lit(2)), F.lit(", "), F.split_part("author_name", F.lit(" "), F.lit(1)), F.lit(": 9780689851599"))).otherwise(F.col("title"))
-    return t.books.select("book_id", X.guess_title_author(raw, F.lit("")).alias("g")).select("book_id", "g.*")
-
-
-@query("books", sql="select book_id, case when author_name in ('', 'Brand House Press') and book_id % 2 = 0 then author_name when book_id % 2 = 0 then author_name else '' end as author from books where author_name <> '' and title not like '%(%' and title <> ''")
-def split_title_by_author(t: Tables) -> DataFrame:
-    raw = F.when(F.col("book_id") % 2 == 0, F.concat("title", F.lit(" by "), "author_name")).otherwise(F.col("title"))
-    return t.books.where("author_name <> '' and title not like '%(%' and title <> ''").select("book_id", X.split_title_by_author(raw)["author"].alias("author"))
-
-
-@query()
-def authors_from_colon_title(t: Tables) -> DataFrame:
-    raw = F.concat("title", F.lit(": "), F.split_part("author_name", F.lit(" "), F.lit(2)), F.lit(", "), F.split_part("author_name", F.lit(" "), F.lit(1)), F.lit(", Doe, Jamie: 9780689851599"))
-    return t.books.select("book_id", F.array_join(X.authors_from_colon_title(raw), "; ").alias("authors"))
-
-
-@query()
-def parse_review_title(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("Book Review: "), "title", F.lit(" by "), "author_name", F.lit(" | The Shelf"))
-    return t.books.select("book_id", X.parse_review_title(raw, F.lit("")).alias("p")).select("book_id", "p.*")
-
+TITLE_TOKENS = f"list_distinct(list_filter(string_split({NORM.format('title')}, ' '), lambda x: len(x) >= 4 and not list_contains({fixed.TITLE_STOPS}, x)))"
 
-@query("books", sql="select book_id, case when amazon_book_url = '' then '' when asin > '' then 'Ref=x' else 'B' end as word from books where amazon_book_url = '' or asin > ''")
-def humanize_slug(t: Tables) -> DataFrame:
-    return t.books.where("amazon_book_url = '' or asin > ''").select("book_id", X.humanize_slug("amazon_book_url").alias("word"))
 
-
-@query("runs", sql="select run_id, trim(regexp_replace(lower(keyword), '[^a-z0-9]+', '-', 'g'), '-') as slug from runs")
-def keyword_slug(t: Tables) -> DataFrame:
-    return t.runs.select("run_id", X.keyword_slug("keyword").alias("slug"))
+@query("books", sql=f"""select book_id, array_to_string(list_filter(string_split(lower(author_name), ' '), lambda x: len(x) >= 3), ' ') as author_tokens,
+  array_to_string(list_sort({TITLE_TOKENS}), ' ') as title_tokens from books""")
+def author_and_title_tokens(t: Tables) -> DataFrame:
+    return t.books.select("book_id", F.array_join(X.author_tokens("author_name"), " ").alias("author_tokens"), F.array_join(F.sort_array(X.title_tokens("title")), " ").alias("title_tokens"))
 
 
 @query()
@@ -119,9 +72,27 @@ def listing_confidence(t: Tables) -> DataFrame:
     return t.books.select("book_id", urls.listing_confidence("title", "amazon_book_url", F.lit("")).alias("confidence"))
 
 
-@query("evidence", sql="select evidence_id, case when source_url = '' then null when contains(source_url, 'goodreads') then 'goodreads' else 'author_site' end as kind from evidence where source_url > ''")
+#: Addresses of every class by a number of the lead; the kinds in SQL stand beside them.
+LINKS = [
+    ("source_url", "case when source_url = '' then null when contains(source_url, 'goodreads.') then 'goodreads' else 'author_site' end"),
+    ("'https://www.amazon.co.uk/dp/B000000001'", "'amazon_book'"),
+    ("'https://www.amazon.com/author/' || lead_id", "'unrelated'"),
+    ("'https://www.Instagram.com/a' || lead_id", "'instagram'"),
+    ("'https://youtu.be/' || lead_id", "'youtube'"),
+    ("'https://en.wikipedia.org/wiki/' || lead_id", "'unrelated'"),
+    ("'https://quill-press.example.test/' || lead_id", "'publisher_site'"),
+    ("'https://impressive.example.test/press/' || lead_id", "'author_site'"),
+]
+
+
+def linked(k: int) -> str:
+    return f"case lead_id % {len(LINKS)} " + " ".join(f"when {i} then {x[k]}" for i, x in enumerate(LINKS)) + " end"
+
+
+@query("evidence", sql=f"select evidence_id, kind, cast(case kind when 'amazon_book' then 0.9 when 'unrelated' then 0.2 when 'publisher_site' then 0.55 when 'author_site' then 0.45 else 0.85 end as double) as confidence from (select evidence_id, {linked(1)} as kind from evidence) where kind is not null")
 def classify_url(t: Tables) -> DataFrame:
-    return t.evidence.where(X.present("source_url")).select("evidence_id", urls.classify_url("source_url")["kind"].alias("kind"))
+    rows = t.evidence.select("evidence_id", F.expr(linked(0)).alias("url")).where(X.present("url"))
+    return rows.select("evidence_id", urls.classify_url("url").alias("c")).select("evidence_id", "c.kind", F.col("c.confidence").cast("double").alias("confidence"))
 
 
 @query(sql="select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) as registered, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') as url_key, regexp_extract(url, '^(https?://[^/?#]+)', 1) as root from pages")
@@ -134,14 +105,20 @@ def blocked_hosts(t: Tables) -> DataFrame:
     return t.evidence.select("evidence_id", urls.platform_source("source_url").alias("blocked"))
 
 
-@query("leads", sql="select lead_id, public_email = '' as blocked, false as desk from leads")
+MAILS = "case lead_id % 6 when 0 then public_email when 1 then 'admin@s' || lead_id || '.example.test' when 2 then 'Support@shop.amazon.co.uk' when 3 then 'x' || lead_id || '@mail.goodreads.com' when 4 then 'no-reply@press.example.test' else 'no address' end"
+
+
+@query("leads", sql="select lead_id, case lead_id % 6 when 0 then public_email = '' else lead_id % 6 in (2, 3, 5) end as blocked, lead_id % 6 in (1, 2, 4) as desk from leads")
 def blocked_email_domains(t: Tables) -> DataFrame:
-    return t.leads.select("lead_id", urls.blocked_mail("public_email").alias("blocked"), urls.desk_mailbox("public_email").alias("desk"))
+    return t.leads.select("lead_id", F.expr(MAILS).alias("m")).select("lead_id", urls.blocked_mail("m").alias("blocked"), urls.desk_mailbox("m").alias("desk"))
+
+
+SITES = "case lead_id % 5 when 0 then canonical_website when 1 then 'https://books.s' || lead_id || '.example.test/a' when 2 then 'https://www.other.example.org/x' when 3 then 'http://EXAMPLE.test' else 'no site' end"
 
 
-@query("leads", "authors", sql="select lead_id, public_email > '' and coalesce(canonical_website, '') > '' as aligned from leads left join authors using (author_id)")
+@query("leads", "authors", sql="select lead_id, public_email > '' and case lead_id % 5 when 0 then coalesce(canonical_website, '') > '' else lead_id % 5 in (1, 3) end as aligned from leads left join authors using (author_id)")
 def domains_align(t: Tables) -> DataFrame:
-    return t.leads.join(t.authors, "author_id", "left").select("lead_id", urls.domains_align("public_email", "canonical_website").alias("aligned"))
+    return t.leads.join(t.authors, "author_id", "left").select("lead_id", urls.domains_align("public_email", F.expr(SITES)).alias("aligned"))
 
 
 @query(sql="select page_id, url like 'http%' and not list_has_any(string_split(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), ['admin', 'login', 'signin', 'account', 'cart', 'checkout', 'wp-admin', 'dashboard']) as ok from pages")
@@ -149,14 +126,18 @@ def public_url_syntax(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.public_url("url").alias("ok"))
 
 
-@query("evidence", sql="select evidence_id, false as publisher, false as hint from evidence")
+OFFICES = "case lead_id % 5 when 0 then source_url when 1 then 'https://quill-press.example.test/x' when 2 then 'https://www.goodreads.com/press' when 3 then 'https://impressive.example.test' else '' end"
+OFFICE_TITLES = "case lead_id % 5 when 0 then source_title when 1 then 'write to the agency' when 2 then 'a School  visit, school visits' when 3 then 'Submissions open' else 'quiet repress title' end"
+
+
+@query("evidence", sql="select evidence_id, lead_id % 5 = 1 as publisher, lead_id % 5 in (1, 2, 3) as hint from evidence")
 def publisher_or_agency_site(t: Tables) -> DataFrame:
-    return t.evidence.select("evidence_id", urls.publisher_site("source_url").alias("publisher"), urls.role_hint("source_title").alias("hint"))
+    return t.evidence.select("evidence_id", urls.publisher_site(F.expr(OFFICES)).alias("publisher"), urls.role_hint(F.expr(OFFICE_TITLES)).alias("hint"))
 
 
-@query("authors", sql="select author_id, count(*) as n from authors, range(20) where canonical_website > '' group by 1")
+@query("authors", sql=f"select author_id, regexp_extract(canonical_website, '^(https?://[^/?#]+)', 1) || p as page from authors, (select unnest({urls.SITE_PATHS}) as p) where canonical_website > ''")
 def candidate_pages(t: Tables) -> DataFrame:
-    return t.authors.select("author_id", F.explode(urls.candidate_pages("canonical_website")).alias("p")).groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.authors.select("author_id", F.explode(urls.candidate_pages("canonical_website")).alias("page"))
 
 
 ISBN = "978' || lpad('' || (p_partkey % 1000000000), 9, '0')"
@@ -209,11 +190,17 @@ def build_book_record(t: Tables) -> DataFrame:
 
 
 # ---- identity ----
-@query("leads", "books", sql="select lead_id, author_name <> '' as named, false as strict from leads join books using (book_id)")
+#: Texts that name the author in full, joined, by the surname, not at all, by surname and title, and with the names turned.
+NAMED = """case lead_id % 6 when 0 then 'a visit by ' || author_name when 1 then 'by ' || lower(replace(author_name, ' ', '')) when 2 then 'on Mr ' || split_part(author_name, ' ', 2)
+  when 3 then 'nobody here' when 4 then split_part(author_name, ' ', 2) || ' wrote ' || title else split_part(author_name, ' ', 2) || ', ' || split_part(author_name, ' ', 1) end"""
+PERSON = "author_name <> '' and author_name <> 'Brand House Press'"
+
+
+@query("leads", "books", sql=f"""select lead_id, case when lead_id % 6 in (0, 1) then author_name <> '' when lead_id % 6 = 2 then {PERSON} and (len(split_part(author_name, ' ', 2)) >= 5 or len({TITLE_TOKENS}) = 0) else {PERSON} and lead_id % 6 > 3 end as named,
+  case when lead_id % 6 in (0, 1) then author_name <> '' when lead_id % 6 = 4 then {PERSON} and len({TITLE_TOKENS}) > 0 else {PERSON} and lead_id % 6 = 5 end as strict from leads join books using (book_id)""")
 def identity_appears(t: Tables) -> DataFrame:
-    rows = t.leads.join(t.books.drop("author_id"), "book_id")
-    words = F.concat(F.lit("a visit by "), "author_name")
-    return rows.select("lead_id", trust.identity_appears("author_name", "title", words).alias("named"), trust.identity_strict("author_name", "title", F.lit("nobody")).alias("strict"))
+    rows = t.leads.join(t.books.drop("author_id"), "book_id").withColumn("words", F.expr(NAMED))
+    return rows.select("lead_id", trust.identity_appears("author_name", "title", "words").alias("named"), trust.identity_strict("author_name", "title", "words").alias("strict"))
 
 
 @query("books", sql="select book_id, author_name not in ('') as hit from books")
@@ -333,9 +320,15 @@ def extract_phones(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(contacts.extract_phones("text", require_context=False)).alias("phone"))
 
 
-@query("candidates", sql="select candidate_id, normalized_value as e164, 'landline' as line_type, regexp_matches(normalized_value, '^\\+1\\d{3}55501\\d\\d$') as is_fake from candidates where channel = 'phone'")
+#: Numbers as they stand: landline, toll-free, premium, fictional, foreign, with brackets, with a word; digits from the candidate's own.
+NUMBERS = """case verification_score % 7 when 0 then normalized_value when 1 then '+1800' || substr(normalized_value, 6) when 2 then '+1900' || substr(normalized_value, 6) when 3 then '+121255501' || right(normalized_value, 2)
+  when 4 then '+4420' || substr(normalized_value, 6) when 5 then '(212) ' || substr(normalized_value, 6, 3) || '-' || substr(normalized_value, 9) else 'call ' || normalized_value end"""
+
+
+@query("candidates", sql=f"""select candidate_id, case verification_score % 7 when 5 then '+1212' || substr(normalized_value, 6) when 6 then '' else {NUMBERS} end as e164, case when verification_score % 7 in (0, 3, 5) then 'landline' when verification_score % 7 = 1 then 'toll_free' when verification_score % 7 = 2 then 'premium_rate' else 'unknown' end as line_type,
+  case when verification_score % 7 in (4, 6) then '' else 'US' end as region, verification_score % 7 = 3 as is_fake, verification_score % 7 in (0, 1, 4, 5) as valid from candidates where channel = 'phone'""")
 def phone_details(t: Tables) -> DataFrame:
-    return t.candidates.where("channel = 'phone'").select("candidate_id", contacts.phone_details("normalized_value").alias("d")).select("candidate_id", "d.e164", "d.line_type", "d.is_fake")
+    return t.candidates.where("channel = 'phone'").select("candidate_id", contacts.phone_details(F.expr(NUMBERS)).alias("d")).select("candidate_id", "d.e164", "d.line_type", "d.region", "d.is_fake", "d.valid")
 
 
 @query("leads", sql="select lead_id, public_email > '' as valid from leads")
@@ -397,12 +390,19 @@ def json_state_fields(t: Tables) -> DataFrame:
     return t.events.select("event_id", coerce.state_field("props", "k").alias("k"), coerce.state_field("props", "none").alias("missing"))
 
 
-@query("leads", sql="select lead_id, case when lead_id % 3 = 0 then public_email else '' end as email from leads")
+#: Rows of a sheet by a number of the lead: in place; the name beside a phone; the address in its proof column, with and without another proof.
+SHEET = {
+    "author_name": "case when lead_id % 4 = 1 then 'Verified children author' else 'Alex Maple' end", "phone": "case when lead_id % 4 = 1 then 'Kim Rowan' else public_phone end", "email": "case when lead_id % 4 > 1 then 'none' else public_email end",
+    "email_proof": "case when lead_id % 4 > 1 then public_email else 'https://x.example.test/m' end", "phone_proof": "case when lead_id % 4 = 2 then 'https://x.example.test/p' else '' end",
+}
+CELLS = ["lead_id", *(f"{v} as {k}" for k, v in SHEET.items())]
+
+
+@query("leads", sql=f"""with s as (select {', '.join(CELLS)} from leads) select lead_id, case when lead_id % 4 = 1 then 'Kim Rowan' else author_name end as author_name, case when lead_id % 4 = 1 then '' else phone end as phone,
+  case when lead_id % 4 > 1 then email_proof else email end as email, case when lead_id % 4 > 1 and email_proof > '' then phone_proof else email_proof end as email_proof, case when email_proof > '' and lead_id % 4 > 1 then '' else phone_proof end as phone_proof from s""")
 def repair_shifted_columns(t: Tables) -> DataFrame:
-    """An address that stands in the proof column moves to its own."""
-    proof = F.when(F.col("lead_id") % 3 == 0, F.col("public_email")).otherwise("https://x.example.test/p")
-    moved = F.when(F.contains(proof, F.lit("@")) & ~proof.rlike("^https?://"), proof).otherwise("")
-    return t.leads.select("lead_id", moved.alias("email"))
+    sheet = t.leads.selectExpr(*CELLS)
+    return coerce.repair_shifted(sheet)
 
 
 # ---- pages ----
@@ -478,10 +478,17 @@ def volume_candidates(t: Tables) -> DataFrame:
     return catalogs.volume_candidates(t.books.select(F.col("book_id").alias("volume_id"), payload.alias("payload")))
 
 
-@query("books", sql="select book_id as doc_id, cast(publication_date as int) as year from books where false")
+#: Codes of editions: right ones, of which the numbers from 1500 repeat, and a tenth with a wrong check digit.
+EDITION = f"with c as (select *, '978' || lpad('' || (book_id % 1500), 9, '0') as s from books), e as (select *, s || ({CHECK13} + case when book_id % 10 = 3 then 1 else 0 end) % 10 as isbn, try_cast(publication_date as int) as y from c)"
+
+
+@query("books", sql=f"{EDITION}, g as (select isbn, min(book_id) as doc_id from e where book_id % 10 <> 3 and y between 2000 and 2020 group by isbn) select doc_id, y as year from g join e on doc_id = book_id")
 def edition_candidates(t: Tables) -> DataFrame:
-    docs = t.books.select(F.col("book_id").alias("doc_id"), "title", F.array("author_name").alias("author_names"), F.array("asin").alias("isbns"), F.array(F.col("publication_date").try_cast("int")).alias("years"))
-    return catalogs.edition_candidates(docs, 1990, 2030).select("doc_id", "year")
+    s = F.concat(F.lit("978"), F.lpad((F.col("book_id") % 1500).cast("string"), 9, "0"))
+    total = sum((F.substring(s, i, 1).cast("int") * (1 if i % 2 else 3) for i in range(1, 13)), F.lit(0))
+    isbn = F.concat(s, (((10 - total % 10) % 10 + F.when(F.col("book_id") % 10 == 3, 1).otherwise(0)) % 10).cast("string"))
+    docs = t.books.select(F.col("book_id").alias("doc_id"), "title", F.array("author_name").alias("author_names"), F.array("asin", isbn).alias("isbns"), F.array(F.col("publication_date").try_cast("int")).alias("years"))
+    return catalogs.edition_candidates(docs, 2000, 2020).select("doc_id", "year")
 
 
 @query()
