@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_present, text
+from .text import bound, first_present, text
 from .urls import listing_id, marketplace_host
 
 TOKEN = r"(?i)https?://[^\s,;]+|(?:97[89][\s-]?)?(?:\d[\s-]?){9}[\dXx]|\b[A-Za-z0-9]{10}\b"
@@ -49,9 +49,11 @@ def canonical_isbn(value: Column) -> Column:
 
 def analyze_identifier(c: Column | str) -> Column:
     """struct(canonical, type, valid, confidence, isbn10, isbn13, warnings). A code is tried as an ISBN before it is tried as B0… ."""
-    raw = F.trim(text(c))
-    candidate = F.coalesce(F.when(marketplace_host(raw).isNotNull(), F.coalesce(listing_id(raw), F.lit(""))), raw)
-    code = canonical_isbn(candidate)
+    candidate = bound(F.trim(text(c)), lambda raw: F.coalesce(F.when(marketplace_host(raw).isNotNull(), F.coalesce(listing_id(raw), F.lit(""))), raw))
+    return bound(candidate, lambda x: bound(canonical_isbn(x), lambda code: _analysis(x, code)))
+
+
+def _analysis(candidate: Column, code: Column) -> Column:
     is10, is13 = F.length(code) == 10, F.length(code) == 13
     good = F.when(is10, isbn10_valid(code)).when(is13, isbn13_valid(code)).otherwise(False)
     other = F.upper(F.regexp_replace(candidate, "[^A-Za-z0-9]", ""))
@@ -70,14 +72,12 @@ def analyze_identifier(c: Column | str) -> Column:
 
 
 def book_code(c: Column | str) -> Column:
-    a = analyze_identifier(c)
-    return F.when(a["valid"], a["canonical"]).otherwise("")
+    return bound(analyze_identifier(c), lambda a: F.when(a["valid"], a["canonical"]).otherwise(""))
 
 
 def canonical_book_key(c: Column | str) -> Column:
     """The 13-form of an ISBN, so that both forms of a code are one book; other valid codes as they are."""
-    a = analyze_identifier(c)
-    return F.when(a["valid"], first_present(a["isbn13"], a["canonical"])).otherwise("")
+    return bound(analyze_identifier(c), lambda a: F.when(a["valid"], first_present(a["isbn13"], a["canonical"])).otherwise(""))
 
 
 def identifier_type(c: Column | str) -> Column:
@@ -107,7 +107,10 @@ def best_isbn(values: Column) -> Column:
 
 def listing_identity(c: Column | str) -> Column:
     """struct(qualified, alias, evidence): a possible listing alias, never qualified without a listing URL."""
-    a = analyze_identifier(c)
+    return bound(analyze_identifier(c), _listing_of)
+
+
+def _listing_of(a: Column) -> Column:
     alias = F.when(~a["valid"], "").when(a["type"] == "asin", a["canonical"]).otherwise(a["isbn10"])
     evidence = F.when(~a["valid"], "invalid_identifier").when(a["type"] == "asin", "asin_requires_amazon_product_evidence").when(a["isbn10"] != "", "isbn10_requires_amazon_product_evidence").otherwise("no_amazon_asin_mapping")
     return F.struct(F.lit(False).alias("qualified"), alias.alias("amazon_asin"), evidence.alias("evidence"))

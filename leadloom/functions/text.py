@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value), with the value evaluated once however often the rule reads it, so that the expression stays small."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
 def blank(c: Column | str) -> Column:
     return text(c) == ""
 

@@ -295,3 +295,21 @@ def test_progress_and_gate(spark):
     assert one(spark, errors) == ["one", "two"]
     assert one(spark, state.gate(F.lit(70), F.lit("warm"), errors)).tier == "rejected"
     assert [one(spark, aggregates.share(F.lit(a), F.lit(b))) for a, b in ((1, 8), (3, 8), (0, 0))] == [12, 38, 0]
+
+
+def test_keyword_ingest_with_caps(spark, tmp_path):
+    """Web rows fill six of ten places, catalogs the rest; later runs take new books only, or the stored ones up to the cap."""
+    from leadloom.streaming import ingest
+
+    code = lambda i: f"B00000{i:04d}"
+
+    def batch(codes):
+        rows = [(i, c, f"Title {c}", "Kim Rowan", "2010", "listing") for i, c in enumerate(codes)]
+        return spark.createDataFrame(rows, "ord long, code string, title string, author_name string, publication_date string, source string")
+
+    run = lambda batches, **more: sorted(r.code for r in ingest.ingest_keyword(spark, f"file://{tmp_path}/store", "Kids", None, None, batches, **more).collect())
+    bad = ["no code", ""]
+    assert run([("web", batch([*bad, *map(code, range(20)), code(0)])), ("catalog", batch(map(code, range(3, 40))))], most=10) == [code(i) for i in range(10)]
+    assert run([("catalog", batch(map(code, range(100))))], most=3, only_new=True) == [code(i) for i in (10, 11, 12)]
+    assert run([("catalog", batch(map(code, range(100))))], most=4) == [code(i) for i in range(4)]
+    assert run([("web", batch(map(code, range(100))))], only_new=True) == [code(i) for i in range(13, 100)]
