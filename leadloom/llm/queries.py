@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language, licenses, packing, pii, quality, secrets, simhash, token_counts
+from . import byte_bpe, conversations, exact_dedup, language, licenses, packing, pii, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir)).drop("_key", "_spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
