@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, conversations, exact_dedup, language, licenses, packing, pii, quality, secrets, simhash, token_counts
+from . import alignment, byte_bpe, conversations, exact_dedup, html_text, language, licenses, packing, pii, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op10_pii": op10_pii,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_alignment": op12_alignment,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
