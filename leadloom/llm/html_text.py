@@ -20,16 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.lineage import global_rank
 
-from .common import cut, drop_cut, small_batches, sql_type
+from .common import cut, drop_cut, join_checked, small_batches, sql_type
 
 #: Share of a page's characters that makes the nearest page a version of it.
 VERSIONS = 0.8
@@ -271,31 +273,29 @@ def _aligned(a: list[int], b: list[int], bits: int) -> list[int]:
 # ---- over the pages ------------------------------------------------------------------------------------------------------------------------------
 
 
-def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, host, path, content (a digest of its lines), hashes (of each line) and lines (text, stays, running)."""
+def _pass(df: DataFrame, schema: str, work) -> DataFrame:
+    """One Arrow pass; work takes a row's values in df's order and gives the values of the new row."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(f"page_id {sql_type(pages, id_col)}, url string, host string, path string, content string, hashes array<bigint>, lines array<struct<text:string,stays:boolean,running:boolean>>")
-    small_batches(pages.sparkSession)
+    kind = _parse_datatype_string(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         want = to_arrow_schema(kind)
         for batch in batches:
             cells = [[] for _ in want]
-            for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = read_lines(h or "")
-                hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]
-                told = hashlib.blake2b("\n".join(f"{s:d}{r:d}{t}" for t, s, r in lines).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                row = (i, u, *place(u or ""), told, hashes, [{"text": t, "stays": s, "running": r} for t, s, r in lines])
-                for c, x in zip(cells, row, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c, x in zip(cells, work(*row), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, want, strict=True)], schema=want)
 
-    picked = pages.select(F.col(f"`{id_col}`").alias("c0"), F.col(f"`{url_col}`").cast("string").alias("c1"), F.col(f"`{html_col}`").alias("c2"))
-    return picked.mapInArrow(run, kind)
+    return df.mapInArrow(run, kind)
+
+
+def digest(lines: list[tuple[str, bool, bool]]) -> bytes:
+    """What tells contents apart: the lines and what the markup says of them."""
+    return hashlib.blake2b("\n".join(f"{s:d}{r:d}{t}" for t, s, r in lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def place(url: str) -> tuple[str, str]:
@@ -307,10 +307,22 @@ def place(url: str) -> tuple[str, str]:
     return re.sub(r":\d*$", "", host.rpartition("@")[2]).lower(), re.sub(r"(/|\.x?html?|/index\.\w+)$", "", path)
 
 
-def neighbours(parsed: DataFrame) -> DataFrame:
-    """Per content of a host: host, content, hashes, and `other`, the content whose URL is the nearest (null: none)."""
-    once = parsed.groupBy("host", "content").agg(F.min("path").alias("path"), F.min(F.struct("hashes")).alias("h")).select("host", "content", "path", F.col("h.hashes").alias("hashes"))
-    ranked = cut(global_rank(once, [F.col("host"), F.col("path"), F.col("content")], "rank"), "html-contents")
+def contents_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per distinct content of a host: host, content (a digest), path (the first of its pages), hashes (of each line). The texts are not kept."""
+
+    def work(url, html):
+        import xxhash
+
+        lines = read_lines(html or "")
+        return *place(url or ""), digest(lines), [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]
+
+    each = _pass(pages.select(F.col(f"`{url_col}`").cast("string").alias("c0"), F.col(f"`{html_col}`").alias("c1")), "host string, path string, content binary, hashes array<bigint>", work)
+    return each.groupBy("host", "content").agg(F.min(F.struct("path", "hashes")).alias("x")).select("host", "content", "x.path", "x.hashes")
+
+
+def neighbours(contents: DataFrame) -> DataFrame:
+    """Per content of a host that has another: host, content, and `other`, the content whose URL is the nearest. Only keys are ranked and joined."""
+    ranked = cut(global_rank(contents.select("host", "path", "content"), [F.col("host"), F.col("path"), F.col("content")], "rank"), "html-ranks")
     side = lambda n, step: ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"host{n}"), F.col("content").alias(f"content{n}"), F.col("path").alias(f"path{n}"))
     both = ranked.select("rank", "host", "content", "path").join(side(1, 1), "rank", "left").join(side(2, -1), "rank", "left")
     shared = {}
@@ -321,46 +333,57 @@ def neighbours(parsed: DataFrame) -> DataFrame:
         same = F.col(f"host{n}").eqNullSafe(F.col("host")) & F.col(f"content{n}").isNotNull()
         shared[n] = F.when(same, F.when(lead == 0, F.size(folders)).otherwise(lead - 1))
     which = F.when(shared[1].isNotNull() & (shared[2].isNull() | (shared[1] >= shared[2])), F.col("content1")).when(shared[2].isNotNull(), F.col("content2"))
-    pairs = both.select("rank", which.alias("other"))
-    return ranked.join(pairs, "rank").select("host", "content", "hashes", "other")
+    return both.select("host", "content", which.alias("other")).where("other IS NOT NULL")
 
 
-def shared_lines(contents: DataFrame) -> DataFrame:
-    """Per content with a neighbour: host, content and `shared`, the numbers of its lines (from 0) that the neighbour shares."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def shared_lines(contents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair: host, content and `shared`, the numbers of its lines (from 0) that the neighbour shares, in 4 bytes each."""
+    mine, its = contents.select("host", "content", "hashes"), contents.select("host", F.col("content").alias("other"), F.col("hashes").alias("others"))
+    both = pairs.join(mine, ["host", "content"]).join(its, ["host", "other"]).select("host", "content", "hashes", "others")
+    return _pass(both, "host string, content binary, shared binary", lambda host, content, a, b: (host, content, array("i", common(a, b)).tobytes()))
 
-    kind = _parse_datatype_string("host string, content string, shared array<int>")
-    other = contents.select("host", F.col("content").alias("other"), F.col("hashes").alias("others"))
-    pairs = contents.where("other IS NOT NULL").join(other, ["host", "other"]).select("host", "content", "hashes", "others")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = to_arrow_schema(kind)
-        for batch in batches:
-            found = [common(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(want[0].type), batch.column(1).cast(want[1].type), pa.array(found, want[2].type)], schema=want)
+def main_lines(lines: list[tuple[int, bool, str]], shared: set[int]) -> tuple[list[str], int]:
+    """The lines that stay of (number, running, text), given the numbers of those that the neighbour shares; and how many were deleted."""
+    size = sum(len(t) for *_, t in lines)
+    if sum(len(t) for i, _, t in lines if i in shared) >= VERSIONS * size:
+        return [t for *_, t in lines], 0
+    out = [t for i, running, t in lines if running or i not in shared]
+    return out, len(lines) - len(out)
+
 
-    return pairs.mapInArrow(run, kind)
+def pack(lines: list[tuple[int, bool, str]]) -> bytes:
+    """Lines for the way to the join, compressed: their numbers (running text below zero), then their texts; no line has a line feed in it."""
+    head = ",".join(str(-i - 1 if running else i) for i, running, _ in lines)
+    return zstandard.compress("\n".join([head, *(t for *_, t in lines)]).encode("utf-8", "surrogatepass"))
 
 
-def kept_lines(parsed: DataFrame, shared: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text of the lines that stay, their number, and how many lines were deleted as shared."""
-    rows = parsed.join(shared, ["host", "content"], "left")
-    number = F.transform("lines", lambda x, i: F.struct(x["text"].alias("text"), x["stays"].alias("stays"), x["running"].alias("running"), F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i).alias("shared")))
-    rows = rows.select("page_id", "url", number.alias("lines"))
-    size = lambda c: F.aggregate(F.filter("lines", c), F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(x["text"]))
-    versions = size(lambda x: x["stays"] & x["shared"]) >= VERSIONS * size(lambda x: x["stays"])
-    rows = rows.withColumn("versions", versions)
-    gone = lambda x: x["shared"] & ~x["running"] & ~F.col("versions")
-    stay = F.filter("lines", lambda x: x["stays"] & ~gone(x))
-    text = F.array_join(F.transform(stay, lambda x: x["text"]), "\n\n")
-    return rows.select("page_id", "url", text.alias("text"), F.size(stay).cast("bigint").alias("n_lines"), F.size(F.filter("lines", gone)).cast("bigint").alias("n_shared"))
+def unpack(packed: bytes) -> list[tuple[int, bool, str]]:
+    head, *texts = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+    return [(-i - 1, True, t) if i < 0 else (i, False, t) for i, t in zip(map(int, head.split(",") if head else ()), texts, strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row of pages: page_id, url, text, n_chars (code points of the text), n_lines, n_shared (lines deleted because the nearest page has them)."""
-    parsed = cut(parse(pages, id_col, url_col, html_col), "html-lines")
-    contents = cut(neighbours(parsed), "html-neighbours")
-    shared = cut(shared_lines(contents), "html-shared")
-    drop_cut(contents)
-    return kept_lines(parsed, shared).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
+    """Per row of pages: page_id, url, text, n_chars (code points of the text), n_lines, n_shared (lines deleted because the nearest page has them).
+
+    Pages are read twice: first for their hashes, which are all that is ranked, paired and aligned, then for the lines that the markup lets stay, which meet the
+    numbers of the shared ones. Where these are few (join_checked) no text is shuffled.
+    """
+    contents = cut(contents_of(pages, url_col, html_col), "html-contents")
+    pairs = cut(neighbours(contents), "html-pairs")
+    shared = cut(shared_lines(contents, pairs), "html-shared")
+    drop_cut(contents, pairs)
+    ids = f"page_id {sql_type(pages, id_col)}, url {sql_type(pages, url_col)}"
+
+    def work(i, url, html):
+        lines = read_lines(html or "")
+        return i, url, place("" if url is None else str(url))[0], digest(lines), pack([(n, r, t) for n, (t, s, r) in enumerate(lines) if s])
+
+    def finish(i, url, packed, numbers):
+        kept, gone = main_lines(unpack(packed), set(array("i", numbers or b"")))
+        text = "\n\n".join(kept)
+        return i, url, text, len(text), len(kept), gone
+
+    rows = _pass(pages.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate((id_col, url_col, html_col)))), f"{ids}, host string, content binary, packed binary", work)
+    joined = join_checked(rows, shared, ["host", "content"], "left", ["shared"]).select("page_id", "url", "packed", "shared")
+    return _pass(joined, f"{ids}, text string, n_chars bigint, n_lines bigint, n_shared bigint", finish)
