@@ -47,23 +47,21 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
-def last_words(gap: Column) -> Column:
-    """The last WINDOW + 1 words of the text before a match, whatever their lengths; one more, since the piece next to the match may be empty."""
-    backwards = F.slice(F.split(F.reverse(gap), SEPARATOR + "+", WINDOW + 2), 1, WINDOW + 1)
-    return F.reverse(F.transform(backwards, F.reverse))
-
-
-def first_words(gap: Column) -> Column:
-    return F.slice(F.split(gap, SEPARATOR + "+", WINDOW + 2), 1, WINDOW + 1)
+def pieces(gap: Column) -> Column:
+    """What white space divides, empty pieces at the ends included."""
+    return F.split(gap, SEPARATOR + "+", -1)
 
 
 def matches(text: Column, kind: str) -> Column:
-    """Array of (m, gap, before, after) of a kind's raw matches: gap is the length of the text since the last match."""
+    """Array of a kind's raw matches: m, gap (the length of the text since the last match), gap_words and m_words (how often white space stands in it and in the match), and before and after, what adjoins the match within its word."""
     pattern = F.lit(PATTERNS[kind])
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
     rows = F.transform(
         F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("h")),
-        lambda x: F.struct(x["m"].alias("m"), F.char_length(x["g"]).alias("gap"), last_words(x["g"]).alias("before"), first_words(x["h"]).alias("after")),
+        lambda x: F.struct(
+            x["m"].alias("m"), F.char_length(x["g"]).alias("gap"), (F.size(pieces(x["g"])) - 1).alias("gap_words"), (F.size(pieces(x["m"])) - 1).alias("m_words"),
+            F.element_at(pieces(x["g"]), -1).alias("before"), F.element_at(pieces(x["h"]), 1).alias("after"),
+        ),
     )
     hit = text.rlike(PATTERNS[kind] if NEEDS[kind] else r"[0-9][\x20-]?[0-9](?:[\x20-]?[0-9]){10}")
     if NEEDS[kind]:
@@ -90,36 +88,48 @@ def valid(kind: Column, m: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written row per row of docs: _row, doc_id, _key (of its text) and the raw matches of each kind."""
+    """A written row per row of docs: _row, doc_id, _key (of its text), the raw matches of each kind and, where there are some, the words of the text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), key_of(text).alias("_key"), *(matches(text, k).alias(k) for k in PATTERNS))
-    return cut(found, "pii-matches")
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), key_of(text).alias("_key"), text.alias("_text"), *(matches(text, k).alias(k) for k in PATTERNS))
+    words = F.when(F.coalesce(*(F.size(F.nullif(k, F.array())) for k in PATTERNS), F.lit(0)) > 0, pieces(F.col("_text"))).alias("_words")
+    return cut(found.select("_row", "doc_id", "_key", *PATTERNS, words), "pii-matches")
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """A row per valid match: _row, _key, kind, start, end, m, before, after."""
+    """A row per valid match: _row, _key, kind, start, end, m, first and last (the places of the words at its ends among those of the text), before, after."""
     each = reduce(DataFrame.unionByName, (found.where(F.col(k).isNotNull()).select("_row", "_key", F.lit(k).alias("kind"), F.posexplode(k).alias("i", "x")).select("_row", "_key", "kind", "i", "x.*") for k in PATTERNS))
     until = Window.partitionBy("_row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.char_length("m")).over(until)
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("m"))
-    return placed.where(valid(F.col("kind"), F.col("m"))).select("_row", "_key", "kind", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "m", "before", "after")
+    last = F.sum(F.col("gap_words") + F.col("m_words")).over(until)
+    placed = each.withColumns({"end": end, "last": last}).withColumns({"start": F.col("end") - F.char_length("m"), "first": F.col("last") - F.col("m_words")})
+    return placed.where(valid(F.col("kind"), F.col("m"))).select("_row", "_key", "kind", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "m", F.col("first").cast("int"), F.col("last").cast("int"), "before", "after")
+
+
+def surrounded(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, m, words, _key) of each valid match: the WINDOW words on each side of it in the whole text, whatever stands there, and what adjoins it in its own word."""
+    of_row = cut(spans.groupBy("_row").agg(F.collect_list(F.struct("kind", "m", "first", "last", "before", "after")).alias("x")), "pii-of-rows")
+    rows = found.select("_row", "_key", "_words").join(of_row, "_row")
+    ahead = lambda x: F.slice("_words", F.greatest(x["first"] - WINDOW, F.lit(0)) + 1, F.least(x["first"], F.lit(WINDOW)))
+    words = lambda x: F.concat(ahead(x), F.array(x["before"], x["after"]), F.slice("_words", x["last"] + 2, WINDOW))
+    each = F.transform("x", lambda x: F.struct(x["kind"].alias("kind"), x["m"].alias("m"), words(x).alias("words")))
+    return rows.select("_key", F.explode(each).alias("x")).select("_key", "x.*")
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """(entity, context, terms, _key) of each match; a context is the hash of its words, _key of its text."""
-    words = F.concat("before", "after")
+    """(entity, context, terms, _key) of each match (kind, m, words, _key); a context is the hash of its words, _key of its text."""
+    words = F.col("words")
     terms = F.filter(F.array_distinct(F.transform(words, term)), lambda t: t != "")
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).otherwise(F.regexp_replace("m", "[^0-9]", "")))
     return spans.select(entity.alias("entity"), F.xxhash64(F.array_join(words, " ")).alias("context"), terms.alias("terms"), "_key")
 
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, n_texts: int, text_col: str, min_contexts: int, min_share: float) -> DataFrame:
+def revealing_terms(docs: DataFrame, matched: DataFrame, n_texts: int, text_col: str, min_contexts: int, min_share: float) -> DataFrame:
     """Written table of the terms above the disclosure threshold.
 
     The texts that hold a term in some context are no more than all its texts. Terms that stay below the threshold even with that smaller
     count are settled by it, so that only the few others are counted over the corpus.
     """
-    each = cut(contexts(spans), "pii-contexts")
+    each = cut(contexts(matched), "pii-contexts")
     in_contexts = each.select("_key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     seen = each.drop("_key").distinct()
     per_entity = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_contexts)
@@ -162,7 +172,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     base = cut(base_spans(found), "pii-base")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     own = cut(base.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end"))).alias("_base")), "pii-own")
-    terms = revealing_terms(docs, base, found.select("_key").distinct().count(), text_col, min_contexts, min_share)
+    terms = revealing_terms(docs, surrounded(base, found), found.select("_key").distinct().count(), text_col, min_contexts, min_share)
     added = cut(term_spans(docs, terms, text_col).groupBy("_key").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("_terms")), "pii-added")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     rows = join_checked(join_checked(found.select("_row", "doc_id", "_key"), own, ["_row"], "left"), added, ["_key"], "left")
