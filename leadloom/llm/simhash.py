@@ -398,7 +398,7 @@ def group_nodes(rows: DataFrame, words: int = 5, radius: int = WIDE, tile: int =
         return work
 
     prints = cut(map_texts(rows, ["node", "text"], "node bigint, fp bigint, keys array<bigint>", make), "similar")
-    each = prints.select("fp", F.explode("keys").alias("key"))
+    each = prints.select("fp", F.explode("keys").alias("key")).distinct()  # texts of one fingerprint are one candidate
     roots = components(compared(each, radius, tile)).withColumnRenamed("node", "fp")
     own = cut(join_checked(prints.select("node", "fp"), roots, ["fp"], "left").select("node", F.coalesce("root", "fp").alias("key")), "similar-own")
     drop_cut(prints)

@@ -222,3 +222,18 @@ def test_similar_against_jaccard(spark, tile):
 def test_small_is_measured(spark):
     df = common.cut(spark.range(10).selectExpr("repeat('x', 1000) as t"), "t")
     assert common.is_small(df, ["t"]) and not common.is_small(df, ["t"], rows=5) and not common.is_small(df, ["t"], size=5000)
+
+
+def test_texts_that_differ_in_white_space_are_one_candidate(spark, monkeypatch):
+    """10,000 texts of one fingerprint are placed once a key, not once a text."""
+    seen, real = [], simhash.compared
+
+    def spy(each, radius, tile):
+        seen.append(each.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return real(each, radius, tile)
+
+    monkeypatch.setattr(simhash, "compared", spy)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:30]) + " " * (1 + i % 100) + "\t" * (i // 100) + " ".join(words[30:])) for i in range(10_000)]
+    got = simhash.group_similar(spark.createDataFrame([*rows, (20_000, "another text")], "doc_id long, text string").repartition(8)).collect()
+    assert seen == [1] and {x.component_id for x in got} == {0, 20_000} and len(got) == 10_001
