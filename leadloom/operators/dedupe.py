@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.components import components
 from ..functions.lineage import cut, drop_cut, global_rank
 from ..functions.text import book_key, col, present, text
 from ..functions.urls import url_key
@@ -39,29 +42,84 @@ def dedupe_two_namespaces(df: DataFrame, code: Column, title: Column, order: Col
     return coded.unionByName(free.select(coded.columns)).drop("_code", "_title", "_ord")
 
 
-def dedupe_any_key(df: DataFrame, keys: Column, order: Column) -> DataFrame:
+#: Rows of a component that one task solves, and rows of a larger one that are decided at once.
+SOLVED_ROWS = 200_000
+
+
+def dedupe_any_key(df: DataFrame, keys: Column, order: Column, most: int = SOLVED_ROWS) -> DataFrame:
     """Greedy in order: a row is dropped if any of its keys (an array; blanks are none) was used by a kept row; only kept rows use keys.
 
-    Exact rounds: an undecided row wins if it is the first undecided row of each of its keys; undecided rows that share a key with a winner
-    are dropped. Each round is a written table and decides one row at least; rounds go on until none is undecided.
+    Rows that share no key, directly or through others, don't touch each other, so each connected component is decided by itself. Components of up to `most` rows are solved whole,
+    in order, many in one Arrow pass. What is left of larger ones first meets a parallel round (an undecided row wins if it is the first of each of its keys, and drops those it shares a key with), then
+    its first `most` rows, which nothing can touch any more but each other, are solved in the same way; what remains may have fallen into smaller components.
+    So the rounds of a component of n rows are n / most at the worst, whatever the length of its chains.
     """
-    all_rows = cut(df.withColumn("_ord", order).withColumn("_keys", F.array_distinct(F.filter(keys, lambda k: k > ""))), "any-key")
-    rows = all_rows.select("_ord", "_keys")
-    won = rows.where(F.size("_keys") == 0).select("_ord")
-    open_rows = rows.where(F.size("_keys") > 0)
-    for rounds in count(1):
-        if open_rows.isEmpty():
-            return all_rows.join(won, "_ord", "left_semi").drop("_ord", "_keys")
-        pairs = open_rows.select("_ord", F.size("_keys").alias("_n"), F.explode("_keys").alias("_key"))
-        first = pairs.groupBy("_key").agg(F.min("_ord").alias("_ord"))
-        wins = cut(first.groupBy("_ord").agg(F.count(F.lit(1)).alias("_firsts")).join(open_rows.select("_ord", F.size("_keys").alias("_n")), "_ord").where("_firsts = _n").select("_ord"), "any-key-won")
-        used = pairs.join(wins, "_ord", "left_semi").select("_key").distinct()
-        lost = pairs.join(used, "_key", "left_semi").select("_ord").distinct()
-        won = won.unionByName(wins)
-        if rounds % 20 == 0:  # a long chain of rows: keep the plan short
-            won = cut(won, "any-key-won")
-        done, open_rows = open_rows, cut(open_rows.join(lost, "_ord", "left_anti"), "any-key-open")
-        drop_cut(done)
+    ranked = global_rank(df.withColumn("_ord", order).withColumn("_keys", F.array_distinct(F.filter(keys, lambda k: k > ""))), [F.col("_ord")], "_rank")
+    all_rows = cut(ranked, "any-key")
+    won = [all_rows.where(F.size("_keys") == 0).select("_rank")]
+    pairs = cut(all_rows.select("_rank", F.explode("_keys").alias("_key")), "any-key-pairs")
+    while not pairs.isEmpty():
+        wins, pairs = _any_key_pass(pairs, most)
+        won += wins
+    kept = reduce(DataFrame.unionByName, won)
+    return all_rows.join(kept, "_rank", "left_semi").drop("_ord", "_keys", "_rank")
+
+
+def _any_key_pass(pairs: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """(winners, what is undecided) after solving the small components, and a round and a first block of the large ones."""
+    first = pairs.groupBy("_key").agg(F.min("_rank").alias("_first"))
+    found = components(pairs.join(first, "_key").select(F.col("_first").alias("a"), F.col("_rank").alias("b")))
+    rows = cut(pairs.join(found.withColumnsRenamed({"node": "_rank"}), "_rank", "left").withColumn("root", F.coalesce("root", "_rank")), "any-key-rooted")
+    sizes = cut(rows.groupBy("root").agg(F.countDistinct("_rank").alias("n")).where(F.col("n") > most), "any-key-large")
+    if sizes.isEmpty():
+        wins = cut(_solved(rows), "any-key-won")
+        drop_cut(pairs, found, rows, sizes)
+        return [wins], pairs.limit(0)
+    wins = [cut(_solved(rows.join(sizes, "root", "left_anti")), "any-key-won")]
+    large = rows.join(sizes, "root", "left_semi").select("root", "_rank", "_key")
+    firsts = large.join(first, "_key").groupBy("_rank").agg(F.every(F.col("_rank") == F.col("_first")).alias("w")).where("w").select("_rank")
+    wins.append(cut(firsts, "any-key-won"))
+    rest = cut(_undecided(large, wins[-1]), "any-key-rest")
+    blocks = cut(_first_rows(rest, most), "any-key-block")
+    wins.append(cut(_solved(blocks), "any-key-won"))
+    left = cut(_undecided(rest.join(blocks.select("_rank").distinct(), "_rank", "left_anti"), wins[-1], blocks).select("_rank", "_key"), "any-key-pairs")
+    drop_cut(pairs, found, rows, sizes, rest, blocks)
+    return wins, left
+
+
+def _undecided(pairs: DataFrame, wins: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """pairs without the rows of wins and those that share a key with one; `of` has the keys of wins if pairs hasn't."""
+    used = (pairs if of is None else of).join(wins, "_rank", "left_semi").select("_key").distinct()
+    gone = pairs.join(used, "_key", "left_semi").select("_rank").distinct()
+    return pairs.join(gone, "_rank", "left_anti")
+
+
+def _first_rows(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs of the first `most` rows of each root: by the rank among its rows, which runs by ranges."""
+    rows = pairs.select("root", "_rank").distinct()
+    placed = global_rank(rows, [F.col("root"), F.col("_rank")], "_n")
+    least = placed.groupBy("root").agg(F.min("_n").alias("_least"))
+    early = placed.join(least, "root").where(F.col("_n") < F.col("_least") + most).select("_rank")
+    return pairs.join(early, "_rank", "left_semi")
+
+
+def _solved(rows: DataFrame) -> DataFrame:
+    """The winners (_rank) of whole components (root, _rank, _key), read in order; a component's used keys are held, and forgotten with the next component."""
+    hashed = rows.groupBy("root", "_rank").agg(F.collect_list("_key").alias("keys")).repartition("root").sortWithinPartitions("root", "_rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, set()
+        for batch in batches:
+            kept = []
+            for root, rank, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != now:
+                    now, used = root, set()
+                if used.isdisjoint(keys):
+                    kept.append(rank)
+                    used.update(keys)
+            yield pa.RecordBatch.from_pydict({"_rank": pa.array(kept, pa.int64())})
+
+    return hashed.select("root", "_rank", "keys").mapInArrow(run, "_rank bigint")
 
 
 def merge_rerank(results: DataFrame, url: str, order: list[Column], group: list[str], most: int) -> DataFrame:

@@ -41,6 +41,32 @@ def test_any_key_long_chain(spark):
     assert sorted(x.id for x in dedupe.dedupe_any_key(df, F.col("keys"), F.col("id")).collect()) == list(range(0, 110, 2))
 
 
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_any_key_in_blocks(spark, most):
+    """Components above the bound are decided by rounds and blocks, to the loop's result."""
+    r = random.Random(most)
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(20)] + [(100 + i, [r.choice("abcdefghijklm") for _ in range(r.randint(0, 3))]) for i in range(20)]
+    r.shuffle(rows)
+    used, want = set(), []
+    for i, keys in sorted(rows):
+        if not used & set(keys):
+            want.append(i)
+            used |= set(keys)
+    df = spark.createDataFrame(rows, "id long, keys array<string>")
+    assert sorted(x.id for x in dedupe.dedupe_any_key(df, F.col("keys"), F.col("id"), most).collect()) == want
+
+
+def test_any_key_chain_of_100000_rows(spark):
+    """Jobs don't grow with the chain: the component is found in about log n rounds and solved in one pass."""
+    n = 100_000
+    df = spark.range(n).select("id", F.array(F.concat(F.lit("k"), F.col("id")), F.concat(F.lit("k"), F.col("id") + 1)).alias("keys"))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("any-key"))
+    spark.sparkContext.setJobGroup("any-key", "chain")
+    got = dedupe.dedupe_any_key(df, F.col("keys"), F.col("id"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.agg(F.count(F.lit(1)), F.sum(F.col("id") % 2)).first() == (n // 2, 0) and 0 < jobs() < 400
+
+
 def test_review_status_blocks_the_export(spark):
     row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
     rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
