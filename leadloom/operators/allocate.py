@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut, global_rank
+from ..functions.lineage import global_rank
 from .filters import contact_requirement
 
 ORDERS = {
@@ -57,15 +61,61 @@ def assign_top(leads: DataFrame, assignments: DataFrame, k: int, minimum: int =
     return eligible(leads, assignments, minimum, requirement, verified_only).orderBy(*priority()).limit(k)
 
 
+#: Places that all schedules of one waterfall may have together: what a task holds of each class.
+WATERFALL_PLACES = 1_000_000
+
+
 def waterfall(leads: DataFrame, assignments: DataFrame, schedules: list[dict]) -> DataFrame:
-    """(lead_id, schedule_id): each schedule in turn takes its first k of what is left. schedules is a short list in order of their next run."""
-    taken = None
-    for s in schedules:
-        pool = eligible(leads, assignments, s.get("minimum", 0), s.get("requirement", "any"), s.get("verified_only", False))
-        pool = pool if taken is None else pool.join(taken, "lead_id", "left_anti")
-        own = cut(pool.orderBy(*priority()).limit(s["k"]).select("lead_id", F.lit(s["schedule_id"]).alias("schedule_id")), "waterfall")
-        taken = own if taken is None else taken.unionByName(own)
-    return taken
+    """(lead_id, schedule_id): each schedule in turn takes its first k of what is left. schedules is a stated list in order of their next run, with WATERFALL_PLACES places at most.
+
+    All schedules rank leads alike, so the leads in order of priority, each taken by the first schedule that it qualifies for and that has a place left, come to the same. Which schedules a lead
+    qualifies for depends on its score (between which of the schedules' minima), its readiness and its contacts alone; leads that agree in these are a class. Of a class
+    only as many as all its schedules can take are read, found by class and salt first; these bounded few are assigned in one ordered pass, which holds the places left and, for each class, its first open schedule
+    (schedules that are full stay full). The number of jobs doesn't depend on the number of schedules.
+    """
+    spark = leads.sparkSession
+    if sum(s["k"] for s in schedules) > WATERFALL_PLACES:
+        raise ValueError(f"more than {WATERFALL_PLACES} places")
+    minima, needs = sorted({s.get("minimum", 0) for s in schedules}), sorted({s.get("requirement", "any") for s in schedules})
+    pool = unassigned(leads, assignments).where(~F.coalesce(F.col("do_not_contact"), F.lit(False)))
+    above = sum((F.coalesce((F.col("lead_score") >= m).cast("int"), F.lit(0)) for m in minima), F.lit(0)).alias("a")
+    meets = [F.coalesce(contact_requirement(F.lit(n)), F.lit(False)).alias(f"n{i}") for i, n in enumerate(needs)]
+    classed = pool.select("lead_id", *(c for c in ("verification_score", "lead_score", "created_at")), F.struct(above, F.coalesce(F.col("verified_ready"), F.lit(False)).alias("v"), *meets).alias("class"))
+
+    def serves(s: dict, c: Row) -> bool:
+        return c["a"] > minima.index(s.get("minimum", 0)) and (c["v"] or not s.get("verified_only", False)) and c[f"n{needs.index(s.get('requirement', 'any'))}"]
+
+    classes = [r[0] for r in classed.select("class").distinct().collect()]  # at most minima + 1 by 2 by 2 ** requirements
+    queues = [[i for i, s in enumerate(schedules) if serves(s, c)] for c in classes]
+    table = [(n, c, sum(schedules[i]["k"] for i in q)) for n, (c, q) in enumerate(zip(classes, queues, strict=True)) if q]
+    out = f"lead_id {leads.schema['lead_id'].dataType.simpleString()}, _schedule int"
+    if not table:
+        return classed.select("lead_id", F.lit(None).cast("int").alias("schedule_id")).limit(0)
+    known = spark.createDataFrame(table, StructType([StructField("_n", IntegerType()), StructField("class", classed.schema["class"].dataType), StructField("_most", LongType())]))
+    rows = classed.join(F.broadcast(known), "class")  # a row a class
+    for part in ([F.pmod(F.xxhash64("lead_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))], []):
+        first = Window.partitionBy("_n", *part).orderBy(*priority())
+        rows = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("_most"))
+    places = [s["k"] for s in schedules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, at = list(places), [0] * len(queues)
+        for batch in batches:
+            ids, taken = [], []
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                q = queues[n]
+                while at[n] < len(q) and not left[q[at[n]]]:
+                    at[n] += 1
+                if at[n] < len(q):
+                    left[q[at[n]]] -= 1
+                    ids.append(i)
+                    taken.append(q[at[n]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(taken, pa.int32())], names=["lead_id", "_schedule"])
+
+    few = rows.select("lead_id", "_n", "verification_score", "lead_score", "created_at").repartition(1).sortWithinPartitions(*priority())  # bounded by the places of each class
+    got = few.select("lead_id", "_n").mapInArrow(run, out)
+    ids = F.array(*(F.lit(s["schedule_id"]) for s in schedules))
+    return got.select("lead_id", F.element_at(ids, F.col("_schedule") + 1).alias("schedule_id"))
 
 
 def current_assignment(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -91,4 +141,4 @@ def capacity_slots(due: DataFrame, senders: DataFrame, due_order: list[Column])
     return global_rank(due, due_order, "slot").join(placed, "slot", "left").drop("slot")
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "cut", "global_rank", "contact_requirement"}] + ["ORDERS"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "global_rank", "contact_requirement", "pa"}] + ["ORDERS"]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.contacts import details_of, e164, email_syntax, normalized_contact
-from ..functions.lineage import cut
+from ..functions.lineage import cut, running_sum
 from ..functions.text import author_tokens, normalize_text, present, text, title_tokens
 from ..functions.trust import identity_appears, identity_of, trusted_source
 from ..functions.urls import blocked_mail, platform_source, registered_domain_of_email, registered_domain_of_url
@@ -128,6 +128,25 @@ def shared_with_others(candidates: DataFrame) -> DataFrame:
     return candidates.join(shared_counts(candidates), ["channel", "normalized_value"]).withColumn("shared_count", F.col("leads") - 1).drop("leads")
 
 
+def shared_as_of(uses: DataFrame, checks: DataFrame) -> DataFrame:
+    """checks (lead_id, channel, normalized_value, checked_at, …) with shared_count: in how many other leads the value stood by then, given uses (lead_id, channel, normalized_value, used_at).
+
+    An event-time sweep: the first use of each lead and value, and the checks, are put in one order by value, time and kind (uses first at equal times), and the uses are summed along it by ranges;
+    less the sum at the value's start this is the number of leads so far. Rows of one value are never gathered, and no use meets a check. A use without a time stands from the beginning; a check without one, or without a value, has no count.
+    """
+    value = ["channel", "normalized_value"]
+    asked = F.col("checked_at").isNotNull() & F.col("channel").isNotNull() & F.col("normalized_value").isNotNull()
+    first = uses.groupBy("lead_id", *value).agg(F.min(F.coalesce("used_at", F.lit("0001-01-01").cast("timestamp"))).alias("used_at"))
+    first = cut(first, "first-uses")
+    own = checks.where(asked).join(first, ["lead_id", *value], "left").withColumn("_own", F.coalesce((F.col("used_at") <= F.col("checked_at")).cast("int"), F.lit(0))).drop("used_at")
+    rows = own.withColumns({"_at": F.col("checked_at").cast("timestamp"), "_use": F.lit(0)})
+    marks = first.select("lead_id", *value, F.col("used_at").cast("timestamp").alias("_at"), F.lit(1).alias("_use"))
+    swept = running_sum(rows.unionByName(marks, allowMissingColumns=True), [*map(F.col, value), F.col("_at"), F.col("_use").desc(), F.col("lead_id")], F.col("_use").cast("bigint"), "_sum")
+    start = swept.groupBy(*value).agg(F.min(F.col("_sum") - F.col("_use")).alias("_start"))
+    out = swept.where("_use = 0").join(start, value).withColumn("shared_count", F.col("_sum") - F.col("_start") - F.col("_own"))
+    return out.select(*checks.columns, "shared_count").unionByName(checks.where(~asked).withColumn("shared_count", F.lit(None).cast("bigint")))
+
+
 def check(kind: str, result: Column, points: Column, reason: Column) -> Column:
     return F.struct(F.lit(kind).alias("check_type"), result.alias("result"), points.cast("int").alias("score_delta"), reason.alias("reason_code"))
 

@@ -329,6 +329,18 @@ def shared_contact_counts(t: Tables) -> DataFrame:
     return evidence.shared_with_others(t.candidates.select("channel", "normalized_value", "lead_id").distinct())
 
 
+CHECKED = "created_at + case cast(lead_id % 4 as int) when 0 then interval 0 day when 1 then interval 40 day when 2 then interval 400 day else null end"
+
+
+@query("candidates", sql=f"""with checks as (select candidate_id, lead_id, channel, normalized_value, {CHECKED} as checked_at from candidates)
+select candidate_id, case when checked_at is not null then (select count(distinct o.lead_id) from candidates o where o.channel = c.channel and o.normalized_value = c.normalized_value and o.lead_id <> c.lead_id and o.created_at <= c.checked_at) end as shared_count from checks c""")
+def shared_contacts_as_of(t: Tables) -> DataFrame:
+    """How many other leads had a contact when it was checked."""
+    uses = t.candidates.select("lead_id", "channel", "normalized_value", F.col("created_at").cast("timestamp").alias("used_at"))
+    checks = t.candidates.select("candidate_id", "lead_id", "channel", "normalized_value", F.expr(CHECKED).cast("timestamp").alias("checked_at"))
+    return evidence.shared_as_of(uses, checks).select("candidate_id", "shared_count")
+
+
 @query("leads", "candidates", sql="select lead_id, last_checked from leads left join (select lead_id, max(last_checked_at) as last_checked from candidates group by 1) using (lead_id) where verification_status = 'verified' and (last_checked is null or last_checked < timestamp '1998-06-01')")
 def stale_leads(t: Tables) -> DataFrame:
     return A.stale_leads(t.leads, t.candidates, F.lit("1998-06-01").cast("timestamp")).select("lead_id", "last_checked")

@@ -67,6 +67,30 @@ def test_any_key_chain_of_100000_rows(spark):
     assert got.agg(F.count(F.lit(1)), F.sum(F.col("id") % 2)).first() == (n // 2, 0) and 0 < jobs() < 400
 
 
+def test_waterfall_of_500_schedules(spark):
+    """Equal to the loop over schedules, in as many jobs as for three."""
+    r = random.Random(2)
+    leads = [(i, r.randrange(101), r.randrange(101), r.randrange(50), r.choice(["", "a@b.test"]), r.choice(["", "+1"]), r.random() < 0.5, r.choice([None, False, False, True])) for i in range(3000)]
+    names = "lead_id long, verification_score int, lead_score int, created_at int, public_email string, public_phone string, verified_ready boolean, do_not_contact boolean"
+    df = spark.createDataFrame(leads, names).withColumns({"representation_email": F.lit(""), "publicist_email": F.lit("")})
+    taken = spark.createDataFrame([(i, i % 2 == 0) for i in range(0, 3000, 7)], "lead_id long, is_current boolean")
+    needs = {"any": lambda e, p, v: True, "email_only": lambda e, p, v: e, "phone_only": lambda e, p, v: p, "email_and_phone": lambda e, p, v: e and p, "verified_contact": lambda e, p, v: v}
+    schedules = [{"schedule_id": 1000 + i, "k": r.randrange(9), "minimum": r.choice([0, 20, 55, 90]), "requirement": r.choice(list(needs)), "verified_only": r.random() < 0.3} for i in range(500)]
+    rest = sorted((x for x in leads if x[0] % 14 and not x[7]), key=lambda x: (-x[1], -x[2], x[3], x[0]))
+    want = {}
+    for s in schedules:
+        own = [x for x in rest if x[0] not in want and x[2] >= s["minimum"] and (x[6] or not s["verified_only"]) and needs[s["requirement"]](bool(x[4]), bool(x[5]), x[6])]
+        want |= {x[0]: s["schedule_id"] for x in own[: s["k"]]}
+    jobs = []
+    for part in (schedules[:3], schedules):
+        spark.sparkContext.setJobGroup(f"waterfall-{len(part)}", "x")
+        got = {x.lead_id: x.schedule_id for x in allocate.waterfall(df, taken, part).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"waterfall-{len(part)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs[1] <= jobs[0] + 2
+    assert allocate.waterfall(df.limit(0), taken, schedules).count() == 0 == allocate.waterfall(df.where("lead_score > 100"), taken, schedules).count()
+
+
 def test_review_status_blocks_the_export(spark):
     row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
     rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
