@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.contacts import normalized_contact
+from ..functions.lineage import cut
 from ..functions.text import author_key, book_key, first_present, normalize_text, present, text
 from ..functions.trust import label_matches
 from ..functions.urls import registered_domain_of_email, registered_domain_of_url, suffixes
@@ -117,13 +120,76 @@ def match_existing(rows: DataFrame, books: DataFrame, title: str = "title", auth
     return out.withColumn("existing_book_id", F.coalesce("_b0", "_b1", "_b2")).drop("_b0", "_b1", "_b2")
 
 
-def value_in_evidence(values: DataFrame, evidence: DataFrame) -> DataFrame:
-    """values (lead_id, value) that stand in some evidence text of the lead, literally or by their digits."""
-    digits = lambda c: F.regexp_replace(text(c), r"\D", "")
-    rows = evidence.select("lead_id", F.lower(F.concat_ws(" ", text("field_value"), text("source_snippet"))).alias("_text")).withColumn("_digits", digits("_text"))
-    hit = F.contains(F.col("_text"), F.lower(text("value"))) | ((F.length(digits("value")) >= 7) & F.contains(F.col("_digits"), digits("value")))
-    left = values.alias("v")
-    return left.join(rows, (F.col("v.lead_id") == rows.lead_id) & hit, "left_semi")
+#: Evidence rows and values of a key that one task reads together, and digits that a number must have to be looked for by its digits.
+SHARD_ROWS, SHARD_VALUES, LEAST_DIGITS = 10_000, 10_000, 7
+
+
+def value_in_evidence(values: DataFrame, evidence: DataFrame, shard_rows: int = SHARD_ROWS, shard_values: int = SHARD_VALUES) -> DataFrame:
+    """values (lead_id, value, …) that stand in some evidence text of the lead, literally or by their digits.
+
+    Evidence is dealt by lead and shard (a lead with many rows has many shards, salted), and a lead's distinct values are sent to each of its shards, in chunks of shard_values. A task reads
+    a shard's values first, builds one Aho-Corasick automaton of the literal values and one of the digits, and runs each text through them once: a text's cost is its length, whatever the number of
+    values. Only values that were found are shuffled back.
+    """
+    asked = values.where("lead_id IS NOT NULL").select("lead_id", F.lower(text("value")).alias("_value")).distinct()
+    texts = evidence.where("lead_id IS NOT NULL").select("lead_id", F.lower(F.concat_ws(" ", text("field_value"), text("source_snippet"))).alias("_text")).distinct().join(asked.select("lead_id").distinct(), "lead_id", "left_semi")
+    texts, asked = cut(texts, "evidence-texts"), cut(asked, "evidence-values")
+    shards = texts.groupBy("lead_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("_shards"))
+    chunks = asked.groupBy("lead_id").agg(F.ceil(F.count(F.lit(1)) / shard_values).alias("_chunks"))
+    sizes = cut(shards.join(chunks, "lead_id"), "evidence-shards")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    shard, chunk = F.pmod(F.xxhash64("_text"), F.col("_shards")), F.pmod(F.xxhash64("_value"), F.col("_chunks"))
+    of_values = asked.join(sizes, "lead_id").select("lead_id", each("_shards").alias("_shard"), chunk.alias("_chunk"), F.lit(0).alias("_kind"), F.col("_value").alias("_s"))
+    of_texts = texts.join(sizes, "lead_id").select("lead_id", shard.alias("_shard"), each("_chunks").alias("_chunk"), F.lit(1).alias("_kind"), F.col("_text").alias("_s"))
+    place = ["lead_id", "_shard", "_chunk"]
+    dealt = of_values.unionByName(of_texts).repartition(*place).sortWithinPartitions(*place, "_kind")
+    kind = f"lead_id {asked.schema['lead_id'].dataType.simpleString()}, _value string"
+    found = dealt.mapInArrow(_found_values, kind).distinct()
+    return values.withColumn("_value", F.lower(text("value"))).join(found, ["lead_id", "_value"], "left_semi").select(values.columns)
+
+
+def _found_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, value) of the values that the texts behind them hold; a shard's rows come together, values first."""
+    import ahocorasick
+
+    key, wanted, literal, numeric, hits, built = None, [], None, None, set(), False
+
+    def automaton(keyed: dict[str, list[str]]):
+        out = ahocorasick.Automaton()
+        for k, of in keyed.items():
+            out.add_word(k, of)
+        out.make_automaton()
+        return out if keyed else None
+
+    def build() -> None:
+        nonlocal literal, numeric
+        digits: dict[str, list[str]] = {}
+        for v in wanted:
+            d = "".join(c for c in v if c in "0123456789")
+            if len(d) >= LEAST_DIGITS:
+                digits.setdefault(d, []).append(v)
+        literal, numeric = automaton({v: [v] for v in wanted if v}), automaton(digits)
+        if "" in wanted:  # stands in every text
+            hits.add("")
+
+    for batch in batches:
+        out: list[tuple] = []
+        for lead, shard, chunk, kind, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (lead, shard, chunk) != key:
+                key, wanted, literal, numeric, hits, built = (lead, shard, chunk), [], None, None, set(), False
+            if kind == 0:
+                wanted.append(s)
+                continue
+            before = set(hits)
+            if not built:
+                build()
+                built = True
+            for one, t in ((literal, s), (numeric, "".join(c for c in s if c in "0123456789"))):
+                if one is not None:
+                    for _, of in one.iter(t):
+                        hits.update(of)
+            out += [(lead, v) for v in hits - before]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], batch.column(0).type), pa.array([v for _, v in out], pa.string())], names=["lead_id", "_value"])
 
 
 #: Patterns up to this many are sent to the terms.

@@ -91,6 +91,26 @@ def test_waterfall_of_500_schedules(spark):
     assert allocate.waterfall(df.limit(0), taken, schedules).count() == 0 == allocate.waterfall(df.where("lead_score > 100"), taken, schedules).count()
 
 
+def test_value_in_evidence_of_a_hot_lead(spark):
+    """One lead has 100,000 evidence rows: they are dealt over many shards, and every value is found that a plain search finds."""
+    r = random.Random(4)
+    word = lambda: r.choice(["mail", "Anna@Site.test", "call", "(212) 555-01", "77 and 212 555 0177", "+1 212", "x@y", "é"])
+    hot = [(1, word(), f"{word()} {i}", i) for i in range(99_990)] + [(1, "Write to Rare@Place.test", None, 0), (1, None, "0044 (20) 7946-0958 x", 0)]
+    few = [(2, "only 555-1234 here", "", 0), (3, "", "", 0), (None, "anna", "", 0)]
+    values = [(i, v, "k") for i in (1, 2, 3, 4, None) for v in ("anna@site", "RARE@place.test", "+44 20 7946 0958", "204479", "2125550177", "555-12", "5551234", "", None, "nowhere", "nowhere", "x@y", "Y@X", "É")]
+    df = spark.createDataFrame(values, "lead_id long, value string, _text string")
+    ev = spark.createDataFrame(hot + few, "lead_id long, field_value string, source_snippet string, shards int").repartition(4)
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    texts = {}
+    for i, a, b, _ in hot + few:
+        texts.setdefault(i, set()).add(" ".join([a or "", b or ""]).strip().lower() if not (a and b) else f"{a} {b}".lower())
+    has = lambda i, v: i is not None and any(v in t or (len(digits(v)) >= 7 and digits(v) in digits(t)) for t in texts.get(i, ()))
+    want = sorted(((i, v) for i, v, _ in values if has(i, (v or "").lower())), key=str)
+    for more in ({}, {"shard_rows": 700, "shard_values": 3}):
+        got = match.value_in_evidence(df, ev, **more)
+        assert got.columns == df.columns and sorted(((x.lead_id, x.value) for x in got.collect()), key=str) == want
+
+
 def test_review_status_blocks_the_export(spark):
     row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
     rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
