@@ -142,6 +142,19 @@ def incremental_keyword_ingest(t: Tables) -> DataFrame:
     return ingest.ingest_keyword(spark, store, "kids books", 2000, None, batches, only_new=True).select("code", "title", "author_name", "publication_date")
 
 
+@query("leads", sql="select lead_id, batch from (select lead_id, cast(lead_id % 3 as int) as batch, public_email, row_number() over (partition by public_email order by lead_id % 3, created_at, lead_id) as n from leads) where n = 1 or public_email = ''")
+def incremental_lead_ingest(t: Tables) -> DataFrame:
+    """All leads in three batches by address into a store with bucketed keys; a batch is run again, as after a failure."""
+    import uuid
+
+    spark = t.leads.sparkSession
+    store = f"{shared_dir(spark)}/leads-{uuid.uuid4().hex}"
+    keys, order = F.array("public_email"), F.struct("created_at", "lead_id")
+    for number in (0, 1, 1, 2):
+        ingest.write_batch(t.leads.where(F.col("lead_id") % 3 == number), store, keys, order, number, buckets=16, bits=1 << 16)
+    return spark.read.parquet(store).select("lead_id", F.col("batch").cast("int").alias("batch"))
+
+
 def brief_sql() -> str:
     field = {
         "video_text": "case video_status when 'no_public_video_found' then 'No public video found in searched sources.' when 'not_checked' then 'Not checked' when 'unclear' then 'Unclear' else 'Found trailer' end",
