@@ -57,6 +57,92 @@ def metadata_from_results(t: Tables) -> DataFrame:
     return usable.groupBy("log_id").agg(F.min_by("clean", "event_id").alias("title"), F.min_by(F.nullif("name", F.lit("")), F.when(X.present("name"), F.col("event_id"))).alias("author"))
 
 
+TITLED = "case cast(book_id % 6 as int) when 0 then title when 1 then 'Missing' when 2 then 'unknown tale' when 3 then 'Book for ASIN ' || title when 4 then asin else 'book  for-ISBN 978' end"
+
+
+@query("books", sql=f"select book_id, {NORM.format('t')} in ('', 'missing', 'unknown') or {NORM.format('t')} like 'book for asin%' or {NORM.format('t')} like 'book for isbn%' or ({NORM.format('asin')} <> '' and {NORM.format('t')} = {NORM.format('asin')}) as placeholder from (select book_id, asin, {TITLED} as t from books)")
+def placeholder_title(t: Tables) -> DataFrame:
+    return t.books.select("book_id", X.placeholder_title(F.expr(TITLED), "asin").alias("placeholder"))
+
+
+LONG_TITLES = "case cast(book_id % 5 as int) when 0 then title when 1 then 'The Tale of ' || title || ' and the ' || title when 2 then ' of the  and in on at to for ' when 3 then 'About the ' || author_name || ' in a very long and winding story' else '' end"
+
+
+@query("books", sql=rf"""with w as (select book_id, trim(t) as t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') as w from (select book_id, {LONG_TITLES} as t from books)),
+s as (select *, list_filter(w, lambda x: not list_contains({fixed.TITLE_STOPS + fixed.CONNECTORS}, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))) as s from w)
+select book_id, case when len(w) <= 6 then t else trim(array_to_string(s[1:4], ' '), ' :-') end as anchor from s""")
+def title_anchor(t: Tables) -> DataFrame:
+    return t.books.select("book_id", X.title_anchor(F.expr(LONG_TITLES)).alias("anchor"))
+
+
+IN_TITLES = "case cast(book_id % 4 as int) when 0 then title when 1 then author_name || ' and ' || title when 2 then substr(author_name, 1, 4) || ' of ' || title else upper(author_name) end"
+
+
+@query("books", sql=f"select book_id, len(list_filter(list_filter(string_split({NORM.format('author_name')}, ' '), lambda x: len(x) >= 3 and not list_contains({fixed.AUTHOR_STOPS}, x)), lambda x: not list_contains(string_split({NORM.format('t')}, ' '), x))) = 0 as fragment from (select book_id, author_name, {IN_TITLES} as t from books)")
+def name_is_title_fragment(t: Tables) -> DataFrame:
+    return t.books.select("book_id", X.name_is_title_fragment("author_name", F.expr(IN_TITLES)).alias("fragment"))
+
+
+ENDS = "case cast(book_id % 4 as int) when 0 then title || ' by ' || author_name when 1 then title || '  by  ' || author_name || ' Jr. ' when 2 then title || ' by the ' || author_name else title end"
+SPLIT = r"'^(.*\S)\s+by\s+(\p{Lu}[\w.''-]*(?:\s+\p{Lu}[\w.''-]*){1,3})\s*$'"
+
+
+@query("books", sql=f"select book_id, case when author <> '' then regexp_extract(t, {SPLIT}, 1) else t end as title, author from (select *, regexp_extract(t, {SPLIT}, 2) as author from (select book_id, {ENDS} as t from books))")
+def split_title_by_author(t: Tables) -> DataFrame:
+    return t.books.select("book_id", X.split_title_by_author(F.expr(ENDS)).alias("x")).select("book_id", "x.*")
+
+
+COLONS = "title || ': ' || split_part(author_name, ' ', 2) || ', ' || split_part(author_name, ' ', 1) || case when book_id % 2 = 0 then ', Doe, Jamie' else ', illustrated' end || ': 9780689851599'"
+
+
+@query("books", sql="select book_id, array_to_string(list_filter([case when author_name = 'Brand House Press' then '' else author_name end, case when book_id % 2 = 0 then 'Jamie Doe' else '' end], lambda x: x <> ''), '; ') as authors from books")
+def authors_from_colon_title(t: Tables) -> DataFrame:
+    return t.books.select("book_id", F.array_join(X.authors_from_colon_title(F.expr(COLONS)), "; ").alias("authors"))
+
+
+BARE = "regexp_replace(regexp_replace(title, ' - Amazon.com$', ''), ' [(]Large Paperback[)]$', '')"
+GUESSED = f"case cast(book_id % 4 as int) when 0 then {BARE} || ' by ' || author_name || ' (Author)' when 1 then {BARE} || ': ' || split_part(author_name, ' ', 2) || ', ' || split_part(author_name, ' ', 1) || ': 9780689851599' when 2 then {BARE} || ' by ' || author_name || ' | Amazon.com' else title end"
+
+
+@query(
+    "books",
+    sql=f"""with g as (select book_id, {BARE} as bare, case when author_name = 'Brand House Press' then '' else author_name end as name, author_name, cast(book_id % 4 as int) as form from books)
+select book_id, case when name <> '' and form in (0, 1, 2) then name else '' end as author, cast(case when name = '' or form = 3 then 0.35 when form = 0 then 0.8 when form = 1 then 0.75 else 0.6 end as double) as confidence from g""",
+)
+def guess_title_author(t: Tables) -> DataFrame:
+    """Titles as search results have them, parsed by the ladder."""
+    return t.books.select("book_id", X.guess_title_author(F.expr(GUESSED), F.lit("")).alias("g")).select("book_id", "g.author", F.col("g.confidence").cast("double").alias("confidence"))
+
+
+REVIEWS = f"case cast(book_id % 3 as int) when 0 then 'Book Review: ' || {BARE} || ' by ' || author_name || ' | The Shelf' when 1 then {BARE} || ' - book reviews of the week' else 'review - ' || {BARE} end"
+
+
+@query(
+    "books",
+    sql=f"""select book_id, case when book_id % 3 = 0 and title = '' then trim('by ' || author_name) else {BARE} || case when book_id % 3 = 0 and author_name = '' then ' by' else '' end end as title, case when author_name = 'Brand House Press' or book_id % 3 = 2 then '' else author_name end as author,
+cast(case when author_name = '' or book_id % 3 = 2 then 0 when book_id % 3 = 0 then 0.7 else 0.6 end as double) as confidence from books""",
+)
+def parse_review_title(t: Tables) -> DataFrame:
+    snippet = F.when(F.col("book_id") % 3 == 1, F.concat(F.lit("A word by "), "author_name"))
+    return t.books.select("book_id", X.parse_review_title(F.expr(REVIEWS), snippet).alias("p")).select("book_id", "p.title", "p.author", F.col("p.confidence").cast("double").alias("confidence"))
+
+
+SLUGS = "case cast(page_id % 4 as int) when 0 then url when 1 then 'https://x.test/p/the-long__tale-' || page_id || '/?q=1' when 2 then 'https://x.test/A_bc-DEF#' || page_id else url || '/' end"
+
+
+@query(sql=rf"""with s as (select page_id, coalesce(list_filter(string_split(regexp_replace({SLUGS}, '[?#].*$', ''), '/'), lambda p: p <> '')[-1], '') as p from pages),
+w as (select page_id, trim(regexp_replace(regexp_replace(p, '[-_]?\d+$', ''), '[-_]+', ' ', 'g')) as w from s)
+select page_id, array_to_string(list_transform(string_split(lower(w), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from w""")
+def humanize_slug(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.humanize_slug(F.expr(SLUGS)).alias("title"))
+
+
+@query(sql=r"""with w as (select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') as w from documents), s as (select doc_id, w, trim(regexp_replace(w, '[^a-z0-9]+', '-', 'g'), '-') as s from w)
+select doc_id, case when s = '' then 'keyword' when length(s) > 80 then s[1:69] || '-' || sha256(w)[1:10] else s end as slug from s""")
+def keyword_slug(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.keyword_slug("text").alias("slug"))
+
+
 # ---- URLs and identifiers ----
 @query(
     "books",
