@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.coerce import year_window_string
 from ..functions.contacts import email_syntax, usable_email
+from ..functions.lineage import cut
+from ..functions.scores import with_lead_score
 from ..functions.text import author_tokens, corporate_author, normalize_text, present, text
-from ..functions.trust import identity_appears
+from ..functions.trust import identity_appears, trusted_site, trusted_social
 from ..functions.urls import platform_source, verified_listing_url
 
 CONTACTS = ["public_email", "public_phone", "representation_email", "publicist_email"]
@@ -224,7 +226,7 @@ def drop_untrusted_extracted(extracted: DataFrame, items: DataFrame, verified: d
 
 
 def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[str] = ("canonical_website", "contact_page_url", "publisher_url")) -> DataFrame:
-    """leads with contacts without a trusted source and profile addresses on catalogs or shops blank, n_contacts and n_urls cleared, and a warning for each."""
+    """leads with contacts without a trusted source and profile addresses on catalogs or shops blank, n_contacts and n_urls cleared and their names (`cleared`), and a warning for each."""
     urls = [c for c in urls if c in leads.columns]
     contacts, pages = {c: present(c) & ~v for c, v in verified.items()}, {c: present(c) & platform_source(c) for c in urls}
     told = messages(
@@ -233,7 +235,8 @@ def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[
     )
     count = lambda flags: reduce(lambda a, b: a + b, (F.coalesce(g, F.lit(False)).cast("int") for g in flags.values()), F.lit(0))
     before = F.coalesce(F.col("warnings").cast("array<string>"), F.array().cast("array<string>")) if "warnings" in leads.columns else F.array().cast("array<string>")
-    return leads.withColumns({"warnings": F.concat(before, told), "n_contacts": count(contacts), "n_urls": count(pages)} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in (contacts | pages).items()})
+    gone = F.array_compact(F.array(*(F.when(g, F.lit(c)) for c, g in (contacts | pages).items())))
+    return leads.withColumns({"warnings": F.concat(before, told), "n_contacts": count(contacts), "n_urls": count(pages), "cleared": gone} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in (contacts | pages).items()})
 
 
 def sanitize_counts(sanitized: DataFrame) -> DataFrame:
@@ -243,6 +246,50 @@ def sanitize_counts(sanitized: DataFrame) -> DataFrame:
     return sanitized.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(changed).alias("changed"), total("n_contacts").alias("cleared_contacts"), total("n_urls").alias("cleared_urls"))
 
 
+def sanitize_leads(star: DataFrame, verified: dict[str, Column], as_of_year: int, key: str = "author_id") -> tuple[DataFrame, DataFrame]:
+    """(leads, profiles): sanitize_contacts with what follows from it.
+
+    leads are the rows of star (leads with their book and author) after clearing; those that were changed have a new lead_score, lead_tier and service_needs, and manual_review_status `rejected` if they are rejected now.
+    profiles (key, cleared: field names) tells which columns of which author profiles are to be blank: addresses on catalogs or shops, and agent and publicist mails that were cleared on one of the author's leads.
+    """
+    sanitized = sanitize_contacts(star, verified)
+    scored = with_lead_score(sanitized, as_of_year)
+    changed = F.size("cleared") > 0
+    status = F.when(changed & (F.col("tier") == "rejected"), "rejected").otherwise(F.col("manual_review_status"))
+    needs = F.when(changed, F.col("needs")).otherwise(F.col("service_needs") if "service_needs" in star.columns else F.lit(None).cast("array<string>"))
+    kept = {"lead_score": F.when(changed, F.col("score")).otherwise(F.col("lead_score")), "lead_tier": F.when(changed, F.col("tier")).otherwise(F.col("lead_tier")), "service_needs": needs, "manual_review_status": status}
+    leads = cut(scored.withColumns(kept).drop("score", "tier", "needs"), "sanitized")
+    own = leads.where(F.col(key).isNotNull()).select(key, F.explode("cleared").alias("c")).where(~F.col("c").isin("public_email", "public_phone"))
+    return leads, own.groupBy(key).agg(F.sort_array(F.collect_set("c")).alias("cleared"))  # five names at most
+
+
+def clear_profiles(authors: DataFrame, profiles: DataFrame, key: str = "author_id") -> DataFrame:
+    """authors with the columns that sanitize_leads names blank."""
+    fields = [c for c in ("canonical_website", "contact_page_url", "publisher_url", "representation_email", "publicist_email") if c in authors.columns]
+    rows = authors.join(profiles.select(key, F.col("cleared").alias("_cleared")), key, "left")
+    return rows.withColumns({c: F.when(F.coalesce(F.array_contains("_cleared", c), F.lit(False)), "").otherwise(F.col(c)) for c in fields}).drop("_cleared").select(authors.columns)
+
+
+SOCIALS = ["instagram_url", "facebook_url", "tiktok_url", "youtube_url", "linkedin_url"]
+
+
+def drop_unmatched_urls(extracted: DataFrame, listing: str = "canonical_url") -> DataFrame:
+    """extracted (author_name, title, URL columns, warnings or none) without URLs that fail their check, each with a warning: website and contact page that are no trusted site of the author, social
+    profiles that don't name the author, publisher addresses on catalogs or shops. A publisher address that is the listing's own goes without a warning."""
+    site = lambda c: ~trusted_site(c, "author_name", "title")
+    told = {"canonical_website": ("Dropped unverified official website candidate: ", site("canonical_website")), "contact_page_url": ("Dropped unverified contact page candidate: ", site("contact_page_url"))}
+    told |= {c: ("Dropped social profile that did not match the author identity: ", ~trusted_social(c, "author_name", "title")) for c in SOCIALS}
+    told["publisher_url"] = ("Dropped catalog/bookstore URL misclassified as publisher: ", platform_source("publisher_url"))
+    own = present("publisher_url") & (F.col("publisher_url") == F.col(listing)) if listing in extracted.columns else F.lit(False)
+    held = {c: present(c) & F.coalesce(bad, F.lit(True)) for c, (_, bad) in told.items() if c in extracted.columns}
+    if "publisher_url" in held:
+        held["publisher_url"] &= ~F.coalesce(own, F.lit(False))
+    before = F.col("warnings").cast("array<string>") if "warnings" in extracted.columns else F.lit(None).cast("array<string>")
+    lines = messages(*((g, F.concat(F.lit(told[c][0]), text(c))) for c, g in held.items()))
+    gone = held | ({"publisher_url": held["publisher_url"] | F.coalesce(own, F.lit(False))} if "publisher_url" in held else {})
+    return extracted.withColumns({"warnings": F.concat(F.coalesce(before, F.array().cast("array<string>")), lines)} | {c: F.when(~g, F.col(c)) for c, g in gone.items()})
+
+
 def usable_results(results: DataFrame, code: Column | None = None) -> DataFrame:
     """Search results that are no access wall or generic page; with a code, only those that hold it."""
     words = F.lower(F.concat_ws(" ", text("title"), text("snippet"), text("url")))
@@ -250,4 +297,4 @@ def usable_results(results: DataFrame, code: Column | None = None) -> DataFrame:
     return out if code is None else out.where(F.contains(words, F.lower(text(code))))
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears", "email_syntax", "platform_source"}] + ["CONTACTS"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears", "email_syntax", "platform_source", "cut", "with_lead_score", "trusted_site", "trusted_social"}] + ["CONTACTS"]

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, contacts, fixed, ids, scores, trust, urls
 from ..functions import text as X
-from ..operators import evidence, state
+from ..operators import evidence, filters, state
 from ..operators.dedupe import dedupe_first
 from ..sources import catalogs, files, pages
-from .queries_tables import BOOK_KEY, NORM, judged, star
+from .queries_tables import BOOK_KEY, NORM, flags, judged, source_flags, star
 from .registry import Tables, query
 
 
@@ -414,6 +414,54 @@ def rescore_after_enrich(t: Tables) -> DataFrame:
     return state.rescore(t.leads.withColumn("lead_score", F.col("lead_score").cast("int")), scored).select("lead_id", "lead_score", "lead_tier", "manual_review_status")
 
 
+#: Profiles whose address is a catalog's, and fields whose source stands in the evidence.
+PROFILE_PAGE = "case when author_id % 5 = 0 then 'https://www.goodreads.com/author/show/1' else contact_page_url end"
+FIELDS = ("public_email", "representation_email", "publicist_email", "public_phone")
+CLEARED = f"""w as (select * replace ({PROFILE_PAGE} as contact_page_url) from {STAR}), f as (select w.*, {", ".join(f"{c} > '' and not exists (select 1 from evidence e where e.lead_id = w.lead_id and e.field_name = '{c}' and e.field_value = w.{c} and e.source_url > '') as g_{c}" for c in FIELDS)}, coalesce(author_id % 5 = 0 and contact_page_url > '', false) as g_page from w),
+g as (select * replace ({", ".join(f"case when g_{c} then '' else {c} end as {c}" for c in FIELDS)}, case when g_page then '' else contact_page_url end as contact_page_url), {" or ".join(f"g_{c}" for c in FIELDS)} or g_page as changed from f)"""
+
+
+def sanitized(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return filters.sanitize_leads(source_flags(t).withColumn("contact_page_url", F.expr(PROFILE_PAGE)), flags("s"), 2026)
+
+
+@query(
+    "leads", "books", "authors", "evidence",
+    sql=f"with {CLEARED}, {score_sql('g')} select lead_id, public_email, contact_page_url, case when changed then score else lead_score end as lead_score, case when changed then tier else lead_tier end as lead_tier, case when changed and tier = 'rejected' then 'rejected' else manual_review_status end as manual_review_status from scored",
+)
+def sanitize_leads(t: Tables) -> DataFrame:
+    """Leads after clearing and scoring anew; here a contact is supported by evidence with a source."""
+    return sanitized(t)[0].select("lead_id", "public_email", "contact_page_url", F.col("lead_score").cast("bigint").alias("lead_score"), "lead_tier", "manual_review_status")
+
+
+@query(
+    "leads", "books", "authors", "evidence",
+    sql=f"with {CLEARED}, p as (select author_id, bool_or(g_page) as page, bool_or(g_representation_email) as agent, bool_or(g_publicist_email) as press from g group by 1) select a.author_id, case when coalesce(page, false) then '' else {PROFILE_PAGE.replace('author_id', 'a.author_id')} end as contact_page_url, case when coalesce(agent, false) then '' else 'agent@desk.example.test' end as representation_email, case when coalesce(press, false) then '' else 'press@press.example.test' end as publicist_email from authors a left join p using (author_id)",
+)
+def sanitize_profiles(t: Tables) -> DataFrame:
+    """Author profiles after the clearing of their leads."""
+    rows = t.authors.withColumns({"contact_page_url": F.expr(PROFILE_PAGE), "representation_email": F.lit("agent@desk.example.test"), "publicist_email": F.lit("press@press.example.test")})
+    return filters.clear_profiles(rows, sanitized(t)[1]).select("author_id", "contact_page_url", "representation_email", "publicist_email")
+
+
+#: URLs of an extraction by a number of the lead, and whether they pass; the names in them are the author's in every second form.
+SITE_URL = "case cast(lead_id % 5 as int) when 0 then 'https://www.' || lower(replace(author_name, ' ', '')) || '.test/' when 1 then 'https://shop' || lead_id || '.test/' when 2 then 'https://www.goodreads.com/' || lower(replace(author_name, ' ', '')) when 3 then '' else null end"
+SOCIAL_URL = "case cast(lead_id % 3 as int) when 0 then 'https://instagram.com/' || lower(replace(author_name, ' ', '_')) when 1 then 'https://instagram.com/readers_of_tales' else '' end"
+PUBLISHER_URL = "case cast(lead_id % 4 as int) when 0 then 'https://quill-press.test/' when 1 then 'https://www.goodreads.com/press' when 2 then 'https://www.amazon.com/dp/B000000001' else null end"
+
+
+@query(
+    "leads", "books",
+    sql=f"""with r as (select lead_id, author_name, author_name <> '' as named, {SITE_URL} as site, {SOCIAL_URL} as social, {PUBLISHER_URL} as publisher from leads join books using (book_id))
+select lead_id, case when lead_id % 5 = 0 and named then site when lead_id % 5 = 3 then '' end as canonical_website, case when lead_id % 3 = 2 then '' when lead_id % 3 = 0 and named then social end as instagram_url, case when lead_id % 4 = 0 then publisher end as publisher_url,
+(coalesce(site, '') > '' and not (lead_id % 5 = 0 and named))::int + (social > '' and not (lead_id % 3 = 0 and named))::int + (lead_id % 4 = 1)::int as n_warnings from r""",
+)
+def drop_unmatched_urls(t: Tables) -> DataFrame:
+    """Site, social and publisher URLs of an extraction after the gate; the listing's own URL is no publisher."""
+    rows = t.leads.join(t.books.drop("author_id"), "book_id").select("lead_id", "author_name", F.lit("A tale").alias("title"), F.expr(SITE_URL).alias("canonical_website"), F.expr(SOCIAL_URL).alias("instagram_url"), F.expr(PUBLISHER_URL).alias("publisher_url"), F.lit("https://www.amazon.com/dp/B000000001").alias("canonical_url"))
+    return filters.drop_unmatched_urls(rows).select("lead_id", "canonical_website", "instagram_url", "publisher_url", F.size("warnings").alias("n_warnings"))
+
+
 # ---- contacts and coercion ----
 @query()
 def extract_emails(t: Tables) -> DataFrame:
