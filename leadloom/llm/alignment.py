@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import token_counts
 from .byte_bpe import ByteBpe
-from .common import cut, drop_cut, join_checked, small_batches, sql_type
+from .common import CACHED_CHARS, cut, drop_cut, join_checked, small_batches, sql_type
 
-#: Ends that a piece of the merge has, characters of a block, and characters of a word that is cached.
-PIECE, BLOCK, CACHED_CHARS = 1 << 14, 1 << 21, 32
+#: Ends that a piece of the merge has, and characters of a block.
+PIECE, BLOCK = 1 << 14, 1 << 21
 CACHE_WORDS = 400_000
 SPACE = token_counts.SPACE
 
@@ -51,12 +51,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class BytePieces(ByteBpe):
-    """A's ids; a pre-token too long to be cached is merged anew."""
-
-    def __missing__(self, token: str) -> bytes:
-        if len(token) > CACHED_CHARS:
-            return np.array(self.merge(token.encode()), np.int32).tobytes()
-        return super().__missing__(token)
+    """A's ids."""
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(map(self.__getitem__, tokens)), np.int32) for tokens in self.split(texts)]

@@ -22,7 +22,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts, sql_type
+from .common import CACHED_CHARS, map_texts, sql_type
 
 CACHE_TOKENS = 600_000
 #: Characters of one scan, and columns of its matrix.
@@ -144,9 +144,11 @@ class ByteBpe(dict):
         self.decimal = list(map(str, range(n)))
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) > CACHE_TOKENS:
-            self.clear()
-        ids = self[token] = array("i", self.merge(token.encode())).tobytes()
+        ids = array("i", self.merge(token.encode())).tobytes()
+        if len(token) <= CACHED_CHARS:
+            if len(self) > CACHE_TOKENS:
+                self.clear()
+            self[token] = ids
         return ids
 
     def merge(self, piece: bytes) -> list[int]:

@@ -17,12 +17,17 @@ __all__ = ["cut", "drop_cut", "shared_dir", "is_small", "join_checked", "slices"
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 #: Texts are handed on in slices of about this many characters, so that a batch of long texts stays small.
 SLICE_CHARS = 1 << 20
+#: Words of more characters are not cached, so that caches of so many words are bounded in bytes too.
+CACHED_CHARS = 32
 #: Bytes of a batch of rows that goes to Python, unless the session names a bound of its own.
 BATCH_BYTES, BATCH_BYTES_KEY, BATCH_BYTES_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of this session at BATCH_BYTES where it has the setting's default, so that memory stays small beside long texts."""
+    """Keep the Arrow batches of this session at BATCH_BYTES where it has the setting's default, so that memory stays small beside long texts.
+
+    The setting stays: plans are lazy and read it when they run. It bounds batches of other queries of the session as well; a session that names a bound of its own keeps it.
+    """
     if spark.conf.get(BATCH_BYTES_KEY, BATCH_BYTES_DEFAULT) == BATCH_BYTES_DEFAULT:
         spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
 

@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, sql_type
 
 DIMENSIONS, PER_LANGUAGE = 1024, 300
+#: Languages that are learned at most, the most frequent ones: the fits grow with the pairs within a family.
+MOST_LANGUAGES = 60
+#: The family of codes that the table lacks.
+OTHERS = "others"
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi fo",
@@ -98,11 +102,11 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit the pairs on about per_language rows of each language."""
     known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}  # one row a language
+    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     part = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n)))) if counts else None
     if part is None:
         return Model({}, {})
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part[F.col(lang_col)] * (1 << 20))
+    chosen = known.where(F.col(lang_col).isin(list(counts))).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part[F.col(lang_col)] * (1 << 20))
 
     def make():
         return lambda cols, texts: {"lang": cols[0], "x": [features(t) for t in texts]}
@@ -111,8 +115,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = sorted(r.lang for r in sample.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
     for n in names:
-        families.setdefault(FAMILY_OF.get(n, f"of {n}"), []).append(n)
-    rows = sample.select(F.col("lang"), F.create_map(*(F.lit(x) for n in names for x in (n, FAMILY_OF.get(n, f"of {n}"))))[F.col("lang")].alias("family"), array_to_vector("x").alias("features"))
+        families.setdefault(FAMILY_OF.get(n, OTHERS), []).append(n)
+    rows = sample.select(F.col("lang"), F.create_map(*(F.lit(x) for n in names for x in (n, FAMILY_OF.get(n, OTHERS))))[F.col("lang")].alias("family"), array_to_vector("x").alias("features"))
     rows = rows.coalesce(2).cache()
     pairs = {}
     for column, prefix, groups in (("family", "family:", [sorted(families)]), ("lang", "", families.values())):

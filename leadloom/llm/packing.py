@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, sql_type
+from .common import CACHED_CHARS, cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
 CACHE_WORDS = 400_000
@@ -49,6 +49,8 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > CACHED_CHARS:
+            return self.whole(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()

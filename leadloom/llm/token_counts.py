@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, sql_type
+from .common import CACHED_CHARS, map_texts, sql_type
 
 SPACE = "▁"
 #: Entries of a task's cache of words; a full cache is emptied.
@@ -40,9 +40,11 @@ class PairCounter(dict):
         self.parts: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        n = self[word] = self.count(SPACE + word)
+        n = self.count(SPACE + word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, run: str) -> int:
@@ -52,9 +54,11 @@ class PairCounter(dict):
             if i == len(run) or run[i - 1 : i + 1] not in joined:
                 part = run[start:i]
                 if (n := parts.get(part)) is None:
-                    if len(parts) > CACHE_WORDS:
-                        parts.clear()
-                    n = parts[part] = self.merge(part)
+                    n = self.merge(part)
+                    if len(part) <= CACHED_CHARS:
+                        if len(parts) > CACHE_WORDS:
+                            parts.clear()
+                        parts[part] = n
                 total, start = total + n, i
         return total
 
