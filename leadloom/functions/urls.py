@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,8 +69,37 @@ def platform_source(url: Column | str) -> Column:
     return host_contains(url, fixed.PLATFORM_HOSTS)
 
 
-def registered_domain(domain: Column) -> Column:
-    """The last label before the public suffix, with it; a host without one is itself."""
+class SuffixRules:
+    """Public-suffix rules as their list writes them: `co.uk`, `*.ck` (any label below), `!www.ck` (an exception to a wildcard); blank lines and those that start with // are passed over."""
+
+    def __init__(self, lines: Iterable[str]):
+        rules = [x.split()[0].strip(".").lower() for x in lines if x.strip() and not x.lstrip().startswith("//")]
+        self.exceptions = [r[1:] for r in rules if r.startswith("!")]
+        self.wild = [r[2:] for r in rules if r.startswith("*.")]
+        self.plain = [r for r in rules if r[0] not in "!*"]
+        self.deepest = max((r.count(".") + 1 for r in rules), default=1)
+
+    def suffix_labels(self, labels: Column) -> Column:
+        """How many labels at the end are the public suffix: those of an exception less one, else of the longest rule, else one.
+
+        The ends of a domain are looked up in hashed sets of literals, one of each kind of rule, up to the depth of the deepest rule: the longest match costs a few look-ups a row, and no join.
+        """
+        n = F.size(labels)
+        ends = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(self.deepest))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("s")))
+        within = lambda s, rules: s.isin(rules) if rules else F.lit(False)
+        below = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"^[^.]*\.", ""))
+        excepted = F.array_max(F.transform(F.filter(ends, lambda e: within(e["s"], self.exceptions)), lambda e: e["k"]))
+        matched = F.array_max(F.transform(F.filter(ends, lambda e: within(e["s"], self.plain) | F.coalesce(within(below(e["s"]), self.wild), F.lit(False))), lambda e: e["k"]))
+        return F.coalesce(excepted - 1, matched, F.lit(1))
+
+
+def registered_domain(domain: Column, rules: SuffixRules | None = None) -> Column:
+    """The last label before the public suffix, with it; a host without one is itself, as is an address of numbers. Without rules the suffixes of two labels of fixed.TWO_LABEL_SUFFIXES hold."""
+    if rules is not None:
+        labels = F.split(F.lower(domain), r"\.")
+        keep = rules.suffix_labels(labels) + 1
+        inside = F.array_join(F.slice(labels, F.size(labels) - keep + 1, keep), ".")
+        return F.when(domain.rlike(r"^\d+(\.\d+){3}$") | (F.size(labels) < keep), F.lower(domain)).otherwise(inside)
     labels = F.split(F.lower(domain), r"\.")
     n = F.size(labels)
     two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".").isin(fixed.TWO_LABEL_SUFFIXES)
@@ -77,8 +108,8 @@ def registered_domain(domain: Column) -> Column:
     return F.when(numeric | (n < keep), F.lower(domain)).otherwise(F.array_join(F.slice(labels, n - keep + 1, keep), "."))
 
 
-def registered_domain_of_url(url: Column | str) -> Column:
-    return registered_domain(host(url))
+def registered_domain_of_url(url: Column | str, rules: SuffixRules | None = None) -> Column:
+    return registered_domain(host(url), rules)
 
 
 def registered_domain_of_email(email: Column | str) -> Column:

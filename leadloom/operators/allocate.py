@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
@@ -33,6 +33,48 @@ def page(leads: DataFrame, order: list[Column], number: int, size: int) -> DataF
     return leads.orderBy(*order).offset((min(max(number, 1), pages) - 1) * size).limit(size)
 
 
+#: Rows of a part of a clustered table.
+PART_ROWS = 100_000
+
+
+class PagedTable:
+    """A table kept in an order for paging: each row has its number, parts hold PART_ROWS numbers each, and a page is read from the one or two parts that its numbers lie in.
+
+    Written once by ranges (no sort in one task); a page, however far behind, opens the files of its parts only, which their folder names tell.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, part_rows: int = PART_ROWS):
+        self.spark, self.path, self.part_rows = spark, path.rstrip("/"), part_rows
+
+    def write(self, df: DataFrame, order: list[Column]) -> PagedTable:
+        ranked = global_rank(df, order, "_n").withColumn("_part", F.floor((F.col("_n") - 1) / self.part_rows))
+        ranked.repartition("_part").sortWithinPartitions("_n").write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/parts")
+        ranked.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.path}/size")
+        self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{self.path}/schema")
+        return self
+
+    def rows(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/size").first()[0]
+
+    def parts(self, first: int, last: int) -> DataFrame | None:
+        """The parts with the rows of these numbers; only their folders are listed."""
+        found = range((first - 1) // self.part_rows, (last - 1) // self.part_rows + 1) if last >= first else ()
+        if not found:
+            return None
+        return self.spark.read.option("basePath", f"{self.path}/parts").parquet(*(f"{self.path}/parts/_part={k}" for k in found))
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """A page of an allowed size; numbers outside clamp to the first and last page."""
+        size = size if size in PAGE_SIZES else 25
+        n = self.rows()
+        number = min(max(number, 1), max(1, -(-n // size)))
+        first, last = (number - 1) * size + 1, min(number * size, n)
+        rows = self.parts(first, last)
+        if rows is None:
+            return self.spark.read.parquet(f"{self.path}/schema")
+        return rows.where(F.col("_n").between(first, last)).orderBy("_n").drop("_n", "_part")
+
+
 def latest_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
@@ -141,4 +183,4 @@ def capacity_slots(due: DataFrame, senders: DataFrame, due_order: list[Column])
     return global_rank(due, due_order, "slot").join(placed, "slot", "left").drop("slot")
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "global_rank", "contact_requirement", "pa"}] + ["ORDERS"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "global_rank", "contact_requirement", "pa"}] + ["ORDERS", "PagedTable"]

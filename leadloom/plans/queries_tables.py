@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import year_in_window, year_window_string
 from ..functions.text import book_key, present, text
+from ..functions.lineage import shared_dir
 from ..functions.urls import registered_domain_of_email, registered_domain_of_url, url_key
 from ..operators import aggregates as A
 from ..operators import allocate, dedupe, evidence, exports, filters, match, state
@@ -556,6 +557,16 @@ def page(t: Tables) -> DataFrame:
     return allocate.page(t.leads, [F.desc("created_at"), F.col("lead_id")], 3, 50).select("lead_id")
 
 
+@query("leads", sql="select lead_id from (select lead_id, row_number() over (order by created_at desc, lead_id) as n, count(*) over () as c from leads) where n > (c - 1) // 25 * 25")
+def last_page(t: Tables) -> DataFrame:
+    """The last page of a clustered table: a number beyond it clamps, and only its part is read."""
+    import uuid
+
+    spark = t.leads.sparkSession
+    paged = allocate.PagedTable(spark, f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}", 2_000).write(t.leads, [F.desc("created_at"), F.col("lead_id")])
+    return paged.page(10**9, 25).select("lead_id")
+
+
 @query(sql="select event_id from events where event_type = 'error' order by ts desc, event_id desc limit 12")
 def latest_n(t: Tables) -> DataFrame:
     return allocate.latest_n(t.events.where("event_type = 'error'"), [F.desc("ts"), F.desc("event_id")], 12).select("event_id")

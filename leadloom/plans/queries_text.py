@@ -186,6 +186,22 @@ def url_parts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.host("url").alias("host"), urls.registered_domain_of_url("url").alias("registered"), urls.url_key("url").alias("url_key"), urls.root_website("url").alias("root"))
 
 
+#: Rules of the caller, with wildcards and exceptions, and domains that meet each of them.
+SUFFIXES = ["// rules", "com", "uk", "co.uk", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "net", "example.net", "b.c.test"]
+DOMAINS = "case cast(page_id % 12 as int) when 0 then regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/?#].*$', '') when 1 then 'a' || page_id || '.co.uk' when 2 then 'x.y' || page_id || '.co.uk' when 3 then 'shop' || page_id || '.ck' when 4 then 'a.shop' || page_id || '.ck' when 5 then 'A.WWW.ck' when 6 then 'www.ck' when 7 then 'z.k' || page_id || '.kawasaki.jp' when 8 then 'q.city.kawasaki.jp' when 9 then 'a.b.c.test' when 10 then 'n' || page_id || '.a.b.c.test' else '10.0.0.7' end"
+
+
+@query(
+    sql=f"""with d as (select page_id, lower({DOMAINS}) as d from pages), r as (select unnest({[x for x in SUFFIXES if not x.startswith("//")]}) as rule), l as (select page_id, d, string_split(d, '.') as w from d),
+e as (select page_id, d, w, unnest(range(1, len(w) + 1)) as k from l), s as (select *, array_to_string(w[len(w) - k + 1:], '.') as s from e),
+m as (select page_id, d, w, max(case when '!' || s = rule then k end) as x, max(case when s = rule or (rule like '*.%' and k > 1 and array_to_string(w[len(w) - k + 2:], '.') = rule[3:]) then k end) as y from s left join r on true group by all)
+select page_id, case when regexp_matches(d, '^[0-9]+([.][0-9]+){{3}}$') or len(w) <= coalesce(x - 1, y, 1) then d else array_to_string(w[len(w) - coalesce(x - 1, y, 1):], '.') end as registered from m"""
+)
+def public_suffixes(t: Tables) -> DataFrame:
+    """Registered domains by rules of the caller: plain, wildcard, exception."""
+    return t.pages.select("page_id", urls.registered_domain(F.expr(DOMAINS), urls.SuffixRules(SUFFIXES)).alias("registered"))
+
+
 @query("evidence", sql="select evidence_id, contains(source_url, 'goodreads.') as blocked from evidence")
 def blocked_hosts(t: Tables) -> DataFrame:
     return t.evidence.select("evidence_id", urls.platform_source("source_url").alias("blocked"))

@@ -111,6 +111,17 @@ def test_value_in_evidence_of_a_hot_lead(spark):
         assert got.columns == df.columns and sorted(((x.lead_id, x.value) for x in got.collect()), key=str) == want
 
 
+def test_a_far_page_reads_one_part(spark, tmp_path):
+    df = spark.range(250_000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(1000)))
+    paged = allocate.PagedTable(spark, f"file://{tmp_path}/t", 1_000).write(df, [F.desc("k"), F.col("id")])
+    want = [x.id for x in df.orderBy(F.desc("k"), "id").offset(9_999 * 25).limit(25).collect()]
+    page = paged.page(10_000, 25)
+    assert [x.id for x in page.collect()] == want and page.columns == df.columns and len(page.inputFiles()) == 1
+    assert len(paged.page(41, 25).inputFiles()) == 1 and len(paged.page(11, 100).collect()) == 100
+    assert [x.id for x in paged.page(10**6, 25).collect()] == want and paged.page(-3, 7).count() == 25
+    assert allocate.PagedTable(spark, f"file://{tmp_path}/e").write(df.limit(0), [F.col("id")]).page(1, 25).count() == 0
+
+
 def test_review_status_blocks_the_export(spark):
     row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
     rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
