@@ -175,9 +175,10 @@ def linked(k: int) -> str:
     return f"case lead_id % {len(LINKS)} " + " ".join(f"when {i} then {x[k]}" for i, x in enumerate(LINKS)) + " end"
 
 
-@query("evidence", sql=f"select evidence_id, kind, cast(case kind when 'amazon_book' then 0.9 when 'unrelated' then 0.2 when 'publisher_site' then 0.55 when 'author_site' then 0.45 else 0.85 end as double) as confidence from (select evidence_id, {linked(1)} as kind from evidence) where kind is not null")
+@query("evidence", sql=f"select evidence_id, kind, cast(case kind when 'amazon_book' then 0.9 when 'unrelated' then 0.2 when 'publisher_site' then 0.55 when 'author_site' then 0.45 else 0.85 end as double) as confidence from (select evidence_id, coalesce({linked(1)}, 'author_site') as kind from evidence)")
 def classify_url(t: Tables) -> DataFrame:
-    rows = t.evidence.select("evidence_id", F.expr(linked(0)).alias("url")).where(X.present("url"))
+    """Blank addresses are read as an author's site, as the rule has them."""
+    rows = t.evidence.select("evidence_id", F.expr(linked(0)).alias("url"))
     return rows.select("evidence_id", urls.classify_url("url").alias("c")).select("evidence_id", "c.kind", F.col("c.confidence").cast("double").alias("confidence"))
 
 
@@ -321,9 +322,39 @@ def trusted_site(t: Tables) -> DataFrame:
     return rows.select("author_id", "title", trust.trusted_site("canonical_website", "author_name", "title").alias("site"), trust.trusted_social("instagram_url", "author_name", "title").alias("social"))
 
 
-@query("books", sql=f"select book_id, case when asin > '' then true else not ({NORM.format('title')} = '') and len(list_filter(string_split({NORM.format('title')}, ' '), lambda w: len(w) >= 4 and w not in ('paperback', 'amazon'))) > 0 end as hit from books where title not like '%(%'")
+#: Texts of results by a number of the book: its title, its identifier in another text, half its title, another text.
+RESULT_TEXTS = "case cast(book_id % 4 as int) when 0 then 'About: ' || title when 1 then 'an item ' || lower(asin) || ' of a shop' when 2 then substr(title, 1, 12) else 'something else' end"
+TITLE_WORDS = f"list_distinct(list_filter(string_split({NORM.format('title')}, ' '), lambda x: len(x) >= 4 and not list_contains({fixed.TITLE_STOPS}, x)))"
+
+
+@query("books", sql=f"with r as (select book_id, asin, title, {RESULT_TEXTS} as t, {TITLE_WORDS} as w from books), h as (select *, len(list_filter(w, lambda x: contains({NORM.format('t')}, x))) as n from r) select book_id, (asin > '' and contains(lower(t), lower(asin))) or ({NORM.format('title')} not in ('', 'missing', 'unknown') and len(w) > 0 and n >= least(3, len(w))) as hit from h")
 def result_matches_book(t: Tables) -> DataFrame:
-    return t.books.where("title not like '%(%'").select("book_id", trust.result_matches_book(F.concat_ws(" ", "title", F.lower("asin")), "title", "asin").alias("hit"))
+    return t.books.select("book_id", trust.result_matches_book(F.expr(RESULT_TEXTS), "title", "asin").alias("hit"))
+
+
+@query("authors", "books", sql="select book_id, case when author_name not in ('', 'Brand House Press') and book_id % 3 <> 2 then 'https://instagram.com/' || lower(replace(author_name, ' ', '.')) else '' end as kept, 2 as n from books")
+def filter_socials_by_identity(t: Tables) -> DataFrame:
+    """Of two profiles of each book's author those that name them."""
+    own = F.when((F.col("book_id") % 3 != 2) & (F.col("author_name") != "Brand House Press"), F.concat(F.lit("https://instagram.com/"), F.lower(F.replace("author_name", F.lit(" "), F.lit("."))))).otherwise(F.lit("https://instagram.com/tales"))
+    socials = F.create_map(F.lit("instagram_url"), own, F.lit("youtube_url"), F.lit("https://youtube.com/readers"))
+    rows = t.books.select("book_id", F.size(socials).alias("n"), trust.filter_socials(socials, "author_name", "title").alias("s"))
+    return rows.select("book_id", F.array_join(F.map_values("s"), " ").alias("kept"), "n")
+
+
+@query("books", sql="""with r as (select book_id, cast(book_id % 4 as int) as n, case when book_id % 5 = 0 then null else cast(book_id % 13 as double) / 13 end as a, case when book_id % 7 = 0 then null else cast(book_id % 3 as double) / 7 end as b, publisher, publication_date from books),
+m as (select *, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 0) as mean from r)
+select book_id, round_even(least(0.95, case n when 0 then 0 when 1 then 0.52 else 0.62 + mean * 0.25 end + case when n > 0 and publisher > '' then 0.04 else 0 end + case when n > 0 and publication_date > '' then 0.03 else 0 end), 2) as confidence from m""")
+def resolution_confidence(t: Tables) -> DataFrame:
+    one, two = F.when(F.col("book_id") % 5 != 0, (F.col("book_id") % 13).cast("double") / 13), F.when(F.col("book_id") % 7 != 0, (F.col("book_id") % 3).cast("double") / 7)
+    return t.books.select("book_id", evidence.resolution_confidence((F.col("book_id") % 4).cast("int"), one, two, F.col("publisher"), F.col("publication_date")).alias("confidence"))
+
+
+CLEANED = "case cast(book_id % 6 as int) when 0 then ' None ' when 1 then 'N/A' when 2 then 'false' when 3 then null when 4 then ' no ' else '  ' || title || ' ' end"
+
+
+@query("books", sql=f"select book_id, case when lower(trim(coalesce({CLEANED}, ''))) in ('', 'none', 'no', 'n/a', 'null', 'false') then '' else trim({CLEANED}) end as contact from books")
+def clean_contact(t: Tables) -> DataFrame:
+    return t.books.select("book_id", coerce.clean_contact(F.expr(CLEANED)).alias("contact"))
 
 
 @query()
@@ -379,14 +410,21 @@ def recency_points(t: Tables) -> DataFrame:
     return t.books.select("book_id", scores.recency_points("publication_date", 2026).alias("points"))
 
 
-@query("books", sql="select book_id, contains(lower(publisher), 'penguin') as traditional from books")
+#: Every name of the list in turn, in capitals or inside a longer name, and the book's own publisher.
+PUBLISHERS = f"case when book_id % 3 = 0 then publisher when book_id % 3 = 1 then upper({fixed.TRADITIONAL_PUBLISHERS}[cast(book_id % {len(fixed.TRADITIONAL_PUBLISHERS)} as int) + 1]) else 'The ' || {fixed.TRADITIONAL_PUBLISHERS}[cast(book_id % {len(fixed.TRADITIONAL_PUBLISHERS)} as int) + 1] || ' Group' end"
+
+
+@query("books", sql=f"select book_id, len(list_filter({fixed.TRADITIONAL_PUBLISHERS}, lambda x: contains(lower({PUBLISHERS}), x))) > 0 as traditional from books")
 def reject_traditional_publisher(t: Tables) -> DataFrame:
-    return t.books.select("book_id", scores.traditional_publisher("publisher").alias("traditional"))
+    names = F.array(*map(F.lit, fixed.TRADITIONAL_PUBLISHERS))
+    name = F.element_at(names, (F.col("book_id") % len(fixed.TRADITIONAL_PUBLISHERS)).cast("int") + 1)
+    own = F.when(F.col("book_id") % 3 == 0, F.col("publisher")).when(F.col("book_id") % 3 == 1, F.upper(name)).otherwise(F.concat(F.lit("The "), name, F.lit(" Group")))
+    return t.books.select("book_id", scores.traditional_publisher(own).alias("traditional"))
 
 
-@query("books", sql="select book_id, contains(lower(title || ' ' || publisher), 'kids') as is_childrens, case when contains(lower(title || ' ' || publisher), 'kids') then 0.75 else 0.25 end as confidence from books where title <> ''")
+@query("books", sql="select book_id, contains(lower(title || ' ' || publisher), 'kids') as is_childrens, case when contains(lower(title || ' ' || publisher), 'kids') then 0.75 else 0.25 end as confidence from books where title || publisher <> '' union all select book_id, null, 0.25 from books where title || publisher = ''")
 def classify_book(t: Tables) -> DataFrame:
-    return t.books.where("title <> ''").select("book_id", scores.classify_book("title", "publisher").alias("c")).select("book_id", "c.is_childrens", "c.confidence")
+    return t.books.select("book_id", scores.classify_book("title", "publisher").alias("c")).select("book_id", "c.is_childrens", "c.confidence")
 
 
 @query(sql="select event_id, contains(p, 'trailer') as is_book_trailer, case when contains(p, 'trailer') then 0.8 else 0.2 end as confidence from (select event_id, event_type || case when event_id % 4 = 0 then ' trailer' else '' end as p from events)")
@@ -479,9 +517,14 @@ def drop_unmatched_urls(t: Tables) -> DataFrame:
 
 
 # ---- contacts and coercion ----
-@query()
+#: What is written behind each text: an address, the same in capitals, one on a blocked domain, one beside a hint of scripts, one without a top-level domain.
+WRITTEN = "case cast(doc_id % 5 as int) when 0 then '. Write to a' || doc_id || '@site' || doc_id % 7 || '.test, or A' || doc_id || '@SITE' || doc_id % 7 || '.TEST.' when 1 then ' info@goodreads.com' when 2 then '" + "x" * 130 + " (b' || doc_id || '@other.test)' when 3 then ' sentry c' || doc_id || '@other.test' else ' d@other' end"
+
+
+@query(sql="select doc_id, case when doc_id % 5 = 0 then 'a' || doc_id || '@site' || doc_id % 7 || '.test' else 'b' || doc_id || '@other.test' end as email from documents where doc_id % 5 in (0, 2)")
 def extract_emails(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(contacts.extract_emails("text")).alias("email"))
+    """The texts' own addresses are on a blocked domain."""
+    return t.documents.select("doc_id", F.explode(contacts.extract_emails(F.concat("text", F.expr(WRITTEN)))).alias("email"))
 
 
 @query()
@@ -585,24 +628,53 @@ def page_links(t: Tables) -> DataFrame:
     return pages.page_links(pages.parse_pages(t.pages))
 
 
-@query()
+#: What is added to every page: a mail link, links of contact intent and others, social profiles, forms, an attribute with a phone.
+CONTACTS = """'<p>Write <a href="mailto:A' || page_id || '@site' || page_id % 7 || '.test?subject=x">us</a></p><a href="/contact-' || page_id || '">Write</a><a href="/contact-' || page_id || '">again</a><a href="/files/press.pdf">Press</a><a href="/">Contact</a><a href="/x/' || page_id || '">Book an event</a>'
+ || '<a href="https://other' || page_id % 9 || '.test/contact">Elsewhere</a><a href="https://www.instagram.com/a' || page_id || '">I</a><a href="https://instagram.com/b">J</a>' || case when page_id % 2 = 0 then '<a href="https://youtu.be/' || page_id || '">V</a>' else '' end
+ || '<form action="/send#top" id="contact-form"><input name="email"><textarea name="message"></textarea></form><form action="/find" id="search"><input name="q"></form><form action="/say"><input name="email">' || case when page_id % 3 = 0 then '<textarea name="message"></textarea>' else '' end || '</form><span data-phone="+1 (212) 2' || lpad('' || page_id % 100, 2, '0') || '-0000"></span>'"""
+ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+def parsed_with_contacts(t: Tables) -> DataFrame:
+    return pages.parse_pages(t.pages.withColumn("html", F.concat("html", F.expr(CONTACTS))))
+
+
+@query(sql=f"select page_id, {ROOT} || '/contact-' || page_id || ' ' || {ROOT} || '/x/' || page_id as links from pages")
 def contact_links(t: Tables) -> DataFrame:
-    return pages.contact_links(pages.page_links(pages.parse_pages(t.pages))).select("page_id", F.array_join("contact_links", " ").alias("links"))
+    return pages.contact_links(pages.page_links(parsed_with_contacts(t))).select("page_id", F.array_join("contact_links", " ").alias("links"))
 
 
-@query()
+@query(sql="select page_id, 'https://other' || page_id % 9 || '.test/contact' as links from pages")
+def external_links(t: Tables) -> DataFrame:
+    return pages.external_links(pages.page_links(parsed_with_contacts(t))).select("page_id", F.array_join("external_links", " ").alias("links"))
+
+
+@query(sql="select page_id, 'instagram_url=https://www.instagram.com/a' || page_id || case when page_id % 2 = 0 then ' youtube_url=https://youtu.be/' || page_id else '' end as socials from pages")
 def social_links(t: Tables) -> DataFrame:
-    return pages.social_links(pages.page_links(pages.parse_pages(t.pages))).select("page_id", F.map_keys("socials").alias("fields"))
+    """The first link of each platform."""
+    found = pages.social_links(pages.page_links(parsed_with_contacts(t)))
+    return found.select("page_id", F.array_join(F.transform(F.map_entries("socials"), lambda x: F.concat_ws("=", x["key"], x["value"])), " ").alias("socials"))
 
 
-@query()
+@query(sql=f"select page_id, {ROOT} || '/send' as action, 'contact_form' as kind, 'email message' as fields from pages union all select page_id, {ROOT} || '/say', 'generic_form', 'email message' from pages where page_id % 3 = 0")
 def contact_forms(t: Tables) -> DataFrame:
-    return pages.contact_forms(pages.parse_pages(t.pages)).select("page_id", "action", "kind")
+    return pages.contact_forms(parsed_with_contacts(t)).select("page_id", "action", "kind", F.array_join("fields", " ").alias("fields"))
 
 
-@query()
+@query(sql="select page_id, 'email' as field, 'a' || page_id || '@site' || page_id % 7 || '.test' as value from pages union all select page_id, 'phone', '+12122' || lpad('' || page_id % 100, 2, '0') || '0000' from pages")
 def hidden_contacts(t: Tables) -> DataFrame:
-    return pages.hidden_contacts(pages.parse_pages(t.pages))
+    return pages.hidden_contacts(parsed_with_contacts(t))
+
+
+@query(
+    sql="""select page_id, case when page_id % 5 = 0 then '' else 'a' || page_id || '@site.test' end as email, case when page_id % 5 = 1 then '' else '+12122000000' end as phone, case when page_id % 2 = 0 then 0.78 else 0.68 end as confidence
+from pages where page_id % 3 <> 0""",
+)
+def contact_match(t: Tables) -> DataFrame:
+    """Contacts of pages that are the author's own: official, on a site and in a text that name them; every third page is another's."""
+    words = "'Official home of Alex Maple, author of ' || case when page_id % 2 = 0 then 'The Owl' else 'tales' end || '. Contact: ' || case when page_id % 5 = 0 then '' else 'a' || page_id || '@site.test' end || case when page_id % 5 = 1 then '' else ' phone 212-200-0000 ' end"
+    rows = t.pages.select("page_id", F.expr("case when page_id % 3 = 0 then 'https://quiet.test/' else 'https://alexmaple.test/' end || page_id").alias("url"), F.lit("Home").alias("title"), F.expr(words).alias("page_text"), F.lit("Alex Maple").alias("author_name"), F.lit("The Owl: a tale").alias("book_title"))
+    return pages.contact_match(rows).select("page_id", "email", "phone", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query()
