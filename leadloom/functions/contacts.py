@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .ids import isbn10_valid
-from .text import alternation, text
+from .text import alternation, bound, text
 from .urls import blocked_mail, desk_mailbox, in_domains
 
 EMAIL = r"(?i)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![\w-])"
@@ -95,6 +95,38 @@ def details_of(e: Column) -> Column:
     return F.struct((e.isNotNull() & ~fake & ~premium).alias("valid"), F.coalesce(e, F.lit("")).alias("e164"), line.alias("line_type"), region.alias("region"), fake.alias("is_fake"), premium.alias("is_premium"))
 
 
+def plan_prefixes(plans: list = fixed.NUMBER_PLANS) -> dict[str, tuple[str, str, int, int, int]]:
+    """Prefixes of international numbers (country code and leading digits) with region, kind, the length of the country code, and the least and greatest national length."""
+    return {code + lead: (region, kind, len(code), low, high) for code, region, _, kinds in plans for lead, kind, low, high in kinds}
+
+
+def by_plan(c: Column | str, region: str = "US", plans: list = fixed.NUMBER_PLANS) -> Column:
+    """struct(valid, e164, line_type, region) of a number by its numbering plan.
+
+    Digits with + or 00 in front are international; others are of `region`, whose trunk prefix goes. The longest prefix of the number in the plans' table is found as in a trie, level by level, in a map of
+    literals; it tells kind and lengths. Numbers without a prefix, of another length, and premium ones are not valid; of those of another length nothing more is told.
+    """
+    table, (code, _, trunk, _) = plan_prefixes(plans), next(p for p in plans if p[1] == region)
+    known = F.create_map(*(x for k, (r, kind, n, low, high) in table.items() for x in (F.lit(k), F.struct(F.lit(r).alias("region"), F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high")))))
+    levels = range(max(map(len, table)), min(map(len, table)) - 1, -1)
+
+    def parts(raw: Column) -> Column:
+        digits = F.regexp_replace(raw, "[^0-9]", "")
+        national = F.regexp_replace(digits, f"^{trunk}", "") if trunk else digits
+        full = F.when(raw.rlike(r"^\s*\(?\+"), digits).when(digits.startswith("00"), F.substring(digits, 3, 30)).otherwise(F.concat(F.lit(code), national))
+        return bound(full, lambda f: F.struct(f.alias("full"), raw.rlike(r"^[\d\s().+/-]+$").alias("plain"), F.coalesce(*(F.try_element_at(known, F.substring(f, 1, k)) for k in levels)).alias("plan")))
+
+    def told(p: Column) -> Column:
+        plan = p["plan"]
+        return bound(F.coalesce((F.length(p["full"]) - plan["n"]).between(plan["low"], plan["high"]), F.lit(False)) & p["plain"], lambda fits: F.struct(
+            (fits & F.coalesce(plan["kind"] != "premium_rate", F.lit(False))).alias("valid"), F.when(fits, F.concat(F.lit("+"), p["full"])).otherwise("").alias("e164"),
+            F.when(fits, plan["kind"]).otherwise("unknown").alias("line_type"), F.when(fits, plan["region"]).otherwise("").alias("region"),
+        ))
+
+    raw = F.regexp_replace(F.trim(text(c)), r"(?i)\s*(?:ext\.?|x|#)\s*\d+$", "")
+    return bound(bound(raw, parts), told)
+
+
 def extract_phones(c: Column | str, require_context: bool = True) -> Column:
     """Numbers of a text that are no ISBN, not in the sentence of book data, and (if asked) near a word of contact; E.164, distinct, in order."""
     value = text(c)

@@ -109,6 +109,17 @@ READ_ALOUD_TERMS = ["read aloud", "read-aloud", "storytime"]
 SOURCE_SCORES = {"open_library": 0.24, "google_books": 0.24, "library_of_congress": 0.22, "crossref": 0.22, "amazon": 0.22, "internet_archive": 0.18, "ddgs": 0.14, "ddgs_html": 0.12, "bing_html": 0.12}
 VIDEO_STATUSES = ["not_checked", "no_public_video_found", "found_trailer", "found_animated_video", "found_read_aloud_only", "unclear"]
 
+# Numbering plans. Country code, region, trunk prefix, and by leading digits of the national number its kind and lengths.
+NUMBER_PLANS = [
+    ("1", "US", "1", [("2", "landline", 10, 10), ("3", "landline", 10, 10), ("4", "landline", 10, 10), ("5", "landline", 10, 10), ("6", "landline", 10, 10), ("7", "landline", 10, 10), ("8", "landline", 10, 10), ("9", "landline", 10, 10),
+                      ("800", "toll_free", 10, 10), ("833", "toll_free", 10, 10), ("844", "toll_free", 10, 10), ("855", "toll_free", 10, 10), ("866", "toll_free", 10, 10), ("877", "toll_free", 10, 10), ("888", "toll_free", 10, 10), ("900", "premium_rate", 10, 10)]),
+    ("44", "GB", "0", [("1", "landline", 9, 10), ("2", "landline", 10, 10), ("3", "shared", 10, 10), ("7", "mobile", 10, 10), ("70", "personal", 10, 10), ("800", "toll_free", 7, 10), ("808", "toll_free", 10, 10), ("84", "shared", 7, 10), ("87", "shared", 10, 10), ("9", "premium_rate", 10, 10)]),
+    ("33", "FR", "0", [("1", "landline", 9, 9), ("2", "landline", 9, 9), ("3", "landline", 9, 9), ("4", "landline", 9, 9), ("5", "landline", 9, 9), ("6", "mobile", 9, 9), ("7", "mobile", 9, 9), ("80", "toll_free", 9, 9), ("89", "premium_rate", 9, 9), ("9", "voip", 9, 9)]),
+    ("34", "ES", "", [("6", "mobile", 9, 9), ("7", "mobile", 9, 9), ("8", "landline", 9, 9), ("9", "landline", 9, 9), ("800", "toll_free", 9, 9), ("900", "toll_free", 9, 9), ("803", "premium_rate", 9, 9), ("806", "premium_rate", 9, 9), ("807", "premium_rate", 9, 9)]),
+    ("49", "DE", "0", [("2", "landline", 6, 11), ("3", "landline", 6, 11), ("4", "landline", 6, 11), ("5", "landline", 6, 11), ("6", "landline", 6, 11), ("7", "landline", 6, 11), ("8", "landline", 6, 11), ("9", "landline", 6, 11), ("15", "mobile", 10, 11), ("16", "mobile", 10, 11), ("17", "mobile", 10, 11), ("800", "toll_free", 10, 10), ("900", "premium_rate", 10, 10)]),
+    ("61", "AU", "0", [("2", "landline", 9, 9), ("3", "landline", 9, 9), ("4", "mobile", 9, 9), ("7", "landline", 9, 9), ("8", "landline", 9, 9), ("1800", "toll_free", 10, 10), ("190", "premium_rate", 10, 10)]),
+]
+
 # Public suffixes of two labels; all others are taken as one label.
 TWO_LABEL_SUFFIXES = (
     "co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk com.au net.au org.au edu.au gov.au id.au co.nz net.nz org.nz govt.nz ac.nz co.jp "

@@ -543,6 +543,24 @@ def phone_details(t: Tables) -> DataFrame:
     return t.candidates.where("channel = 'phone'").select("candidate_id", contacts.phone_details(F.expr(NUMBERS)).alias("d")).select("candidate_id", "d.e164", "d.line_type", "d.region", "d.is_fake", "d.valid")
 
 
+#: Numbers of several plans as people write them, right and wrong; digits from the order's number.
+PLANNED = """case cast(o_orderkey % 12 as int) when 0 then '+44 20 7946 ' || lpad('' || o_orderkey % 10000, 4, '0') when 1 then '0044 (7700) ' || lpad('' || o_orderkey % 1000000, 6, '0') when 2 then '(212) 2' || lpad('' || o_orderkey % 100, 2, '0') || '-0100 ext. 5' when 3 then '1-800-' || lpad('' || o_orderkey % 10000000, 7, '0')
+  when 4 then '+33 6 12 34 56 ' || lpad('' || o_orderkey % 100, 2, '0') when 5 then '+33 612' when 6 then '+49 30 ' || o_orderkey when 7 then '+34 806 ' || lpad('' || o_orderkey % 1000000, 6, '0') when 8 then '+61 1800 ' || lpad('' || o_orderkey % 1000000, 6, '0') when 9 then '+999 12345678'
+  when 10 then '+49 170' || lpad('' || o_orderkey % 10000000, 7, '0') else 'call 212 555 ' || o_orderkey end"""
+PREFIXES = ", ".join(f"('{k}', '{r}', '{kind}', {n}, {low}, {high})" for k, (r, kind, n, low, high) in contacts.plan_prefixes().items())
+
+
+@query(
+    sql=rf"""with t as (select o_orderkey, trim(regexp_replace({PLANNED}, '\s*ext[.] *[0-9]+$', '')) as raw from orders), d as (select *, regexp_replace(raw, '[^0-9]', '', 'g') as d from t),
+f as (select o_orderkey, raw, case when starts_with(raw, '+') then d when starts_with(d, '00') then d[3:] else '1' || regexp_replace(d, '^1', '') end as f from d), p(prefix, region, kind, n, low, high) as (values {PREFIXES}),
+m as (select f.*, p.* , row_number() over (partition by o_orderkey order by length(prefix) desc nulls last) as k from f left join p on starts_with(f, prefix)),
+r as (select *, coalesce(length(f) - n between low and high, false) and regexp_matches(raw, '^[0-9 ().+/-]+$') as fits from m where k = 1)
+select o_orderkey, coalesce(fits and kind <> 'premium_rate', false) as valid, case when fits then '+' || f else '' end as e164, case when fits then kind else 'unknown' end as line_type, case when fits then region else '' end as region from r""",
+)
+def phone_plans(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", contacts.by_plan(F.expr(PLANNED)).alias("p")).select("o_orderkey", F.coalesce("p.valid", F.lit(False)).alias("valid"), "p.e164", "p.line_type", "p.region")
+
+
 @query("leads", sql="select lead_id, public_email > '' as valid from leads")
 def email_syntax(t: Tables) -> DataFrame:
     return t.leads.select("lead_id", contacts.email_syntax("public_email").alias("valid"))

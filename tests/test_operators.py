@@ -122,6 +122,16 @@ def test_a_far_page_reads_one_part(spark, tmp_path):
     assert allocate.PagedTable(spark, f"file://{tmp_path}/e").write(df.limit(0), [F.col("id")]).page(1, 25).count() == 0
 
 
+def test_numbering_plans(spark):
+    for raw, region, want in [
+        ("020 7946 0958", "GB", (True, "+442079460958", "landline", "GB")), ("+44 7700 900123", "US", (True, "+447700900123", "mobile", "GB")), ("06 12 34 56 78", "FR", (True, "+33612345678", "mobile", "FR")),
+        ("0800 1111", "GB", (True, "+448001111", "toll_free", "GB")), ("0909 8790123", "GB", (False, "+449098790123", "premium_rate", "GB")), ("0171 2345678", "DE", (True, "+491712345678", "mobile", "DE")), ("91 123 45 67", "ES", (True, "+34911234567", "landline", "ES")), ("91 123 45", "ES", (False, "", "unknown", "")),
+        ("(212) 555-0123 x9", "US", (True, "+12125550123", "landline", "US")), ("112", "US", (False, "", "unknown", "")), ("no number", "US", (False, "", "unknown", "")), ("", "GB", (False, "", "unknown", "")), (None, "GB", (False, "", "unknown", "")),
+    ]:
+        got = one(spark, contacts.by_plan(F.lit(raw).cast("string"), region))
+        assert (bool(got.valid), got.e164, got.line_type, got.region) == want, raw
+
+
 def test_review_status_blocks_the_export(spark):
     row = {"lead_id": 1, "author_name": "Alex Maple", "title": "A", "asin": "", "amazon_book_url": "https://x.example/dp/B000000001", "public_email": "a@b.org", "public_phone": "", "do_not_contact": False, "verification_status": "verified", "verification_score": 5, "created_at": 1}
     rows = [row | {"manual_review_status": ""}, row | {"lead_id": 2, "manual_review_status": "do_not_contact", "verification_score": 9}, row | {"lead_id": 3, "manual_review_status": "", "verification_score": 7}]
