@@ -29,21 +29,26 @@ from .common import CACHED_CHARS, cut, map_texts, sql_type
 
 CAPACITY, OPEN_BINS, PER_TASK, END_ID = 2048, 512, 50_000, 0
 CACHE_WORDS = 400_000
-#: A mark behind a letter below this one never joins it, also in composed form.
-LATIN = "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters with one lower-case form each, and those forms; normal forms leave them alone, and a run of them is one pre-token.
+LETTERS, PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile("[a-zß-öø-ÿ]+")
+#: A word that ends in one of these letters, and marks behind it: they never join it, are one pre-token, and no part of a special token.
+MARKED = re.compile("(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:;=?@\\[-`{}~]+)", re.DOTALL)
 
 
 class WordIds(dict):
     """Ids of words as little-endian 32-bit bytes, filled as they are asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = {c: self.whole(c) for c in ",."}
+        # The same model for plain words, which need neither the normaliser nor the split.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,10 +63,12 @@ class WordIds(dict):
             self[word] = ids
             return ids
         # The tokenizer lower-cases, and parts letters from a mark behind them: such forms share the ids of the plain word.
-        if word.isascii() and "<" not in word and (low := word.lower()) != word:
+        if PLAIN.fullmatch(word):
+            ids = np.array(self.bare.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        elif (word.isascii() and "<" not in word or LETTERS.fullmatch(word)) and (low := word.lower()) != word:
             ids = self[low]
-        elif word[-1] in ",." and word[-2:-1].isalpha() and word[-2] < LATIN:
-            ids = self[word[:-1]] + self.mark[word[-1]]
+        elif m := MARKED.fullmatch(word):
+            ids = self[m[1]] + self[m[2]]
         else:
             ids = self.whole(word)
         self[word] = ids
