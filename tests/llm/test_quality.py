@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from leadloom.llm import packing, quality
@@ -106,6 +108,25 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
+MARKS = st.sampled_from([*"abzAZéÉßÿÀ×÷µªº,.!'*#$<>|&-_^`~@[]{}()09 ", "'s", "'LL", "<|endoftext|>", "<|endoftext", "e\u0301", "İ", "漢", "\u0301", "\u00ad"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(MARKS, max_size=30).map("".join))
+def test_word_ids(text):
+    """Ids by words, letters and marks are those of the library over the whole text."""
+    words = packing.load(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.encode(text) == words.whole(text)
+
+
+def test_few_sequences(spark):
+    """Over many pieces in one task, the bins are within 1 % of the least that their tokens could fill."""
+    r = random.Random(4)
+    lengths = [r.choice([r.randint(1, 2047), r.randint(1, 300)]) for _ in range(20_000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.pack(pieces).select("sequence_id").distinct().count() <= 1.01 * -(-sum(lengths) // 2048)
+
+
 def test_open_bins_match_a_plain_search():
     r = random.Random(8)
     bins, free = packing.OpenBins(100, 5), []

@@ -36,11 +36,13 @@ def test_odd_texts(libraries, text):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(ALPHABET, max_size=40).map("".join), max_size=5))
-def test_random_texts(texts):
-    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+def test_random_texts(libraries, texts):
+    pieces, bytes_ = libraries
     counter, bpe = token_counts.load(PIECES), byte_bpe.load(RANKS)
     assert [counter.tokens(t) for t in texts] == [len(x) for x in pieces.encode(texts)]
-    assert ["".join(x) for x in bpe.split(texts)] == texts
+    split = bpe.split(texts)
+    assert ["".join(x) for x in split] == texts
+    assert [[i for w in x for i in np.frombuffer(bpe[w], np.int32).tolist()] for x in split] == [bytes_.encode_ordinary(t) for t in texts]
 
 
 def test_states_go_on_over_chunks(monkeypatch):
