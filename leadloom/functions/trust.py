@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .contacts import usable_email
-from .text import author_tokens, col, compact, normalize_text, present, text, title_tokens
+from .text import author_tokens, col, compact, normalize_text, present, squeeze, text, title_tokens
 from .urls import blocked_mail, desk_mailbox, domains_align, host, local_part, path, platform_source, public_url, publisher_site, registered_domain_of_email, registered_domain_of_url, role_hint
 
 
@@ -43,6 +43,55 @@ def identity_strict(author: Column | str, title: Column | str, *values: Column |
     return identity_appears(author, title, *values, bridge=bridge, surname=False)
 
 
+#: Words of a name as the export and batch rules read them; the characters of a page's opening that they look at.
+NAME_WORD, OPENING = r"[A-Za-z][A-Za-z'.-]+", 2500
+
+
+def long_names(author: Column | str) -> Column:
+    """The words of a name of four characters or more, in lower case; apostrophes, dots and hyphens are part of a word."""
+    return F.transform(F.filter(F.regexp_extract_all(text(author), F.lit(NAME_WORD), F.lit(0)), lambda t: F.length(t) >= 4), F.lower)
+
+
+def run_of(c: Column | str) -> Column:
+    """Lower-case letters and digits without what stands between; accents are not folded, unlike compact()."""
+    return F.regexp_replace(F.lower(text(c)), "[^a-z0-9]+", "")
+
+
+def named_in_text(author: Column | str, *values: Column | str) -> Column:
+    """Exports and batches: the joined name stands in the joined values, or min(2, n) of its long words stand in the values, plain or joined. A name without a long word is never found."""
+    own, words = long_names(author), F.lower(F.concat_ws(" ", *map(text, values)))
+    run = run_of(words)
+    hits = F.size(F.filter(own, lambda t: F.contains(words, t) | F.contains(run, t)))
+    return (F.size(own) > 0) & (F.contains(run, run_of(author)) | (hits >= F.least(F.lit(2), F.size(own))))
+
+
+def profile_named(author: Column | str, title: Column | str, *values: Column | str) -> Column:
+    """Social profiles: the whole name as a phrase or joined, else a surname of four characters with min(2, n) words of the title of four characters, one at least."""
+    parts = lambda c: F.filter(F.split(squeeze(F.lower(text(c))), " "), lambda t: t != "")
+    own, of_title = parts(author), F.filter(parts(title), lambda t: F.length(t) >= 4)
+    plain = squeeze(F.lower(F.concat_ws(" ", *map(text, values))))
+    whole = F.contains(plain, F.array_join(own, " ")) | F.contains(F.replace(plain, F.lit(" ")), F.array_join(own, ""))
+    by_surname = (F.length(_last(own)) >= 4) & F.contains(plain, _last(own))
+    hits = F.size(F.filter(of_title, lambda t: F.contains(plain, t)))
+    return (F.size(own) > 0) & (whole | (by_surname & (F.size(of_title) > 0) & (hits >= F.least(F.lit(2), F.size(of_title)))))
+
+
+def site_owned(author: Column | str, url: Column | str, page_title: Column | str, opening: Column | str | None = None) -> Column:
+    """Whether a site looks like the author's: the joined name in its domain or page title, first and last long word in the domain, or a surname of five characters there.
+
+    With the page's text as opening: in place of the lone surname, the joined name in the text's first OPENING characters, or the surname in the domain and the first word there.
+    """
+    own, joined = long_names(author), run_of(author)
+    domain, first, last = run_of(F.regexp_replace(host(url), r"^www\.", "")), F.coalesce(F.try_element_at(own, F.lit(1)), F.lit("")), _last(own)
+    out = F.contains(domain, joined) | F.contains(run_of(page_title), joined) | ((F.size(own) >= 2) & F.contains(domain, first) & F.contains(domain, last))
+    if opening is None:
+        out = out | ((F.length(last) >= 5) & F.contains(domain, last))
+    else:
+        start = run_of(F.left(text(opening), F.lit(OPENING)))
+        out = out | F.contains(start, joined) | (F.contains(domain, last) & F.contains(start, first))
+    return (F.size(own) > 0) & out
+
+
 def label_matches(name: Column | str, label: Column | str) -> Column:
     """Every token of the name is a word of the label."""
     own = author_tokens(name)
@@ -111,4 +160,4 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-__all__ = ["any_of", "email_matches_author", "filter_socials", "identity_appears", "identity_strict", "label_matches", "registered_domain_of_email", "result_matches_book", "trusted_site", "trusted_social", "trusted_source", "col"]
+__all__ = ["any_of", "email_matches_author", "filter_socials", "identity_appears", "identity_strict", "label_matches", "long_names", "named_in_text", "profile_named", "registered_domain_of_email", "result_matches_book", "site_owned", "trusted_site", "trusted_social", "trusted_source", "col"]
