@@ -277,3 +277,12 @@ PROJECT_MARKS = "public-project-title public-project-credit user-profile-card us
 PROJECT_TEXTS = ["public-project-synopsis", "public-project-review p", "project-review p", "public-project-description", "book-description", "review-section p"]
 PROJECT_TITLE_TAIL = r"(?i)\s+by\s+.+?\s*\|\s*\w+$"
 PROJECT_AUTHORS = [r"\bby\s+([A-Z][A-Za-z0-9 ,'&-]{2,80})(?:[.;|]|\s{2,}|$)", r"\bAuthor\s*[:\-]\s*([A-Z][A-Za-z0-9 ,'&-]{2,80})(?:[.;|]|\s{2,}|$)"]
+
+# ---- fixed values: pages whose contacts a batch doesn't take, hints of an official page, addresses that are nobody's ----
+CONTACT_BLOCKED_DOMAINS = (
+    "amazon.com awesomebooks.com kdp.amazon.com goodreads.com barnesandnoble.com beenverified.com biblio.com books.google.com booktopia.com.au booksamillion.com christianbook.com "
+    "youtube.com youtu.be facebook.com instagram.com tiktok.com x.com twitter.com linkedin.com pubmed.ncbi.nlm.nih.gov whitepages.com wordpress.com"
+).split()
+CONTACT_BLOCKED_PARTS = [".cdn.", "digitaloceanspaces.com", "review", "news", "chronicle", "peoplefinders", "radaris", "spokeo", "truepeoplesearch"]
+OFFICIAL_PAGE_HINTS = ["about", "author", "book", "contact", "school", "visit", "media", "press"]
+CONTACT_UNUSABLE = ["example.", "domain.", "sentry", "privacy@", "support@"]

@@ -711,14 +711,19 @@ def hidden_contacts(t: Tables) -> DataFrame:
     return pages.hidden_contacts(parsed_with_contacts(t))
 
 
+#: Hosts of official pages: another's, one of a blocked part, the author's; paths with and without a hint; titles that name the author or not.
+OFFICIAL_URL = """'https://' || case when page_id % 3 = 0 then 'quiet' when page_id % 7 = 0 then 'alexmaple-news' else 'alexmaple' end || '.test/' || case when page_id % 11 = 0 then 'x' else 'about' end || page_id"""
+
+
 @query(
-    sql="""select page_id, case when page_id % 5 = 0 then '' else 'a' || page_id || '@site.test' end as email, case when page_id % 5 = 1 then '' else '+12122000000' end as phone, case when page_id % 2 = 0 then 0.78 else 0.68 end as confidence
-from pages where page_id % 3 <> 0""",
+    sql="""select page_id, case when page_id % 5 = 0 or page_id % 10 = 3 then '' else 'a' || page_id || '@site.test' end as email, case when page_id % 5 = 1 then '' else '+12122000000' end as phone, case when page_id % 2 = 0 then 0.78 else 0.68 end as confidence
+from pages where (page_id % 9 = 0 or (page_id % 3 <> 0 and page_id % 7 <> 0)) and page_id % 11 <> 0""",
 )
 def contact_match(t: Tables) -> DataFrame:
-    """Contacts of pages that are the author's own: official, on a site and in a text that name them; every third page is another's."""
-    words = "'Official home of Alex Maple, author of ' || case when page_id % 2 = 0 then 'The Owl' else 'tales' end || '. Contact: ' || case when page_id % 5 = 0 then '' else 'a' || page_id || '@site.test' end || case when page_id % 5 = 1 then '' else ' phone 212-200-0000 ' end"
-    rows = t.pages.select("page_id", F.expr("case when page_id % 3 = 0 then 'https://quiet.test/' else 'https://alexmaple.test/' end || page_id").alias("url"), F.lit("Home").alias("title"), F.expr(words).alias("page_text"), F.lit("Alex Maple").alias("author_name"), F.lit("The Owl: a tale").alias("book_title"))
+    """Contacts of pages that are the author's own by site or title, official and not blocked."""
+    words = "'Home of Alex Maple, who wrote ' || case when page_id % 2 = 0 then 'The Owl, A Tale' else 'tales' end || '. Contact: ' || case when page_id % 5 = 0 then '' when page_id % 10 = 3 then 'support@site.test' else 'a' || page_id || '@site.test' end || case when page_id % 5 = 1 then '' else ' phone 212-200-0000 ' end"
+    title = F.expr("case when page_id % 9 = 0 then 'Alex Maple' else 'Home' end")
+    rows = t.pages.select("page_id", F.expr(OFFICIAL_URL).alias("url"), title.alias("title"), F.expr(words).alias("page_text"), F.lit("Alex Maple").alias("author_name"), F.lit("The Owl: a tale").alias("book_title"))
     return pages.contact_match(rows).select("page_id", "email", "phone", F.col("confidence").cast("double").alias("confidence"))
 
 
