@@ -50,10 +50,10 @@ def snippet_contacts(results: DataFrame) -> DataFrame:
 
 
 def profile_audit(profiles: DataFrame) -> DataFrame:
-    """profiles (lead_id, platform, profile_url, profile_text, author_name, title): identity score 90 or 30, followers, and contacts at .85 from texts that name the author."""
+    """profiles (lead_id, platform, profile_url, profile_text, author_name, title): identity score 90 or 30, followers, and contacts at .85 from texts that name the author (trust.profile_named)."""
     from ..functions.coerce import follower_count
 
-    named = trust.identity_appears("author_name", "title", "profile_text", "profile_url", bridge=False)
+    named = trust.profile_named("author_name", "title", "profile_text", "profile_url")
     rows = profiles.withColumn("_named", named)
     none = F.array().cast("array<string>")
     found = F.when(F.col("_named"), F.array_union(contacts.extract_emails("profile_text"), contacts.extract_phones("profile_text", require_context=False))).otherwise(none)

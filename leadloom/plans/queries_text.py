@@ -818,12 +818,17 @@ def snippet_contacts(t: Tables) -> DataFrame:
     return discovery.snippet_contacts(results_of_books(t).withColumn("kind", F.lit("author_site")))
 
 
-@query()
+#: Profiles of the author in full, by surname and title, of somebody else, by surname alone.
+PROFILES = """case book_id % 4 when 0 then author_name when 1 then split_part(author_name, ' ', 2) || ' wrote ' || title when 2 then 'Someone' else split_part(author_name, ' ', 2) end || ' has ' || book_id || ' followers. Write to me@mail.test'"""
+
+
+@query("books", sql=f"""with r as (select book_id, {NORM.format(f"({PROFILES}) || ' https://instagram.com/x'")} as plain, list_filter(string_split({NORM.format('author_name')}, ' '), lambda x: x > '') as own, list_filter(string_split({NORM.format('title')}, ' '), lambda x: len(x) >= 4) as tw from books),
+h as (select *, len(own) > 0 and (contains(plain, array_to_string(own, ' ')) or contains(replace(plain, ' ', ''), array_to_string(own, '')) or (len(own[-1]) >= 4 and contains(plain, own[-1]) and len(tw) > 0 and len(list_filter(tw, lambda x: contains(plain, x))) >= least(2, len(tw)))) as hit from r)
+select book_id as lead_id, case when hit then 90 else 30 end as identity_score, book_id as follower_count, case when hit then 1 else 0 end as contacts from h""")
 def profile_audit(t: Tables) -> DataFrame:
     from ..operators import discovery
 
-    followers = F.concat(F.lit(" has "), F.col("book_id").cast("string"), F.lit(" followers. Write to me@mail.test"))
-    rows = t.books.where(X.present("author_name")).select(F.col("book_id").alias("lead_id"), F.lit("instagram").alias("platform"), F.lit("https://instagram.com/x").alias("profile_url"), F.concat(F.when(F.col("book_id") % 2 == 0, F.col("author_name")).otherwise("Someone"), followers).alias("profile_text"), "author_name", "title")
+    rows = t.books.select(F.col("book_id").alias("lead_id"), F.lit("instagram").alias("platform"), F.lit("https://instagram.com/x").alias("profile_url"), F.expr(PROFILES).alias("profile_text"), "author_name", "title")
     return discovery.profile_audit(rows).select("lead_id", "identity_score", "follower_count", F.size("contacts").alias("contacts"))
 
 
