@@ -286,3 +286,10 @@ CONTACT_BLOCKED_DOMAINS = (
 CONTACT_BLOCKED_PARTS = [".cdn.", "digitaloceanspaces.com", "review", "news", "chronicle", "peoplefinders", "radaris", "spokeo", "truepeoplesearch"]
 OFFICIAL_PAGE_HINTS = ["about", "author", "book", "contact", "school", "visit", "media", "press"]
 CONTACT_UNUSABLE = ["example.", "domain.", "sentry", "privacy@", "support@"]
+
+# ---- fixed values: parts of names that are nobody to write to, and domains whose pages vouch for no contact ----
+OUTREACH_NAME_STOPS = "amazon books children illustrated publishing publisher calendar library school story university press bookshop bookstore at-a-glance".split()
+GENERIC_CONTACT_DOMAINS = (
+    "amazon.com archive.org audible.com barnesandnoble.com booktopia.com.au booksamillion.com goodreads.com kdp.amazon.com youtube.com youtu.be facebook.com instagram.com tiktok.com "
+    "linkedin.com mitpressbookstore.mit.edu openlibrary.org worldcat.org"
+).split()

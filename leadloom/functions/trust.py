@@ -59,10 +59,14 @@ def run_of(c: Column | str) -> Column:
 
 def named_in_text(author: Column | str, *values: Column | str) -> Column:
     """Exports and batches: the joined name stands in the joined values, or min(2, n) of its long words stand in the values, plain or joined. A name without a long word is never found."""
-    own, words = long_names(author), F.lower(F.concat_ws(" ", *map(text, values)))
-    run = run_of(words)
+    words = F.lower(F.concat_ws(" ", *map(text, values)))
+    return named_of(long_names(author), run_of(author), words, run_of(words))
+
+
+def named_of(own: Column, joined: Column, words: Column, run: Column) -> Column:
+    """named_in_text() over prepared columns: long words and joined form of the name, the lower-case text and its joined form."""
     hits = F.size(F.filter(own, lambda t: F.contains(words, t) | F.contains(run, t)))
-    return (F.size(own) > 0) & (F.contains(run, run_of(author)) | (hits >= F.least(F.lit(2), F.size(own))))
+    return (F.size(own) > 0) & (F.contains(run, joined) | (hits >= F.least(F.lit(2), F.size(own))))
 
 
 def profile_named(author: Column | str, title: Column | str, *values: Column | str) -> Column:
@@ -160,4 +164,4 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-__all__ = ["any_of", "email_matches_author", "filter_socials", "identity_appears", "identity_strict", "label_matches", "long_names", "named_in_text", "profile_named", "registered_domain_of_email", "result_matches_book", "site_owned", "trusted_site", "trusted_social", "trusted_source", "col"]
+__all__ = ["any_of", "email_matches_author", "filter_socials", "identity_appears", "identity_strict", "label_matches", "long_names", "named_in_text", "named_of", "profile_named", "registered_domain_of_email", "result_matches_book", "site_owned", "trusted_site", "trusted_social", "trusted_source", "col"]

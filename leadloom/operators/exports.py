@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import first_present, normalize_text, present, text, valid_person_name
+from ..functions.contacts import email_syntax
+from ..functions.text import alternation, first_present, normalize_text, present, text
+from ..functions.trust import long_names, named_of, run_of
+from ..functions.urls import registered_domain_of_url
 from .dedupe import dedupe_first
-from .filters import any_present, export_validation_errors
+from .filters import any_present, export_validation_errors, usable_author
 from .aggregates import source_urls
 
 LEAD = ["lead_id", "public_email", "public_phone", "representation_email", "publicist_email", "location", "video_status", "video_confidence", "lead_score", "lead_tier", "verification_status", "verification_score", "extraction_confidence", "manual_review_status", "do_not_contact", "created_at"]
@@ -64,10 +67,36 @@ def validated(star: DataFrame, best: DataFrame, most: int | None = None) -> Data
     return out if most is None else out.orderBy(*order).limit(min(max(most, 1), 700))
 
 
-def contactable(star: DataFrame, best: DataFrame) -> DataFrame:
-    """Verified leads with a usable author and a best mail or phone evidence, first of each key."""
-    rows = star.where((F.col("verification_status") == "verified") & valid_person_name("author_name")).join(best.select("lead_id", "field_name", "field_value", "source_url"), "lead_id")
-    return dedupe_first(rows, lead_key(), [F.desc("lead_score"), F.col("lead_id"), F.col("field_name")])
+def contact_evidence(evidence: DataFrame, subjects: DataFrame, floor: float = 0.45) -> DataFrame:
+    """Per lead of subjects (lead_id, author_name) the best evidence of its public mail and of its phone, as structs; NULL where there is none.
+
+    Evidence has a source off the generic domains whose URL, title or snippet names the author, a confidence of `floor` or more, and a mail of valid form. The greatest confidence, then the newest, then the greatest id is best.
+    """
+    mail = F.col("field_name") == "public_email"
+    fit = F.col("field_name").isin("public_email", "public_phone") & present("source_url") & (F.col("confidence") >= floor) & (~mail | email_syntax("field_value"))
+    rows = evidence.where(fit & ~registered_domain_of_url("source_url").isin(fixed.GENERIC_CONTACT_DOMAINS))
+    # Staged, so that names and texts are evaluated once a row and not once a word.
+    rows = rows.withColumn("_words", F.lower(F.concat_ws(" ", *map(text, ("source_url", "source_title", "source_snippet"))))).withColumn("_run", run_of("_words"))
+    people = subjects.select("lead_id", long_names("author_name").alias("_own"), run_of("author_name").alias("_joined"))
+    named = rows.join(people, "lead_id").where(named_of(F.col("_own"), F.col("_joined"), F.col("_words"), F.col("_run")))
+    best = lambda c: F.max_by(F.struct("field_value", "source_url", "confidence"), F.when(F.col("field_name") == c, F.struct("confidence", "created_at", "evidence_id")))
+    return named.groupBy("lead_id").agg(best("public_email").alias("email"), best("public_phone").alias("phone"))
+
+
+def contactable(star: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Verified leads that may be contacted, with a listing's URL, a name that one can write to, and evidence of a mail or phone; first of each key by verification score, then newest.
+
+    The star's columns, with public_email and public_phone as the evidence has them (else blank), phone_or_email, contact_source_url and contact_confidence of the mail's evidence, else of the phone's.
+    """
+    name = F.lower(text("author_name"))
+    may = present("amazon_book_url") & usable_author("author_name") & ~name.rlike(alternation(fixed.OUTREACH_NAME_STOPS)) & ~F.coalesce(F.col("do_not_contact"), F.lit(False))
+    leads = star.where(may & (F.col("verification_status") == "verified")).withColumn("_key", lead_key())
+    best = contact_evidence(evidence, leads)
+    first = F.coalesce("email", "phone")
+    mail, phone = text("email.field_value"), text("phone.field_value")
+    over = {"public_email": mail, "public_phone": phone, "phone_or_email": first_present(mail, phone), "contact_source_url": first["source_url"], "contact_confidence": first["confidence"]}
+    rows = leads.join(best, "lead_id").withColumns(over).drop("email", "phone")
+    return dedupe_first(rows, F.col("_key"), [F.desc("verification_score"), F.desc("created_at"), F.col("lead_id")]).drop("_key")
 
 
 def best_prospects(star: DataFrame, excluded_authors: list[str] = (), excluded_domains: list[str] = ()) -> DataFrame:
@@ -84,4 +113,4 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-__all__ = ["best_prospects", "contactable", "filtered", "lead_key", "leads_wide", "tables_four", "validated", "write_csv"]
+__all__ = ["best_prospects", "contact_evidence", "contactable", "filtered", "lead_key", "leads_wide", "tables_four", "validated", "write_csv"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.coerce import year_in_window, year_window_string
 from ..functions.text import book_key, present, text
 from ..functions.lineage import shared_dir
@@ -720,10 +721,21 @@ def export_validated(t: Tables) -> DataFrame:
     return exports.validated(rows, best).select("lead_id", "best.field_value")
 
 
-@query()
+OUTREACH = f"""length({NORM.format('author_name')}) between 5 and 90 and len(regexp_extract_all({NORM.format('author_name')}, '[a-z][a-z]+')) >= 2
+  and not regexp_matches(lower(author_name), '{"|".join([*fixed.EXPORT_NAME_STOPS, *fixed.OUTREACH_NAME_STOPS]).replace("'", "''")}')"""
+
+
+@query("leads", "books", "authors", "evidence", sql=f"""with s as (select lead_id, leads.public_email as own_mail, verification_score, leads.created_at as made, author_name, title, asin, list_transform(list_filter(regexp_extract_all(author_name, '[A-Za-z][A-Za-z''.-]+'), lambda x: len(x) >= 4), lambda x: lower(x)) as own, regexp_replace(lower(author_name), '[^a-z0-9]+', '', 'g') as run
+    from leads join books using (book_id) where amazon_book_url > '' and not do_not_contact and verification_status = 'verified' and {OUTREACH}),
+w as (select *, lower(source_url || ' ' || source_title || ' ' || source_snippet) as words, regexp_replace(lower(source_url || source_title || source_snippet), '[^a-z0-9]+', '', 'g') as words_run from evidence where confidence >= 0.45 and source_url > '' and source_url not like '%goodreads.com/%'),
+e as (select w.*, row_number() over (partition by lead_id, field_name order by confidence desc, created_at desc, evidence_id desc) as k from w join s using (lead_id)
+  where len(own) > 0 and (contains(words_run, run) or len(list_filter(own, lambda x: contains(words, x) or contains(words_run, x))) >= least(2, len(own)))),
+r as (select s.*, m.field_value as mail, p.field_value as phone, coalesce(m.source_url, p.source_url) as url, coalesce(m.confidence, p.confidence) as confidence from s
+  left join e m on m.lead_id = s.lead_id and m.field_name = 'public_email' and m.k = 1 left join e p on p.lead_id = s.lead_id and p.field_name = 'public_phone' and p.k = 1 where m.lead_id is not null or p.lead_id is not null)
+select lead_id, coalesce(mail, '') as public_email, coalesce(phone, '') as public_phone, coalesce(mail, phone) as phone_or_email, url as contact_source_url, confidence as contact_confidence from r
+qualify row_number() over (partition by case when asin > '' then upper(asin) when own_mail > '' then lower(own_mail) else {NORM.format('author_name')} || '::' || {NORM.format('title')} end order by verification_score desc, made desc, lead_id) = 1""")
 def export_contactable(t: Tables) -> DataFrame:
-    rows = star(t)
-    return exports.contactable(rows, evidence.best_contact_evidence(t.evidence.drop("book_id"), rows)).select("lead_id", "field_name", "field_value")
+    return exports.contactable(star(t), t.evidence.drop("book_id")).select("lead_id", "public_email", "public_phone", "phone_or_email", "contact_source_url", "contact_confidence")
 
 
 @query("leads", "books", "authors", sql=f"select lead_id from (select lead_id, row_number() over (partition by case when asin > '' then upper(asin) else {NORM.format('title')} || '::' || {NORM.format('author_name')} end order by lead_score desc, extraction_confidence desc, created_at desc, lead_id) as n from leads l join books using (book_id) left join authors a on a.author_id = l.author_id where ({ANY_EMAIL} or public_phone > '' or contact_page_url > '') and not contains(lower(author_name), 'maple') and not contains(public_email, 's3.example')) where n = 1")
