@@ -269,6 +269,11 @@ def test_contacts(spark):
 def test_trust(spark):
     a = lambda f, *v, **k: one(spark, f(*(F.lit(x) for x in v), **k))
     assert a(trust.identity_appears, "Jane Doeson", "Owl Night", "https://janedoeson.test") and a(trust.identity_appears, "Jane Doeson", "", "by Doeson") and not a(trust.identity_strict, "Jane Doeson", "", "by Doeson")
+    assert a(trust.named_in_text, "Jane O'Neil", "a talk by JANE-ONEIL") and a(trust.named_in_text, "Ann Maple", "Mr Maple") and not a(trust.named_in_text, "Jane Maple", "Mr Maple")
+    assert not a(trust.named_in_text, "Al Bo", "al bo") and not a(trust.named_in_text, None, "x") and not a(trust.named_in_text, "Jane Doeson", None)
+    assert a(trust.profile_named, "Al Bo", "", "@albo") and a(trust.profile_named, "Jane Maple", "Night Owls", "maple, night owls") and not a(trust.profile_named, "Jane Maple", "The Owl", "maple, the owl") and not a(trust.profile_named, None, "", "x")
+    assert a(trust.site_owned, "Jane Maple", "https://www.maple-books.test", None) and not a(trust.site_owned, "Jane Mapl", "https://mapl.test", "") and a(trust.site_owned, "Jane Mapl", "https://x.test", "Jane Mapl: home")
+    assert a(trust.site_owned, "Jane Mapl", "https://mapl.test", "", "I am Jane") and not a(trust.site_owned, "Jane Maple", "https://maple.test", "", "I am Ann") and not a(trust.site_owned, "Jane Mapl", None, None, "y " * 2500 + "Jane Mapl")
     ok = lambda field, value, url, kind: a(trust.trusted_source, "Jane Doe", "Owl", field, value, url, kind)
     assert ok("public_email", "me@janedoe.test", "https://janedoe.test/c", "contact_page")
     assert not ok("public_email", "me@janedoe.test", "https://goodreads.com/janedoe", "contact_page")
@@ -404,3 +409,17 @@ def test_keyword_ingest_with_caps(spark, tmp_path):
     assert run([("catalog", batch(map(code, range(100))))], most=3, only_new=True) == [code(i) for i in (10, 11, 12)]
     assert run([("catalog", batch(map(code, range(100))))], most=4) == [code(i) for i in range(4)]
     assert run([("web", batch(map(code, range(100))))], only_new=True) == [code(i) for i in range(13, 100)]
+
+
+def test_contactable_without_evidence(spark):
+    """Nulls in any column, ties and repeated rows of evidence, and a lead without evidence."""
+    star = spark.createDataFrame(
+        [(1, "Jane Maple", "The Owl", "B1", "https://a.test/dp/B1", "verified", False, 5, "2024-01-01", "old@x.test", ""), (2, "Jane Maple", "The Owl", "b1", "u", "verified", None, 5, "2024-01-02", "", ""), (3, None, None, None, None, None, None, None, None, None, None), (4, "Ann Birch", "Elm", "", "u", "verified", False, 1, "2024-01-01", "", "")],
+        "lead_id long, author_name string, title string, asin string, amazon_book_url string, verification_status string, do_not_contact boolean, verification_score int, created_at string, public_email string, public_phone string",
+    )
+    row = lambda lead, key, field="public_email", value="jane@maple.test", confidence=0.9, url="https://janemaple.test": (lead, key, field, value, url, None, None, confidence, "2024-01-01")
+    found = [row(1, "a"), row(2, "a"), row(2, "b", value="j@maple.test"), row(2, "b", value="j@maple.test"), row(2, "c", "public_phone", "+12125557788", 0.5), row(2, "d", confidence=0.44), row(2, "e", url="https://youtube.com/janemaple"), row(4, "f"), row(None, None, None, None, None, None)]
+    evidence = spark.createDataFrame(found, "lead_id long, evidence_id string, field_name string, field_value string, source_url string, source_title string, source_snippet string, confidence double, created_at string")
+    got = exports.contactable(star, evidence)
+    assert [(r.lead_id, r.public_email, r.public_phone, r.phone_or_email, r.contact_confidence) for r in got.collect()] == [(2, "j@maple.test", "+12125557788", "j@maple.test", 0.9)]
+    assert exports.contactable(star.limit(0), evidence).count() == 0 == exports.contactable(star, evidence.limit(0)).count()
