@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing; each stage's output is written and read again."""
+"""A corpus pipeline: quality rules, exact dedup, near-dedup, secret scans, packing; each stage's output is written and read again.
+
+Cases: null, empty and blank texts fail the quality rules and go there; a null source is the host ''; a null doc_id counts as smaller than any other in exact
+dedup and is packed like any; repeated rows are copies of each other; very long texts are read whole; an empty table gives an empty result of every
+stage; all stages but the last keep all columns, whatever their names.
+"""
 
 from __future__ import annotations
 
