@@ -307,7 +307,7 @@ def identity_appears(t: Tables) -> DataFrame:
 
 
 #: Sites by a number of the lead: of the whole name, of the surname, of the names turned, of somebody else, none.
-SITES = """case lead_id % 5 when 0 then 'https://www.' || lower(replace(author_name, ' ', '')) || '.test/a' when 1 then 'https://' || lower(split_part(author_name, ' ', 2)) || '-books.test'
+OWN_SITES = """case lead_id % 5 when 0 then 'https://www.' || lower(replace(author_name, ' ', '')) || '.test/a' when 1 then 'https://' || lower(split_part(author_name, ' ', 2)) || '-books.test'
   when 2 then 'http://' || lower(split_part(author_name, ' ', 2)) || '.by.' || lower(split_part(author_name, ' ', 1)) || '.test:80/' when 3 then 'https://tales.test/' || lower(replace(author_name, ' ', '')) else null end"""
 HEADS = "case lead_id % 7 when 0 then author_name || ' at home' when 1 then null else 'Home' end"
 LONG = r"list_transform(list_filter(regexp_extract_all(author_name, '[A-Za-z][A-Za-z''.-]+'), lambda x: len(x) >= 4), lambda x: lower(x))"
@@ -315,7 +315,7 @@ RUN = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', '', 'g')"
 SITE_DOMAIN = r"regexp_replace(coalesce(regexp_extract(site, '^[a-z]+://(?:www\.)?([^/:]*)', 1), ''), '[^a-z0-9]+', '', 'g')"
 
 
-@query("leads", "books", sql=f"""with r as (select lead_id, author_name, title, {NAMED} as words, {SITES} as site, {HEADS} as head from leads join books using (book_id)),
+@query("leads", "books", sql=f"""with r as (select lead_id, author_name, title, {NAMED} as words, {OWN_SITES} as site, {HEADS} as head from leads join books using (book_id)),
 s as (select *, {LONG} as own, {RUN.format('author_name')} as run, {RUN.format('words')} as words_run, {RUN.format('head')} as head_run, {SITE_DOMAIN} as d, {NORM.format('words')} as plain,
   list_filter(string_split({NORM.format('author_name')}, ' '), lambda x: x > '') as people, list_filter(string_split({NORM.format('title')}, ' '), lambda x: len(x) >= 4) as tw from r),
 o as (select *, len(own) > 0 and (contains(d, run) or contains(head_run, run) or (len(own) >= 2 and contains(d, own[1]) and contains(d, own[-1]))) as site_or_title from s)
@@ -326,7 +326,7 @@ select lead_id, len(own) > 0 and (contains(words_run, run) or len(list_filter(ow
   site_or_title or (len(own) > 0 and (contains(words_run, run) or (contains(d, own[-1]) and contains(words_run, own[1])))) as owned_by_text from o""")
 def identity_variants(t: Tables) -> DataFrame:
     """The rules of exports, social profiles and batches beside identity_appears."""
-    rows = t.leads.join(t.books.drop("author_id"), "book_id").withColumns({"words": F.expr(NAMED), "site": F.expr(SITES), "head": F.expr(HEADS)})
+    rows = t.leads.join(t.books.drop("author_id"), "book_id").withColumns({"words": F.expr(NAMED), "site": F.expr(OWN_SITES), "head": F.expr(HEADS)})
     return rows.select(
         "lead_id", trust.named_in_text("author_name", "words").alias("in_text"), trust.profile_named("author_name", "title", "words").alias("on_profile"),
         trust.site_owned("author_name", "site", "head").alias("owned"), trust.site_owned("author_name", "site", "head", "words").alias("owned_by_text"),

@@ -43,3 +43,15 @@ def test_other_import_errors_are_raised(tmp_path):
     (tmp_path / "leadloom/llm/queries.py").write_text("import no_such_module\n")
     out = run(tmp_path)
     assert out.returncode != 0 and "no_such_module" in out.stderr
+
+
+def test_no_constant_of_the_queries_is_assigned_twice():
+    """A query reads its constants when it runs: a second assignment further down would give it other ones than its SQL."""
+    import ast
+    import pathlib
+
+    import leadloom.plans
+
+    for path in pathlib.Path(leadloom.plans.__file__).parent.glob("*.py"):
+        names = [t.id for x in ast.parse(path.read_text()).body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)]
+        assert sorted(names) == sorted(set(names)), path.name
