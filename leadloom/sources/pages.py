@@ -8,7 +8,7 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,12 @@ SCHEMA = (
     "page_id bigint, url string, page_text string, title string, h1 string, h2 string, description string, links array<struct<href:string,anchor:string>>, "
     "forms array<struct<action:string,ident:string,fields:string,has_message:boolean>>, attributes array<struct<kind:string,value:string>>"
 )
+#: SCHEMA for Arrow; the pages that are Python objects at one time, whatever the size of a batch.
+_items = lambda *names, **types: pa.list_(pa.struct([(n, types.get(n, pa.string())) for n in names]))
+ARROW = pa.schema(
+    [("page_id", pa.int64()), *((n, pa.string()) for n in ("url", "page_text", "title", "h1", "h2", "description")), ("links", _items("href", "anchor")), ("forms", _items("action", "ident", "fields", "has_message", has_message=pa.bool_())), ("attributes", _items("kind", "value"))]
+)
+SLICE = 100
 
 
 class Reader(HTMLParser):
@@ -98,19 +104,21 @@ def read_page(page_id: int, url: str, html: str) -> tuple:
     return page_id, url, squeeze(r.words), squeeze(r.caught["title"]), squeeze(r.caught["h1"]), squeeze(r.caught["h2"]), r.description, links, forms, r.attributes
 
 
-def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages (page_id, url, html) parsed once; see SCHEMA."""
+def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (page_id, url, html) as batches of SCHEMA, of SLICE pages at most."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            part = b.slice(i, SLICE).to_pydict()
+            rows = [read_page(n, u or "", h or "") for n, u, h in zip(part["page_id"], part["url"], part["html"], strict=True)]
+            cells = [list(c) for c in zip(*rows, strict=True)]
+            for c, keys in ((7, ("href", "anchor")), (8, ("action", "ident", "fields", "has_message")), (9, ("kind", "value"))):
+                cells[c] = [[dict(zip(keys, x, strict=True)) for x in cell] for cell in cells[c]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, ARROW, strict=True)], schema=ARROW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", SCHEMA)]
-        for b in batches:
-            rows = [read_page(i, u or "", h or "") for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
-            out = pd.DataFrame(rows, columns=names)
-            for c, keys in (("links", ("href", "anchor")), ("forms", ("action", "ident", "fields", "has_message")), ("attributes", ("kind", "value"))):
-                out[c] = [[dict(zip(keys, x, strict=True)) for x in cell] for cell in out[c]]
-            yield out
 
-    return pages.select("page_id", "url", F.col(html).alias("html")).mapInPandas(run, SCHEMA)
+def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages (page_id, url, html) parsed once; see SCHEMA."""
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.col(html).alias("html")).mapInArrow(read_batches, SCHEMA)
 
 
 def page_facts(parsed: DataFrame) -> DataFrame:
