@@ -30,18 +30,17 @@ def deobfuscate_email(c: Column | str, guarded: bool = True) -> Column:
     """at/dot forms to plain ones. Guarded: only bracketed or spaced "at" and "dot"; else any inner letters "at", as the older rule had it."""
     v = F.trim(text(c))
     at, dot = (r"(?i)\s*[(\[<]\s*at\s*[)\]>]\s*|\s+at\s+", r"(?i)\s*[(\[<]\s*dot\s*[)\]>]\s*|\s+dot\s+") if guarded else (r"(?i)\s*[(\[<]?\s*at\s*[)\]>]?\s*", r"(?i)\s*[(\[<]?\s*dot\s*[)\]>]?\s*")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(v, at, "@"), dot, "."), r"\s+", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, at, "@"), dot, "."), r"\s+", "")
+    return F.when(v.rlike(r"[\s(\[<]"), plain).otherwise(v) if guarded else plain  # the guarded forms need white space or a bracket
 
 
 def valid_email(c: Column | str) -> Column:
-    plain = deobfuscate_email(c)
-    return email_syntax(plain) & ~dummy_email(plain)
+    return bound(deobfuscate_email(c), lambda plain: email_syntax(plain) & ~dummy_email(plain))
 
 
 def usable_email(c: Column | str) -> Column:
     """Valid, not on a blocked domain, no desk."""
-    plain = F.lower(deobfuscate_email(c))
-    return valid_email(plain) & ~blocked_mail(plain) & ~desk_mailbox(plain, strict=True)
+    return bound(F.lower(deobfuscate_email(c)), lambda plain: valid_email(plain) & ~blocked_mail(plain) & ~desk_mailbox(plain, strict=True))
 
 
 def _with_context(value: Column, pattern: str, side: int) -> Column:

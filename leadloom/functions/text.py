@@ -119,18 +119,23 @@ def clean_person_name(c: Column | str) -> Column:
         value = F.regexp_replace(value, pattern, "")
         if i == 0:
             value = F.trim(value)
-    words = _words(value)
-    stops = F.transform(words, lambda w: F.lower(strip(w, ".,;:()[]\"'")).isin(fixed.NAME_STOPS))
-    at = F.array_position(stops, True)
-    return strip(F.array_join(F.when(at > 0, F.slice(words, F.lit(1), (at - 1).cast("int"))).otherwise(words), " "), " ,.-:|")
+
+    def kept(words: Column) -> Column:
+        stops = F.transform(words, lambda w: F.lower(strip(w, ".,;:()[]\"'")).isin(fixed.NAME_STOPS))
+        return bound(F.array_position(stops, True), lambda at: F.when(at > 0, F.slice(words, F.lit(1), (at - 1).cast("int"))).otherwise(words))
+
+    return strip(F.array_join(bound(_words(value), kept), " "), " ,.-:|")
 
 
 def valid_person_name(c: Column | str, low: int = 3, high: int = 60, min_words: int = 2) -> Column:
     """Length, at least min_words words, no stop word, a letter. Bounds and words are the variants' parameters."""
-    value = text(c)
-    words = F.transform(_words(value), lambda w: F.lower(strip(w, ".,;:()[]")))
-    stop = F.exists(words, lambda w: w.isin(fixed.NAME_STOPS))
-    return F.char_length(value).between(low, high) & (F.size(words) >= min_words) & ~stop & value.rlike(r"\p{L}")
+
+    def holds(value: Column) -> Column:
+        words = F.transform(_words(value), lambda w: F.lower(strip(w, ".,;:()[]")))
+        usual = lambda words: (F.size(words) >= min_words) & ~F.exists(words, lambda w: w.isin(fixed.NAME_STOPS))
+        return F.char_length(value).between(low, high) & value.rlike(r"\p{L}") & bound(words, usual)
+
+    return bound(text(c), holds)
 
 
 def corporate_author(c: Column | str) -> Column:
@@ -207,27 +212,41 @@ TAIL = r"(?:\s*(?:\.\.\.|[.:|-]|$))"
 
 def guess_title_author(title: Column | str, snippet: Column | str) -> Column:
     """struct(title, author, confidence) by the ladder: colon form .75, labelled "by" .8, plain "by" .6, none .35; the title loses its author."""
-    cleaned, hint = clean_listing_title(title), text(snippet)
-    valid = lambda n: F.when(valid_person_name(n), n)
-    colon = F.try_element_at(authors_from_colon_title(title), F.lit(1))
-    labelled = F.coalesce(F.nullif(F.regexp_extract(hint, STRONG_BY, 1), F.lit("")), F.nullif(F.regexp_extract(cleaned, STRONG_BY, 1), F.lit("")))
-    labelled = valid(clean_person_name(labelled))
-    plain = lambda s: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(s, F.lit(PLAIN_BY), 1), clean_person_name), lambda n: valid_person_name(n)), F.lit(1))
-    by = F.coalesce(plain(hint), plain(cleaned))
-    author = F.coalesce(colon, labelled, by, F.lit(""))
-    confidence = F.when(colon.isNotNull(), 0.75).when(labelled.isNotNull(), 0.8).when(by.isNotNull(), 0.6).otherwise(0.35)
-    own = F.concat(F.lit(r"(?i)\s+by\s+"), F.regexp_replace(author, r"([.'\-+*?()\[\]{}|^$\\])", r"\\$1"), F.lit(TAIL))
-    any_by = F.regexp_extract(cleaned, r"\s+by\s+([A-Z][a-zA-Z.'-]{1,30}(?:\s+[A-Z][a-zA-Z.'-]{1,30}){1,3})" + TAIL, 1)
-    usual = F.exists(F.split(F.lower(any_by), r"\s+"), lambda w: w.isin(fixed.TITLE_TAIL_STOPS))
-    tailless = (
-        F.when((author != "") & F.regexp_like(cleaned, own), strip(F.regexp_replace(cleaned, own, F.lit("")), " -:|"))
-        .when((author != "") & (any_by != "") & ~usual, strip(F.regexp_replace(cleaned, r"\s+by\s+[A-Z][a-zA-Z.'-]{1,30}(?:\s+[A-Z][a-zA-Z.'-]{1,30}){1,3}" + TAIL, ""), " -:|"))
-        .otherwise(cleaned)
-    )
-    head = F.trim(F.substring_index(tailless, "...", 1))
-    short = F.when(F.contains(tailless, F.lit("...")) & (F.char_length(head) > 5), head).otherwise(tailless)
-    final = F.left(strip(F.regexp_replace(short, r"(?i)\s*Amazon\.com\s*.*$", ""), " -:|"), F.lit(500))
-    return F.struct(first_present(final, F.left(text(title), F.lit(500))).alias("title"), F.left(author, F.lit(255)).alias("author"), confidence.alias("confidence"))
+    first = lambda names: F.try_element_at(F.filter(names, lambda n: valid_person_name(n)), F.lit(1))
+    plain = lambda s: first(F.transform(F.regexp_extract_all(s, F.lit(PLAIN_BY), 1), clean_person_name))
+
+    # Each step is bound: the next ones read it many times, and it is evaluated once a row.
+    def names(s: Column) -> Column:
+        raw = F.coalesce(F.nullif(F.regexp_extract(s["hint"], STRONG_BY, 1), F.lit("")), F.nullif(F.regexp_extract(s["cleaned"], STRONG_BY, 1), F.lit("")))
+        labelled = bound(clean_person_name(raw), lambda n: F.when(valid_person_name(n), n))
+        colon = F.try_element_at(authors_from_colon_title(s["title"]), F.lit(1))
+        return F.struct(s["title"].alias("title"), s["cleaned"].alias("cleaned"), colon.alias("colon"), labelled.alias("labelled"), F.coalesce(plain(s["hint"]), plain(s["cleaned"])).alias("by"))
+
+    def chosen(s: Column) -> Column:
+        confidence = F.when(s["colon"].isNotNull(), 0.75).when(s["labelled"].isNotNull(), 0.8).when(s["by"].isNotNull(), 0.6).otherwise(0.35)
+        any_by = F.regexp_extract(s["cleaned"], r"\s+by\s+([A-Z][a-zA-Z.'-]{1,30}(?:\s+[A-Z][a-zA-Z.'-]{1,30}){1,3})" + TAIL, 1)
+        return F.struct(s["title"].alias("title"), s["cleaned"].alias("cleaned"), F.coalesce(s["colon"], s["labelled"], s["by"], F.lit("")).alias("author"), confidence.alias("confidence"), any_by.alias("any_by"))
+
+    def bare(s: Column) -> Column:
+        cleaned, author, any_by = s["cleaned"], s["author"], s["any_by"]
+        own = F.concat(F.lit(r"(?i)\s+by\s+"), F.regexp_replace(author, r"([.'\-+*?()\[\]{}|^$\\])", r"\\$1"), F.lit(TAIL))
+        usual = F.exists(F.split(F.lower(any_by), r"\s+"), lambda w: w.isin(fixed.TITLE_TAIL_STOPS))
+        return (
+            F.when((author != "") & F.regexp_like(cleaned, own), strip(F.regexp_replace(cleaned, own, F.lit("")), " -:|"))
+            .when((author != "") & (any_by != "") & ~usual, strip(F.regexp_replace(cleaned, r"\s+by\s+[A-Z][a-zA-Z.'-]{1,30}(?:\s+[A-Z][a-zA-Z.'-]{1,30}){1,3}" + TAIL, ""), " -:|"))
+            .otherwise(cleaned)
+        )
+
+    def short(tailless: Column) -> Column:
+        head = F.trim(F.substring_index(tailless, "...", 1))
+        return F.when(F.contains(tailless, F.lit("...")) & (F.char_length(head) > 5), head).otherwise(tailless)
+
+    def guess(s: Column) -> Column:
+        final = F.left(strip(F.regexp_replace(bound(bare(s), short), r"(?i)\s*Amazon\.com\s*.*$", ""), " -:|"), F.lit(500))
+        return F.struct(first_present(final, F.left(s["title"], F.lit(500))).alias("title"), F.left(s["author"], F.lit(255)).alias("author"), s["confidence"].alias("confidence"))
+
+    texts = F.struct(text(title).alias("title"), clean_listing_title(title).alias("cleaned"), text(snippet).alias("hint"))
+    return bound(bound(bound(texts, names), chosen), guess)
 
 
 def parse_review_title(title: Column | str, snippet: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import alternation, col, first_present, has_any, present, text
+from .text import alternation, bound, col, first_present, has_any, present, text
 
 
 def host(url: Column | str) -> Column:
@@ -30,13 +30,12 @@ def suffixes(domain: Column) -> Column:
 
 def in_domains(domain: Column, listed: list[str]) -> Column:
     """Whether the domain equals a listed one or lies under it."""
-    return F.arrays_overlap(suffixes(domain), F.array(*map(F.lit, listed)))
+    return domain.rlike(rf"(?:^|\.)(?:{alternation(listed)})\z")
 
 
 def marketplace_host(url: Column | str) -> Column:
     """The marketplace that a URL's host is or lies under, else NULL."""
-    own = suffixes(F.rtrim(host(url), F.lit(".")))
-    return F.try_element_at(F.filter(own, lambda d: d.isin(fixed.MARKETPLACE_HOSTS)), F.lit(1))
+    return F.nullif(F.regexp_extract(F.rtrim(host(url), F.lit(".")), rf"(?:^|\.)({alternation(fixed.MARKETPLACE_HOSTS)})\z", 1), F.lit(""))
 
 
 def listing_id(url: Column | str) -> Column:
@@ -100,12 +99,10 @@ def registered_domain(domain: Column, rules: SuffixRules | None = None) -> Colum
         keep = rules.suffix_labels(labels) + 1
         inside = F.array_join(F.slice(labels, F.size(labels) - keep + 1, keep), ".")
         return F.when(domain.rlike(r"^\d+(\.\d+){3}$") | (F.size(labels) < keep), F.lower(domain)).otherwise(inside)
-    labels = F.split(F.lower(domain), r"\.")
-    n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".").isin(fixed.TWO_LABEL_SUFFIXES)
-    keep = F.when(two, 3).otherwise(2)
-    numeric = domain.rlike(r"^\d+(\.\d+){3}$")
-    return F.when(numeric | (n < keep), F.lower(domain)).otherwise(F.array_join(F.slice(labels, n - keep + 1, keep), "."))
+    # Read from the end of the string, without an array of labels: this is evaluated for every address and URL.
+    low = F.lower(domain)
+    two, three = F.substring_index(low, ".", -2), F.substring_index(low, ".", -3)
+    return F.when(domain.rlike(r"^\d+(\.\d+){3}$"), low).when(two.isin(fixed.TWO_LABEL_SUFFIXES), three).otherwise(two)
 
 
 def registered_domain_of_url(url: Column | str, rules: SuffixRules | None = None) -> Column:
@@ -124,8 +121,7 @@ def local_part(email: Column | str) -> Column:
 
 def blocked_mail(email: Column | str) -> Column:
     """On a blocked domain or without a domain."""
-    domain = registered_domain_of_email(email)
-    return (domain == "") | in_domains(domain, fixed.BLOCKED_MAIL)
+    return bound(registered_domain_of_email(email), lambda domain: (domain == "") | in_domains(domain, fixed.BLOCKED_MAIL))
 
 
 def desk_mailbox(email: Column | str, strict: bool = False) -> Column:
@@ -205,4 +201,4 @@ def candidate_pages(url: Column | str) -> Column:
     return F.when(root != "", F.transform(F.array(*map(F.lit, SITE_PATHS)), lambda p: F.concat(root, p))).otherwise(F.array().cast("array<string>"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "Column", "annotations", "fixed", "alternation", "col", "first_present", "has_any", "present", "text"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "Column", "annotations", "fixed", "alternation", "bound", "col", "first_present", "has_any", "present", "text"}]

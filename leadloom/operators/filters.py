@@ -134,9 +134,7 @@ def messages(*pairs: tuple[Column, str | Column]) -> Column:
 def compliance_errors(row_sources: dict[str, Column]) -> Column:
     """Messages on opt-out (alone if it holds), location, contact mail and the evidence of each mail; row_sources has a flag per field: evidence with a source exists."""
     place = F.lower(F.trim(text("location")))
-    foreign = F.lit(False)
-    for word in fixed.FOREIGN:
-        foreign = foreign | place.rlike(rf"\b{word}\b")
+    foreign = place.rlike(rf"\b(?:{'|'.join(fixed.FOREIGN)})\b")
     mail = F.coalesce(*(F.nullif(text(c), F.lit("")) for c in fixed.EMAIL_FIELDS), F.lit(""))
     names = {"public_email": "Public email", "representation_email": "Representation email", "publicist_email": "Publicist email"}
     rest = messages(

@@ -257,3 +257,54 @@ def test_checks(spark, world):
     assert got(spark, "candidate_checks", "lead_id", "channel", "normalized_value", "score", "status", "reason") == sorted((k + r for k, r in rows.items()), key=str)
     lines = got(spark, "append_check_log", "lead_id", "channel", "normalized_value", "check_type", "result", "score_delta", "reason_code")
     assert lines == sorted((k + c for k, cs in log.items() for c in cs), key=str)
+
+
+def test_expressions_read_by_many_rules_stay_small(spark):
+    """Sizes of analysed plans: each was several times as large while a step was written out wherever a later one read it."""
+    from leadloom.functions import contacts, urls
+    from leadloom.functions import text as X
+
+    df = spark.createDataFrame([("a", "b")], "a string, b string")
+    rules = {"usable": (contacts.usable_email("a"), 8_000), "blocked": (urls.blocked_mail("a"), 4_000), "align": (urls.domains_align("a", "b"), 15_000), "guess": (X.guess_title_author("a", "b"), 60_000)}
+    for name, (rule, most) in rules.items():
+        assert len(df.select(rule.alias("x"))._jdf.queryExecution().analyzed().toString()) < most, name
+
+
+def test_domains_by_their_ends(spark):
+    """Registered, blocked and marketplace domains against plain loops over labels."""
+    from pyspark.sql import functions as F
+
+    from leadloom.functions import urls
+
+    hosts = ["", ".", "a", "co.uk", "x.co.uk", "a.b.x.co.uk", "example.com", "EXAMPLE.com", "a.example.com", "notexample.com", "example.com.", "example.com\n", "a..b", ".com", "1.2.3.4", "www.amazon.co.uk", "amazon.com.shop.test", "amazonXcom", "shop.goodreads.com"]
+    ends = lambda h: [".".join(h.split(".")[i:]) for i in range(h.count(".") + 1)]
+
+    def registered(h):
+        if all(x.isdigit() for x in h.split(".")) and h.count(".") == 3:
+            return h
+        w = h.lower().split(".")
+        keep = 3 if ".".join(w[-2:]) in fixed.TWO_LABEL_SUFFIXES else 2
+        return ".".join(w[-keep:])
+
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = df.select("h", urls.registered_domain(F.col("h")).alias("r"), urls.in_domains(F.col("h"), fixed.BLOCKED_MAIL).alias("b"), urls.marketplace_host(F.concat(F.lit("https://"), "h", F.lit("/x"))).alias("m")).collect()
+    for x in got:
+        assert x["r"] == registered(x["h"]), x
+        assert x["b"] == bool(set(ends(x["h"])) & set(fixed.BLOCKED_MAIL)), x
+        assert x["m"] == next((e for e in ends(x["h"].lower().rstrip(".")) if e in fixed.MARKETPLACE_HOSTS), None) or "\n" in x["h"], x
+
+
+def test_pages_are_read_in_small_slices():
+    """A batch of any size is read and given on by slices; nulls are blank pages."""
+    import pyarrow as pa
+
+    from leadloom.sources import pages
+
+    n = 2 * pages.SLICE + 1
+    html = [None, "", *('<title>T</title><a href="/x">y</a><form action="/f"><textarea name="m"></textarea></form><a href="mailto:a@b.test">m</a>' for _ in range(n - 2))]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": [None, *["https://a.test/"] * (n - 1)], "html": pa.array(html, pa.string())})
+    out = list(pages.read_batches(iter([batch])))
+    assert [b.num_rows for b in out] == [pages.SLICE, pages.SLICE, 1]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(n)) and rows[0]["url"] == "" and rows[1]["links"] == []
+    assert rows[2]["links"] == [{"href": "https://a.test/x", "anchor": "y"}] and rows[2]["forms"][0]["has_message"] and rows[2]["attributes"] == [{"kind": "mailto", "value": "a@b.test"}]
