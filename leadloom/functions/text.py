@@ -41,7 +41,11 @@ def first_present(*columns: Column | str) -> Column:
 
 
 def alternation(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in words)
+    """A pattern of any of the words, grouped by first letter: at each place of a value a search tries the letters, not all words."""
+    ends: dict[str, list[str]] = {}
+    for w in words:
+        ends.setdefault(w[:1], []).append(re.escape(w[1:]))
+    return "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in ends.items())
 
 
 def has_any(c: Column | str, words: list[str]) -> Column:

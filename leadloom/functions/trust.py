@@ -102,12 +102,12 @@ def label_matches(name: Column | str, label: Column | str) -> Column:
     return (F.size(own) > 0) & (F.size(F.array_except(own, F.split(normalize_text(label), " "))) == 0)
 
 
-def trusted_source(author: Column | str, title: Column | str, field: Column | str, value: Column | str, url: Column | str, kind: Column | str, source_title: Column | str | None = None, snippet: Column | str | None = None, named: Column | None = None, own: Column | None = None) -> Column:
-    """Whether a source of a kind may vouch for a contact value. named and own may be prepared: whether the author appears, and their tokens."""
+def trusted_source(author: Column | str, title: Column | str, field: Column | str, value: Column | str, url: Column | str, kind: Column | str, source_title: Column | str | None = None, snippet: Column | str | None = None, named: Column | None = None, own: Column | None = None, usable: Column | None = None) -> Column:
+    """Whether a source of a kind may vouch for a contact value. named, own and usable may be prepared: whether the author appears, their tokens, and whether type, value and source allow it."""
     f, v, k = text(field), text(value), text(kind)
     source_title, snippet = (F.lit("") if c is None else c for c in (source_title, snippet))
     social = k == "social_profile"
-    usable = (v != "") & present(url) & k.isin(fixed.TRUSTED_TYPES) & (social | ~platform_source(url))
+    usable = (v != "") & present(url) & k.isin(fixed.TRUSTED_TYPES) & (social | ~platform_source(url)) if usable is None else usable
     named = identity_appears(author, title, url, source_title, snippet) if named is None else named
     is_mail = f.isin(fixed.EMAIL_FIELDS)
     open_mail = ~blocked_mail(v) & ~desk_mailbox(v)

@@ -28,7 +28,7 @@ def with_trust(evidence: DataFrame, subjects: DataFrame) -> DataFrame:
     marked = evidence.withColumn("_may", F.coalesce(may, F.lit(False)))
     folded = marked.withColumn("_plain", F.when(F.col("_may"), normalize_text(words))).withColumn("_joined", F.replace("_plain", F.lit(" "), F.lit("")))
     rows = folded.join(people, "lead_id").withColumn("_named", F.when(F.col("_may"), identity_of(F.col("_own"), F.col("_of_title"), F.col("_plain"), F.col("_joined"))))
-    trust = trusted_source(F.lit(""), F.lit(""), "field_name", "field_value", "source_url", "evidence_type", "source_title", "source_snippet", F.col("_named"), F.col("_own"))
+    trust = trusted_source(F.lit(""), F.lit(""), "field_name", "field_value", "source_url", "evidence_type", "source_title", "source_snippet", F.col("_named"), F.col("_own"), F.col("_may"))
     return rows.withColumn("trusted", F.coalesce(F.when(F.col("_may"), trust), F.lit(False))).drop("_own", "_of_title", "_plain", "_joined", "_named", "_may")
 
 

@@ -308,3 +308,13 @@ def test_pages_are_read_in_small_slices():
     rows = [r for b in out for r in b.to_pylist()]
     assert [r["page_id"] for r in rows] == list(range(n)) and rows[0]["url"] == "" and rows[1]["links"] == []
     assert rows[2]["links"] == [{"href": "https://a.test/x", "anchor": "y"}] and rows[2]["forms"][0]["has_message"] and rows[2]["attributes"] == [{"kind": "mailto", "value": "a@b.test"}]
+
+
+def test_patterns_of_words_are_grouped_by_first_letter():
+    from leadloom.functions.text import alternation
+
+    words = ["amazon.", "archive.org", "b", "", "bc+"]
+    assert alternation(words).count("|a") == 0 and alternation(["amazon.", "archive.org"]).count("a(?:") == 1
+    for value in ["xamazon.y", "amazonx", "archive.org", "archiveXorg", "bc+", "c", ""]:
+        for some in (words[:2], words[:3], words[4:], words):
+            assert bool(re.search(alternation(some), value)) == any(w in value for w in some), (value, some)
