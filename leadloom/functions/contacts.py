@@ -44,39 +44,48 @@ def usable_email(c: Column | str) -> Column:
 
 
 def _with_context(value: Column, pattern: str, side: int) -> Column:
-    """Array of (raw, before, after) of the matches, with `side` characters around, from the gaps between matches."""
-    found, gaps = F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), F.split(value, pattern, -1)
-    zipped = F.arrays_zip(found.alias("raw"), F.slice(gaps, 1, F.size(found)).alias("b"), F.slice(gaps, 2, F.size(found)).alias("a"))
-    return F.transform(zipped, lambda x: F.struct(x["raw"].alias("raw"), F.right(x["b"], F.lit(side)).alias("before"), F.left(x["a"], F.lit(side)).alias("after")))
+    """Array of (raw, before, after) of the matches, with `side` characters around, from the gaps between matches. Matches and gaps are found once; values without a match have no gaps made."""
+    # A split compiles its pattern for every value, a replacement once a task: the gaps are split at a mark that the value hasn't got.
+    marked = F.split(F.regexp_replace(value, pattern, "\x01"), "\x01", -1)
+    gaps = F.when(F.contains(value, F.lit("\x01")), F.split(value, pattern, -1)).otherwise(marked)
+
+    def around(found: Column) -> Column:
+        zipped = bound(gaps, lambda g: F.arrays_zip(found.alias("raw"), F.slice(g, 1, F.size(found)).alias("b"), F.slice(g, 2, F.size(found)).alias("a")))
+        return F.transform(zipped, lambda x: F.struct(x["raw"].alias("raw"), F.right(x["b"], F.lit(side)).alias("before"), F.left(x["a"], F.lit(side)).alias("after")))
+
+    none = F.array().cast("array<struct<raw:string,before:string,after:string>>")
+    return bound(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, around(found)).otherwise(none))
 
 
 def extract_emails(c: Column | str) -> Column:
     """Addresses of a text: no hint of scripts in them or within 120 characters, no blacklisted domain, valid syntax; lower case, distinct, in order."""
-    value = text(c)
 
-    def good(x: Column) -> Column:
-        mail = F.lower(F.btrim(x["raw"], F.lit(".,;:()[]{}<>")))
+    def good(mail: Column, x: Column) -> Column:
         window = F.lower(F.concat_ws(" ", x["before"], x["raw"], x["after"]))
         domain = F.substring_index(mail, "@", -1)
         return ~mail.rlike(alternation(fixed.SCRIPT_HINTS)) & ~in_domains(domain, fixed.BLOCKED_MAIL) & ~window.rlike(alternation(fixed.SCRIPT_WINDOW)) & email_syntax(mail)
 
-    found = F.filter(_with_context(value, EMAIL, 120), good)
-    out = F.array_distinct(F.transform(found, lambda x: F.lower(F.btrim(x["raw"], F.lit(".,;:()[]{}<>")))))
-    return F.when(F.contains(value, F.lit("@")), out).otherwise(F.array().cast("array<string>"))
+    def found(value: Column) -> Column:
+        mails = F.transform(_with_context(value, EMAIL, 120), lambda x: bound(F.lower(F.btrim(x["raw"], F.lit(".,;:()[]{}<>"))), lambda mail: F.when(good(mail, x), mail)))
+        return F.when(F.contains(value, F.lit("@")), F.array_distinct(F.array_compact(mails))).otherwise(F.array().cast("array<string>"))
+
+    return bound(text(c), found)
 
 
 def e164(c: Column | str) -> Column:
     """+1 and ten digits for North American numbers, + and 8 to 15 digits for others; NULL if neither."""
-    v = F.trim(text(c))
-    d = F.regexp_replace(v, "[^0-9]", "")
-    plus = v.startswith("+")
     nanp = r"^[2-9]\d{2}[2-9]\d{6}$"
-    return (
-        F.when(v.rlike(r"[A-Za-z]"), None)
-        .when(~plus & d.rlike(nanp), F.concat(F.lit("+1"), d))
-        .when(d.startswith("1") & F.substring(d, 2, 20).rlike(nanp), F.concat(F.lit("+"), d))
-        .when(plus & ~d.startswith("1") & F.length(d).between(8, 15), F.concat(F.lit("+"), d))
-    )
+
+    def read(v: Column, d: Column) -> Column:
+        plus = v.startswith("+")
+        return (
+            F.when(v.rlike(r"[A-Za-z]"), None)
+            .when(~plus & d.rlike(nanp), F.concat(F.lit("+1"), d))
+            .when(d.startswith("1") & F.substring(d, 2, 20).rlike(nanp), F.concat(F.lit("+"), d))
+            .when(plus & ~d.startswith("1") & F.length(d).between(8, 15), F.concat(F.lit("+"), d))
+        )
+
+    return bound(F.trim(text(c)), lambda v: bound(F.regexp_replace(v, "[^0-9]", ""), lambda d: read(v, d)))
 
 
 def phone_details(c: Column | str) -> Column:
@@ -128,16 +137,16 @@ def by_plan(c: Column | str, region: str = "US", plans: list = fixed.NUMBER_PLAN
 
 def extract_phones(c: Column | str, require_context: bool = True) -> Column:
     """Numbers of a text that are no ISBN, not in the sentence of book data, and (if asked) near a word of contact; E.164, distinct, in order."""
-    value = text(c)
 
     def good(x: Column) -> Column:
         bare = F.upper(F.regexp_replace(x["raw"], r"[^\dxX]", ""))
         isbn = bare.rlike(r"^97[89]\d{10}$") | (F.length(bare).eqNullSafe(10) & isbn10_valid(bare))
-        left, right = F.element_at(F.split(F.right(x["before"], F.lit(40)), r"[.!?\n;]"), -1), F.element_at(F.split(F.left(x["after"], F.lit(40)), r"[.!?\n;]"), 1)
+        left, right = F.regexp_extract(F.right(x["before"], F.lit(40)), r"[^.!?\n;]*\z", 0), F.regexp_extract(F.left(x["after"], F.lit(40)), r"^[^.!?\n;]*", 0)
         near = F.concat_ws(" ", x["before"], x["raw"], x["after"]).rlike(PHONE_CONTEXT)
-        return ~isbn & ~left.rlike(BOOK_CONTEXT) & ~right.rlike(BOOK_CONTEXT) & (near | F.lit(not require_context)) & e164(x["raw"]).isNotNull()
+        return ~isbn & ~left.rlike(BOOK_CONTEXT) & ~right.rlike(BOOK_CONTEXT) & (near | F.lit(not require_context))
 
-    return F.array_distinct(F.transform(F.filter(_with_context(value, PHONE, 120), good), lambda x: e164(x["raw"])))
+    numbers = lambda value: F.transform(_with_context(value, PHONE, 120), lambda x: F.when(good(x), e164(x["raw"])))
+    return bound(text(c), lambda value: F.array_distinct(F.array_compact(numbers(value))))
 
 
 def obfuscated_emails(c: Column | str) -> Column:
