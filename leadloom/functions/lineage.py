@@ -44,6 +44,16 @@ def drop_cut(*written: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over as many tasks as the session shuffles to: for work that costs far more than its rows, which few small files would leave to as few tasks.
+
+    Filters move below a deal; what is dear must therefore be a column or a generator above it.
+    """
+    session = df.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def running_sum(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
     """df with the running sum of value in the given total order, own row included.
 

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, fixed, ids, scores, trust, urls
 from ..functions.coerce import year_in_window
-from ..functions.text import clean_listing_title, first_present, guess_title_author, name_is_title_fragment, placeholder_title, present, text, title_anchor, valid_person_name
+from ..functions.lineage import spread
+from ..functions.text import bound, clean_listing_title, first_present, guess_title_author, name_is_title_fragment, placeholder_title, present, text, title_anchor, valid_person_name
 
 CONTACT_INTENT = r"(?i)contact|email|e-mail|booking|reach|get in touch|publicity|press|media kit|school visit"
 
 
 def listing_candidates(results: DataFrame) -> DataFrame:
     """results (result_id, title, url, snippet) that carry a listing id, a valid author and a topic signal, parsed."""
-    rows = results.withColumn("asin", urls.listing_id("url")).where(F.col("asin").isNotNull())
-    parsed = rows.withColumn("g", guess_title_author("title", "snippet"))
-    good = parsed.where(valid_person_name("g.author") & scores.topic_signal("title", "snippet"))
-    return good.select("result_id", "asin", F.col("g.title").alias("title"), F.col("g.author").alias("author_name"), F.col("g.confidence").alias("confidence"))
+    rows = spread(results.withColumn("asin", urls.listing_id("url")).where(F.col("asin").isNotNull()).select("result_id", "asin", "title", "snippet"))
+    topic = scores.topic_signal("title", "snippet")
+    # A generator in place of a filter: the guess is evaluated once a row, and stays above the deal.
+    good = F.when(topic, bound(guess_title_author("title", "snippet"), lambda g: F.when(valid_person_name(g["author"]), F.array(g))))
+    return rows.select("result_id", "asin", F.explode(good).alias("g")).select("result_id", "asin", F.col("g.title").alias("title"), F.col("g.author").alias("author_name"), F.col("g.confidence").alias("confidence"))
 
 
 def recover_missing_author(books: DataFrame, results: DataFrame) -> DataFrame:
