@@ -69,13 +69,16 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 def ascii_fold(c: Column | str) -> Column:
     """Compatibility decomposition without what is not ASCII; ASCII values pass through untouched."""
-    value = text(c)
     one, plain, many = _decompositions()
     table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded once
-    spread = F.array_join(F.transform(F.split(value, ""), lambda x: F.coalesce(F.when(x > "\x7f", F.element_at(table, x)), x)), "")
     wide = "[" + "".join(many) + "]"
-    folded = F.regexp_replace(F.translate(F.when(value.rlike(wide), spread).otherwise(value), one, plain), r"[^\x00-\x7F]", "")
-    return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
+
+    def fold(value: Column) -> Column:
+        spread = F.array_join(F.transform(F.split(value, ""), lambda x: F.coalesce(F.when(x > "\x7f", F.element_at(table, x)), x)), "")
+        folded = F.regexp_replace(F.translate(F.when(value.rlike(wide), spread).otherwise(value), one, plain), r"[^\x00-\x7F]", "")
+        return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
+
+    return fold(text(c)) if isinstance(c, str) else bound(text(c), fold)  # a column by name costs nothing to read again
 
 
 def squeeze(c: Column, pattern: str = r"[^a-z0-9]+") -> Column:
@@ -174,8 +177,8 @@ def title_anchor(c: Column | str, most: int = 6) -> Column:
 
 
 def placeholder_title(title: Column | str, code: Column | str) -> Column:
-    n, k = normalize_text(title), normalize_text(code)
-    return n.isin("", "missing", "unknown") | n.startswith("book for asin") | n.startswith("book for isbn") | ((k != "") & (n == k))
+    rule = lambda n, k: n.isin("", "missing", "unknown") | n.startswith("book for asin") | n.startswith("book for isbn") | ((k != "") & (n == k))
+    return bound(F.struct(normalize_text(title).alias("n"), normalize_text(code).alias("k")), lambda x: rule(x["n"], x["k"]))
 
 
 def name_is_title_fragment(name: Column | str, title: Column | str) -> Column:
@@ -206,7 +209,8 @@ def authors_from_colon_title(c: Column | str) -> Column:
         return F.aggregate(F.transform(F.split(part, ","), lambda x: F.trim(x)), start, step, lambda a: a["found"])
 
     names = F.flatten(F.transform(F.split(value, ":"), lambda p: pairs(F.trim(p))))
-    return F.array_distinct(F.filter(F.transform(names, clean_person_name), lambda n: valid_person_name(n)))
+    found = F.array_distinct(F.filter(F.transform(names, clean_person_name), lambda n: valid_person_name(n)))
+    return F.when(F.contains(value, F.lit(",")), found).otherwise(nothing)  # a pair has a comma within
 
 
 STRONG_BY = r"\bby\s+([A-Z][A-Za-z .'-]{1,40})\s*\((?:Author|Illustrator|Contributor|Editor|Writer)\)"
@@ -224,7 +228,11 @@ def guess_title_author(title: Column | str, snippet: Column | str) -> Column:
         raw = F.coalesce(F.nullif(F.regexp_extract(s["hint"], STRONG_BY, 1), F.lit("")), F.nullif(F.regexp_extract(s["cleaned"], STRONG_BY, 1), F.lit("")))
         labelled = bound(clean_person_name(raw), lambda n: F.when(valid_person_name(n), n))
         colon = F.try_element_at(authors_from_colon_title(s["title"]), F.lit(1))
-        return F.struct(s["title"].alias("title"), s["cleaned"].alias("cleaned"), colon.alias("colon"), labelled.alias("labelled"), F.coalesce(plain(s["hint"]), plain(s["cleaned"])).alias("by"))
+        return F.struct(s["title"].alias("title"), s["cleaned"].alias("cleaned"), s["hint"].alias("hint"), colon.alias("colon"), labelled.alias("labelled"))
+
+    def with_by(s: Column) -> Column:  # read where no stronger form has a name
+        by = F.when(s["colon"].isNull() & s["labelled"].isNull(), F.coalesce(plain(s["hint"]), plain(s["cleaned"])))
+        return F.struct(s["title"].alias("title"), s["cleaned"].alias("cleaned"), s["colon"].alias("colon"), s["labelled"].alias("labelled"), by.alias("by"))
 
     def chosen(s: Column) -> Column:
         confidence = F.when(s["colon"].isNotNull(), 0.75).when(s["labelled"].isNotNull(), 0.8).when(s["by"].isNotNull(), 0.6).otherwise(0.35)
@@ -250,7 +258,7 @@ def guess_title_author(title: Column | str, snippet: Column | str) -> Column:
         return F.struct(first_present(final, F.left(s["title"], F.lit(500))).alias("title"), F.left(s["author"], F.lit(255)).alias("author"), s["confidence"].alias("confidence"))
 
     texts = F.struct(text(title).alias("title"), clean_listing_title(title).alias("cleaned"), text(snippet).alias("hint"))
-    return bound(bound(bound(texts, names), chosen), guess)
+    return bound(bound(bound(bound(texts, names), with_by), chosen), guess)
 
 
 def parse_review_title(title: Column | str, snippet: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .contacts import usable_email
-from .text import author_tokens, col, compact, normalize_text, present, squeeze, text, title_tokens
+from .text import author_tokens, bound, col, compact, normalize_text, present, squeeze, text, title_tokens
 from .urls import blocked_mail, desk_mailbox, domains_align, host, local_part, path, platform_source, public_url, publisher_site, registered_domain_of_email, registered_domain_of_url, role_hint
 
 
@@ -19,8 +19,10 @@ def _last(tokens: Column) -> Column:
 
 def identity_appears(author: Column | str, title: Column | str, *values: Column | str, bridge: bool = True, surname: bool = True) -> Column:
     """Whether the author is named in the values: as a phrase, joined, by all tokens, by a surname of five letters (if allowed), or by the surname with min(2, n) title tokens (bridge)."""
-    words = F.concat_ws(" ", *map(text, values))
-    return identity_of(author_tokens(author), title_tokens(title), normalize_text(words), compact(words), bridge, surname)
+    plain = normalize_text(F.concat_ws(" ", *map(text, values)))
+    # Bound, so that tokens and texts are evaluated once a row and not once a token.
+    parts = F.struct(author_tokens(author).alias("own"), title_tokens(title).alias("of_title"), plain.alias("plain"))
+    return bound(parts, lambda p: bound(F.replace(p["plain"], F.lit(" "), F.lit("")), lambda joined: identity_of(p["own"], p["of_title"], p["plain"], joined, bridge, surname)))
 
 
 def identity_of(own: Column, of_title: Column, plain: Column, joined: Column, bridge: bool = True, surname: bool = True) -> Column:
@@ -129,12 +131,16 @@ def trusted_source(author: Column | str, title: Column | str, field: Column | st
 
 def email_matches_author(email: Column | str, author: Column | str, url: Column | str, trusted: Column) -> Column:
     """A usable address on an aligned or non-free domain of a trusted source, or with the name in its local part."""
-    own, local = author_tokens(author), compact(local_part(email))
-    last, run = _last(own), F.array_join(own, "")
     domain = F.lower(F.substring_index(text(email), "@", -1))
-    named = F.contains(local, run) | (F.contains(local, last) & (F.length(last) >= 4)) | ((F.size(own) >= 2) & F.forall(F.slice(own, 1, 2), lambda t: F.contains(local, t)))
     by_source = trusted & (domains_align(email, url) | ~domain.isin(fixed.FREE_MAIL))
-    return usable_email(email) & ~platform_source(url) & (F.size(own) > 0) & (by_source | named)
+
+    def holds(x: Column) -> Column:
+        own, local = x["own"], x["local"]
+        last, run = _last(own), F.array_join(own, "")
+        named = F.contains(local, run) | (F.contains(local, last) & (F.length(last) >= 4)) | ((F.size(own) >= 2) & F.forall(F.slice(own, 1, 2), lambda t: F.contains(local, t)))
+        return (F.size(own) > 0) & (by_source | named)
+
+    return usable_email(email) & ~platform_source(url) & bound(F.struct(author_tokens(author).alias("own"), compact(local_part(email)).alias("local")), holds)
 
 
 def trusted_site(url: Column | str, author: Column | str, title: Column | str, page_title: Column | str | None = None) -> Column:
@@ -154,10 +160,12 @@ def result_matches_book(result: Column | str, title: Column | str, code: Column
     """The identifier stands in the text, or min(3, n) title tokens do; placeholder titles never match by title."""
     from .text import placeholder_title
 
-    plain, of_title = normalize_text(result), title_tokens(title)
-    hits = F.size(F.filter(of_title, lambda t: F.contains(plain, t)))
+    def by_title(p: Column) -> Column:
+        hits = F.size(F.filter(p["of_title"], lambda t: F.contains(p["plain"], t)))
+        return (F.size(p["of_title"]) > 0) & (hits >= F.least(F.lit(3), F.size(p["of_title"])))
+
     by_id = present(code) & F.contains(F.lower(text(result)), F.lower(F.trim(text(code))))
-    return by_id | (~placeholder_title(title, code) & (F.size(of_title) > 0) & (hits >= F.least(F.lit(3), F.size(of_title))))
+    return by_id | (~placeholder_title(title, code) & bound(F.struct(normalize_text(result).alias("plain"), title_tokens(title).alias("of_title")), by_title))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -26,10 +26,11 @@ def recover_missing_author(books: DataFrame, results: DataFrame) -> DataFrame:
     """Blank authors filled from the first matching result (book_id, ord, title, snippet, url) in order; (book_id, author_name, confidence, recovered)."""
     missing = books.where(~present("author_name")).select("book_id", F.col("title").alias("_title"), F.col("asin").alias("_asin"))
     words = F.concat_ws(" ", text("title"), text("snippet"), text("url"))
-    hits = results.join(missing, "book_id").where(trust.result_matches_book(words, "_title", "_asin"))
-    named = hits.withColumn("_name", guess_title_author("title", "snippet")["author"])
-    good = named.where(valid_person_name("_name") & ~name_is_title_fragment("_name", "_title"))
-    first = good.groupBy("book_id").agg(F.min_by("_name", "ord").alias("_name"))
+    hits = spread(results.select("book_id", "ord", "title", "snippet", "url").join(missing, "book_id"))
+    # A column in place of filters: each rule is evaluated once a row, and a result that fails one has no name.
+    name = bound(guess_title_author("title", "snippet")["author"], lambda n: F.when(valid_person_name(n) & ~name_is_title_fragment(n, "_title"), n))
+    named = hits.select("book_id", "ord", F.when(trust.result_matches_book(words, "_title", "_asin"), name).alias("_name"))
+    first = named.groupBy("book_id").agg(F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("ord"))).alias("_name"))
     out = books.join(first, "book_id", "left")
     found = F.col("_name").isNotNull()
     confidence = F.when(found, F.greatest(F.coalesce("book_data_confidence", F.lit(0.0)), F.lit(0.72))).otherwise(F.col("book_data_confidence"))
