@@ -42,14 +42,22 @@ def snippet_contacts(results: DataFrame) -> DataFrame:
     site = (F.col("kind") == "author_site") & trust.trusted_site("url", "author_name", "book_title", "title")
     social = F.col("kind").isin("instagram", "facebook", "tiktok", "linkedin", "youtube") & trust.trusted_social("url", "author_name", "book_title")
     words = F.concat_ws(" ", text("title"), text("snippet"))
-    rows = results.withColumns({"_site": site, "_social": social, "_words": words})
-    rows = rows.where(F.col("_site") | F.col("_social") | F.concat_ws(" ", "_words", text("url")).rlike(CONTACT_INTENT))
-    kind = F.when(F.col("_social"), "social_profile").when(F.col("_site"), "contact_page").otherwise("web_search_result")
-    mails = rows.withColumn("value", F.explode(contacts.extract_emails("_words"))).where(trust.email_matches_author("value", "author_name", "url", F.col("_site") | F.col("_social")))
-    mails = mails.select("result_id", F.lit("public_email").alias("field"), "value", kind.alias("evidence_type"), F.when(F.col("_site"), 0.72).when(F.col("_social"), 0.65).otherwise(0.52).alias("confidence"))
-    phones = rows.where(F.col("_site") | F.col("_social")).withColumn("value", F.explode(contacts.extract_phones("_words")))
-    phones = phones.select("result_id", F.lit("public_phone").alias("field"), "value", kind.alias("evidence_type"), F.when(F.col("_social"), 0.62).otherwise(0.68).alias("confidence"))
-    return mails.unionByName(phones)
+    none = F.array().cast("array<struct<field:string,value:string,evidence_type:string,confidence:double>>")
+
+    def contacts_of(s: Column) -> Column:
+        trusted = s["site"] | s["social"]
+        kind = F.when(s["social"], "social_profile").when(s["site"], "contact_page").otherwise("web_search_result")
+        row = lambda field, value, confidence: F.struct(F.lit(field).alias("field"), value.alias("value"), kind.alias("evidence_type"), confidence.alias("confidence"))
+        of_mail, of_phone = F.when(s["site"], 0.72).when(s["social"], 0.65).otherwise(0.52), F.when(s["social"], 0.62).otherwise(0.68)
+        own = F.filter(contacts.extract_emails(s["words"]), lambda m: trust.email_matches_author(m, "author_name", "url", trusted))
+        mails = F.when(trusted | F.concat_ws(" ", s["words"], text("url")).rlike(CONTACT_INTENT), F.transform(own, lambda m: row("public_email", m, of_mail)))
+        phones = F.when(trusted, F.transform(contacts.extract_phones(s["words"]), lambda p: row("public_phone", p, of_phone)))
+        return F.concat(F.coalesce(mails, none), F.coalesce(phones, none))
+
+    # One generator over mails and phones: results are read once, and a source is judged once a row.
+    judged = F.struct(F.coalesce(site, F.lit(False)).alias("site"), F.coalesce(social, F.lit(False)).alias("social"), words.alias("words"))
+    rows = spread(results.select("result_id", "kind", "title", "snippet", "url", "author_name", "book_title"))
+    return rows.select("result_id", F.explode(bound(judged, contacts_of)).alias("c")).select("result_id", "c.*")
 
 
 def profile_audit(profiles: DataFrame) -> DataFrame:
