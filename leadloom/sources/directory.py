@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.lineage import spread
 from ..functions.text import clean_person_name, first_present, humanize_slug, present, squeeze, text
 from ..functions.urls import host, path
 
@@ -19,6 +20,13 @@ HOLDERS = ("li", "article", "div")
 CARDS = "page_id bigint, page_url string, pos int, href string, anchor string, lines array<string>, image string"
 DETAIL = "url string, meta map<string,string>, image string, parts array<struct<mark:string,text:string,content:string,hrefs:array<string>,names:array<string>>>, hrefs array<string>"
 
+#: The same for Arrow; the pages that are Python objects at one time, whatever the size of a batch.
+STRINGS = pa.list_(pa.string())
+CARDS_ARROW = pa.schema([("page_id", pa.int64()), ("page_url", pa.string()), ("pos", pa.int32()), ("href", pa.string()), ("anchor", pa.string()), ("lines", STRINGS), ("image", pa.string())])
+PART = pa.struct([("mark", pa.string()), ("text", pa.string()), ("content", pa.string()), ("hrefs", STRINGS), ("names", STRINGS)])
+DETAIL_ARROW = pa.schema([("url", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("image", pa.string()), ("parts", pa.list_(PART)), ("hrefs", STRINGS)])
+SLICE = 100
+
 
 class Tree(HTMLParser):
     """Calls back with each element's text, links and first image when it ends."""
@@ -102,27 +110,39 @@ def project_parts(url: str, html: str) -> tuple:
     return url, meta, absolute(url, meta.get("og:image") or image) if meta.get("og:image") or image else "", parts, hrefs
 
 
-def parse_cards(pages: DataFrame) -> DataFrame:
-    """Links of pages (page_id, url, html) with the lines and the first image of what holds them; see CARDS."""
-    names = [x.strip().split(" ")[0] for x in CARDS.split(",")]
+def by_slices(read: Callable[[dict], Iterator[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that reads SLICE pages at a time: `read` gives the rows of a slice's columns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True):  # a page at a time
-                yield pd.DataFrame(project_links(i, u or "", h or ""), columns=names)
+            for i in range(0, b.num_rows, SLICE):
+                rows = list(read(b.slice(i, SLICE).to_pydict()))
+                cells = zip(*rows, strict=True) if rows else [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-    return pages.where("page_id is not null").select(F.col("page_id").cast("bigint"), "url", "html").mapInPandas(run, CARDS)
+    return run
 
 
-def parse_details(pages: DataFrame) -> DataFrame:
-    """Marked parts of project pages (url, html); see DETAIL."""
+def cards_of(part: dict) -> Iterator[tuple]:
+    for i, u, h in zip(part["page_id"], part["url"], part["html"], strict=True):
+        yield from project_links(i, u or "", h or "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [project_parts(u or "", h or "") for u, h in zip(b["url"], b["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=["url", "meta", "image", "parts", "hrefs"])
 
-    return pages.select("url", "html").mapInPandas(run, DETAIL)
+def details_of(part: dict) -> Iterator[tuple]:
+    for u, h in zip(part["url"], part["html"], strict=True):
+        url, meta, *rest = project_parts(u or "", h or "")
+        yield url, list(meta.items()), *rest
+
+
+def parse_cards(pages: DataFrame) -> DataFrame:
+    """Links of pages (page_id, url, html) with the lines and the first image of what holds them; see CARDS."""
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    return spread(rows).mapInArrow(by_slices(cards_of, CARDS_ARROW), CARDS)
+
+
+def parse_details(pages: DataFrame) -> DataFrame:
+    """Marked parts of project pages (url, html); see DETAIL."""
+    return spread(pages.select("url", "html")).mapInArrow(by_slices(details_of, DETAIL_ARROW), DETAIL)
 
 
 def project_url(url: Column | str) -> Column:
