@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions.contacts import details_of, e164, email_syntax, normalized_contact
 from ..functions.lineage import cut, running_sum
 from ..functions.text import author_tokens, normalize_text, present, text, title_tokens
-from ..functions.trust import identity_appears, identity_of, trusted_source
+from ..functions.trust import identity_of, trusted_source
 from ..functions.urls import blocked_mail, platform_source, registered_domain_of_email, registered_domain_of_url
 
 CONTACT_COLUMNS = list(fixed.FIELD_ROLES)
@@ -53,12 +53,14 @@ def best_evidence(evidence: DataFrame, keys: list[str], guard: Column | None = N
 
 def best_contact_evidence(evidence: DataFrame, subjects: DataFrame) -> DataFrame:
     """Per lead the best contact evidence that names the author, off blocked domains, of a mail or phone."""
-    rows = evidence.join(subjects.select("lead_id", F.col("author_name").alias("_author"), F.col("title").alias("_title")), "lead_id")
-    named = identity_appears("_author", "_title", "source_url", "source_title", "source_snippet")
     is_mail = F.col("field_name").isin(fixed.EMAIL_FIELDS)
-    guard = named & ~(is_mail & blocked_mail("field_value")) & ~platform_source("source_url") & F.col("field_name").isin(CONTACT_COLUMNS)
     enough = (F.col("evidence_type").isin(fixed.OWNED_TYPES) & (F.col("confidence") >= 0.65)) | (F.col("evidence_type").isin(fixed.TRUSTED_TYPES) & (F.col("confidence") >= 0.6))
-    return best_evidence(rows, ["lead_id"], guard & enough).drop("_author", "_title", "rank")
+    # What the evidence alone decides is decided before the join, the dear rules last; texts and tokens are staged, so that they are evaluated once a row.
+    fit = evidence.where(F.col("field_name").isin(CONTACT_COLUMNS) & enough & ~platform_source("source_url") & F.coalesce(~is_mail | ~blocked_mail("field_value"), F.lit(False)))
+    plain = fit.withColumn("_plain", normalize_text(F.concat_ws(" ", text("source_url"), text("source_title"), text("source_snippet")))).withColumn("_joined", F.replace("_plain", F.lit(" "), F.lit("")))
+    people = subjects.select("lead_id", author_tokens("author_name").alias("_own"), title_tokens("title").alias("_of_title"))
+    named = plain.join(people, "lead_id").where(identity_of(F.col("_own"), F.col("_of_title"), F.col("_plain"), F.col("_joined")))
+    return best_evidence(named, ["lead_id"]).drop("_own", "_of_title", "_plain", "_joined", "rank")
 
 
 def top_evidence(evidence: DataFrame, current: DataFrame, n: int = 3) -> DataFrame:
