@@ -12,7 +12,7 @@ from ..functions.coerce import year_window_string
 from ..functions.contacts import email_syntax, usable_email
 from ..functions.lineage import cut
 from ..functions.scores import with_lead_score
-from ..functions.text import author_tokens, corporate_author, normalize_text, present, text
+from ..functions.text import author_tokens, bound, corporate_author, normalize_text, present, text
 from ..functions.trust import identity_appears, trusted_site, trusted_social
 from ..functions.urls import platform_source, verified_listing_url
 
@@ -188,9 +188,12 @@ def approval_decision(verified: dict[str, Column], compliance: Column, has_book_
 
 def usable_author(name: Column | str) -> Column:
     """Whether an export takes the name for an author's: the length of its normal form, no part that is no name, two words of two letters or more."""
-    value = normalize_text(name)
-    bad = reduce(lambda a, b: a | b, (F.contains(value, F.lit(w)) for w in fixed.EXPORT_NAME_STOPS))
-    return F.char_length(value).between(5, 90) & ~bad & (F.size(F.regexp_extract_all(value, F.lit("[a-z][a-z]+"), F.lit(0))) >= 2)
+
+    def holds(value: Column) -> Column:
+        bad = reduce(lambda a, b: a | b, (F.contains(value, F.lit(w)) for w in fixed.EXPORT_NAME_STOPS))
+        return F.char_length(value).between(5, 90) & ~bad & (F.size(F.regexp_extract_all(value, F.lit("[a-z][a-z]+"), F.lit(0))) >= 2)
+
+    return bound(normalize_text(name), holds)
 
 
 def export_validation_errors(best: Column) -> Column:
@@ -226,7 +229,9 @@ def drop_untrusted_extracted(extracted: DataFrame, items: DataFrame, verified: d
 def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[str] = ("canonical_website", "contact_page_url", "publisher_url")) -> DataFrame:
     """leads with contacts without a trusted source and profile addresses on catalogs or shops blank, n_contacts and n_urls cleared and their names (`cleared`), and a warning for each."""
     urls = [c for c in urls if c in leads.columns]
-    contacts, pages = {c: present(c) & ~v for c, v in verified.items()}, {c: present(c) & platform_source(c) for c in urls}
+    # Staged, so that each host is read once a row: the warnings, counts, names and columns all ask for it.
+    rows = leads.withColumns({f"_gone_{c}": present(c) & ~v for c, v in verified.items()} | {f"_gone_{c}": present(c) & platform_source(c) for c in urls})
+    contacts, pages = ({c: F.col(f"_gone_{c}") for c in names} for names in (verified, urls))
     told = messages(
         *((g, f"Sanitized {c}: source did not pass trusted author/agent/publisher checks.") for c, g in contacts.items()),
         *((g, F.concat(F.lit(f"Sanitized {c}: removed catalog/bookstore/library URL "), text(c), F.lit("."))) for c, g in pages.items()),
@@ -234,7 +239,8 @@ def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[
     count = lambda flags: reduce(lambda a, b: a + b, (F.coalesce(g, F.lit(False)).cast("int") for g in flags.values()), F.lit(0))
     before = F.coalesce(F.col("warnings").cast("array<string>"), F.array().cast("array<string>")) if "warnings" in leads.columns else F.array().cast("array<string>")
     gone = F.array_compact(F.array(*(F.when(g, F.lit(c)) for c, g in (contacts | pages).items())))
-    return leads.withColumns({"warnings": F.concat(before, told), "n_contacts": count(contacts), "n_urls": count(pages), "cleared": gone} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in (contacts | pages).items()})
+    out = rows.withColumns({"warnings": F.concat(before, told), "n_contacts": count(contacts), "n_urls": count(pages), "cleared": gone} | {c: F.when(g, "").otherwise(F.col(c)) for c, g in (contacts | pages).items()})
+    return out.drop(*(f"_gone_{c}" for c in contacts | pages))
 
 
 def sanitize_counts(sanitized: DataFrame) -> DataFrame:

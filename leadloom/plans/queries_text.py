@@ -503,7 +503,7 @@ g as (select * replace ({", ".join(f"case when g_{c} then '' else {c} end as {c}
 
 
 def sanitized(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return filters.sanitize_leads(source_flags(t).withColumn("contact_page_url", F.expr(PROFILE_PAGE)), flags("s"), 2026)
+    return filters.sanitize_leads(source_flags(t, "s").withColumn("contact_page_url", F.expr(PROFILE_PAGE)), flags("s"), 2026)
 
 
 @query(
