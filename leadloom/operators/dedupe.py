@@ -67,13 +67,16 @@ def dedupe_any_key(df: DataFrame, keys: Column, order: Column, most: int = SOLVE
 
 def _any_key_pass(pairs: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
     """(winners, what is undecided) after solving the small components, and a round and a first block of the large ones."""
-    first = pairs.groupBy("_key").agg(F.min("_rank").alias("_first"))
-    found = components(pairs.join(first, "_key").select(F.col("_first").alias("a"), F.col("_rank").alias("b")))
-    rows = cut(pairs.join(found.withColumnsRenamed({"node": "_rank"}), "_rank", "left").withColumn("root", F.coalesce("root", "_rank")), "any-key-rooted")
+    first = cut(pairs.groupBy("_key").agg(F.min("_rank").alias("_first")), "any-key-first")
+    # Components of keys, each known by its first row: what grows with the rows of a key is no edge. A row belongs to its least key's component, whose least row is a first row.
+    of_row = cut(pairs.join(first, "_key").groupBy("_rank").agg(F.min("_first").alias("_least"), F.collect_set("_first").alias("_firsts")), "any-key-rows")
+    found = components(of_row.where(F.size("_firsts") > 1).select(F.col("_least").alias("a"), F.explode("_firsts").alias("b")))
+    roots = of_row.select("_rank", "_least").join(found.withColumnsRenamed({"node": "_least"}), "_least", "left").select("_rank", F.coalesce("root", "_least").alias("root"))
+    rows = cut(pairs.join(roots, "_rank"), "any-key-rooted")
     sizes = cut(rows.groupBy("root").agg(F.countDistinct("_rank").alias("n")).where(F.col("n") > most), "any-key-large")
     if sizes.isEmpty():
         wins = cut(_solved(rows), "any-key-won")
-        drop_cut(pairs, found, rows, sizes)
+        drop_cut(pairs, first, of_row, found, rows, sizes)
         return [wins], pairs.limit(0)
     wins = [cut(_solved(rows.join(sizes, "root", "left_anti")), "any-key-won")]
     large = rows.join(sizes, "root", "left_semi").select("root", "_rank", "_key")
@@ -83,7 +86,7 @@ def _any_key_pass(pairs: DataFrame, most: int) -> tuple[list[DataFrame], DataFra
     blocks = cut(_first_rows(rest, most), "any-key-block")
     wins.append(cut(_solved(blocks), "any-key-won"))
     left = cut(_undecided(rest.join(blocks.select("_rank").distinct(), "_rank", "left_anti"), wins[-1], blocks).select("_rank", "_key"), "any-key-pairs")
-    drop_cut(pairs, found, rows, sizes, rest, blocks)
+    drop_cut(pairs, first, of_row, found, rows, sizes, rest, blocks)
     return wins, left
 
 
