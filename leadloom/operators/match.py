@@ -31,10 +31,13 @@ def lead_star(leads: DataFrame, books: DataFrame, authors: DataFrame, candidates
 
 
 def lead_nested(leads: DataFrame, **children: DataFrame) -> DataFrame:
-    """Leads with their children (tables with lead_id) as sorted arrays of structs."""
+    """Leads with their children (tables with lead_id) as sorted arrays of structs.
+
+    Children are dealt as rows: an aggregate before the deal would make nothing smaller, and sort and spill all of them.
+    """
     out = leads
     for name, df in children.items():
-        rows = df.groupBy("lead_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "lead_id"]))).alias(name))
+        rows = df.repartition("lead_id").groupBy("lead_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "lead_id"]))).alias(name))
         out = out.join(rows, "lead_id", "left")
     return out
 
