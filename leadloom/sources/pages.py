@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.contacts import deobfuscate_email, e164, extract_emails, extract_phones, obfuscated_emails, usable_email, xor_decode
-from ..functions.text import alternation, clean_person_name, first_present, present, text, valid_person_name
+from ..functions.lineage import spread
+from ..functions.text import alternation, bound, clean_person_name, first_present, present, text, valid_person_name
 from ..functions.trust import named_in_text, run_of, site_owned
 from ..functions.urls import host, path, registered_domain_of_url
 
@@ -198,7 +199,7 @@ def author_from_page(h1: Column | str, h2: Column | str, title: Column | str, re
 
     def name(c: Column | str) -> Column:
         v = clean_person_name(F.trim(F.regexp_replace(F.regexp_replace(text(c), noise, " "), r"\s+", " ")))
-        return F.when(valid_person_name(v) & (F.size(F.split(v, " ")) <= 5), v)
+        return bound(v, lambda n: F.when(valid_person_name(n) & (F.size(F.split(n, " ")) <= 5), n))
 
     return F.coalesce(name(h1), name(h2), name(title), name(result_title), F.lit(""))
 
@@ -246,7 +247,7 @@ def site_lead_rows(pages: DataFrame, listing_links: DataFrame) -> DataFrame:
     from ..functions.scores import topic_signal
     from ..functions.urls import listing_id
 
-    facts = pages.withColumns({"mail": F.try_element_at(extract_emails("page_text"), F.lit(1)), "phone": F.try_element_at(extract_phones("page_text"), F.lit(1)), "name": F.nullif(author_from_page("h1", "h2", "title", F.lit("")), F.lit(""))})
+    facts = spread(pages.select("site", "pos", "url", "page_text", "h1", "h2", "title")).withColumns({"mail": F.try_element_at(extract_emails("page_text"), F.lit(1)), "phone": F.try_element_at(extract_phones("page_text"), F.lit(1)), "name": F.nullif(author_from_page("h1", "h2", "title", F.lit("")), F.lit(""))})
     has = F.col("mail").isNotNull() | F.col("phone").isNotNull()
     of_site = facts.groupBy("site").agg(
         F.min_by("name", F.when(F.col("name").isNotNull(), F.col("pos"))).alias("author_name"), F.min_by(F.struct("url", "mail", "phone"), F.when(has, F.col("pos"))).alias("c"),
