@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.coerce import year_window_string
 from ..functions.contacts import email_syntax, usable_email
-from ..functions.lineage import cut
 from ..functions.scores import with_lead_score
 from ..functions.text import author_tokens, bound, corporate_author, normalize_text, present, text
 from ..functions.trust import identity_appears, trusted_site, trusted_social
@@ -226,11 +225,20 @@ def drop_untrusted_extracted(extracted: DataFrame, items: DataFrame, verified: d
     return out, items.join(lost.distinct(), ["lead_id", "field_name", "field_value"], "left_anti")
 
 
-def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[str] = ("canonical_website", "contact_page_url", "publisher_url")) -> DataFrame:
+#: Addresses of profiles that may not lie on catalogs or shops.
+URLS = ("canonical_website", "contact_page_url", "publisher_url")
+
+
+def unsupported(verified: dict[str, Column], urls: list[str]) -> dict[str, Column]:
+    """Per column, whether it is to be cleared: a contact without a trusted source, an address on a catalog or shop."""
+    return {c: present(c) & ~v for c, v in verified.items()} | {c: present(c) & platform_source(c) for c in urls}
+
+
+def sanitize_contacts(leads: DataFrame, verified: dict[str, Column], urls: list[str] = URLS) -> DataFrame:
     """leads with contacts without a trusted source and profile addresses on catalogs or shops blank, n_contacts and n_urls cleared and their names (`cleared`), and a warning for each."""
     urls = [c for c in urls if c in leads.columns]
     # Staged, so that each host is read once a row: the warnings, counts, names and columns all ask for it.
-    rows = leads.withColumns({f"_gone_{c}": present(c) & ~v for c, v in verified.items()} | {f"_gone_{c}": present(c) & platform_source(c) for c in urls})
+    rows = leads.withColumns({f"_gone_{c}": g for c, g in unsupported(verified, urls).items()})
     contacts, pages = ({c: F.col(f"_gone_{c}") for c in names} for names in (verified, urls))
     told = messages(
         *((g, f"Sanitized {c}: source did not pass trusted author/agent/publisher checks.") for c, g in contacts.items()),
@@ -254,17 +262,28 @@ def sanitize_leads(star: DataFrame, verified: dict[str, Column], as_of_year: int
     """(leads, profiles): sanitize_contacts with what follows from it.
 
     leads are the rows of star (leads with their book and author) after clearing; those that were changed have a new lead_score, lead_tier and service_needs, and manual_review_status `rejected` if they are rejected now.
-    profiles (key, cleared: field names) tells which columns of which author profiles are to be blank: addresses on catalogs or shops, and agent and publicist mails that were cleared on one of the author's leads.
+    profiles are those of profiles_to_clear. Nothing is written: each is worked out where it is read, and the profiles need no score.
     """
-    sanitized = sanitize_contacts(star, verified)
-    scored = with_lead_score(sanitized, as_of_year)
+    scored = with_lead_score(sanitize_contacts(star, verified), as_of_year)
     changed = F.size("cleared") > 0
     status = F.when(changed & (F.col("tier") == "rejected"), "rejected").otherwise(F.col("manual_review_status"))
     needs = F.when(changed, F.col("needs")).otherwise(F.col("service_needs") if "service_needs" in star.columns else F.lit(None).cast("array<string>"))
     kept = {"lead_score": F.when(changed, F.col("score")).otherwise(F.col("lead_score")), "lead_tier": F.when(changed, F.col("tier")).otherwise(F.col("lead_tier")), "service_needs": needs, "manual_review_status": status}
-    leads = cut(scored.withColumns(kept).drop("score", "tier", "needs"), "sanitized")
-    own = leads.where(F.col(key).isNotNull()).select(key, F.explode("cleared").alias("c")).where(~F.col("c").isin("public_email", "public_phone"))
-    return leads, own.groupBy(key).agg(F.sort_array(F.collect_set("c")).alias("cleared"))  # five names at most
+    return scored.withColumns(kept).drop("score", "tier", "needs"), profiles_to_clear(star, verified, key)
+
+
+def profiles_to_clear(leads: DataFrame, verified: dict[str, Column], key: str = "author_id", urls: list[str] = URLS) -> DataFrame:
+    """(key, cleared: field names): which columns of which author profiles are to be blank: addresses on catalogs or shops, and agent and publicist mails that sanitize_contacts clears on one of the author's leads.
+
+    Public contacts are the lead's own and not judged; an address is judged once a profile that has it, not once a lead.
+    """
+    urls, mails = [c for c in urls if c in leads.columns], {c: v for c, v in verified.items() if c not in ("public_email", "public_phone")}
+    any_of = lambda fields: [F.bool_or(f"_gone_{c}").alias(f"_gone_{c}") for c in fields]
+    held = leads.where(F.col(key).isNotNull()).select(key, *urls, *(g.alias(f"_gone_{c}") for c, g in unsupported(mails, []).items()))
+    pages = held.groupBy(key, *urls).agg(*any_of(mails)).withColumns({f"_gone_{c}": g for c, g in unsupported({}, urls).items()})
+    own = pages.groupBy(key).agg(*any_of([*mails, *urls]))
+    names = F.array_compact(F.array(*(F.when(F.col(f"_gone_{c}"), F.lit(c)) for c in sorted([*mails, *urls]))))
+    return own.select(key, names.alias("cleared")).where(F.size("cleared") > 0)
 
 
 def clear_profiles(authors: DataFrame, profiles: DataFrame, key: str = "author_id") -> DataFrame:
@@ -301,4 +320,4 @@ def usable_results(results: DataFrame, code: Column | None = None) -> DataFrame:
     return out if code is None else out.where(F.contains(words, F.lower(text(code))))
 
 
-__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears", "email_syntax", "platform_source", "cut", "with_lead_score", "trusted_site", "trusted_social"}] + ["CONTACTS"]
+__all__ = [n for n in dir() if n[0].islower() and n not in {"annotations", "reduce", "fixed", "author_tokens", "normalize_text", "identity_appears", "email_syntax", "platform_source", "with_lead_score", "trusted_site", "trusted_social"}] + ["CONTACTS", "URLS"]

@@ -502,8 +502,8 @@ CLEARED = f"""w as (select * replace ({PROFILE_PAGE} as contact_page_url) from {
 g as (select * replace ({", ".join(f"case when g_{c} then '' else {c} end as {c}" for c in FIELDS)}, case when g_page then '' else contact_page_url end as contact_page_url), {" or ".join(f"g_{c}" for c in FIELDS)} or g_page as changed from f)"""
 
 
-def sanitized(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return filters.sanitize_leads(source_flags(t, "s").withColumn("contact_page_url", F.expr(PROFILE_PAGE)), flags("s"), 2026)
+def profile_pages(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("contact_page_url", F.expr(PROFILE_PAGE))
 
 
 @query(
@@ -512,7 +512,8 @@ def sanitized(t: Tables) -> tuple[DataFrame, DataFrame]:
 )
 def sanitize_leads(t: Tables) -> DataFrame:
     """Leads after clearing and scoring anew; here a contact is supported by evidence with a source."""
-    return sanitized(t)[0].select("lead_id", "public_email", "contact_page_url", F.col("lead_score").cast("bigint").alias("lead_score"), "lead_tier", "manual_review_status")
+    leads, _ = filters.sanitize_leads(profile_pages(source_flags(t, "s")), flags("s"), 2026)
+    return leads.select("lead_id", "public_email", "contact_page_url", F.col("lead_score").cast("bigint").alias("lead_score"), "lead_tier", "manual_review_status")
 
 
 @query(
@@ -520,9 +521,11 @@ def sanitize_leads(t: Tables) -> DataFrame:
     sql=f"with {CLEARED}, p as (select author_id, bool_or(g_page) as page, bool_or(g_representation_email) as agent, bool_or(g_publicist_email) as press from g group by 1) select a.author_id, case when coalesce(page, false) then '' else {PROFILE_PAGE.replace('author_id', 'a.author_id')} end as contact_page_url, case when coalesce(agent, false) then '' else 'agent@desk.example.test' end as representation_email, case when coalesce(press, false) then '' else 'press@press.example.test' end as publicist_email from authors a left join p using (author_id)",
 )
 def sanitize_profiles(t: Tables) -> DataFrame:
-    """Author profiles after the clearing of their leads."""
-    rows = t.authors.withColumns({"contact_page_url": F.expr(PROFILE_PAGE), "representation_email": F.lit("agent@desk.example.test"), "publicist_email": F.lit("press@press.example.test")})
-    return filters.clear_profiles(rows, sanitized(t)[1]).select("author_id", "contact_page_url", "representation_email", "publicist_email")
+    """Author profiles after the clearing of their leads, of whose contacts only those that a profile has are judged."""
+    shared = ("representation_email", "publicist_email")
+    rows = profile_pages(t.authors).withColumns({"representation_email": F.lit("agent@desk.example.test"), "publicist_email": F.lit("press@press.example.test")})
+    gone = filters.profiles_to_clear(profile_pages(source_flags(t, "s", shared)), flags("s", shared))
+    return filters.clear_profiles(rows, gone).select("author_id", "contact_page_url", "representation_email", "publicist_email")
 
 
 #: URLs of an extraction by a number of the lead, and whether they pass; the names in them are the author's in every second form.
