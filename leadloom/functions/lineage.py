@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 GROUP_BYTES = 16 << 20
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: later work starts from files that survive a lost executor."""
+def cut(df: DataFrame, name: str, wide_rows: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: later work starts from files that survive a lost executor.
+
+    A writer looks at its size only after a hundred rows; wide_rows: after each, so that GROUP_BYTES bounds a group of rows of megabytes too.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"parquet.block.size": GROUP_BYTES, "compression": "zstd"}).parquet(path)
+    each = {"parquet.page.size.row.check.min": 1} if wide_rows else {}
+    df.write.options(**{"parquet.block.size": GROUP_BYTES, "compression": "zstd"} | each).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -8,10 +8,12 @@ first of the next, and whether its first end of B closes a group with the last e
 have close the groups; the groups of a piece are numbered on from those of the pieces before it.
 
 Texts are aligned in blocks of about BLOCK characters. A block's distinct pairs of ids, with their numbers of links, are what is shuffled: they are added up
-over the corpus, and the sums come back to the block, whose documents hold indexes into its pairs. A block row is bounded by BLOCK, or by its one text.
+over the corpus, and the sums come back to the block, whose documents hold indexes into its pairs. A block row is bounded by BLOCK, or by its one text. Within a
+block, texts are encoded, merged and digested by slices of about SLICE characters, of which only counts, digests and pairs stay; tokens of a whole block are never held.
 
 A is encoded by cached pair merging over the pre-tokens of `byte_bpe`; B by its library, word by word through a cache, which is exact where no piece joins
-two words (`token_counts.load` refuses other vocabularies). Words of more than CACHED_CHARS characters are not cached, so that a cache is bounded in bytes.
+two words (`token_counts.load` refuses other vocabularies). A cache holds CACHE_WORDS words at most, in two generations: the older one goes, what is still asked for stays.
+Words of more than CACHED_CHARS characters are not cached, so that a cache is bounded in bytes.
 
 Cases: a text that is null, empty, or not given back byte by byte by both tokenizers (one that holds U+2581) has no tokens: zeros and an empty column; null and repeated ids are
 rows of their own; an empty table gives an empty table; other columns, whatever their names, are not read.
@@ -23,6 +25,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 
 from . import token_counts
 from .byte_bpe import ByteBpe
-from .common import CACHED_CHARS, cut, drop_cut, join_checked, small_batches, sql_type
+from .common import CACHED_CHARS, cut, drop_cut, join_checked, slices, small_batches, sql_type
 
-#: Ends that a piece of the merge has, and characters of a block.
-PIECE, BLOCK = 1 << 14, 1 << 21
+#: Ends that a piece of the merge has, characters of a block, and characters that are aligned at one time.
+PIECE, BLOCK, SLICE = 1 << 14, 1 << 21, 1 << 17
+#: Characters that a document counts in a block beside its text, for its own counts and digest: many empty texts don't make a row without bounds.
+DOCUMENT = 64
 CACHE_WORDS = 400_000
 SPACE = token_counts.SPACE
 
@@ -50,9 +55,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class BytePieces(ByteBpe):
+class Remembered:
+    """Ids of words as 32-bit bytes for a dict that asks here for what it lacks: of late words it holds half of CACHE_WORDS, `older` as many of those before."""
+
+    older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.found(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class BytePieces(Remembered, ByteBpe):
     """A's ids."""
 
+    def found(self, token: str) -> bytes:
+        return array("i", self.merge(token.encode())).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(map(self.__getitem__, tokens)), np.int32) for tokens in self.split(texts)]
 
@@ -71,7 +96,7 @@ def load_a(path: str) -> BytePieces:
     return BytePieces(ranks)
 
 
-class WordPieces(dict):
+class WordPieces(Remembered, dict):
     """B's ids by words, keyed without their leading space mark."""
 
     def __init__(self, path: str):
@@ -93,14 +118,9 @@ class WordPieces(dict):
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE, " ").encode()
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.library.encode(word, num_threads=1) if word else [self.library.piece_to_id(SPACE)]  # no word: a space that ends a text
-        ids = np.array(found, np.int32).tobytes()
-        if len(word) <= CACHED_CHARS:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def found(self, word: str) -> bytes:
+        ids = self.library.encode(word, num_threads=1) if word else [self.library.piece_to_id(SPACE)]  # no word: a space that ends a text
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -187,6 +207,18 @@ class Aligner:
 
     def block(self, texts: list[str]) -> dict:
         """Counts and group digests by document; links as pairs (key) with their numbers, documents as indexes into them."""
+        parts = [self.slice(texts[a:b], a) for a, b in slices(list(map(len, texts)), SLICE)]
+        whole = {k: np.concatenate([p[k] for p in parts]) for k in ("n_a", "n_b", "n_groups", "doc", "pair", "times")}
+        doc, times = whole.pop("doc"), whole.pop("times")
+        pairs, index = np.unique(whole.pop("pair"), return_inverse=True)
+        counts = np.bincount(index, times, minlength=len(pairs)).astype(np.int64)
+        return whole | {
+            "n_links": whole["n_a"] + whole["n_b"] - whole["n_groups"], "groups_sha256": [x for p in parts for x in p["groups_sha256"]],
+            "pairs": pairs, "counts": counts, "of": np.searchsorted(doc, np.arange(len(texts) + 1)), "index": index.astype(np.int32), "times": times,
+        }
+
+    def slice(self, texts: list[str], before: int) -> dict:
+        """Of texts behind `before` others of the block: counts and group digests by document, and the number of links (times) by document and pair, in their order."""
         many_a, many_b = self.ids(texts)
         n_a, n_b = (np.array([len(x) for x in many], np.int64) for many in (many_a, many_b))
         ids_a, ids_b = np.concatenate(many_a), np.concatenate(many_b)
@@ -198,12 +230,9 @@ class Aligner:
         key.sort()
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(key)))
-        doc, pair = key[first] >> self.bits, key[first] & ((1 << self.bits) - 1)
-        pairs, index = np.unique(pair, return_inverse=True)
-        counts = np.bincount(index, times, minlength=len(pairs)).astype(np.int64)
         return {
-            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, "groups_sha256": self.digests(ids_a, ids_b, ends_a, ends_b, closed, n_a, n_b),
-            "pairs": pairs, "counts": counts, "of": np.searchsorted(doc, np.arange(len(texts) + 1)), "index": index.astype(np.int32), "times": times.astype(np.int32),
+            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups_sha256": self.digests(ids_a, ids_b, ends_a, ends_b, closed, n_a, n_b),
+            "doc": (key[first] >> self.bits) + before, "pair": key[first] & ((1 << self.bits) - 1), "times": times.astype(np.int32),
         }
 
     def digests(self, ids_a, ids_b, ends_a, ends_b, closed, n_a, n_b) -> list[str]:
@@ -256,12 +285,12 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = t or ""
-                if texts and size + len(t) > block:
+                if texts and size + len(t) + DOCUMENT > block:
                     yield row()
                     ids, texts, size, no = [], [], 0, no + 1
                 ids.append(i)
                 texts.append(t)
-                size += len(t)
+                size += len(t) + DOCUMENT
         if texts:
             yield row()
 
@@ -280,7 +309,7 @@ def pair_counts(aligned: DataFrame, b_bits: int) -> DataFrame:
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    aligned = cut(blocks(docs, a_path, b_path, id_col, text_col, block), "align-blocks")
+    aligned = cut(blocks(docs, a_path, b_path, id_col, text_col, block), "align-blocks", wide_rows=True)
     counts = pair_counts(aligned, int(len(load_b(b_path).size)).bit_length())
     asked = aligned.select("part", "no", F.explode("pairs").alias("pair"))
     known = join_checked(asked, counts, ["pair"], "inner")

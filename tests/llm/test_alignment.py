@@ -118,3 +118,39 @@ def test_empty_and_long(spark):
 def test_query_reads_every_row(spark):
     out = queries.op12_alignment(spark, "/root/testdata/sf0.001")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_block_is_aligned_by_slices(monkeypatch):
+    texts = [f"Wörter {i} of text, {'again ' * (i % 60)}" for i in range(400)] + ["", "x" * 3000, "", "▁x"]
+    whole = alignment.Aligner(A, B).block(texts)
+    monkeypatch.setattr(alignment, "SLICE", 1000)
+    aligner, asked = alignment.Aligner(A, B), []
+    monkeypatch.setattr(aligner, "ids", lambda part: asked.append(sum(map(len, part))) or alignment.Aligner.ids(aligner, part))
+    got = aligner.block(texts)
+    assert sorted(asked)[-2] <= 1000 and max(asked) == 3000 and sum(asked) == sum(map(len, texts))
+    assert got["groups_sha256"] == whole["groups_sha256"] and all(np.array_equal(got[k], whole[k]) for k in whole)
+
+
+@pytest.mark.parametrize("make", [lambda: alignment.BytePieces(alignment.load_a(A).ranks), lambda: alignment.WordPieces(B)])
+def test_caches_keep_late_words(monkeypatch, make):
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 100)
+    cache, words = make(), [f"wörd{i}" for i in range(1000)]
+    found = []
+    for i, word in enumerate(words):
+        found.append(cache[word])
+        assert cache["often"] and len(cache) + len(cache.older) <= 100
+        assert i < 100 or "often" in cache or "often" in cache.older
+    assert found == [make()[w] for w in words[:1]] + [cache.found(w) for w in words[1:]]
+
+
+def test_blocks_are_bounded_in_rows_and_groups(spark):
+    from urllib.parse import urlparse
+
+    import pyarrow.dataset as ds
+
+    empty = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "'' as text")
+    assert alignment.blocks(empty, A, B, block=1000 * alignment.DOCUMENT).selectExpr("size(docs) as n").collect() == [(1000,)] * 5
+    wide = alignment.cut(spark.range(0, 40, 1, 1).selectExpr("id", "transform(sequence(1, 200000), x -> hash(x, id)) as a"), "wide", wide_rows=True)
+    groups = [g for f in ds.dataset(urlparse(wide._cut_path).path, format="parquet").get_fragments() for g in f.row_groups]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 24 << 20 and sum(g.num_rows for g in groups) == 40
+    alignment.drop_cut(wide)
