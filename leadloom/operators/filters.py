@@ -181,8 +181,8 @@ def approval_decision(verified: dict[str, Column], compliance: Column, has_book_
         ((F.col("identity_confidence") < 0.5) & F.lit(not identity_override), "Author identity is unclear."),
     )
     gate = verification_errors(verified, compliance, require_email=False, social_only=True)
-    errors = F.concat(own, F.array_except(gate, own))
-    return F.struct((F.size(errors) == 0).alias("ok"), errors.alias("errors"))
+    errors = bound(own, lambda o: F.concat(o, F.array_except(gate, o)))
+    return bound(errors, lambda e: F.struct((F.size(e) == 0).alias("ok"), e.alias("errors")))
 
 
 def usable_author(name: Column | str) -> Column:

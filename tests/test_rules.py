@@ -318,3 +318,31 @@ def test_patterns_of_words_are_grouped_by_first_letter():
     for value in ["xamazon.y", "amazonx", "archive.org", "archiveXorg", "bc+", "c", ""]:
         for some in (words[:2], words[:3], words[4:], words):
             assert bool(re.search(alternation(some), value)) == any(w in value for w in some), (value, some)
+
+
+def test_approval_reads_sources_of_locations_and_books(spark):
+    from leadloom.plans import queries_tables
+    from leadloom.plans.registry import Tables
+
+    class Fewer(Tables):
+        """Evidence without the books of every fifth number."""
+
+        def __getattr__(self, name):
+            df = super().__getattr__(name)
+            return df.where("book_id % 5 <> 0") if name == "evidence" else df
+
+    t = Fewer(spark, SF)
+    seen = t.evidence.collect()
+    told = {(e.lead_id, e.field_value) for e in seen if e.field_name == "location" and e.source_url}
+    books = {e.book_id for e in seen}
+    errors = {x.lead_id: x.errors.split("\n") for x in queries_tables.approval_decision(t).collect()}
+    leads = t.leads.collect()
+    assert sorted(errors) == sorted(x.lead_id for x in leads)
+    kinds = set()
+    for x in leads:
+        own = errors[x.lead_id]
+        missing = bool(x.location) and (x.lead_id, x.location) not in told
+        no_book = "Missing a verified Amazon marketplace book URL." in own and x.book_id not in books
+        assert ("location is missing a source URL." in own) == missing and ("Lead needs an Amazon URL or strong book source." in own) == no_book
+        kinds.add((bool(x.location), missing, no_book))
+    assert {(True, True, True), (True, False, False), (False, False, True)} <= kinds
